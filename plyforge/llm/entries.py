@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from plyforge.llm import exact_dedup
+from plyforge.llm import bpe, exact_dedup
 
 QUERIES = {
+    "op2_byte_bpe": bpe.op2_byte_bpe,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
