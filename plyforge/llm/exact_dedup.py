@@ -185,7 +185,7 @@ def marked(texts: DataFrame, block_rows: int = BLOCK_ROWS, owners: int | None =
     keepers = marks.where("suspect").groupBy("fp", "sha").agg(F.max(F.struct("doc_id", "uid")).alias("keep"), F.count(F.lit(1)).alias("seen"))
     # Byte groups and digests must agree row for row; a broken digest would stop the job here, not pass unseen.
     agreed = keepers.join(sizes, ["fp", "sha"]).select("fp", "sha", "keep", F.when(F.col("seen") == F.col("group_size"), F.col("group_size")).otherwise(F.raise_error(F.lit("equal digests of different texts"))).cast("long").alias("group_size"))
-    return marks, agreed
+    return marks, common.saved(agreed, "dedup-classes")
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
