@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from plyforge.llm import bpe, exact_dedup, minhash
+from plyforge.llm import bpe, chat, exact_dedup, minhash
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_chat_format": chat.op3_chat_format,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLE_SQL = {
     "op1_minhash_near_dedup": minhash.ORACLE,
+    "op3_chat_format": chat.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
