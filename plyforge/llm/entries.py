@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plyforge.llm import bpe, chat, exact_dedup, minhash
+from plyforge.llm import bpe, chat, exact_dedup, idstore, minhash
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_chat_format": chat.op3_chat_format,
+    "op5_token_store": idstore.op5_token_store,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
