@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from plyforge.llm import bpe, chat, exact_dedup, idstore, minhash
+from plyforge.llm import bpe, chat, exact_dedup, idstore, minhash, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_chat_format": chat.op3_chat_format,
     "op5_token_store": idstore.op5_token_store,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
