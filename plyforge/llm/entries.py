@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from plyforge.llm import bpe, chat, exact_dedup, idstore, minhash, toxicity
+from plyforge.llm import bpe, chat, exact_dedup, idstore, licenses, line_dedup, minhash, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_chat_format": chat.op3_chat_format,
     "op5_token_store": idstore.op5_token_store,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_license_scan": licenses.op9_license_scan,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLE_SQL = {
     "op1_minhash_near_dedup": minhash.ORACLE,
     "op3_chat_format": chat.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
