@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plyforge.llm import bpe, chat, exact_dedup, idstore, licenses, line_dedup, minhash, toxicity
+from plyforge.llm import bpe, chat, decontaminate, exact_dedup, idstore, licenses, line_dedup, minhash, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_chat_format": chat.op3_chat_format,
     "op5_token_store": idstore.op5_token_store,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
