@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plyforge.llm import bpe, chat, decontaminate, exact_dedup, idstore, licenses, line_dedup, minhash, toxicity
+from plyforge.llm import bpe, chat, decontaminate, exact_dedup, idstore, licenses, line_dedup, minhash, pii, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_chat_format": chat.op3_chat_format,
+    "op4_pii": pii.op4_pii,
     "op5_token_store": idstore.op5_token_store,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
