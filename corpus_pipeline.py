@@ -1,4 +1,56 @@
-STAGES = []
+"""A corpus pipeline of five stages over ``documents``: what each keeps, the next one works on.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from plyforge.llm import bpe, common, decontaminate, exact_dedup, minhash, toxicity
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score below one half; learnt from the labels of the training fold."""
+    return toxicity.without_toxic(docs, toxicity.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the one of the largest doc_id."""
+    return exact_dedup.drop_copies(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by similarity 0.8 of five-word shingles, the one of the least doc_id."""
+    return minhash.drop_near_copies(docs, n=5, percent=80)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids of every document that is left."""
+    import public_tokenizers
+
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
+
+
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("exact dedup", exact_duplicates),
+    ("minhash near-dedup", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("byte-level bpe", byte_bpe),
+]
+
+#: Toxicity scores and byte-pair merges are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = common.saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -206,14 +206,21 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     return common.id_text(docs, id_col, text_col).mapInArrow(run_encode(path, pattern, finish), "doc_id long, ids array<int>, decoded binary")
 
 
-def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, one row per row of ``docs``."""
+def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and if asked for ids, one row per row of ``docs``."""
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
     def finish(bpe, doc_ids, coded, decoded):
-        return pa.RecordBatch.from_arrays([doc_ids, pa.array(list(map(len, coded)), pa.int64()), pa.array([sha(bpe.decimal_text(ids).encode()) for ids in coded], pa.string()), pa.array([sha(b) for b in decoded], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return common.id_text(docs, id_col, text_col).mapInArrow(run_encode(path, pattern, finish), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        columns = [doc_ids, pa.array(list(map(len, coded)), pa.int64()), pa.array([sha(bpe.decimal_text(ids).encode()) for ids in coded], pa.string()), pa.array([sha(b) for b in decoded], pa.string())]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if with_ids:
+            offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))])
+            columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(coded).astype(np.int32))))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    return common.id_text(docs, id_col, text_col).mapInArrow(run_encode(path, pattern, finish), schema)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
