@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plyforge.operators import features  # noqa: F401
+from plyforge.operators import attacks, features  # noqa: F401
 from plyforge.plans import registry
 
 
