@@ -3,10 +3,9 @@
 1. Every text becomes its set of word shingles and a signature of K minima. Equal sets are one class from here on.
 2. Every class posts its id under (coordinate, value) pairs. Two signatures that agree in T of K places must share one of
    the K - T + 1 pairs that come first in any order common to all, so each class posts only that prefix, rarest pairs
-   first; how rare a pair is comes from a count table of fixed size, filled from all signatures. Pairs whose cell of the
-   table was filled once have no partner and are not posted.
-3. Classes under one pair are tied to the least of them (as many ties as postings, however large the group), and tied
-   groups are gathered by connected components.
+   first; how rare a pair is comes from a count table of fixed size, filled from all signatures.
+3. Under one pair, classes are tied where one-byte sketches of their signatures agree in T places (a list of more than
+   BLOCK classes is tied as a whole, through the pair), and tied groups are gathered by connected components.
 4. A group is cut into blocks of bounded size. In a block, classes are joined by coordinate: collisions of each class with
    the others are counted over the rare pairs first, the long lists being skipped until a class has a chance to reach T,
    and classes with T matches are confirmed by the exact intersection of their sets, unless a chain of confirmed links
@@ -28,15 +27,16 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plyforge.llm import common
 from plyforge.llm.components import components
 
-K, SIGMAS = 128, 5.2
-COUNT_BITS, BLOCK = 22, 2048
+K, SIGMAS = 96, 5.2
+#: A coordinate holds the identity of its least shingle in so many bytes; chance agreements grow as documents / 256**BYTES.
+BYTES = 6
+COUNT_BITS, BLOCK, HUBS, MEET = 23, 2048, 32, 64
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(1, 1 << 32, K, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -53,16 +53,32 @@ def shingles(text: str, n: int, words: common.WordHashes) -> np.ndarray:
 
 
 def signature(found: np.ndarray) -> np.ndarray:
+    """K values below 256**BYTES: of the least shingle under each of K orders."""
     low = (found >> np.uint64(32)).astype(np.uint32) ^ found.astype(np.uint32)
-    out = np.full(K, 0xFFFFFFFF, np.uint32)
+    least, out, rows = np.full(K, 0xFFFFFFFF, np.uint32), np.full(K, found[0], np.uint64), np.arange(K)
     for at in range(0, len(low), 2048):
-        np.minimum(out, (_A * low[at : at + 2048] + _B).min(1), out=out)
-    return out
+        ranks = _A * low[at : at + 2048] + _B
+        best = ranks.argmin(1)
+        value = ranks[rows, best]
+        less = value < least
+        least[less], out[less] = value[less], found[at + best[less]]
+    return out & np.uint64((1 << 8 * BYTES) - 1)
+
+
+def packed(sig: np.ndarray) -> bytes:
+    return sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
+
+
+def _stack(column: pa.Array) -> np.ndarray:
+    """Packed signatures to a row each."""
+    out = np.zeros((len(column) * K, 8), np.uint8)
+    out[:, :BYTES] = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BYTES)
+    return out.view("<u8").reshape(-1, K)
 
 
 def pair_hashes(sigs: np.ndarray) -> np.ndarray:
     """One 64-bit key of each (coordinate, value)."""
-    return common.mixed(sigs.astype(np.uint64) << np.uint64(8) | np.arange(K, dtype=np.uint64))
+    return common.mixed(sigs << np.uint64(8) | np.arange(K, dtype=np.uint64))
 
 
 def _signed(n: int):
@@ -74,17 +90,13 @@ def _signed(n: int):
                 for text in part.column("text").to_pylist():
                     found = shingles(text, n, words)
                     sizes.append(len(found))
-                    sigs.append(signature(found).tobytes() if len(found) else None)
+                    sigs.append(packed(signature(found)) if len(found) else None)
                     digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "digest", "sig"])
 
     return run
 
 
-def _stack(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, K)
-
-
 def _cells(batches):
     """Partial counts of the table's cells."""
     table = np.zeros(1 << COUNT_BITS, np.int64)
@@ -116,21 +128,74 @@ def pair_counts(sigs: DataFrame) -> np.ndarray:
     return table
 
 
-def _posted(counts, prefix: int):
+def _posted(counts, prefix: int, shared=None):
+    """Postings of the prefix, rarest first; with ``shared``, only those it knows, each with the class's sketch."""
+
     def run(batches):
         for batch in batches:
             for part in common.slices(batch, "sig"):
-                keys = pair_hashes(_stack(part.column("sig")))
+                sigs = _stack(part.column("sig"))
+                keys = pair_hashes(sigs)
                 seen = counts.value[(keys >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
                 # The common order: by count, then by key.
                 order = np.lexsort((keys, seen), axis=1)[:, :prefix]
-                keys, seen = np.take_along_axis(keys, order, 1), np.take_along_axis(seen, order, 1)
-                row, col = np.nonzero(seen > 1)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[row, col].view(np.int64)), part.column("rep").take(pa.array(row))], names=["pair", "rep"])
+                keys = np.take_along_axis(keys, order, 1)
+                row, col = np.nonzero(np.ones(keys.shape, bool) if shared is None else shared.value.hits(keys))
+                columns = [pa.array(keys[row, col].view(np.int64)), part.column("rep").take(pa.array(row))]
+                if shared is not None:
+                    sketches = np.ascontiguousarray(sigs.astype(np.uint8))
+                    columns.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(K), len(sketches), [None, pa.py_buffer(sketches)]).cast(pa.binary()).take(pa.array(row)))
+                yield pa.RecordBatch.from_arrays(columns, names=["pair", "rep", "sketch"][: len(columns)])
 
     return run
 
 
+def _tied(least: int):
+    """Ties within the lists of pairs (rows sorted by pair and salt): classes whose sketches agree in ``least`` places or more.
+
+    A list that is dealt over several salts is not compared here; its classes are all tied to the pair itself (a node
+    below 0), so that nothing is lost between its parts.
+    """
+
+    def ties(pair: int, salts: int, reps: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
+        if salts > 1:
+            return [(r, -(pair >> 1 & (1 << 62) - 1) - (1 << 62)) for r in reps.tolist()]
+        if len(reps) == 1:
+            return []
+        forest = Forest(len(reps))
+        for x in range(1, len(reps)):
+            for y in np.flatnonzero((sketches[:x] == sketches[x]).sum(1) >= least).tolist():
+                forest.join(x, y)
+        return [(int(reps[x]), int(reps[root])) for x in range(len(reps)) if (root := forest.root(x)) != x]
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in _and_none(batches):
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+            if not held:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            pairs, salt = table.column("pair").to_numpy(), table.column("salt").to_numpy()
+            cut = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]) | (salt[1:] != salt[:-1])]))
+            # The last list may go on in the next batch.
+            end = len(pairs) if batch is None else int(cut[-1])
+            if not end:
+                continue
+            reps, salts = table.column("rep").to_numpy(), table.column("salts").to_numpy()
+            sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, K)
+            out = [t for a, b in zip(cut, np.append(cut[1:], len(pairs))) if a < end for t in ties(int(pairs[a]), int(salts[a]), reps[a:b], sketches[a:b])]
+            yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in out], pa.int64()), pa.array([t[1] for t in out], pa.int64())], names=["a", "b"])
+            held = table.slice(end).to_batches() if end < len(pairs) else []
+
+    return run
+
+
+def _and_none(batches):
+    yield from batches
+    yield None
+
+
 class Forest:
     """Union-find over 0..n-1."""
 
@@ -224,7 +289,42 @@ def _items(wanted, n: int):
     return run
 
 
-def linked(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _across_blocks(items: DataFrame, share, least: int) -> DataFrame:
+    """(node, root) over groups of several blocks (rep, root, blocks, block, items).
+
+    First each block by itself. Then HUBS members of each block's largest piece meet those of up to MEET blocks, which
+    joins the pieces of one large cluster. What is then outside its group's largest piece meets every block.
+    """
+    schema, once = "rep long, root long", _confirm_block(share, least, True)
+    links = common.saved(items.groupBy("root", "block").applyInArrow(once, schema), "links")
+    edges = links.select(F.col("rep").alias("a"), F.col("root").alias("b"))
+
+    where = items.select("rep", F.col("root").alias("grp"), "block")
+    part = links.withColumnRenamed("root", "piece").join(where, "rep")
+    main = part.groupBy("grp", "block", "piece").agg(F.count(F.lit(1)).alias("n")).groupBy("grp", "block").agg(F.max_by("piece", F.struct("n", "piece")).alias("piece"))
+    order = Window.partitionBy("grp", "block").orderBy(F.xxhash64("rep"), "rep")
+    hubs = part.join(main, ["grp", "block", "piece"]).withColumn("at", F.row_number().over(order)).where(F.col("at") <= HUBS).select("rep")
+    met = items.join(hubs, "rep").withColumn("meet", F.expr(f"block div {MEET}")).groupBy("root", "meet").applyInArrow(once, schema)
+    edges = common.saved(edges.unionByName(met.select(F.col("rep").alias("a"), F.col("root").alias("b"))), "block-links")
+
+    joined = components(edges)
+    part = part.join(joined, F.col("rep") == F.col("node"), "left").select("rep", "grp", "block", F.coalesce(joined["root"], F.col("rep")).alias("piece"))
+    main = part.groupBy("grp", "piece").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max_by("piece", F.struct("n", "piece")).alias("main"))
+    odd = common.saved(part.join(main, "grp").where("piece <> main").select("rep", F.lit(True).alias("odd")), "odd")
+    if odd.isEmpty():
+        return components(edges)
+    # Meetings (block i of odd classes, block j of all): every odd class goes to all of its row of meetings.
+    marked = items.join(odd, "rep", "left").select("rep", "root", "blocks", "block", "items", F.coalesce("odd", F.lit(False)).alias("odd"))
+    guests = marked.where("odd").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("rep", "root", F.col("block").alias("mine"), "other", "items", "odd")
+    rows = marked.where("odd").select("root", F.col("block").alias("mine")).distinct()
+    hosts = marked.where("not odd").join(rows, "root").select("rep", "root", "mine", F.col("block").alias("other"), "items", "odd")
+    # Odd classes of the other block come as hosts as well, unless they are among the guests already (mine = other).
+    odd_hosts = marked.where("odd").join(rows, "root").where("mine <> block").select("rep", "root", "mine", F.col("block").alias("other"), "items", F.lit(False).alias("odd"))
+    more = guests.unionByName(hosts).unionByName(odd_hosts).groupBy("root", "mine", "other").applyInArrow(_confirm_block(share, least, False), schema)
+    return components(edges.unionByName(more.select(F.col("rep").alias("a"), F.col("root").alias("b"))))
+
+
+def linked(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, one row per row of ``docs``.
 
     Documents are linked where 100 * |A & B| >= percent * |A | B| on their sets of ``n``-word shingles; component_id is the
@@ -240,42 +340,36 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
     classes = common.saved(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
 
     counts = spark.sparkContext.broadcast(pair_counts(classes.select("sig")))
-    posted = common.saved(classes.select("rep", "sig").mapInArrow(_posted(counts, K - least + 1), "pair long, rep long"), "posted")
-    first = posted.groupBy("pair").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1").select("pair", "least")
-    ties = posted.join(first, "pair").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    posted = classes.select("rep", "sig").mapInArrow(_posted(counts, K - least + 1), "pair long, rep long")
+    pairs = common.saved(posted.groupBy("pair").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "shared-pairs")
+    shared = spark.sparkContext.broadcast(common.KeyFilter.of(pairs, "pair", 26))
+    rows = classes.select("rep", "sig").mapInArrow(_posted(counts, K - least + 1, shared), "pair long, rep long, sketch binary")
+    hot = pairs.where(f"many > {block}").select("pair", F.expr(f"cast(ceil(many / {block}) as int)").alias("salts"))
+    rows = rows.join(hot, "pair", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.expr("cast(pmod(xxhash64(rep), salts) as int)"))
+    ties = rows.repartition("pair", "salt").sortWithinPartitions("pair", "salt").mapInArrow(_tied(least), "a long, b long")
     groups = components(ties)
     roots = groups.select("root").distinct()
-    members = groups.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
+    # Pairs stand as nodes below 0 that are no class; a class's own id may be below 0 as well.
+    members = groups.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct().join(classes.select(F.col("rep").alias("node")), "node", "left_semi")
     size = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    members = members.join(size, "root").select(F.col("node").alias("rep"), "root", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("blocks"))
+    members = members.join(size, "root").select(F.col("node").alias("rep"), "root", F.expr(f"cast(ceil(size / {block}) as int)").alias("blocks"))
     members = common.saved(members.withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)")), "members")
 
-    wanted = spark.sparkContext.broadcast(common.KeyFilter.of(members.select("rep"), "rep"))
-    items = texts.mapInArrow(_items(wanted, n), "doc_id long, digest binary, items binary")
-    # A repeated doc_id may hold other texts: the class's own is the one with its digest.
-    items = items.join(members.join(classes.select("rep", "digest"), "rep").select(F.col("rep").alias("doc_id"), "digest", "root", "blocks", "block"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("rep"), "root", "blocks", "block", "items")
+    own = members.join(classes.select("rep", "digest"), "rep").select(F.col("rep").alias("doc_id"), "digest", "root", "blocks", "block")
+
+    def items_of(where: str) -> DataFrame:
+        wanted = spark.sparkContext.broadcast(common.KeyFilter.of(members.where(where).select("rep"), "rep"))
+        made = texts.mapInArrow(_items(wanted, n), "doc_id long, digest binary, items binary")
+        # A repeated doc_id may hold other texts: the class's own is the one with its digest.
+        made = made.join(own.where(where), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+        return made.select(F.col("doc_id").alias("rep"), "root", "blocks", "block", "items")
+
     share = (100, percent)
+    found = items_of("blocks = 1").groupBy("root", "block").applyInArrow(_confirm_block(share, least, True), "rep long, root long").select(F.col("rep").alias("node"), F.col("root").alias("found"))
     many = members.where("blocks > 1")
-    if many.isEmpty():
-        links = items.groupBy("root", "block").applyInArrow(_confirm_block(share, least, True), "rep long, root long")
-        found = links.select(F.col("rep").alias("node"), F.col("root").alias("found"))
-    else:
-        items = common.saved(items, "items")
-        links = common.saved(items.groupBy("root", "block").applyInArrow(_confirm_block(share, least, True), "rep long, root long"), "links")
-        edges = links.select(F.col("rep").alias("a"), F.col("root").alias("b"))
-        # Second pass over groups of several blocks: hubs are not known, so components that are not the group's largest
-        # meet all blocks; the largest pieces of all blocks meet through one another's members.
-        part = links.join(many.select("rep", F.col("root").alias("grp"), "block"), "rep")
-        sizes = part.groupBy("grp", "block", "root").agg(F.count(F.lit(1)).alias("n"))
-        main = sizes.groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-        odd = part.join(main, "grp").where("root <> main").select("rep")
-        big = items.where("blocks > 1").join(odd.withColumn("odd", F.lit(True)), "rep", "left").withColumn("odd", F.coalesce("odd", F.lit(False)))
-        # Blocks (i, j): j's odd classes against i's classes.
-        from_block = big.where("odd").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", "root", "items", "odd", F.col("block").alias("mine"), "with")
-        against = big.join(big.where("odd").select("root", F.col("block").alias("mine")).distinct(), "root").select("rep", "root", "items", F.lit(False).alias("odd"), "mine", F.col("block").alias("with"))
-        pairs = from_block.unionByName(against.join(from_block.select("rep", "root", "mine", "with").withColumnRenamed("rep", "r"), (F.col("r") == F.col("rep")) & (against["root"] == from_block["root"]) & (against["mine"] == from_block["mine"]) & (against["with"] == from_block["with"]), "left_anti"))
-        more = pairs.groupBy("root", "mine", "with").applyInArrow(_confirm_block(share, least, False), "rep long, root long")
-        found = components(edges.unionByName(more.select(F.col("rep").alias("a"), F.col("root").alias("b")))).select("node", F.col("root").alias("found"))
+    if not many.isEmpty():
+        items = common.saved(items_of("blocks > 1"), "items")
+        found = found.unionByName(_across_blocks(items, share, least).select("node", F.col("root").alias("found")))
     classes = classes.select("digest", "rep").join(found.where("node <> found"), F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("found", "rep").alias("component"))
     out = signed.drop("sig").join(classes, "digest", "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component"))
