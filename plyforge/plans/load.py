@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plyforge.operators import attacks, engine, features, records, text  # noqa: F401
+from plyforge.operators import attacks, engine, features, moves, records, text  # noqa: F401
 from plyforge.plans import registry
 
 
