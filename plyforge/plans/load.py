@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from plyforge.operators import attacks, engine, features, moves, records, text  # noqa: F401
 from plyforge.plans import registry
+from plyforge.streaming import logs  # noqa: F401
 
 
 def all_queries():
