@@ -18,7 +18,9 @@ with a recipe, nulls first; an empty table makes an empty store; other columns a
 from __future__ import annotations
 
 import hashlib
-import os
+import re
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,60 +32,86 @@ from pyspark.sql import functions as F
 from plyforge.llm import common
 
 WINDOW, LOW_BITS, LEAST, MOST = 8, 8, 64, 2048
-KNOWN_PIECES, KNOWN_CHUNKS = 700_000, 300_000
+KNOWN, KNOWN_CHUNKS = 350_000, 300_000
 
 _STORE = "kind string, key long, address binary, payload binary, doc_id long, uid long, n_tokens long, recipe binary, sizes binary, root binary"
 
 
 class _Known(dict):
-    """Ids of pieces; what is missing is noted."""
+    """Ids of parts of texts, in two generations, so that frequent ones outlive a full table."""
 
     def __init__(self):
-        self.new = set()
+        self.old = {}
 
-    def __missing__(self, piece):
-        self.new.add(piece)
-        return b""
+    def learn(self, parts: set[str], encode) -> None:
+        """Take in parts that are not known, from the old generation or from ``encode``."""
+        if len(self) > KNOWN:
+            self.old = dict(self)
+            self.clear()
+        parts = parts.difference(self)
+        old = self.old
+        for part in parts.intersection(old):
+            self[part] = old[part]
+        new = list(parts.difference(old))
+        self.update(zip(new, encode(new), strict=True))
 
 
-class Pieces:
-    """Ids of texts by the tokenizers library. Each piece of its pre-tokenizer's pattern is encoded once and remembered."""
+#: A blank beside another blank: there the pre-tokenizer may keep blanks together.
+_BESIDE = re.compile(r" \s|\s ").search
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable ones stand for themselves, others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Stretches:
+    """Ids of texts by a byte-level BPE model of the tokenizers library.
+
+    Every byte-level pre-tokenizer of this family begins a new piece at a single space between two other characters, so the
+    ids of a text are those of its stretches between such spaces in a row; a stretch is cut by the pre-tokenizer's pattern,
+    and the library's model encodes each piece. Stretches and pieces are encoded once and remembered. Texts with blanks
+    beside blanks are one stretch.
+    """
 
     def __init__(self, path: str, pattern: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.split = regex.compile(pattern).findall
-        self.known = _Known()
-        self.type = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
+        self.letters = byte_letters()
+        #: Stretches without the space before them, and their ids with it; pieces.
+        self.known, self.pieces = _Known(), _Known()
+        self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.type.itemsize == 2 else "I"
+
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        tokenize, code, letters = self.tokenize, self.code, self.letters
+        return [array(code, [t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes() for p in pieces]
+
+    def _encode_stretches(self, stretches: list[str]) -> list[bytes]:
+        cut = [self.split(" " + s) for s in stretches]
+        self.pieces.learn(set(chain.from_iterable(cut)), self._encode_pieces)
+        get = self.pieces.__getitem__
+        return [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > KNOWN_PIECES:
-            known.clear()
-        out, again = [], []
-        for i, text in enumerate(texts):
-            pieces, before = self.split(text), len(known.new)
-            out.append(b"".join(map(known.__getitem__, pieces)))
-            if len(known.new) > before or (known.new and not known.new.isdisjoint(pieces)):
-                again.append((i, pieces))
-        if known.new:
-            new = list(known.new)
-            for piece, coded in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[piece] = np.array(coded.ids, self.type).tobytes()
-            known.new.clear()
-        for i, pieces in again:
-            out[i] = b"".join(map(known.__getitem__, pieces))
-        return out
+        cut = [[t] if _BESIDE(t) or t[:1].isspace() or t[-1:].isspace() else t.split(" ") for t in texts]
+        heads = [self.split(c.pop(0)) for c in cut]
+        self.known.learn(set(chain.from_iterable(cut)), self._encode_stretches)
+        self.pieces.learn(set(chain.from_iterable(heads)), self._encode_pieces)
+        known, pieces = self.known.__getitem__, self.pieces.__getitem__
+        return [b"".join(map(pieces, h)) + b"".join(map(known, c)) for h, c in zip(heads, cut, strict=True)]
 
 
 def cuts(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
     """Of each document (ends[i] is where i ends in ``ids``), the ends of its chunks, relative to its start."""
     values = common.mixed(ids.astype(np.uint64) + np.uint64(1))
     rolled = np.zeros(len(ids), np.uint64)
-    for back in range(WINDOW):
+    for back in range(min(WINDOW, len(ids))):
         rolled[back:] += values[: len(values) - back] * (common.M1 ** np.uint64(back))
     marks = np.flatnonzero(rolled >> np.uint64(64 - LOW_BITS) == 0) + 1
     starts = np.concatenate([[0], ends[:-1]])
@@ -120,23 +148,25 @@ def _key(address_: bytes) -> int:
     return int.from_bytes(address_[:8], "little", signed=True)
 
 
-_pieces: dict[tuple[str, str], Pieces] = {}
+_opened: dict[tuple[str, str], Stretches] = {}
 
 
 def _cut_up(path: str, pattern: str, end_id: int):
     def run(batches):
-        if (path, pattern) not in _pieces:
-            _pieces[path, pattern] = Pieces(path, pattern)
-        pieces = _pieces[path, pattern]
+        common.enter("idstore", _opened.clear)
+        # One per worker process: stretches stay known from task to task.
+        if (path, pattern) not in _opened:
+            _opened[path, pattern] = Stretches(path, pattern)
+        encode = _opened[path, pattern]
         task, row, seen = TaskContext.get().partitionId(), 0, set()
-        stop = np.array([end_id], pieces.type).tobytes()
+        stop = np.array([end_id], encode.type).tobytes()
         for batch in batches:
             for part in common.slices(batch, "text"):
-                coded = [c + stop for c in pieces(part.column("text").to_pylist())]
-                width = pieces.type.itemsize
+                coded = [c + stop for c in encode(part.column("text").to_pylist())]
+                width = encode.type.itemsize
                 ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded))) // width
                 chunks, docs = [], []
-                for doc_id, ids, cut in zip(part.column("doc_id").to_pylist(), coded, cuts(np.frombuffer(b"".join(coded), pieces.type), ends), strict=True):
+                for doc_id, ids, cut in zip(part.column("doc_id").to_pylist(), coded, cuts(np.frombuffer(b"".join(coded), encode.type), ends), strict=True):
                     payloads = [ids[a * width : b * width] for a, b in zip([0, *cut], cut)]
                     addresses = list(map(address, payloads))
                     for a, p in zip(addresses, payloads, strict=True):
