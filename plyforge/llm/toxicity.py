@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from plyforge.llm import common
 
 FOLDS, MOST_LABELLED, MOST_VOTERS, LEAST_ROWS, LABEL_ACCURACY = 5, 20_000, 800, 3, 0.98
-PREFIXES = (5, 6, 7)
+PREFIXES = (4, 5, 6, 7)
 KNOWN_WORDS = 300_000
 
 #: English insults (fixed values): voters that need no labels.
@@ -95,6 +95,7 @@ def sampled_labels(labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
 
 def _mined(batches):
     """Rows of each class that have a word or prefix, summed within the task as far as memory allows."""
+    common.enter("toxicity")
     counts: dict[str, list[int]] = {}
 
     def flush():
@@ -125,6 +126,7 @@ def mined_voters(rows: DataFrame, n_bad: int, n_good: int) -> list[str]:
 
 def _votes(names: list[str]):
     def run(batches):
+        common.enter("toxicity")
         voters = Voters(names)
         for batch in batches:
             for part in common.slices(batch, "text"):
@@ -134,6 +136,10 @@ def _votes(names: list[str]):
     return run
 
 
+def _blocks(n: int, size: int = 2000):
+    return [slice(at, min(n, at + size)) for at in range(0, n, size)]
+
+
 def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 12) -> np.ndarray:
     """Posterior of class 1 for each row. votes: 0/1 by row and voter; labels: 0/1, or -1 where none is given."""
     n, m = votes.shape
@@ -142,43 +148,43 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 12) -> np.n
     post = np.where(labels < 0, np.clip(votes.mean(1) * 4, 0.02, 0.9), np.where(labels == 1, LABEL_ACCURACY, 1 - LABEL_ACCURACY))
     share = np.ones(m)
     for turn in range(rounds):
-        bad = (post @ votes + 0.2) / (post.sum() + 2)
-        good = ((1 - post) @ votes + 0.2) / ((1 - post).sum() + 2)
+        fired = np.vstack([post, 1 - post]) @ votes
+        bad = (fired[0] + 0.2) / (post.sum() + 2)
+        good = (fired[1] + 0.2) / ((1 - post).sum() + 2)
         prior = np.log((post.sum() + 1) / ((1 - post).sum() + 1))
         if turn == rounds // 2 and m:
             # Correlations given the class: residuals of the votes against their expected rates.
-            rest = votes - (post[:, None] * bad + (1 - post)[:, None] * good)
-            scale = np.sqrt((rest**2).sum(0) + 1e-9)
-            close = np.clip((rest.T @ rest) / scale[:, None] / scale, 0, 1)
-            share = 1 / close.sum(1)
+            both = np.zeros((m, m))
+            for rows in _blocks(n):
+                rest = votes[rows] - (post[rows, None] * bad + (1 - post[rows, None]) * good)
+                both += rest.T @ rest
+            scale = np.sqrt(np.diag(both) + 1e-9)
+            share = 1 / np.clip(both / scale[:, None] / scale, 0, 1).sum(1)
         fires, silent = np.log(bad / good) * share, np.log((1 - bad) / (1 - good)) * share
-        score = prior + given + votes @ (fires - silent) + silent.sum()
+        score = prior + given + votes @ (fires - silent).astype(np.float32) + silent.sum()
         post = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
     return post
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
     """Weights of a ridge logistic regression on soft targets, by Newton steps; the last weight is the intercept."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    d = x.shape[1]
+    w, keep = np.zeros(d + 1), np.full(d + 1, ridge)
     keep[-1] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + keep * w
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(keep), grad)
+        grad, curve = keep * w, np.diag(keep)
+        for rows in _blocks(len(x)):
+            part = np.hstack([x[rows], np.ones((rows.stop - rows.start, 1), x.dtype)]).astype(np.float64)
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            grad += part.T @ (p - y[rows])
+            curve += (part * (p * (1 - p) + 1e-6)[:, None]).T @ part
+        step = np.linalg.solve(curve, grad)
         w -= step * min(1.0, 5 / max(5e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def features(ids, counts, patterns, m: int) -> np.ndarray:
-    out = np.zeros(m + len(PATTERNS))
-    out[ids] = np.log1p(counts)
-    out[m:] = patterns
-    return out
-
-
 class Model:
     """Voter names and weights; small (MOST_VOTERS), so it travels with the tasks."""
 
@@ -212,10 +218,16 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model(names, weights)
     got = rows.mapInArrow(_votes(names), "toxic int, ids array<long>, counts array<long>, patterns array<double>").toArrow()
     m = len(names)
-    x = np.array([features(*row, m) for row in zip(*(got.column(c).to_pylist() for c in ("ids", "counts", "patterns")), strict=True)])
+    # Single precision, filled in place: MOST_LABELLED x (MOST_VOTERS + patterns) values at most.
+    x = np.zeros((got.num_rows, m + len(PATTERNS)), np.float32)
+    for i, (ids, counts, patterns) in enumerate(zip(*(got.column(c) for c in ("ids", "counts", "patterns")), strict=True)):
+        x[i, ids.values.to_numpy()] = np.log1p(counts.values.to_numpy())
+        x[i, m:] = patterns.values.to_numpy()
     y = got.column("toxic").to_numpy()
     share, distinct, hits, none, shout, bangs = (x[:, m + i] for i in range(6))
-    votes = np.hstack([x[:, :m] > 0, np.column_stack([share >= 0.7, distinct > np.log1p(1.5), hits > np.log1p(2.5), none == 1, shout > 0.3, bangs > 0])]).astype(float)
+    votes = np.empty((len(x), m + 6), np.float32)
+    votes[:, :m] = x[:, :m] > 0
+    votes[:, m:] = np.column_stack([share >= 0.7, distinct > np.log1p(1.5), hits > np.log1p(2.5), none == 1, shout > 0.3, bangs > 0])
     return Model(names, logistic(x, label_model(votes, y)))
 
 
@@ -223,6 +235,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """doc_id, score, one row per row of ``docs``."""
 
     def run(batches):
+        common.enter("toxicity")
         score = model.scorer()
         for batch in batches:
             for part in common.slices(batch, "text"):
@@ -235,6 +248,7 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", most: f
     """``docs`` whose score is below ``most``, all columns kept; nothing is shuffled."""
 
     def run(batches):
+        common.enter("toxicity")
         score = model.scorer()
         for batch in batches:
             yield batch.filter(pa.array([score(t or "") < most for t in batch.column(text_col).to_pylist()], pa.bool_()))
