@@ -570,6 +570,11 @@ def rank_shard(df, rank=3, world=8):
     return df.where(F.pmod("event_id", F.lit(world)) == rank).select("event_id")
 
 
+@on("region", "l15_worker_quota", "SELECT r_regionkey, 1003 // 5 + CASE WHEN r_regionkey < 1003 % 5 THEN 1 ELSE 0 END AS quota FROM region")
+def worker_quota(df, total=1003, workers=5):
+    return df.select("r_regionkey", F.expr(f"{total} div {workers} + case when r_regionkey < {total} % {workers} then 1 else 0 end").alias("quota"))
+
+
 @on("region", "l16_active_tasks", "SELECT r_name, r_regionkey AS weight FROM region WHERE r_regionkey > 0")
 def active_tasks(df):
     return df.where("r_regionkey > 0").select("r_name", F.col("r_regionkey").alias("weight"))
