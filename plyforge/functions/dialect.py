@@ -79,7 +79,10 @@ class Dialect:
         return f"(substr('abcdefgh', {s} % 8 + 1, 1) || cast({self.div(s, 8)} + 1 as string))"
 
     def where(self, pieces: str, var: str = "s") -> str:
-        """Squares that hold one of the letters, ascending."""
+        """Squares that hold one of the letters, ascending; those of pawns are columns of the decoded table."""
+        return {"P": "wp", "p": "bp"}.get(pieces) or self._where(pieces, var)
+
+    def _where(self, pieces: str, var: str = "s") -> str:
         return self.filter(self.seq(0, 64), var, f"instr('{pieces}', {self.at(var)}) > 0")
 
     def count(self, piece: str) -> str:
@@ -107,10 +110,11 @@ class Dialect:
         fields = self.split("fen", " ")
         part = lambda i: self.get("f", i)
         return f"""(
+ SELECT *, {self._where("P")} AS wp, {self._where("p")} AS bp FROM (
   SELECT *, {self.join(self.reverse(self.split(rows, '/')), '')} AS b FROM (
     SELECT *, {part(0)} AS placement, {part(1)} AS turn, coalesce({part(2)}, '-') AS castling, coalesce({part(3)}, '-') AS ep,
            cast(coalesce({part(4)}, '0') as int) AS halfmove, cast(coalesce({part(5)}, '1') as int) AS fullmove
-    FROM (SELECT *, {fields} AS f FROM {source})))"""
+    FROM (SELECT *, {fields} AS f FROM {source}))))"""
 
 
 SPARK, DUCK = Dialect(True), Dialect(False)
