@@ -185,6 +185,7 @@ def opened(path: str, pattern: str) -> Bpe:
 
 def run_encode(path: str, pattern: str, finish):
     def run(batches):
+        common.enter("bpe", _open.clear)
         bpe = opened(path, pattern)
         for batch in batches:
             for part in common.slices(batch, "text"):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -57,6 +58,23 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
         at = to
 
 
+_held: tuple[str, object] = ("", None)
+
+
+def enter(operator: str, drop=None) -> None:
+    """Called where a task begins: memory that another operator's tasks keep in this worker process is let go.
+
+    ``drop`` lets go of what tasks of ``operator`` keep from task to task, when the turn comes to another one.
+    """
+    global _held
+    if _held[0] != operator:
+        if _held[1] is not None:
+            _held[1]()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+        _held = (operator, drop)
+
+
 class WordHashes:
     """64-bit hashes of words (bytes), remembered for up to ``most`` words."""
 

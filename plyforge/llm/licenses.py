@@ -201,6 +201,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spa
     """The digest columns of each row; with ``spans`` also the covered spans (label, first and last word, cover)."""
 
     def run(batches):
+        common.enter("licenses")
         scanner = Scanner()
         for batch in batches:
             for part in common.slices(batch, "text"):

@@ -83,6 +83,7 @@ def pair_hashes(sigs: np.ndarray) -> np.ndarray:
 
 def _signed(n: int):
     def run(batches):
+        common.enter("minhash")
         words = common.WordHashes()
         for batch in batches:
             for part in common.slices(batch, "text"):
@@ -278,6 +279,7 @@ def _items(wanted, n: int):
     """Shingle sets of the documents that the filter lets through."""
 
     def run(batches):
+        common.enter("minhash")
         words = common.WordHashes()
         for batch in batches:
             hit = pa.array(wanted.value.hits(batch.column("doc_id").fill_null(-1).to_numpy()))
