@@ -18,9 +18,7 @@ with a recipe, nulls first; an empty table makes an empty store; other columns a
 from __future__ import annotations
 
 import hashlib
-import re
 from array import array
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,26 +36,20 @@ _STORE = "kind string, key long, address binary, payload binary, doc_id long, ui
 
 
 class _Known(dict):
-    """Ids of parts of texts, in two generations, so that frequent ones outlive a full table."""
+    """Ids of parts of texts, made where they are missed, in two generations, so that frequent ones outlive a full table."""
 
-    def __init__(self):
-        self.old = {}
+    def __init__(self, make):
+        self.old, self.make = {}, make
 
-    def learn(self, parts: set[str], encode) -> None:
-        """Take in parts that are not known, from the old generation or from ``encode``."""
+    def __missing__(self, part: str):
+        ids = self.old[part] if part in self.old else self.make(part)
+        self[part] = ids
+        return ids
+
+    def age(self):
         if len(self) > KNOWN:
             self.old = dict(self)
             self.clear()
-        parts = parts.difference(self)
-        old = self.old
-        for part in parts.intersection(old):
-            self[part] = old[part]
-        new = list(parts.difference(old))
-        self.update(zip(new, encode(new), strict=True))
-
-
-#: A blank beside another blank: there the pre-tokenizer may keep blanks together.
-_BESIDE = re.compile(r" \s|\s ").search
 
 
 def byte_letters() -> dict[int, str]:
@@ -73,7 +65,7 @@ class Stretches:
     Every byte-level pre-tokenizer of this family begins a new piece at a single space between two other characters, so the
     ids of a text are those of its stretches between such spaces in a row; a stretch is cut by the pre-tokenizer's pattern,
     and the library's model encodes each piece. Stretches and pieces are encoded once and remembered. Texts with blanks
-    beside blanks are one stretch.
+    beside blanks are cut by the pattern as they are.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -83,37 +75,50 @@ class Stretches:
         self.tokenize = self.tokenizer.model.tokenize
         self.split = regex.compile(pattern).findall
         self.letters = byte_letters()
-        #: Stretches without the space before them, and their ids with it; pieces.
-        self.known, self.pieces = _Known(), _Known()
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.type.itemsize == 2 else "I"
+        #: Stretches without the space before them, and their ids with it; pieces.
+        self.known, self.pieces = _Known(self._stretch), _Known(self._piece)
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        tokenize, code, letters = self.tokenize, self.code, self.letters
-        return [array(code, [t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes() for p in pieces]
+    def _piece(self, piece: str) -> bytes:
+        return array(self.code, [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
-    def _encode_stretches(self, stretches: list[str]) -> list[bytes]:
-        cut = [self.split(" " + s) for s in stretches]
-        self.pieces.learn(set(chain.from_iterable(cut)), self._encode_pieces)
-        get = self.pieces.__getitem__
-        return [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut]
+    def _stretch(self, stretch: str) -> bytes | None:
+        """None where the space before or after it has another blank beside it."""
+        if stretch.isalpha():
+            return self._piece(" " + stretch)
+        if not stretch or stretch[0].isspace() or stretch[-1].isspace():
+            return None
+        return b"".join(map(self.pieces.__getitem__, self.split(" " + stretch)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [[t] if _BESIDE(t) or t[:1].isspace() or t[-1:].isspace() else t.split(" ") for t in texts]
-        heads = [self.split(c.pop(0)) for c in cut]
-        self.known.learn(set(chain.from_iterable(cut)), self._encode_stretches)
-        self.pieces.learn(set(chain.from_iterable(heads)), self._encode_pieces)
-        known, pieces = self.known.__getitem__, self.pieces.__getitem__
-        return [b"".join(map(pieces, h)) + b"".join(map(known, c)) for h, c in zip(heads, cut, strict=True)]
+        self.known.age()
+        self.pieces.age()
+        known, pieces, out = self.known.__getitem__, self.pieces.__getitem__, []
+        for text in texts:
+            head, *rest = text.split(" ")
+            if not head[-1:].isspace():
+                try:
+                    out.append(b"".join(map(pieces, self.split(head))) + b"".join(map(known, rest)))
+                    continue
+                except TypeError:
+                    pass
+            out.append(b"".join(map(pieces, self.split(text))))
+        return out
+
+
+#: A random number for the low bits of an id, and the factors of a place in the window.
+_GEAR = (common.mixed(np.arange(1, (1 << 16) + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+_FACTORS = [np.uint32(pow(0x9E3779B1, k, 1 << 32)) for k in range(WINDOW)]
 
 
 def cuts(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
     """Of each document (ends[i] is where i ends in ``ids``), the ends of its chunks, relative to its start."""
-    values = common.mixed(ids.astype(np.uint64) + np.uint64(1))
-    rolled = np.zeros(len(ids), np.uint64)
+    values = _GEAR[ids & 0xFFFF]
+    rolled = np.zeros(len(ids), np.uint32)
     for back in range(min(WINDOW, len(ids))):
-        rolled[back:] += values[: len(values) - back] * (common.M1 ** np.uint64(back))
-    marks = np.flatnonzero(rolled >> np.uint64(64 - LOW_BITS) == 0) + 1
+        rolled[back:] += values[: len(values) - back] * _FACTORS[back]
+    marks = np.flatnonzero(rolled >> np.uint32(32 - LOW_BITS) == 0) + 1
     starts = np.concatenate([[0], ends[:-1]])
     # The window must lie within the document.
     lows, highs = np.searchsorted(marks, starts + WINDOW, "left"), np.searchsorted(marks, ends, "left")
