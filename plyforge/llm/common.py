@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,10 +48,18 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, whatever its case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
     """The batch in runs of rows whose ``column`` holds about ``most`` bytes at a time, one row at least."""
     values = batch.column(column)
-    ends = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, values.offset * 4) if len(values) else np.zeros(1, np.int32)
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(values).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
     at = 0
     while at < len(values):
         to = max(at + 1, int(np.searchsorted(ends, int(ends[at]) + most, "right")) - 1)

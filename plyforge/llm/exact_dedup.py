@@ -204,8 +204,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     (same id, same text) stay together.
     """
     made = decisions(docs, id_col, text_col)
-    gone = made.groupBy("doc_id").agg(F.max("kept").alias("any")).where("not any").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_gone")), "left_anti")
+    own = common.fresh("_gone", docs)
+    gone = made.groupBy("doc_id").agg(F.max("kept").alias("any")).where("not any").select(F.col("doc_id").alias(own))
+    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(own)), "left_anti")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

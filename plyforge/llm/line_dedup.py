@@ -121,8 +121,8 @@ def cleaned(text: str, starts: list[int], size: int = LINES) -> tuple[str, list[
     return "\n".join(kept + lines[at:]), gone, len(lines)
 
 
-def _with_starts(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with a column _starts; only rows that may have removals are shuffled."""
+def _with_starts(docs: DataFrame, size: int, id_col: str, text_col: str, starts: str) -> DataFrame:
+    """``docs`` with a column ``starts``; only rows that may have removals are shuffled."""
     spark = docs.sparkSession
     found = common.saved(removals(docs, size, id_col, text_col), "removals")
     wanted = spark.sparkContext.broadcast(common.KeyFilter.of(found, "doc"))
@@ -135,23 +135,24 @@ def _with_starts(docs: DataFrame, size: int, id_col: str, text_col: str) -> Data
 
         return run
 
-    maybe = docs.mapInArrow(chosen(True), docs.schema)
+    maybe, key = docs.mapInArrow(chosen(True), docs.schema), common.fresh("_doc", docs)
     doc = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
-    maybe = maybe.withColumn("_doc", doc).join(found.withColumnRenamed("doc", "_doc").withColumnRenamed("starts", "_starts"), "_doc", "left").drop("_doc")
-    return docs.mapInArrow(chosen(False), docs.schema).withColumn("_starts", F.lit(None).cast("array<int>")).unionByName(maybe)
+    maybe = maybe.withColumn(key, doc).join(found.select(F.col("doc").alias(key), F.col("starts").alias(starts)), key, "left").drop(key)
+    return docs.mapInArrow(chosen(False), docs.schema).withColumn(starts, F.lit(None).cast("array<int>")).unionByName(maybe)
 
 
 def without_repeats(docs: DataFrame, size: int = LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the texts that stay, all columns kept. Null texts stay null."""
+    starts = common.fresh("_starts", docs)
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            texts = [t if t is None or not s else cleaned(t, s, size)[0] for t, s in zip(batch.column(at).to_pylist(), batch.column("_starts").to_pylist(), strict=True)]
+            texts = [t if t is None or not s else cleaned(t, s, size)[0] for t, s in zip(batch.column(at).to_pylist(), batch.column(starts).to_pylist(), strict=True)]
             batch = batch.set_column(at, text_col, pa.array(texts, pa.string()))
-            yield batch.select([n for n in batch.schema.names if n != "_starts"])
+            yield batch.select([n for n in batch.schema.names if n != starts])
 
-    return _with_starts(docs, size, id_col, text_col).mapInArrow(run, docs.schema)
+    return _with_starts(docs, size, id_col, text_col, starts).mapInArrow(run, docs.schema)
 
 
 def digests(docs: DataFrame, size: int = LINES) -> DataFrame:
@@ -162,7 +163,7 @@ def digests(docs: DataFrame, size: int = LINES) -> DataFrame:
             made = [cleaned(t, s or [], size) for t, s in zip(batch.column("text").to_pylist(), batch.column("_starts").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([m[2] for m in made], pa.int64()), pa.array([sum(b - a + 1 for a, b in m[1]) for m in made], pa.int64()), pa.array([",".join(f"{a}-{b}" for a, b in m[1]) for m in made]), pa.array([hashlib.sha256(m[0].encode()).hexdigest() for m in made])], names=["doc_id", "n_lines", "n_removed", "removed", "text_sha256"])
 
-    return _with_starts(common.id_text(docs), size, "doc_id", "text").mapInArrow(run, "doc_id long, n_lines long, n_removed long, removed string, text_sha256 string")
+    return _with_starts(common.id_text(docs), size, "doc_id", "text", "_starts").mapInArrow(run, "doc_id long, n_lines long, n_removed long, removed string, text_sha256 string")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

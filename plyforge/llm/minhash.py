@@ -382,8 +382,9 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
 def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose group has a smaller doc_id, all columns kept. Rows with a null doc_id stay."""
     made = linked(docs, n, percent, id_col, text_col)
-    gone = made.groupBy("doc_id").agg(F.max("kept").alias("any")).where("not any").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    own = common.fresh("_gone", docs)
+    gone = made.groupBy("doc_id").agg(F.max("kept").alias("any")).where("not any").select(F.col("doc_id").alias(own))
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(own), "left_anti")
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

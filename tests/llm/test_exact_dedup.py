@@ -36,6 +36,6 @@ def test_decisions(spark):
 
 
 def test_drop_keeps_columns(spark):
-    docs = spark.createDataFrame([(1, "a", "q"), (2, "a", "r"), (3, "b", "s"), (None, "c", "t"), (7, None, "u"), (8, "", "v")], "doc_id long, text string, _gone2 string")
+    docs = spark.createDataFrame([(1, "a", "q"), (2, "a", "r"), (3, "b", "s"), (None, "c", "t"), (7, None, "u"), (8, "", "v")], "doc_id long, text string, _gone string")
     kept = e.drop_copies(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 2, 3, 8]

@@ -22,7 +22,7 @@ def test_matches_brute_force(spark):
     rng = random.Random(6)
     line = lambda: rng.choice(["the and", "of that", "", " ", "x", "same line", f"l{rng.randrange(40)}"])
     rows = [(k, "\n".join(line() for _ in range(rng.choice([0, 1, 2, 3, 12, 40])))) for k in range(150)] + [(200, None), (None, "a\nb\nc\nd"), (300, "a\nb\nc\nd\na\nb\nc")]
-    frame = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, starts string").repartition(4)
+    frame = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, _starts string").repartition(4)
     import hashlib
 
     expected = sorted((i or -1, n, hashlib.sha256(t.encode()).hexdigest()) for (i, _), (t, n) in zip(rows, brute(rows), strict=True))
