@@ -85,7 +85,7 @@ def sans(moves: Column) -> Column:
 SQL_LINES = LINE.replace("'", "''")
 scorer("r01_parse_lines", rf"array_to_string(list_transform(regexp_extract_all(text, '{SQL_LINES}', 1), lambda l: array_to_string(list_filter(list_transform(string_split(regexp_replace(l, '\([^)]*\)', '', 'g'), '→'), lambda m: trim(m)), lambda m: regexp_full_match(m, '(?:[NBRQK]?[a-h]?[1-8]?x?[a-h][1-8](?:=[QRBN])?|O-O(?:-O)?)[+#]?')), ' ')), '|') AS moves, array_to_string(list_transform(regexp_extract_all(text, '{SQL_LINES}', 2), lambda x: trim(x)), '|') AS labels",
        moves=lambda t, n: F.array_join(F.transform(lines(t)[0], lambda m: F.array_join(sans(m), " ")), "|"), labels=lambda t, n: F.array_join(lines(t)[1], "|"))
-scorer("r03_reward_format", rf"CASE WHEN regexp_matches(text, '{SQL_LINES}') THEN 1.0 ELSE -1.0 END AS reward", reward=lambda t, n: F.when(t.rlike(LINE), 1.0).otherwise(-1.0))
+scorer("r03_reward_format", rf"CASE WHEN regexp_matches(text, '{SQL_LINES}') THEN 1.0 ELSE -1.0 END::DOUBLE AS reward", reward=lambda t, n: F.when(t.rlike(LINE), 1.0).otherwise(-1.0))
 
 
 def reward_think(text: Column) -> Column:
