@@ -103,9 +103,9 @@ def by_step(df):
     return df.groupBy(F.expr("event_id div 100").alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
 
 
-@on("events", "s19_newest_first", "SELECT event_id, ts FROM events ORDER BY event_id DESC LIMIT 50")
+@on("events", "s19_newest_first", "SELECT event_id, ts FROM events ORDER BY event_id DESC")
 def newest(df):
-    return df.select("event_id", "ts").orderBy(F.desc("event_id")).limit(50)
+    return df.select("event_id", "ts").orderBy(F.desc("event_id"))
 
 
 @register("s20_benchmark_configs", "SELECT 'bench' AS config, item_id AS task_id FROM benchmark UNION ALL SELECT 'pages', page_id FROM pages")
@@ -173,9 +173,9 @@ def non_empty(df):
     return df.where("text <> '' and role <> ''").select("conv_id", "turn")
 
 
-@on("conversations", "f13_strip_think", r"SELECT conv_id, turn, regexp_replace('<think>' || role || '</think>' || left(text, 40), '(?s)<think>.*?</think>', '', 'g') AS text FROM conversations WHERE role = 'assistant'")
+@on("conversations", "f13_strip_think", r"SELECT conv_id, turn, regexp_replace('<think>' || role || '</think>' || text, '(?s)<think>.*?</think>', '', 'g') AS text FROM conversations WHERE role = 'assistant'")
 def strip_think(df):
-    wrapped = F.concat(F.lit("<think>"), "role", F.lit("</think>"), F.left("text", F.lit(40)))
+    wrapped = F.concat(F.lit("<think>"), "role", F.lit("</think>"), "text")
     return df.where("role = 'assistant'").select("conv_id", "turn", F.regexp_replace(wrapped, r"(?s)<think>.*?</think>", "").alias("text"))
 
 
@@ -326,14 +326,16 @@ def weighted_mean(df):
 
 
 @on("lineitem", "a11_group_jaccard", """
-WITH s AS (SELECT l_orderkey, l_linenumber, list_distinct([l_partkey % 7, l_suppkey % 7, l_partkey % 5]) AS t FROM lineitem WHERE l_orderkey % 10 = 0)
-SELECT a.l_orderkey, avg(len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t)))) AS jaccard FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber GROUP BY 1""")
+WITH s AS (SELECT l_orderkey, l_linenumber, list_distinct([l_partkey % 7, l_suppkey % 7, l_partkey % 5]) AS t FROM lineitem)
+SELECT a.l_orderkey, sum(round(1e9 * (len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t)))))::BIGINT)::DOUBLE / count(*) / 1e9 AS jaccard FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber GROUP BY 1""")
 def group_jaccard(df):
     """Mean pairwise Jaccard of the completions of a prompt; a prompt has a handful of them."""
-    sets = df.where("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", F.array_distinct(F.array(F.col("l_partkey") % 7, F.col("l_suppkey") % 7, F.col("l_partkey") % 5)).alias("t"))
+    sets = df.select("l_orderkey", "l_linenumber", F.array_distinct(F.array(F.col("l_partkey") % 7, F.col("l_suppkey") % 7, F.col("l_partkey") % 5)).alias("t"))
     other = sets.select("l_orderkey", F.col("l_linenumber").alias("n2"), F.col("t").alias("t2"))
     pairs = sets.join(other, "l_orderkey").where("l_linenumber < n2")
-    return pairs.groupBy("l_orderkey").agg(F.avg(F.size(F.array_intersect("t", "t2")) / F.size(F.array_union("t", "t2"))).alias("jaccard"))
+    # Summed in whole billionths, so that the order of the sum does not show.
+    part = F.round(F.lit(1e9) * (F.size(F.array_intersect("t", "t2")) / F.size(F.array_union("t", "t2")))).cast("long")
+    return pairs.groupBy("l_orderkey").agg((F.sum(part).cast("double") / F.count(F.lit(1)) / 1e9).alias("jaccard"))
 
 
 @on("lineitem", "a12_spread", "SELECT l_orderkey, CASE WHEN count(*) < 2 THEN 0 ELSE max(l_quantity) - min(l_quantity) END AS spread FROM lineitem GROUP BY 1")
@@ -364,17 +366,18 @@ def side_sums(df):
 
 
 @on("embeddings", "a17_top1_retrieval", """
-WITH e AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id < 60),
-s AS (SELECT a.vec_id, b.label = a.label AS same, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id) AS rn FROM e a JOIN e b ON a.vec_id <> b.vec_id)
+WITH e AS (SELECT vec_id, vec_id // 64 AS batch, label, embedding FROM embeddings),
+s AS (SELECT a.vec_id, b.label = a.label AS same, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id) AS rn FROM e a JOIN e b ON a.batch = b.batch AND a.vec_id <> b.vec_id)
 SELECT avg(CASE WHEN same THEN 1.0 ELSE 0.0 END) AS top1, count(*) AS n FROM s WHERE rn = 1""")
-def top1_retrieval(df, queries=60):
-    """Share of a stated query set whose nearest other vector of the set has the same label; the set is the block."""
-    block = df.where(F.col("vec_id") < queries).select("vec_id", "label", F.expr("transform(embedding, x -> cast(x as double))").alias("e"))
-    other = block.select(F.col("vec_id").alias("o"), F.col("label").alias("ol"), F.col("e").alias("oe"))
+def top1_retrieval(df, batch=64):
+    """Share of vectors whose nearest neighbour in their batch has the same label; a batch has ``batch`` vectors."""
+    rows = df.select("vec_id", F.expr(f"vec_id div {batch}").alias("batch"), "label", F.expr("transform(embedding, x -> cast(x as double))").alias("e"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = block.join(F.broadcast(other), F.col("vec_id") != F.col("o")).withColumn("cos", F.round(dot("e", "oe") / F.sqrt(dot("e", "e") * dot("oe", "oe")), 9))  # `queries` rows at most are broadcast
-    best = pairs.groupBy("vec_id", "label").agg(F.max_by("ol", F.struct("cos", -F.col("o"))).alias("ol"))
-    return best.agg(F.avg((F.col("label") == F.col("ol")).cast("double")).alias("top1"), F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("norm", F.sqrt(dot("e", "e")))
+    other = rows.select("batch", *(F.col(c).alias(f"o_{c}") for c in ("vec_id", "label", "e", "norm")))
+    pairs = rows.join(other, "batch").where("vec_id <> o_vec_id").withColumn("cos", F.round(dot("e", "o_e") / (F.col("norm") * F.col("o_norm")), 9))
+    best = pairs.groupBy("vec_id", "label").agg(F.max_by("o_label", F.struct("cos", -F.col("o_vec_id"))).alias("o_label"))
+    return best.agg(F.avg((F.col("label") == F.col("o_label")).cast("double")).alias("top1"), F.count(F.lit(1)).alias("n"))
 
 
 @on("conversations", "a18_masked_accuracy", "SELECT role, avg(CASE WHEN length(text) % 2 = turn % 2 THEN 1.0 ELSE 0.0 END) AS accuracy FROM conversations WHERE role <> 'system' GROUP BY role")
@@ -502,12 +505,10 @@ def adaptive_breadth(df):
 # -- order, samples, splits --
 
 
-@on("lineitem", "l01_curriculum_sort", "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_linenumber, l_quantity, l_extendedprice, l_orderkey) AS place FROM lineitem QUALIFY place <= 500")
-def curriculum_sort(df, first=500):
-    """The head of the curriculum: (moves, depth, rating), ties by key. A top-k, so no global sort of all rows."""
-    order = ("l_linenumber", "l_quantity", "l_extendedprice", "l_orderkey")
-    head = df.select("l_orderkey", *order[:3]).orderBy(*order).limit(first)
-    return head.select("l_orderkey", "l_linenumber", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).alias("place"))
+@on("lineitem", "l01_curriculum_sort", "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem ORDER BY l_linenumber, l_quantity, l_extendedprice, l_orderkey")
+def curriculum_sort(df):
+    """All rows by (moves, depth, rating), ties by key: a range-partitioned sort."""
+    return df.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice").orderBy("l_linenumber", "l_quantity", "l_extendedprice", "l_orderkey")
 
 
 @on("events", "l08_bernoulli_split", f"""
