@@ -12,7 +12,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): the least node reachable from each node that has an edge in ``edges`` (a, b: longs without nulls).
 
     Each round is written to the shared folder, so that lineage stays short. The minimum of a node's neighbours is taken
-    by partial aggregation, and edges meet it in a sort-merge join, which adaptive execution splits where a node is hot.
+    by partial aggregation and written as well: edges then meet it in a plain join of two tables, which adaptive execution
+    splits where a node is hot, or broadcasts where the minima are few.
     Rounds grow as the logarithm of the longest path; the result is checked for stillness, and an error is raised if
     ``most_rounds`` don't bring it.
     """
@@ -22,11 +23,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         # Large star: every larger neighbour of u points to the least of u and its neighbours.
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = common.saved(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = common.saved(large.where("u <> v").distinct(), "large-star")
         # Small star: of every u, the smaller neighbours and u itself point to the least of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = common.saved(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         after = common.saved(small.distinct(), "small-star")

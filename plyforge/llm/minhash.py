@@ -372,10 +372,12 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
     if not many.isEmpty():
         items = common.saved(items_of("blocks > 1"), "items")
         found = found.unionByName(_across_blocks(items, share, least).select("node", F.col("root").alias("found")))
-    classes = classes.select("digest", "rep").join(found.where("node <> found"), F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("found", "rep").alias("component"))
-    out = signed.drop("sig").join(classes, "digest", "left")
-    component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    moved = classes.select("digest", "rep").join(found.where("node <> found"), F.col("rep") == F.col("node"), "left")
+    # Written first: a plain join of two tables is one that adaptive execution can split where a class has very many copies.
+    moved = common.saved(moved.select("digest", F.coalesce("found", "rep").alias("component")), "class-components")
+    rows = signed.drop("sig")
+    linked_rows = rows.where("digest is not null").join(moved, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+    out = linked_rows.unionByName(rows.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
