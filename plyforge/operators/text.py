@@ -62,6 +62,7 @@ def think(text: Column) -> Column:
 
 
 SQL_THINK = r"trim(CASE WHEN contains(text, '<think>') THEN regexp_extract(text, '(?s)<think>(.*?)</think>', 1) ELSE regexp_extract(text, '(?s)^(.*?)</think>', 1) END, E' \n\t')"
+#: What counts as a move in free text, and the form of a printed line (fixed values).
 MOVES = r"\b(?:[NBRQK][a-h1-8x+#=]?\w*|[a-h][1-8x]\w*|O-O(?:-O)?)\b"
 
 
@@ -144,6 +145,7 @@ def comment(text: Column) -> Column:
 SQL_COMMENT = r"trim(CASE WHEN contains(text, '<comment>') THEN regexp_extract(text, '(?s)<comment>(.*?)</comment>', 1) WHEN contains(text, '</line>') THEN regexp_replace(string_split(text, '</line>')[-1], '</?think>', '', 'g') ELSE '' END, E' \n\t')"
 #: Concepts that a coaching comment may name (fixed values).
 CONCEPTS = ("fork", "pin", "skewer", "sacrifice", "outpost", "centre", "center", "space", "development", "king safety", "pawn structure", "passed pawn", "open file", "diagonal", "bishop pair", "initiative", "tempo", "weakness", "pressure", "attack", "material", "exchange", "endgame", "opening", "castling", "check")
+#: Words that give a reason (fixed values).
 CAUSAL = r"\b(because|since|so that|which means|allowing|preventing|in order to|enabling|leads to)\b"
 scorer("r09_comment", f"{SQL_COMMENT} AS comment", comment=lambda t, n: comment(t))
 
@@ -177,6 +179,7 @@ scorer("r13_combined_reward", f"0.10 * {SQL_FORMAT} + 0.15 * {SQL_TONE} + CASE W
        reward=lambda t, n: combined({"format": F.when(t.rlike(LINE), 1.0).otherwise(-1.0), "tone": tone(t)}, {"format": 0.10, "tone": 0.15}, F.when(F.col("turn") % 2 == 1, -1.0).otherwise(1.0)))
 scorer("r14_training_reward", f"0.10 * {SQL_FORMAT} + 0.20 * {SQL_TONE} AS reward", reward=lambda t, n: combined({"format": F.when(t.rlike(LINE), 1.0).otherwise(-1.0), "tone": tone(t)}, {"format": 0.10, "tone": 0.20}))
 
+#: The form of an answer (fixed value).
 MOVE_JSON = r'\{[^}]*"move"\s*:\s*"([^"]{1,10})"[^}]*\}'
 
 
@@ -227,6 +230,7 @@ _SQL_SUM = " + ".join(f"coalesce({JUDGE[k][0]} * greatest(0.0, least(1.0, ({v} -
 _SQL_WEIGHT = " + ".join(f"CASE WHEN {v} IS NULL THEN 0.0 ELSE {JUDGE[k][0]} END" for k, v in SQL_JUDGE.items())
 scorer("r21_judge_combined", f"CASE WHEN {_SQL_WEIGHT} = 0 THEN 0.0 ELSE ({_SQL_SUM}) / ({_SQL_WEIGHT}) END::DOUBLE AS score, 2 * CASE WHEN {_SQL_WEIGHT} = 0 THEN 0.0 ELSE ({_SQL_SUM}) / ({_SQL_WEIGHT}) END::DOUBLE - 1 AS reward", score=lambda t, n: judge_combined(t), reward=lambda t, n: 2 * judge_combined(t) - 1)
 
+#: Classes from best to worst, the words that name them, and words of blame and praise (fixed values).
 CLASSES = ("Best", "Great", "Good", "Inaccuracy", "Mistake", "Blunder")
 _CLASS_WORDS = (("Blunder", r"\bblunder\b"), ("Mistake", r"\bmistake\b"), ("Inaccuracy", r"\binaccuracy\b"), ("Good", r"\bgood\b"), ("Great", r"\b(?:great|excellent|strong)\b"), ("Best", r"\b(?:best|optimal|perfect)\b"))
 _BAD, _FINE = ("bad", "poor", "weak", "terrible", "awful", "wrong"), ("good", "nice", "solid", "fine", "reasonable", "decent")
