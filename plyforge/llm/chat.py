@@ -9,7 +9,7 @@ a backslash is doubled, and a control string gets a backslash after its first ch
 ``\\x`` for ``x`` gives the text back.
 
 Long conversations come in parts of about PART_BYTES; rows stream in order of (conversation, turn), so no conversation is
-held whole. Handling of odd input: a null role or text counts as empty; rows that repeat a turn stay, ordered by role and
+held whole, however long. One conversation is one text, and its digest a hash in order, so its rows pass through one task. Handling of odd input: a null role or text counts as empty; rows that repeat a turn stay, ordered by role and
 text; a null conv_id is a conversation of its own; null turns come first; empty tables give empty results; other columns
 are ignored.
 """
