@@ -520,13 +520,14 @@ def bernoulli_split(df, target=300):
     return df.select("event_id").join(F.broadcast(n)).select("event_id", (bucket(F.col("event_id"), "bern", 1_000_000) < 1_000_000 * share).alias("is_eval"))  # one row
 
 
-def _ranked(df, key, salt, out="rn", by=None):
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(bucket(F.col(key), salt, 1 << 30), key)))
+def _ranked(df, key, salt, by):
+    return df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(bucket(F.col(key), salt, 1 << 30), key)))
 
 
-@on("supplier", "l07_shuffle", f"SELECT s_suppkey, row_number() OVER (ORDER BY {sql_bucket('s_suppkey', 'shuf', 1 << 30)}, s_suppkey) AS place FROM supplier")
+@on("supplier", "l07_shuffle", f"SELECT s_suppkey, {sql_bucket('s_suppkey', 'shuf', 1 << 30)} AS draw FROM supplier ORDER BY draw, s_suppkey")
 def shuffled(df):
-    return _ranked(df.select("s_suppkey"), "s_suppkey", "shuf", "place")
+    """All rows in the order of a hash of their key: a range-partitioned sort, no row numbers."""
+    return df.select("s_suppkey", bucket(F.col("s_suppkey"), "shuf", 1 << 30).alias("draw")).orderBy("draw", "s_suppkey")
 
 
 @on("documents", "l09_head_split", f"SELECT lang, doc_id, rn <= greatest(1, cast(floor(n * 0.1) AS INTEGER)) AS is_eval FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY {sql_bucket('doc_id', 'head', 1 << 30)}, doc_id) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM documents)")
@@ -537,7 +538,9 @@ def head_split(df, share=0.1):
 
 @on("benchmark", "l10_fixed_eval", f"SELECT item_id, rn <= 10 AS is_eval FROM (SELECT item_id, row_number() OVER (ORDER BY {sql_bucket('item_id', 'fix', 1 << 30)}, item_id) AS rn FROM benchmark)")
 def fixed_eval(df, n=10):
-    return _ranked(df.select("item_id"), "item_id", "fix").select("item_id", (F.col("rn") <= n).alias("is_eval"))
+    """The first ``n`` by hash are the eval set; a top-n of n rows, which the rest is compared with."""
+    top = df.select("item_id").orderBy(bucket(F.col("item_id"), "fix", 1 << 30), "item_id").limit(n).withColumn("is_eval", F.lit(True))
+    return df.select("item_id").join(F.broadcast(top), "item_id", "left").select("item_id", F.coalesce("is_eval", F.lit(False)).alias("is_eval"))
 
 
 @on("documents", "l11_stratified_eval", f"""
