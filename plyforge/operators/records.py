@@ -7,10 +7,13 @@ and predicted classes, ``conversations`` are chats. All randomness is a hash of
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plyforge.plans.registry import register
+from plyforge.streaming.logs import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -520,8 +523,28 @@ def bernoulli_split(df, target=300):
     return df.select("event_id").join(F.broadcast(n)).select("event_id", (bucket(F.col("event_id"), "bern", 1_000_000) < 1_000_000 * share).alias("is_eval"))  # one row
 
 
-def _ranked(df, key, salt, by):
-    return df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(bucket(F.col(key), salt, 1 << 30), key)))
+def ranked(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``df`` with rn, the row number within the group, and n, the group's size, for groups of any size.
+
+    Rows are dealt by range and written, so that each part knows its own; a part's row numbers start after the rows of the
+    same group in the parts before it. No group meets in one task; the counts have a row per part and group.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    dealt = df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
+    dealt.write.parquet(path)
+    rows = spark.read.schema(dealt.schema).parquet(path)
+    counts = rows.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_part").alias("_at"), before.alias("_before"), F.sum("_n").over(group).alias("n"))
+    local = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)))
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by), F.col("_part") == F.col("_at"))
+    return local.join(offsets, same).select(*df.columns, (F.col("_rn") + F.col("_before")).alias("rn"), "n")
+
+
+def by_draw(df: DataFrame, key: str, salt: str, by: list[str]) -> DataFrame:
+    """``ranked`` in the order of a hash of the key."""
+    return ranked(df.withColumn("draw", bucket(F.col(key), salt, 1 << 30)), by, ["draw", key])
 
 
 @on("supplier", "l07_shuffle", f"SELECT s_suppkey, {sql_bucket('s_suppkey', 'shuf', 1 << 30)} AS draw FROM supplier ORDER BY draw, s_suppkey")
@@ -532,7 +555,7 @@ def shuffled(df):
 
 @on("documents", "l09_head_split", f"SELECT lang, doc_id, rn <= greatest(1, cast(floor(n * 0.1) AS INTEGER)) AS is_eval FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY {sql_bucket('doc_id', 'head', 1 << 30)}, doc_id) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM documents)")
 def head_split(df, share=0.1):
-    rows = _ranked(df.select("lang", "doc_id"), "doc_id", "head", by=["lang"]).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("lang")))
+    rows = by_draw(df.select("lang", "doc_id"), "doc_id", "head", ["lang"])
     return rows.select("lang", "doc_id", (F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("n") * share))).alias("is_eval"))
 
 
@@ -547,11 +570,10 @@ def fixed_eval(df, n=10):
 WITH r AS (SELECT doc_id, lang, count(*) OVER (PARTITION BY lang) AS nb, count(*) OVER () AS n, row_number() OVER (PARTITION BY lang ORDER BY {sql_bucket('doc_id', 'strat', 1 << 30)}, doc_id) AS rn FROM documents)
 SELECT doc_id, lang FROM r WHERE rn <= greatest(1, round_even(100.0 * nb / n, 0))""")
 def stratified_eval(df, size=100):
-    rows = _ranked(df.select("doc_id", "lang"), "doc_id", "strat", by=["lang"])
-    strata = df.groupBy("lang").agg(F.count(F.lit(1)).alias("nb"))
-    total = df.agg(F.count(F.lit(1)).alias("n"))
-    quota = strata.join(F.broadcast(total)).select("lang", F.greatest(F.lit(1), F.bround(float(size) * F.col("nb") / F.col("n"), 0)).alias("q"))  # one row
-    return rows.join(quota, "lang").where("rn <= q").select("doc_id", "lang")
+    rows = by_draw(df.select("doc_id", "lang"), "doc_id", "strat", ["lang"])
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    quota = F.greatest(F.lit(1), F.bround(float(size) * F.col("n") / F.col("total"), 0))
+    return rows.join(F.broadcast(total)).where(F.col("rn") <= quota).select("doc_id", "lang")  # one row
 
 
 @on("labels", "l12_none_trimming", f"""
@@ -559,14 +581,16 @@ WITH r AS (SELECT doc_id, quality, toxic, count(*) FILTER (toxic = 1) OVER (PART
 SELECT doc_id, quality, toxic FROM r WHERE toxic = 1 OR rn <= cast(floor(pos * 0.3 / 0.7) AS INTEGER)""")
 def none_trimming(df):
     """All positives of a task, and at most 3 negatives for 7 of them."""
-    rows = _ranked(df, "doc_id", "none", by=["quality", "toxic"]).withColumn("pos", F.count(F.when(F.col("toxic") == 1, 1)).over(Window.partitionBy("quality")))
-    return rows.where((F.col("toxic") == 1) | (F.col("rn") <= F.floor(F.col("pos") * 0.3 / 0.7))).select("doc_id", "quality", "toxic")
+    rows = by_draw(df, "doc_id", "none", ["quality", "toxic"])
+    positives = df.where("toxic = 1").groupBy(F.col("quality").alias("of")).agg(F.count(F.lit(1)).alias("pos"))
+    rows = rows.join(positives, F.col("quality").eqNullSafe(F.col("of")), "left")
+    return rows.where((F.col("toxic") == 1) | (F.col("rn") <= F.floor(F.coalesce("pos", F.lit(0)) * 0.3 / 0.7))).select("doc_id", "quality", "toxic")
 
 
 @on("documents", "l13_stride_sample", "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS rn, count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE rn % greatest(1, n // 8) = 0 AND rn // greatest(1, n // 8) < 8")
 def stride_sample(df, k=8):
-    rows = df.select("lang", "doc_id", (F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1).alias("rn"), F.count(F.lit(1)).over(Window.partitionBy("lang")).alias("n"))
-    return rows.where(F.expr(f"rn % greatest(1, n div {k}) = 0 and rn div greatest(1, n div {k}) < {k}")).select("lang", "doc_id")
+    rows = ranked(df.select("lang", "doc_id"), ["lang"], ["doc_id"])
+    return rows.where(F.expr(f"(rn - 1) % greatest(1, n div {k}) = 0 and (rn - 1) div greatest(1, n div {k}) < {k}")).select("lang", "doc_id")
 
 
 @on("events", "l14_rank_shard", "SELECT event_id FROM events WHERE event_id % 8 = 3")
