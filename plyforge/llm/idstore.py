@@ -156,9 +156,13 @@ def _key(address_: bytes) -> int:
 _opened: dict[tuple[str, str], Stretches] = {}
 
 
+def _forget() -> None:
+    _opened.clear()
+
+
 def _cut_up(path: str, pattern: str, end_id: int):
+    @common.task("idstore", _forget)
     def run(batches):
-        common.enter("idstore", _opened.clear)
         # One per worker process: stretches stay known from task to task.
         if (path, pattern) not in _opened:
             _opened[path, pattern] = Stretches(path, pattern)
@@ -211,7 +215,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int
     spark = docs.sparkSession
     texts = common.id_text(docs, id_col, text_col)
     made = texts.mapInArrow(_cut_up(tokenizer, pattern, end_id), _STORE)
-    made.repartition("key").mapInArrow(_once, _STORE).drop("key").write.partitionBy("kind").parquet(f"{path}/store")
+    made.repartition("key").mapInArrow(_once, _STORE).drop("key").write.partitionBy("kind").option("parquet.enable.dictionary", "false").parquet(f"{path}/store")
 
     recipes = _store(spark, path).where("kind = 'recipe'").select("doc_id", "uid", "n_tokens", "recipe", "sizes", "root")
     ordered = recipes.repartitionByRange("doc_id", "uid").sortWithinPartitions("doc_id", "uid").withColumn("part", F.spark_partition_id())
