@@ -176,6 +176,10 @@ class Bpe:
 _open: dict[tuple[str, str], Bpe] = {}
 
 
+def _forget() -> None:
+    _open.clear()
+
+
 def opened(path: str, pattern: str) -> Bpe:
     """One per worker process and vocabulary: pieces stay known from task to task."""
     if (path, pattern) not in _open:
@@ -184,8 +188,8 @@ def opened(path: str, pattern: str) -> Bpe:
 
 
 def run_encode(path: str, pattern: str, finish):
+    @common.task("bpe", _forget)
     def run(batches):
-        common.enter("bpe", _open.clear)
         bpe = opened(path, pattern)
         for batch in batches:
             for part in common.slices(batch, "text"):

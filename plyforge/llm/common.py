@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -68,20 +70,46 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
 
 
 _held: tuple[str, object] = ("", None)
+_libc = ctypes.CDLL(None)
+#: mallopt's number for the size from which an allocation is a mapping of its own, which goes back when it is freed.
+_MMAP_THRESHOLD, _OWN_MAPPING = -3, 1 << 20
 
 
-def enter(operator: str, drop=None) -> None:
-    """Called where a task begins: memory that another operator's tasks keep in this worker process is let go.
+def release() -> None:
+    """Give back what the allocators of this process hold free: workers live on between tasks, and idle ones shall be small."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.mallopt(_MMAP_THRESHOLD, _OWN_MAPPING)
+        _libc.malloc_trim(0)
 
-    ``drop`` lets go of what tasks of ``operator`` keep from task to task, when the turn comes to another one.
+
+def task(operator: str, drop=None):
+    """Decorates a function over batches. When a task of another operator begins in the worker process, what this one keeps
+    from task to task is let go by ``drop``; free memory goes back before and after each task.
     """
+
+    def wrap(run):
+        @wraps(run)
+        def inner(batches):
+            _enter(operator, drop)
+            try:
+                yield from run(batches)
+            finally:
+                release()
+
+        return inner
+
+    return wrap
+
+
+def _enter(operator: str, drop) -> None:
     global _held
     if _held[0] != operator:
         if _held[1] is not None:
             _held[1]()
             gc.collect()
-            pa.default_memory_pool().release_unused()
         _held = (operator, drop)
+    release()
 
 
 class WordHashes:

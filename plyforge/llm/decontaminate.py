@@ -143,8 +143,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for block in item_blocks(benchmark, most):
         index = spark.sparkContext.broadcast(Items(block, shingle, least))
 
+        @common.task("decontaminate")
         def run(batches, index=index):
-            common.enter("decontaminate")
             items, hashes = index.value, common.WordHashes()
             for batch in batches:
                 for part in common.slices(batch, "text"):
@@ -163,8 +163,8 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
     for block in item_blocks(benchmark, most):
         index = spark.sparkContext.broadcast(Items(block, shingle, least))
 
+        @common.task("decontaminate")
         def run(batches, index=index):
-            common.enter("decontaminate")
             items, hashes = index.value, common.WordHashes()
             for batch in batches:
                 yield batch.filter(pa.array([not items.matches(hashes(words_of(t or ""))) for t in batch.column(text_col).to_pylist()], pa.bool_()))

@@ -72,8 +72,8 @@ def texts_of(column: pa.Array) -> list[bytes]:
 
 
 def _blocks(owners: int, block_rows: int):
+    @common.task("exact_dedup")
     def run(batches):
-        common.enter("exact_dedup")
         task, made = TaskContext.get().partitionId(), 0
         ids, fps, shas = [], [], []
 

@@ -200,8 +200,8 @@ _ROWS = "doc_id long, n_words long, n_base long, first_word long, last_word long
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
     """The digest columns of each row; with ``spans`` also the covered spans (label, first and last word, cover)."""
 
+    @common.task("licenses")
     def run(batches):
-        common.enter("licenses")
         scanner = Scanner()
         for batch in batches:
             for part in common.slices(batch, "text"):

@@ -49,8 +49,8 @@ def windows(text: str, size: int = LINES) -> np.ndarray:
 
 
 def _counted(size: int):
+    @common.task("line_dedup")
     def run(batches):
-        common.enter("line_dedup")
         for batch in batches:
             for part in common.slices(batch, "text"):
                 ids = part.column("doc_id").fill_null(NO_ID).to_numpy()

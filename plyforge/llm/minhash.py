@@ -82,8 +82,8 @@ def pair_hashes(sigs: np.ndarray) -> np.ndarray:
 
 
 def _signed(n: int):
+    @common.task("minhash")
     def run(batches):
-        common.enter("minhash")
         words = common.WordHashes()
         for batch in batches:
             for part in common.slices(batch, "text"):
@@ -98,6 +98,7 @@ def _signed(n: int):
     return run
 
 
+@common.task("minhash")
 def _cells(batches):
     """Partial counts of the table's cells."""
     table = np.zeros(1 << COUNT_BITS, np.int64)
@@ -132,6 +133,7 @@ def pair_counts(sigs: DataFrame) -> np.ndarray:
 def _posted(counts, prefix: int, shared=None):
     """Postings of the prefix, rarest first; with ``shared``, only those it knows, each with the class's sketch."""
 
+    @common.task("minhash")
     def run(batches):
         for batch in batches:
             for part in common.slices(batch, "sig"):
@@ -169,6 +171,7 @@ def _tied(least: int):
                 forest.join(x, y)
         return [(int(reps[x]), int(reps[root])) for x in range(len(reps)) if (root := forest.root(x)) != x]
 
+    @common.task("minhash")
     def run(batches):
         held: list[pa.RecordBatch] = []
         for batch in _and_none(batches):
@@ -278,8 +281,8 @@ def _confirm_block(share, least, single):
 def _items(wanted, n: int):
     """Shingle sets of the documents that the filter lets through."""
 
+    @common.task("minhash")
     def run(batches):
-        common.enter("minhash")
         words = common.WordHashes()
         for batch in batches:
             hit = pa.array(wanted.value.hits(batch.column("doc_id").fill_null(-1).to_numpy()))

@@ -93,9 +93,9 @@ def sampled_labels(labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
     return found.where(training_fold()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+@common.task("toxicity")
 def _mined(batches):
     """Rows of each class that have a word or prefix, summed within the task as far as memory allows."""
-    common.enter("toxicity")
     counts: dict[str, list[int]] = {}
 
     def flush():
@@ -125,8 +125,8 @@ def mined_voters(rows: DataFrame, n_bad: int, n_good: int) -> list[str]:
 
 
 def _votes(names: list[str]):
+    @common.task("toxicity")
     def run(batches):
-        common.enter("toxicity")
         voters = Voters(names)
         for batch in batches:
             for part in common.slices(batch, "text"):
@@ -234,8 +234,8 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, one row per row of ``docs``."""
 
+    @common.task("toxicity")
     def run(batches):
-        common.enter("toxicity")
         score = model.scorer()
         for batch in batches:
             for part in common.slices(batch, "text"):
@@ -247,8 +247,8 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", most: float = 0.5) -> DataFrame:
     """``docs`` whose score is below ``most``, all columns kept; nothing is shuffled."""
 
+    @common.task("toxicity")
     def run(batches):
-        common.enter("toxicity")
         score = model.scorer()
         for batch in batches:
             yield batch.filter(pa.array([score(t or "") < most for t in batch.column(text_col).to_pylist()], pa.bool_()))
