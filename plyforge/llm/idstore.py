@@ -65,7 +65,8 @@ class Stretches:
     Every byte-level pre-tokenizer of this family begins a new piece at a single space between two other characters, so the
     ids of a text are those of its stretches between such spaces in a row; a stretch is cut by the pre-tokenizer's pattern,
     and the library's model encodes each piece. Stretches and pieces are encoded once and remembered. Texts with blanks
-    beside blanks are cut by the pattern as they are.
+    beside blanks are cut by the pattern as they are. Texts that contain an added token of the tokenizer go to the library
+    whole, which finds it before anything is cut.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -75,6 +76,7 @@ class Stretches:
         self.tokenize = self.tokenizer.model.tokenize
         self.split = regex.compile(pattern).findall
         self.letters = byte_letters()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.type.itemsize == 2 else "I"
         #: Stretches without the space before them, and their ids with it; pieces.
@@ -96,6 +98,9 @@ class Stretches:
         self.pieces.age()
         known, pieces, out = self.known.__getitem__, self.pieces.__getitem__, []
         for text in texts:
+            if any(token in text for token in self.added):
+                out.append(array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
+                continue
             head, *rest = text.split(" ")
             if not head[-1:].isspace():
                 try:

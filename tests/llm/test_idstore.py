@@ -18,6 +18,21 @@ def test_stretches_as_whole_texts():
         assert [np.frombuffer(b, own.type).tolist() for b in own(ODD)] == [model.encode(t, add_special_tokens=False).ids for t in ODD]
 
 
+def test_added_tokens_as_the_library_has_them(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b\n", "a <|endoftext| > b", "<|ENDOFTEXT|> x", "é <|endoftext|>\n é"]
+    model = Tokenizer.from_file(PATH)
+    expected = [model.encode(t, add_special_tokens=False).ids for t in texts]
+    own = idstore.Stretches(PATH, public_tokenizers.PATTERN)
+    assert expected[0] == [64, 220, 50256, 275]
+    assert [np.frombuffer(b, own.type).tolist() for b in own(texts)] == expected
+    path = common.new_path(spark, "t")
+    idstore.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, PATH, public_tokenizers.PATTERN)
+    at = 0
+    for r, ids in zip(sorted(idstore.verified(spark, path).collect()), expected, strict=True):
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes()))
+        at += len(ids) + 1
+
+
 def test_cuts_follow_content():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 50_000, 20_000).astype(np.uint16)
