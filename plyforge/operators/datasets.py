@@ -190,6 +190,28 @@ def diagram_contexts(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.lag(short).over(w), F.lit("")).alias("text_before"), F.coalesce(F.lead(short).over(w), F.lit("")).alias("text_after"))
 
 
+#: Characters from which a context takes no further line (fixed value).
+CONTEXT = 1500
+_LINES_SQL = "SELECT conv_id, s, i, l, sum(length(l) + 1) OVER (PARTITION BY conv_id ORDER BY s, i) AS line_end FROM (SELECT conv_id, s, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (SELECT conv_id, s, string_split(text, chr(10)) AS ls FROM turns))"
+_CONTEXT_SQL = "coalesce((SELECT regexp_replace(regexp_replace(string_agg(l, chr(10) ORDER BY line_end), '^\\s+', ''), '\\s+$', '') FROM lines WHERE lines.conv_id = turns.conv_id AND {0}), '')"
+
+
+@register("x05_diagram_context_lines", f"WITH turns AS (SELECT *, e - length(text) - 1 AS s FROM (SELECT *, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn, text) AS e FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations))), lines AS ({_LINES_SQL}) SELECT conv_id, turn, {_CONTEXT_SQL.format(f'line_end <= turns.s AND turns.s - line_end < {CONTEXT}')} AS text_before, {_CONTEXT_SQL.format(f'line_end - length(l) - 1 >= turns.e AND line_end - length(l) - 1 - turns.e < {CONTEXT}')} AS text_after FROM turns")
+def diagram_context_lines(spark, sf_dir):
+    """Each diagram with the whole lines before and after it, nearest first, until they hold CONTEXT characters or more."""
+    by, size = Window.partitionBy("conv_id"), lambda c: F.length(c).cast("long") + 1
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    turns = turns.withColumn("end", F.sum(size("text")).over(by.orderBy("turn", "text").rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - size("text"))
+    lines = turns.select("conv_id", "start", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    lines = lines.withColumn("line_end", F.sum(size("line")).over(by.orderBy("start", "pos").rowsBetween(Window.unboundedPreceding, 0)))
+    # A line stands where it ends for what comes after it, and where it begins for what comes before; a diagram the other way round.
+    both = turns.select("conv_id", "turn", F.lit(True).alias("diagram"), F.lit(None).cast("string").alias("line"), F.col("start").alias("back"), F.col("end").alias("on"))
+    both = both.unionByName(lines.select("conv_id", F.lit(None).cast("long").alias("turn"), F.lit(False).alias("diagram"), "line", F.col("line_end").alias("back"), (F.col("line_end") - size("line")).alias("on")))
+    near = lambda c, a, b: stripped(F.array_join(F.collect_list("line").over(by.orderBy(c).rangeBetween(a, b)), "\n"))
+    found = both.select("conv_id", "turn", "diagram", near("back", 1 - CONTEXT, 0).alias("text_before"), near("on", 0, CONTEXT - 1).alias("text_after"))
+    return found.where("diagram").drop("diagram")
+
+
 # -- engine records --
 
 _KEYS = ["pos_id", "multipv", "l_partkey", "l_suppkey"]
