@@ -153,6 +153,20 @@ def batch_health(df):
 scorer("x07_sections", None, sections=lambda t, n: F.split(F.concat(F.lit("intro\n## A\n"), t, F.lit("\n### B\nend")), r"\n(?=#{2,3} )"))
 scorer("x10_sentinel_injection", "regexp_replace(text, '(LINE [0-9]+: )', '\\1<|board|>', 'g') AS prompt", prompt=lambda t, n: F.regexp_replace(t, "(LINE [0-9]+: )", "$1<|board|>"))
 scorer("x13_reply_labels", "list_transform(range(0, 24), lambda i: CASE WHEN i >= length(left(text, 12)) THEN i ELSE -100 END) AS labels", labels=lambda t, n: F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.when(i >= F.length(F.left(t, F.lit(12))), i).otherwise(-100)))
+
+
+@register("x13_reply_labels_whole", "SELECT conv_id, turn, list_transform(range(0, length(head) + length(text) + 11), lambda i: CASE WHEN role = 'assistant' AND i >= length(head) AND i < length(head) + length(text) + 10 THEN i ELSE -100 END) AS labels FROM (SELECT conv_id, turn, role, '<|im_start|>' || coalesce(role, '') || chr(10) AS head, coalesce(text, '') AS text FROM conversations)")
+def reply_labels_whole(spark, sf_dir):
+    """Of every turn as the chat template writes it, a label a position: places of a reply with its end mark, -100 elsewhere."""
+    rows = table(spark, sf_dir, "conversations").withColumn("role", F.coalesce("role", F.lit("")))
+    begin = F.length(F.concat(F.lit("<|im_start|>"), "role", F.lit("\n")))
+    end = begin + F.length(F.concat(F.coalesce("text", F.lit("")), F.lit("<|im_end|>")))
+    # A line break follows the end mark.
+    none = lambda n: F.array_repeat(F.lit(-100), n)
+    labels = F.when(F.col("role") == "assistant", F.concat(none(begin), F.sequence(begin, end - 1), none(1))).otherwise(none(end + 1))
+    return rows.select("conv_id", "turn", labels.alias("labels"))
+
+
 scorer("x18_benchmark_prompt", "replace(replace('Q: {question} Examples: {examples}', '{question}', text), '{examples}', 'a; b; c') AS prompt", prompt=lambda t, n: F.replace(F.replace(F.lit("Q: {question} Examples: {examples}"), F.lit("{question}"), t), F.lit("{examples}"), F.array_join(F.slice(F.array(*map(F.lit, "abcd")), 1, 3), "; ")))
 feature("x14_coaching_prompt", prompt=lambda d: f"'Position: ' || fen || ' Side: ' || CASE WHEN turn = 'w' THEN 'white' ELSE 'black' END || ' Castling: ' || {or_none(d, rights(d, 5, ', '))} || ' Square: ' || {full_name_at(d, square('sq')(d))}")
 

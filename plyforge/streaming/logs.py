@@ -98,17 +98,22 @@ def split_chunks(chunks: list[str], thinking: bool, held: str) -> tuple[list[tup
 def _split(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     thinking, held = state.get if state.exists else (False, "")
     rows = pd.concat(list(frames)).sort_values("turn")
-    out, thinking, held = split_chunks(rows["chunk"].tolist(), thinking, held)
+    out, thinking, held = split_chunks([c for chunks in rows["chunks"] for c in chunks], thinking, held)
     state.update((thinking, held))
     yield pd.DataFrame({"conv_id": [key[0]] * len(out), "kind": [k for k, _ in out], "text": [t for _, t in out]})
 
 
 @register("t04_think_splitter")
 def think_splitter(spark, sf_dir):
-    """Chunks of a reply, tags cut anywhere, to think and token events; the state of a conversation is a flag and a few letters."""
+    """Chunks of a reply, tags cut anywhere, to think and token events; the state of a conversation is a flag and a few letters.
+
+    Every turn is a reply: the first half of its text is thought, the second said.
+    """
     said = stream(spark, sf_dir, "conversations", TURNS)
-    pieces = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("<thi"), F.left("text", F.lit(9)))).when(F.col("turn") % 3 == 1, F.concat(F.lit("nk>why</th"), F.lit(""))).otherwise(F.lit("ink>answer <think>more</think>"))
-    chunks = said.select("conv_id", "turn", pieces.alias("chunk"))
+    text, half = F.coalesce("text", F.lit("")), F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
+    reply = F.concat(F.lit(OPEN), F.substring(text, F.lit(1), half), F.lit(CLOSE), F.substring(text, half + 1, F.length(text)))
+    rows = said.select("conv_id", "turn", reply.alias("reply"), (5 + F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(60))).cast("int").alias("size"))
+    chunks = rows.select("conv_id", "turn", F.transform(F.sequence(F.lit(1), F.length("reply"), F.col("size")), lambda i: F.substring("reply", i, F.col("size"))).alias("chunks"))
     return appended(chunks.groupBy("conv_id").applyInPandasWithState(_split, "conv_id long, kind string, text string", "thinking boolean, held string", "append", GroupStateTimeout.NoTimeout))
 
 
