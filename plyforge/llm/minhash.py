@@ -6,9 +6,9 @@
    first; how rare a pair is comes from a count table of fixed size, filled from all signatures.
 3. Under one pair, classes are tied where one-byte sketches of their signatures agree in T places (a list of more than
    BLOCK classes is tied as a whole, through the pair), and tied groups are gathered by connected components.
-4. A group is cut into blocks of bounded size. In a block, classes are joined by coordinate: collisions of each class with
-   the others are counted over the rare pairs first, the long lists being skipped until a class has a chance to reach T,
-   and classes with T matches are confirmed by the exact intersection of their sets, unless a chain of confirmed links
+4. A group is cut into blocks of bounded size. In a block, each class is compared with all earlier ones by whole signatures,
+   32 coordinates at a time; those that can't reach T any more are left out after each. There is no merge of posting lists
+   here. Classes with T matches are confirmed by the exact intersection of their sets, unless a chain of confirmed links
    has joined them already. Where a group has more than one block, classes left outside the group's largest component
    meet every other block in a second pass, so no link is lost.
 
