@@ -1,9 +1,10 @@
 """Licence scans with a generalised suffix automaton over the words of licence templates.
 
 Texts stream through the automaton word by word; the matching statistic of a position is the length of the longest run of
-words ending there that occurs in a template. Runs that cannot grow are matches; those of one template are chained in the
-order of both sides, with at most MOST_GAP words skipped between them, and the words a chain covers are the template's span.
-A template counts from COVER of its words on; ``score`` is the best cover of any template. Words are lower-cased in A-Z.
+words ending there that occurs in a template. Where a longest run cannot grow in a template, it is a match of that one, and
+so is every template that stands whole within a run; those of one template are chained in the order of both sides, with at most MOST_GAP words skipped
+between them, and the words a chain covers are a span of the template. Every disjoint chain from COVER of its words on is a
+span, or the best one where none has as much. A template counts from COVER of its words on; ``score`` is the best cover of any template. Words are lower-cased in A-Z.
 
 Base phrases are templates too, counted at every place: a phrase stands at a position when its state is on the suffix path
 of the state reached there.
@@ -140,6 +141,16 @@ class Scanner:
                 if up in at:
                     self.phrase_at[state].append((at[up], self.sizes[at[up]]))
                 up = self.sam.link[up]
+        #: Of each state: where its strings stand, as (template, place, 0, next word, -1 at the end), and the whole templates that
+        #: are shorter ends of them, as (template, place, length, -1).
+        self.tails: list[list[tuple[int, int, int, int]]] = [[] for _ in self.sam.next]
+        for state in range(1, len(self.sam.next)):
+            self.tails[state] = [(s, at, 0, sequences[s][at + 1] if at + 1 < self.sizes[s] else -1) for s, at in self.sam.ends[state]]
+            up = state
+            while (up := self.sam.link[up]) > 0:
+                for s, at in self.sam.ends[up] - self.sam.ends[state]:
+                    if at + 1 == self.sizes[s] == self.sam.length[up]:
+                        self.tails[state].append((s, at, at + 1, -1))
         #: Two words in a row that some template has; without them no statistic goes over 1, and no template is one word.
         self.pairs = np.zeros((len(self.ids) + 1) ** 2, bool)
         for sequence in sequences:
@@ -166,20 +177,52 @@ class Scanner:
                     if length >= size:
                         starts.append(i - size + 1)
                         base.add(self.labels[phrase])
-                # A match is over where the next word does not go on.
-                if length > 1 and (i == last or int(codes[i + 1]) not in self.sam.next[state]):
-                    for s, at in self.sam.ends[state]:
-                        matches[s].append((i - length + 1, at - length + 1, length))
-        spans = [span for s, found in matches.items() if (span := self._chain(s, found))]
+                # A template's match is over where the next word is not the template's.
+                if length > 1:
+                    following = int(codes[i + 1]) if i < last else -2
+                    for s, at, size, word in self.tails[state]:
+                        if word != following:
+                            size = size or length
+                            matches[s].append((i - size + 1, at - size + 1, size))
+        spans = [span for s, found in matches.items() for span in self._spans(s, found)]
         labels = base | {label for label, *_, cover in spans if cover >= self.cover}
         score = max([cover for *_, cover in spans], default=0.0)
         return n, sorted(starts), sorted(base), sorted(labels), min(1.0, score), spans
 
-    def _chain(self, s: int, found: list[tuple[int, int, int]]) -> tuple[str, int, int, float] | None:
-        """The chain of matches that covers most of template ``s``, in order on both sides, gaps bounded."""
+    def _spans(self, s: int, found: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
+        """All disjoint chains that cover enough of template ``s``, or the best chain if none does."""
+        found, size = sorted(set(found)), self.sizes[s]
+        taken: list[tuple[int, int, int]] = []  # covered words, first and last word
+        # Whole templates first; between them the best chain of a part, and then what is left on both sides of it.
+        for at, _, n in found:
+            if n == size and (not taken or at > taken[-1][2]):
+                taken.append((n, at, at + n - 1))
+        bounds = [-1, *(x for _, a, b in taken for x in (a, b)), found[-1][0] + found[-1][2] + size]
+        parts, k = [], 0
+        for low, high in zip(bounds[::2], bounds[1::2]):
+            part = []
+            while k < len(found) and found[k][0] < high:
+                part.append(found[k])
+                k += 1
+            # A run that ends beyond the lower bound may begin before it.
+            parts.append((low + 1, high, part))
+        while parts:
+            low, high, part = parts.pop()
+            part = [(at + cut, of + cut, min(n, high - at) - cut) for at, of, n in part if (cut := max(0, low - at)) < min(n, high - at)]
+            best = self._chain(part, (low + high) // 2) if sum(n for *_, n in part) >= self.cover * size else None
+            if best is None or best[0] < self.cover * size:
+                continue
+            taken.append(best)
+            parts += [(low, best[1], [m for m in part if m[0] < best[1]]), (best[2] + 1, high, [m for m in part if m[0] + m[2] > best[2] + 1])]
+        if not taken and (best := self._chain(found, 0)):
+            taken = [best]
+        return [(self.labels[s], a, b, n / size) for n, a, b in sorted(taken, key=lambda t: t[1])]
+
+    def _chain(self, found: list[tuple[int, int, int]], middle: int) -> tuple[int, int, int] | None:
+        """The chain of matches that covers most, in order on both sides, gaps bounded; of equal ones that nearest ``middle``."""
         best: tuple[int, int, int] | None = None
         chains: list[tuple[int, int, int, int]] = []  # covered words, end in the text, end in the template, first word
-        for at, of, size in sorted(set(found)):
+        for at, of, size in sorted(found):
             covered, first = size, at
             for had, end, of_end, began in reversed(chains):
                 if end <= at - self.most_gap - 1:
@@ -189,9 +232,9 @@ class Scanner:
                 if end <= at and of_end <= of and had + size > covered:
                     covered, first = had + size, began
             chains.append((covered, at + size, of + size, first))
-            if best is None or covered > best[0]:
+            if best is None or covered > best[0] or covered == best[0] and abs(first - middle) < abs(best[1] - middle):
                 best = (covered, first, at + size - 1)
-        return (self.labels[s], best[1], best[2], best[0] / self.sizes[s]) if best else None
+        return best
 
 
 _ROWS = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"

@@ -31,3 +31,24 @@ def test_chain_skips_words():
     text = " ".join([*words[:3], "well", *words[3:]])
     n, starts, base, labels, score, spans = licenses.Scanner().scan(text)
     assert "apache" in labels and score == 1.0
+
+
+def test_templates_within_longer_ones_and_repeated_ones():
+    scan = licenses.Scanner().scan
+    short, full = licenses.TEMPLATES[3][1], licenses.TEMPLATES[2][1]
+    *_, score, spans = scan(short + ". The code is here")
+    assert score == 1.0 and ("apache", 0, 7, 1.0) in spans
+    n, *_, spans = scan(f"{full} x y {full} z {' '.join(full.split()[4:])}")
+    whole, m = len(licenses.words_of(full)), len(licenses.words_of(" ".join(full.split()[4:])))
+    got = sorted(x for x in spans if x[2] - x[1] > 20)
+    assert [(a, b) for _, a, b, _ in got] == [(0, whole - 1), (whole + 2, 2 * whole + 1), (2 * whole + 3, 2 * whole + 2 + m)] and got[2][3] == m / whole
+    assert len([x for x in spans if x[2] - x[1] == 7 and x[3] == 1.0]) == 2
+    # Inner templates that begin later than the longer run around them, against a search for them at every place.
+    own = licenses.Scanner(phrases=(("b c", "p"),), templates=(("long", "a b c d e f"), ("in", "c d e"), ("end", "e f")))
+    rng = random.Random(4)
+    for _ in range(300):
+        words = [rng.choice("abcdefx") if rng.random() < 0.2 else "abcdef"[k % 6] for k in range(rng.randrange(30))]
+        spans = own.scan(" ".join(words))[5]
+        for label, t in (("p", "b c"), ("long", "a b c d e f"), ("in", "c d e"), ("end", "e f")):
+            p = t.split()
+            assert [i for i in range(len(words)) if words[i : i + len(p)] == p] == [a for x, a, b, c in spans if x == label and c == 1.0 and b - a + 1 == len(p)], (words, label, spans)
