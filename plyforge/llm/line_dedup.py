@@ -5,10 +5,11 @@ Every three consecutive lines are a window. A window that stands more than once
 overlap, are removed. Lines end at ``\\n`` and are compared as they are; a window of blank lines only is none.
 
 The corpus is summed up by window hash (128 bits, partial sums before the shuffle); a second scan ships only windows that a
-filter of fixed size takes for repeated ones, and the removed places, not the texts of untouched documents, meet by doc_id.
+filter of fixed size takes for repeated ones, and the removed places, not the texts of untouched documents, meet by row.
+Rows are numbered in a table written first, so that all scans know a row by the same number.
 
 Handling of odd input: a null text counts as empty; texts of fewer than three lines have no windows and stay; rows that
-share a doc_id count as one document, and a null doc_id as the first; an empty table gives an empty result; other columns
+share a doc_id, or have none, are documents of their own in the order of their numbers, null before all others; an empty table gives an empty result; other columns
 are ignored, or kept by ``without_repeats``.
 """
 
@@ -27,6 +28,8 @@ from plyforge.llm import common
 LINES = 3
 #: Stands for a null doc_id.
 NO_ID = -(2**63)
+#: The column with the numbers of rows.
+ROW = "_row"
 
 
 def windows(text: str, size: int = LINES) -> np.ndarray:
@@ -55,52 +58,53 @@ def _counted(size: int):
             for part in common.slices(batch, "text"):
                 ids = part.column("doc_id").fill_null(NO_ID).to_numpy()
                 found = [windows(t, size) for t in part.column("text").to_pylist()]
-                doc = np.repeat(ids, [len(f) for f in found])
+                sizes = [len(f) for f in found]
+                doc, row = np.repeat(ids, sizes), np.repeat(part.column(ROW).to_numpy(), sizes)
                 keys = np.concatenate(found) if found else np.zeros((0, 2), np.uint64)
                 real = keys.any(1)
-                keys, doc = keys[real], doc[real]
-                order = np.lexsort((doc, keys[:, 1], keys[:, 0]))
-                keys, doc = keys[order], doc[order]
+                keys, doc, row = keys[real], doc[real], row[real]
+                order = np.lexsort((row, doc, keys[:, 1], keys[:, 0]))
+                keys, doc, row = keys[order], doc[order], row[order]
                 new = np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]) if len(keys) else np.zeros(0, bool)
                 at = np.flatnonzero(new)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at, 0].view(np.int64) if len(at) else np.zeros(0, np.int64)), pa.array(keys[at, 1].copy().view(np.int64) if len(at) else np.zeros(0, np.int64)), pa.array(doc[at]), pa.array(np.diff(np.append(at, len(keys))))], names=["h1", "h2", "first_doc", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at, 0].view(np.int64) if len(at) else np.zeros(0, np.int64)), pa.array(keys[at, 1].copy().view(np.int64) if len(at) else np.zeros(0, np.int64)), pa.array(doc[at]), pa.array(row[at]), pa.array(np.diff(np.append(at, len(keys))))], names=["h1", "h2", "first_doc", "first_row", "n"])
 
     return run
 
 
 def _placed(wanted, size: int):
-    """Places of the windows that may be repeated: per document and window, all its starts."""
+    """Places of the windows that may be repeated: per row and window, all its starts."""
 
     def run(batches):
         for batch in batches:
             for part in common.slices(batch, "text"):
-                docs, h1, h2, places = [], [], [], []
-                for doc_id, text in zip(part.column("doc_id").fill_null(NO_ID).to_pylist(), part.column("text").to_pylist(), strict=True):
+                rows, h1, h2, places = [], [], [], []
+                for row, text in zip(part.column(ROW).to_pylist(), part.column("text").to_pylist(), strict=True):
                     keys = windows(text, size)
                     at = np.flatnonzero(wanted.value.hits(keys[:, 0]) & keys.any(1))
                     if len(at):
                         by: dict[tuple[int, int], list[int]] = {}
                         for i, a, b in zip(at.tolist(), keys[at, 0].view(np.int64).tolist(), keys[at, 1].copy().view(np.int64).tolist(), strict=True):
                             by.setdefault((a, b), []).append(i)
-                        docs += [doc_id] * len(by)
+                        rows += [row] * len(by)
                         h1 += [a for a, _ in by]
                         h2 += [b for _, b in by]
                         places += by.values()
-                yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.list_(pa.int32()))], names=["h1", "h2", "doc", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(rows, pa.int64()), pa.array(places, pa.list_(pa.int32()))], names=["h1", "h2", "row", "places"])
 
     return run
 
 
-def removals(docs: DataFrame, size: int = LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, starts): per document (NO_ID for null) the first lines of the windows to be removed."""
+def removals(docs: DataFrame, size: int = LINES, id_col: str = "doc_id", text_col: str = "text", row_col: str = ROW) -> DataFrame:
+    """(row, starts): per row of ``docs``, which has numbers of rows, the first lines of the windows to be removed."""
     spark = docs.sparkSession
-    texts = common.id_text(docs, id_col, text_col)
-    counts = texts.mapInArrow(_counted(size), "h1 long, h2 long, first_doc long, n long").groupBy("h1", "h2").agg(F.min("first_doc").alias("first_doc"), F.sum("n").alias("n"))
-    repeated = common.saved(counts.where("n > 1").select("h1", "h2", "first_doc"), "windows")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), F.col(f"`{row_col}`").alias(ROW))
+    counts = texts.mapInArrow(_counted(size), "h1 long, h2 long, first_doc long, first_row long, n long").groupBy("h1", "h2").agg(F.min(F.struct("first_doc", "first_row")).alias("first"), F.sum("n").alias("n"))
+    repeated = common.saved(counts.where("n > 1").select("h1", "h2", "first.first_row"), "windows")
     wanted = spark.sparkContext.broadcast(common.KeyFilter.of(repeated, "h1"))
-    placed = texts.mapInArrow(_placed(wanted, size), "h1 long, h2 long, doc long, places array<int>")
-    later = placed.join(repeated, ["h1", "h2"]).select("doc", F.when(F.col("doc") == F.col("first_doc"), F.slice("places", 2, F.greatest(F.size("places") - 1, F.lit(0)))).otherwise(F.col("places")).alias("places"))
-    return later.where(F.size("places") > 0).groupBy("doc").agg(F.array_sort(F.flatten(F.collect_set("places"))).alias("starts"))
+    placed = texts.mapInArrow(_placed(wanted, size), "h1 long, h2 long, row long, places array<int>")
+    later = placed.join(repeated, ["h1", "h2"]).select("row", F.when(F.col("row") == F.col("first_row"), F.slice("places", 2, F.greatest(F.size("places") - 1, F.lit(0)))).otherwise(F.col("places")).alias("places"))
+    return later.where(F.size("places") > 0).groupBy("row").agg(F.array_sort(F.flatten(F.collect_set("places"))).alias("starts"))
 
 
 def cleaned(text: str, starts: list[int], size: int = LINES) -> tuple[str, list[tuple[int, int]], int]:
@@ -108,8 +112,6 @@ def cleaned(text: str, starts: list[int], size: int = LINES) -> tuple[str, list[
     lines = text.split("\n")
     gone: list[tuple[int, int]] = []
     for s in starts:
-        if s + size > len(lines):
-            continue  # another row's, of the same doc_id
         if gone and s <= gone[-1][1] + 1:
             gone[-1] = (gone[-1][0], max(gone[-1][1], s + size - 1))
         else:
@@ -121,24 +123,33 @@ def cleaned(text: str, starts: list[int], size: int = LINES) -> tuple[str, list[
     return "\n".join(kept + lines[at:]), gone, len(lines)
 
 
+def _scrambled(rows: np.ndarray) -> np.ndarray:
+    """Numbers of rows for a key filter, which numbers of few different bits would crowd."""
+    return common.mixed(rows.astype(np.uint64)).view(np.int64)
+
+
+def _keys(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_scrambled(batch.column("row").to_numpy()))], names=["key"])
+
+
 def _with_starts(docs: DataFrame, size: int, id_col: str, text_col: str, starts: str) -> DataFrame:
     """``docs`` with a column ``starts``; only rows that may have removals are shuffled."""
-    spark = docs.sparkSession
-    found = common.saved(removals(docs, size, id_col, text_col), "removals")
-    wanted = spark.sparkContext.broadcast(common.KeyFilter.of(found, "doc"))
+    spark, row = docs.sparkSession, common.fresh(ROW, docs)
+    docs = common.saved(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = common.saved(removals(docs, size, id_col, text_col, row), "removals")
+    wanted = spark.sparkContext.broadcast(common.KeyFilter.of(found.select("row").mapInArrow(_keys, "key long"), "key"))
 
     def chosen(want: bool):
         def run(batches):
             for batch in batches:
-                hits = wanted.value.hits(batch.column(id_col).cast(pa.int64()).fill_null(NO_ID).to_numpy())
+                hits = wanted.value.hits(_scrambled(batch.column(row).to_numpy()))
                 yield batch.filter(pa.array(hits == want))
 
         return run
 
-    maybe, key = docs.mapInArrow(chosen(True), docs.schema), common.fresh("_doc", docs)
-    doc = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
-    maybe = maybe.withColumn(key, doc).join(found.select(F.col("doc").alias(key), F.col("starts").alias(starts)), key, "left").drop(key)
-    return docs.mapInArrow(chosen(False), docs.schema).withColumn(starts, F.lit(None).cast("array<int>")).unionByName(maybe)
+    maybe = docs.mapInArrow(chosen(True), docs.schema).join(found.select(F.col("row").alias(row), F.col("starts").alias(starts)), row, "left")
+    return docs.mapInArrow(chosen(False), docs.schema).withColumn(starts, F.lit(None).cast("array<int>")).unionByName(maybe).drop(row)
 
 
 def without_repeats(docs: DataFrame, size: int = LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
