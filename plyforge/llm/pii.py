@@ -1,14 +1,14 @@
 """Personal data by patterns, and by bootstrapped contexts, in DataFrame functions only.
 
 Base spans come from four expressions (below). They are the seeds of the bootstrap: the words around them become lexical
-patterns (the word before, the two words before, the word after), tokens with digits or an @ that no expression takes are
-further instances, and patterns and instances score each other over the graph of who stands next to whom:
+patterns (the word before, the two words before, the word after), tokens with digits or an @ that no expression takes, and
+runs of digit tokens between single blanks, are further instances, and patterns and instances score each other over the graph of who stands next to whom:
 
 - a pattern's score for a kind is the mean score of its instances, less a prior weight; it needs SUPPORT different seeds;
 - an instance's score is the noisy-or of its patterns; seeds have 1.
 
 After ROUNDS rounds, or as soon as no pattern is confident, instances at CONFIDENT or above that have the digits or signs of
-the kind become spans of it. Base spans stay as they are, and nothing is added over them.
+the kind become spans of it; of a token and a run around it, the run. Base spans stay as they are, and nothing is added over them.
 
 The expressions are linear in the text: possessive where what follows cannot match inside, and tried only where a longest
 run begins. Handling of odd input: a null text counts as empty; texts without spans give empty strings; repeated rows and
@@ -34,11 +34,15 @@ EXPRESSIONS = (
 SIGNS = ("@", ".", None, "+")
 #: Whole tokens with a digit or an @: what the bootstrap may discover.
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Tokens of digits and their signs, two or more between single blanks.
+RUN = r"(?<!\S)[(+]*+[0-9][0-9().+-]*+(?: [(]*+[0-9][0-9().+-]*+)++[^\s\w]*+"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"
 
 SUPPORT, PRIOR, CONFIDENT, ROUNDS = 3, 1.0, 0.9, 3
 CONTEXT_CHARS = 64
+#: So many matches of a kind with what is between them have CONTEXT_CHARS characters at least.
+BACK = CONTEXT_CHARS // 2
 
 
 def _found(text: Column, kind: int, expression: str, sign: str | None) -> tuple[Column, Column]:
@@ -58,7 +62,7 @@ def _context(gap: Column, next_gap: Column) -> tuple[Column, Column, Column]:
 
 def matched(docs: DataFrame) -> DataFrame:
     """rid, doc_id, found: all matches of a text with the characters before each (since the last of its kind) and its context."""
-    kinds = list(zip(range(1, 6), (*EXPRESSIONS, TOKEN), (*SIGNS, None), strict=True))
+    kinds = list(zip(range(1, 7), (*EXPRESSIONS, TOKEN, RUN), (*SIGNS, None, None), strict=True))
     df = docs.withColumn("rid", F.monotonically_increasing_id())
     df = df.withColumns({f"m{k}": _found(F.col("text"), k, e, s)[0] for k, e, s in kinds})
     df = df.withColumns({f"g{k}": F.when(F.size(f"m{k}") > 0, F.split("text", e, -1)) for k, e, _ in kinds})
@@ -66,8 +70,13 @@ def matched(docs: DataFrame) -> DataFrame:
     def rows(k: int) -> Column:
         def one(m: Column, i: Column) -> Column:
             gap, after = F.get(F.col(f"g{k}"), i), F.get(F.col(f"g{k}"), i + 1)
-            before, two, then = _context(gap, after)
-            return F.struct(F.lit(k).alias("kind"), i.alias("i"), F.length(gap).alias("skip"), m.alias("m"), before.alias("w1"), two.alias("w2"), then.alias("w3"))
+            # Where the gap is short, the context goes on through the matches beside it.
+            low = F.greatest(i - BACK, F.lit(0))
+            had = F.zip_with(F.slice(f"g{k}", low + 1, i - low), F.slice(f"m{k}", low + 1, i - low), lambda g, x: F.concat(g, x))
+            back = F.when(F.length(gap) >= CONTEXT_CHARS, gap).otherwise(F.concat(F.array_join(had, ""), gap))
+            on = F.zip_with(F.slice(f"m{k}", i + 2, F.lit(BACK)), F.slice(f"g{k}", i + 3, F.lit(BACK)), lambda x, g: F.concat(F.coalesce(x, F.lit("")), F.coalesce(g, F.lit(""))))
+            before, two, then = _context(back, F.when(F.length(after) >= CONTEXT_CHARS, after).otherwise(F.concat(after, F.array_join(on, ""))))
+            return F.struct(F.lit(k).alias("kind"), i.alias("i"), F.length(gap).alias("skip"), m.alias("m"), before.alias("w1"), two.alias("w2"), then.alias("w3"), after.rlike(r"^\S").alias("cut"))
 
         return F.transform(f"m{k}", one)
 
@@ -86,7 +95,7 @@ def _luhn(digits: Column) -> Column:
 
 
 def placed(found: DataFrame) -> DataFrame:
-    """rid, kind, start, end, m, w1, w2, w3: a row per match that passes its kind's test, and per token (kind 5)."""
+    """rid, kind, start, end, m, w1, w2, w3: a row per match that passes its kind's test, and per token or run (kind 5)."""
     rows = found.where(F.size("found") > 0).select("rid", F.explode("found").alias("f")).select("rid", "f.*")
     upto = Window.partitionBy("rid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("skip") + F.length("m")).over(upto)).withColumn("start", F.col("end") - F.length("m"))
@@ -96,9 +105,11 @@ def placed(found: DataFrame) -> DataFrame:
         F.when(F.col("kind") == 2, F.col("m").rlike(IP))
         .when(F.col("kind") == 3, n.between(16, 19) & F.when(n.between(16, 19), _luhn(digits)).otherwise(False))
         .when(F.col("kind") == 4, n.between(8, 15))
+        # A run that ends within a token is none.
+        .when(F.col("kind") == 6, ~F.col("cut"))
         .otherwise(True)
     )
-    return rows.where(valid).select("rid", "kind", "start", "end", "m", "w1", "w2", "w3")
+    return rows.where(valid).select("rid", F.least("kind", F.lit(5)).alias("kind"), "start", "end", "m", "w1", "w2", "w3")
 
 
 def _free_tokens(spans: DataFrame) -> DataFrame:
@@ -147,7 +158,9 @@ def discovered(spans: DataFrame, support: int = SUPPORT, confident: float = CONF
     hits = tokens.join(best, F.lower(tokens["m"]) == best["instance"]).where(_fits(F.col("of"), F.col("m")))
     trimmed_left = F.length("m") - F.length(F.regexp_replace("m", r"^[\"'(\[<{=:,;]+", ""))
     trimmed_right = F.length("m") - F.length(F.regexp_replace("m", r"[\"')\]>},;:.!?]+$", ""))
-    return hits.select("rid", F.col("of").alias("kind"), (F.col("start") + trimmed_left).alias("start"), (F.col("end") - trimmed_right).alias("end")).where("start < end")
+    out = hits.select("rid", F.col("of").alias("kind"), (F.col("start") + trimmed_left).alias("start"), (F.col("end") - trimmed_right).alias("end")).where("start < end")
+    sooner = F.max("end").over(Window.partitionBy("rid").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1))
+    return out.withColumn("sooner", sooner).where("sooner is null or sooner < end").drop("sooner")
 
 
 def joined_spans(spans: DataFrame, name: str) -> DataFrame:

@@ -67,3 +67,11 @@ def test_rows_stay(spark):
     assert sorted((r.doc_id or -1, r.n_email) for r in pii.spans_of(docs).collect()) == [(-1, 1), (1, 1), (1, 1), (2, 0)]
     assert pii.spans_of(docs.limit(0)).count() == 0
     assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
+
+
+def test_identifiers_of_several_tokens_and_labels_with_digits(spark):
+    texts = [f"please dial +1 555 000 {1000 + k} today" for k in range(12)] + ["please dial 555 0100 1234 today", "all of 12 34 parts"]
+    texts += [f"my tel1: +1 555 001 {1000 + k} now" for k in range(12)] + ["my tel1: 5550007777 now", "4 my tel1: 5550008888 now 7"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.spans_of(docs).collect()}
+    assert [got[k] for k in (12, 13, 26, 27)] == ["phone:12:25", "", "phone:9:19", "phone:11:21"]
