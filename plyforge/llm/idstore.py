@@ -7,7 +7,8 @@ equal passages cut alike wherever they stand), not below LEAST and not above MOS
   integers of ``width`` bytes.
 - ``store/kind=recipe`` and, in ascending order of doc_id, ``recipes``: doc_id, n_tokens, the addresses and sizes of its
   chunks, the root of the Merkle tree over its addresses, and ``start``, the number of ids before it.
-- ``manifest``: per recipe file part, its range, its ids and the Merkle root over its documents' roots.
+- ``manifest``: per recipe file part, its range of doc_ids, its ids and ids before it, the width of an id in bytes, and the
+  Merkle root over its documents' roots in the order of its rows.
 
 Reading back checks every payload against its address, every document against its root, and sizes against recipes.
 
@@ -18,11 +19,11 @@ with a recipe, nulls first; an empty table makes an empty store; other columns a
 from __future__ import annotations
 
 import hashlib
-from array import array
+import os
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,86 +31,141 @@ from pyspark.sql import functions as F
 from plyforge.llm import common
 
 WINDOW, LOW_BITS, LEAST, MOST = 8, 8, 64, 2048
-KNOWN, KNOWN_CHUNKS = 350_000, 300_000
+KNOWN, KNOWN_CHUNKS = 1_000_000, 300_000
+#: Stretches that the library gets as one text; the letter by which byte-level vocabularies write a space.
+JOINED, SPACE = 100, "\u0120"
 
 _STORE = "kind string, key long, address binary, payload binary, doc_id long, uid long, n_tokens long, recipe binary, sizes binary, root binary"
 
 
-class _Known(dict):
-    """Ids of parts of texts, made where they are missed, in two generations, so that frequent ones outlive a full table."""
-
-    def __init__(self, make):
-        self.old, self.make = {}, make
-
-    def __missing__(self, part: str):
-        ids = self.old[part] if part in self.old else self.make(part)
-        self[part] = ids
-        return ids
-
-    def age(self):
-        if len(self) > KNOWN:
-            self.old = dict(self)
-            self.clear()
-
-
-def byte_letters() -> dict[int, str]:
-    """The letters that byte-level vocabularies write bytes with: printable ones stand for themselves, others follow from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
 class Stretches:
-    """Ids of texts by a byte-level BPE model of the tokenizers library.
-
-    Every byte-level pre-tokenizer of this family begins a new piece at a single space between two other characters, so the
-    ids of a text are those of its stretches between such spaces in a row; a stretch is cut by the pre-tokenizer's pattern,
-    and the library's model encodes each piece. Stretches and pieces are encoded once and remembered. Texts with blanks
-    beside blanks are cut by the pattern as they are. Texts that contain an added token of the tokenizer go to the library
-    whole, which finds it before anything is cut.
+    """Ids of texts by a byte-level BPE tokenizer of the tokenizers library.
+
+    Every byte-level pre-tokenizer of this family begins a new piece at a single space between two characters that are no
+    blanks, so the ids of a text are those of its stretches between such spaces in a row. The library encodes each distinct
+    stretch that is not remembered once, some of them joined to one text; as the letter for a space begins the first token
+    of a stretch and no other one, tokens with that letter show where the next stretch begins. Stretches with more spaces,
+    those at the begin of a text and those that end in a blank are encoded one by one. Texts that contain an added token
+    of the tokenizer go to the library whole, which finds it before anything is cut.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str):
+        # A worker is one core's share: the library's own threads would only add memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenize = self.tokenizer.model.tokenize
-        self.split = regex.compile(pattern).findall
-        self.letters = byte_letters()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.code = "H" if self.type.itemsize == 2 else "I"
-        #: Stretches without the space before them, and their ids with it; pieces.
-        self.known, self.pieces = _Known(self._stretch), _Known(self._piece)
-
-    def _piece(self, piece: str) -> bytes:
-        return array(self.code, [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
-
-    def _stretch(self, stretch: str) -> bytes | None:
-        """None where the space before or after it has another blank beside it."""
-        if stretch.isalpha():
-            return self._piece(" " + stretch)
-        if not stretch or stretch[0].isspace() or stretch[-1].isspace():
-            return None
-        return b"".join(map(self.pieces.__getitem__, self.split(" " + stretch)))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        self.known.age()
-        self.pieces.age()
-        known, pieces, out = self.known.__getitem__, self.pieces.__getitem__, []
-        for text in texts:
-            if any(token in text for token in self.added):
-                out.append(array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
+        size = self.tokenizer.get_vocab_size()
+        self.type = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith(SPACE) for i in range(size)])
+        #: Stretches remembered, how often each was met, and the place of its ids in ``ids``.
+        self.known, self.uses = pa.array([], pa.large_binary()), np.zeros(0, np.int64)
+        self.at, self.ids = np.zeros(1, np.int64), np.zeros(0, self.type)
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, stretches: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """An order of the stretches, their ids one after another in it, and the number of ids of each."""
+        texts = [s.decode() for s in stretches]
+        regular = np.fromiter((t[0] == " " and t.rfind(" ") == 0 and not t[-1].isspace() for t in texts), bool, len(texts))
+        own, others = np.flatnonzero(regular).tolist(), np.flatnonzero(~regular).tolist()
+        groups = [own[i : i + JOINED] for i in range(0, len(own), JOINED)]
+        order, parts, sizes = [], [], []
+        for group, ids in zip(groups, self._encoded(["".join([texts[i] for i in g]) for g in groups]), strict=True):
+            ids = np.array(ids, self.type)
+            begins = np.flatnonzero(self.begins[ids])
+            if len(begins) != len(group):
+                others += group
                 continue
-            head, *rest = text.split(" ")
-            if not head[-1:].isspace():
-                try:
-                    out.append(b"".join(map(pieces, self.split(head))) + b"".join(map(known, rest)))
-                    continue
-                except TypeError:
-                    pass
-            out.append(b"".join(map(pieces, self.split(text))))
-        return out
+            order += group
+            parts.append(ids)
+            sizes.append(np.diff(begins, append=len(ids)))
+        for i, ids in zip(others, self._encoded([texts[i] for i in others]), strict=True):
+            order.append(i)
+            parts.append(np.array(ids, self.type))
+            sizes.append([len(ids)])
+        return order, np.concatenate(parts), np.concatenate(sizes)
+
+    def _shrink(self) -> None:
+        """Keep the stretches that were met most often, half of the table."""
+        keep = np.sort(np.argpartition(self.uses, -KNOWN // 2)[-KNOWN // 2 :])
+        sizes = np.diff(self.at)[keep]
+        self.ids = self.ids[_runs(self.at[keep], sizes)]
+        self.known, self.uses, self.at = self.known.take(pa.array(keep)), self.uses[keep] // 2, np.concatenate([[0], np.cumsum(sizes)])
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (strings, none null) one after another, and where each text's ids end."""
+        if len(self.known) > KNOWN:
+            self._shrink()
+        special = np.zeros(len(texts), bool)
+        for token in self.added:
+            special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        bounds, data = _bounds(texts)
+        data, bounds = data[bounds[0] : bounds[-1]], bounds - bounds[0]
+        cut = np.sort(np.concatenate([bounds, _spaces(data)]), kind="stable")
+        cut = cut[np.diff(cut, prepend=-1) > 0]
+        # Of each stretch, the text it is in; texts with added tokens have none.
+        of = np.searchsorted(bounds, cut[:-1], "right") - 1
+        stretches = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(data)])
+        if special.any():
+            stretches = stretches.filter(pa.array(~special[of]))
+            of = of[~special[of]]
+        coded = stretches.dictionary_encode()
+        distinct, place = coded.dictionary, coded.indices.to_numpy()
+        found = pc.index_in(distinct, self.known)
+        missed = found.is_null().to_numpy(zero_copy_only=False)
+        row = found.fill_null(0).to_numpy().astype(np.int64)
+        if missed.any():
+            fresh = distinct.filter(pa.array(missed))
+            order, ids, sizes = self._new(fresh.to_pylist())
+            row[np.flatnonzero(missed)[order]] = len(self.known) + np.arange(len(fresh))
+            self.known, self.uses = pa.concat_arrays([self.known, fresh.take(pa.array(order))]), np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
+            self.ids, self.at = np.concatenate([self.ids, ids]), np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+        self.uses[row] += np.bincount(place, minlength=len(distinct))
+        rows = row[place]
+        sizes = (self.at[1:] - self.at[:-1])[rows]
+        ids = self.ids[_runs(self.at[rows], sizes)]
+        counts = np.bincount(of, sizes, len(texts)).astype(np.int64)
+        if special.any():
+            whole = np.flatnonzero(special).tolist()
+            made = {i: np.array(x, self.type) for i, x in zip(whole, self._encoded([texts[i].as_py() for i in whole]), strict=True)}
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            parts = [made.get(i, p) for i, p in enumerate(parts)]
+            ids, counts = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return ids, np.cumsum(counts)
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for sizes[0] numbers, then the same of the next one."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def _bounds(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of an array of strings."""
+    texts = texts.cast(pa.large_binary())
+    offsets, data = texts.buffers()[1:]
+    bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return bounds, np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+
+
+#: ASCII blanks; first bytes of the blanks beyond ASCII, which have two bytes (after 0xC2) or three.
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_HEADS = np.zeros(256, bool)
+_HEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def _spaces(data: np.ndarray) -> np.ndarray:
+    """Places of spaces that stand for certain between two characters that are no blanks; others join their stretches."""
+    at = np.flatnonzero(data == 32)
+    at = at[(at > 2) & (at < len(data) - 1)]
+    after, before = data[at + 1], data[at - 1]
+    # A character before that ends in 0x80 to 0xBF may be a blank if its first byte is one of theirs.
+    odd = _BLANK[after] | _HEADS[after] | _BLANK[before] | (before >= 128) & (_HEADS[data[at - 2]] | _HEADS[data[at - 3]])
+    return at[~odd]
 
 
 #: A random number for the low bits of an id, and the factors of a place in the window.
@@ -158,30 +214,29 @@ def _key(address_: bytes) -> int:
     return int.from_bytes(address_[:8], "little", signed=True)
 
 
-_opened: dict[tuple[str, str], Stretches] = {}
+_opened: dict[str, Stretches] = {}
 
 
 def _forget() -> None:
     _opened.clear()
 
 
-def _cut_up(path: str, pattern: str, end_id: int):
+def _cut_up(path: str, end_id: int):
     @common.task("idstore", _forget)
     def run(batches):
         # One per worker process: stretches stay known from task to task.
-        if (path, pattern) not in _opened:
-            _opened[path, pattern] = Stretches(path, pattern)
-        encode = _opened[path, pattern]
+        if path not in _opened:
+            _opened[path] = Stretches(path)
+        encode = _opened[path]
+        width = encode.type.itemsize
         task, row, seen = TaskContext.get().partitionId(), 0, set()
-        stop = np.array([end_id], encode.type).tobytes()
         for batch in batches:
             for part in common.slices(batch, "text"):
-                coded = [c + stop for c in encode(part.column("text").to_pylist())]
-                width = encode.type.itemsize
-                ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded))) // width
-                chunks, docs = [], []
-                for doc_id, ids, cut in zip(part.column("doc_id").to_pylist(), coded, cuts(np.frombuffer(b"".join(coded), encode.type), ends), strict=True):
-                    payloads = [ids[a * width : b * width] for a, b in zip([0, *cut], cut)]
+                ids, ends = encode(part.column("text"))
+                ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
+                coded, chunks, docs = ids.tobytes(), [], []
+                for doc_id, start, end, cut in zip(part.column("doc_id").to_pylist(), [0, *ends.tolist()], ends.tolist(), cuts(ids, ends), strict=False):
+                    payloads = [coded[(start + a) * width : (start + b) * width] for a, b in zip([0, *cut], cut)]
                     addresses = list(map(address, payloads))
                     for a, p in zip(addresses, payloads, strict=True):
                         if a not in seen:
@@ -189,7 +244,7 @@ def _cut_up(path: str, pattern: str, end_id: int):
                             chunks.append((a, p))
                     uid = int(common.mixed(np.array([task << 40 | row], np.uint64))[0]) & (2**63 - 1)
                     row += 1
-                    docs.append((doc_id, uid, len(ids) // width, b"".join(addresses), np.diff(cut, prepend=0).astype("<i4").tobytes(), merkle(addresses)))
+                    docs.append((doc_id, uid, end - start, b"".join(addresses), np.diff(cut, prepend=0).astype("<i4").tobytes(), merkle(addresses)))
                 if len(seen) > KNOWN_CHUNKS:
                     seen.clear()
                 c, d = len(chunks), len(docs)
@@ -215,11 +270,11 @@ def _once(batches):
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode all texts and write the store under ``path``, which every machine must see."""
     spark = docs.sparkSession
     texts = common.id_text(docs, id_col, text_col)
-    made = texts.mapInArrow(_cut_up(tokenizer, pattern, end_id), _STORE)
+    made = texts.mapInArrow(_cut_up(tokenizer, end_id), _STORE)
     made.repartition("key").mapInArrow(_once, _STORE).drop("key").write.partitionBy("kind").option("parquet.enable.dictionary", "false").parquet(f"{path}/store")
 
     recipes = _store(spark, path).where("kind = 'recipe'").select("doc_id", "uid", "n_tokens", "recipe", "sizes", "root")
@@ -335,5 +390,5 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = common.new_path(spark, "idstore")
-    write(common.documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    write(common.documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))
     return verified(spark, path)

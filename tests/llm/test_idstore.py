@@ -1,32 +1,58 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from plyforge.llm import common, idstore
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["a  b c", " a b", "a b ", "a\nb c\n", "é ü x y", "1 2 's 't", "\t a", "", " ", "x  y z", "a  b", "don't we'll 12 34", "a \x1c b", "a\x1c b c", "日本 語 x", "q" * 3000, "w " * 4000]
+OWN, MODEL = idstore.Stretches(PATH), Tokenizer.from_file(PATH)
+
+
+def coded(own, texts):
+    ids, ends = own(pa.array(texts, pa.string()))
+    return [x.tolist() for x in np.split(ids, ends)[: len(texts)]]
 
 
 def test_stretches_as_whole_texts():
     model = Tokenizer.from_file(PATH)
-    model.encode_special_tokens = True
-    own = idstore.Stretches(PATH, public_tokenizers.PATTERN)
+    own = idstore.Stretches(PATH)
+    expected = [model.encode(t, add_special_tokens=False).ids for t in ODD]
     for _ in range(2):
-        assert [np.frombuffer(b, own.type).tolist() for b in own(ODD)] == [model.encode(t, add_special_tokens=False).ids for t in ODD]
+        assert coded(own, ODD) == expected
+    assert coded(own, ODD[::-1]) == expected[::-1]
+    assert coded(own, []) == [] and coded(own, ["", ""]) == [[], []]
+
+
+@given(st.lists(st.text(st.sampled_from(" a\u00e9\n\u00a0\u3000\u2003\t'1.\u65e5\x1c\x85s<|>"), max_size=40), max_size=6))
+@settings(max_examples=400, deadline=None)
+def test_stretches_of_any_texts(texts):
+    assert coded(OWN, texts) == [MODEL.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_forgotten_stretches(monkeypatch):
+    monkeypatch.setattr(idstore, "KNOWN", 50)
+    own = idstore.Stretches(PATH)
+    for at in range(0, 400, 20):
+        texts = [f"word{at + i % 20} and w{i * 7919 % 1000} <b>{i}</b>" for i in range(40)]
+        assert coded(own, texts) == [MODEL.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(own.known) == len(own.uses) == len(own.at) - 1
 
 
 def test_added_tokens_as_the_library_has_them(spark):
     texts = ["a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b\n", "a <|endoftext| > b", "<|ENDOFTEXT|> x", "é <|endoftext|>\n é"]
     model = Tokenizer.from_file(PATH)
     expected = [model.encode(t, add_special_tokens=False).ids for t in texts]
-    own = idstore.Stretches(PATH, public_tokenizers.PATTERN)
+    own = idstore.Stretches(PATH)
     assert expected[0] == [64, 220, 50256, 275]
-    assert [np.frombuffer(b, own.type).tolist() for b in own(texts)] == expected
+    assert coded(own, texts) == expected
     path = common.new_path(spark, "t")
-    idstore.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, PATH, public_tokenizers.PATTERN)
+    idstore.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, PATH)
     at = 0
     for r, ids in zip(sorted(idstore.verified(spark, path).collect()), expected, strict=True):
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes()))
@@ -54,7 +80,7 @@ def test_store(spark):
     rows = [(k, t) for k, t in enumerate(ODD)] + [(40, "same passage " * 400), (41, "other " + "same passage " * 400), (None, None), (60, "again"), (60, "again")]
     docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, start long").repartition(3)
     path = common.new_path(spark, "t")
-    idstore.write(docs, path, PATH, public_tokenizers.PATTERN)
+    idstore.write(docs, path, PATH)
     model = Tokenizer.from_file(PATH)
     at, expected = 0, []
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
@@ -68,13 +94,11 @@ def test_store(spark):
     addresses = [r.address for r in idstore.chunks(spark, path).collect()]
     assert len(addresses) == len(set(addresses))
     empty = common.new_path(spark, "t")
-    idstore.write(docs.limit(0), empty, PATH, public_tokenizers.PATTERN)
+    idstore.write(docs.limit(0), empty, PATH)
     assert idstore.verified(spark, empty).count() == 0
 
 
 def test_damage_is_seen():
-    import pyarrow as pa
-
     batch = pa.RecordBatch.from_arrays([pa.array([idstore.address(b"ab")]), pa.array([b"ax"])], names=["address", "payload"])
     with pytest.raises(ValueError):
         list(idstore._facts(2)([batch]))
