@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plyforge.sources.positions import oracle as with_catalogue
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -29,4 +31,4 @@ def queries():
 
 
 def oracle_sql():
-    return dict(ORACLES)
+    return {name: with_catalogue(sql) for name, sql in ORACLES.items()}
