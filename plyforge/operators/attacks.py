@@ -1,69 +1,172 @@
-"""Attack geometry as a relation.
+"""Attacks as sets of squares in one long: bit 0 is a1, bit 63 is h8.
 
-``geometry`` lists, for each kind of piece and square, the squares it can reach and the squares between; 3,000 rows or so at
-any input size, so it is broadcast. A piece attacks a square when all squares between are empty: one broadcast join per
-position, no window, no shuffle.
+A side's rays of one direction are filled by shifts for all its pieces at once; rays of one direction never share a square,
+as each ends at the next piece. Everything about a position is arithmetic on its own row: no join, no shuffle, and rows are
+exploded only where the answer has a row a piece or square.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plyforge.functions.dialect import DUCK, SPARK
-from plyforge.operators.features import decoded, square
+from plyforge.operators.features import CONTEXT, decoded, square
 from plyforge.plans.registry import register
 from plyforge.sources.positions import POSITIONS_SQL, positions
 
 _STEPS = {"n": [(1, 2), (2, 1), (2, -1), (1, -2), (-1, -2), (-2, -1), (-2, 1), (-1, 2)], "k": [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]}
 _RAYS = {"b": [(1, 1), (1, -1), (-1, 1), (-1, -1)], "r": [(1, 0), (-1, 0), (0, 1), (0, -1)]}
 _RAYS["q"] = _RAYS["b"] + _RAYS["r"]
+KINDS = "PNBRQKpnbrqk"
+
+
+def _long(bits: int) -> Column:
+    return F.lit(bits - (1 << 64) if bits >> 63 else bits).cast("long")
+
+
+def _files(*which: int) -> Column:
+    return _long(sum(1 << (8 * r + f) for r in range(8) for f in which))
+
+
+def moved(x: Column, dx: int, dy: int) -> Column:
+    """The set one step on; what would leave the board is gone."""
+    n = 8 * dy + dx
+    y = F.shiftleft(x, n) if n > 0 else F.shiftrightunsigned(x, -n)
+    if dx:
+        y = y.bitwiseAND(_files(*(range(dx, 8) if dx > 0 else range(8 + dx))))
+    return y
+
+
+def ray(x: Column, free: Column, dx: int, dy: int) -> Column:
+    """Squares that pieces on ``x`` see in a direction over ``free`` squares, the first taken one included."""
+    return reduce(lambda seen, _: moved(x.bitwiseOR(free.bitwiseAND(seen)), dx, dy), range(6), moved(x, dx, dy))
+
+
+def either(sets) -> Column:
+    return reduce(lambda a, b: a.bitwiseOR(b), sets)
+
+
+def leaps(x: Column, kind: str) -> Column:
+    return either(moved(x, dx, dy) for dx, dy in _STEPS[kind])
 
 
-def geometry_rows() -> list[tuple[str, int, int, list[int]]]:
-    """(piece letter, from, to, squares between); pawns by colour."""
+#: Half bytes of the kinds of pieces: three bits for the kind from 1, one for black.
+_CODES = "0" + "".join("123456" + "9abcde")
+
+
+def _plane(which: int) -> Column:
+    """Of the 64 half bytes in q0 (a1 to h2, a1 lowest) to q3, one bit each, as a set."""
     out = []
-    for s in range(64):
-        f, r = s % 8, s // 8
-        inside = lambda x, y: 0 <= x < 8 and 0 <= y < 8
-        for letter in "PNBRQKpnbrqk":
-            kind = letter.lower()
-            if kind == "p":
-                up = 1 if letter == "P" else -1
-                out += [(letter, s, (r + up) * 8 + f + x, []) for x in (-1, 1) if inside(f + x, r + up)]
-            elif kind in _STEPS:
-                out += [(letter, s, (r + y) * 8 + f + x, []) for x, y in _STEPS[kind] if inside(f + x, r + y)]
-            else:
-                for x, y in _RAYS[kind]:
-                    between = []
-                    for k in range(1, 8):
-                        if not inside(f + k * x, r + k * y):
-                            break
-                        to = (r + k * y) * 8 + f + k * x
-                        out.append((letter, s, to, list(between)))
-                        between.append(to)
-    return out
-
-
-def geometry(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(geometry_rows(), "piece string, frm int, dest int, between array<int>")
+    for k in range(4):
+        x = F.shiftrightunsigned(F.col(f"q{k}"), which).bitwiseAND(_long(0x1111111111111111))
+        for by, mask in ((3, 0x0303030303030303), (6, 0x000F000F000F000F), (12, 0x000000FF000000FF), (24, 0xFFFF)):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, by)).bitwiseAND(_long(mask))
+        out.append(F.shiftleft(x, 16 * k))
+    return either(out)
 
 
-def pieces(df: DataFrame) -> DataFrame:
-    """A row per piece: the columns of ``df`` (decoded), sq, piece, white."""
-    rows = df.withColumn("sq", F.explode(F.expr(SPARK.where("PNBRQKpnbrqk")))).withColumn("piece", F.expr(SPARK.at("sq")))
-    return rows.withColumn("white", F.col("piece") == F.upper("piece"))
+def bitboards(df: DataFrame) -> DataFrame:
+    """``df`` (decoded) with a column per kind of piece (``s_wp`` ...), ``s_white``, ``s_black`` and ``free``.
+
+    The board becomes half bytes, these become four sets of bits, and all else is arithmetic on them.
+    """
+    df = df.withColumn("codes_", F.expr(f"reverse(translate(b, '.{KINDS}', '{_CODES}'))"))
+    # Never null, which keeps the generated code short.
+    df = df.withColumns({f"q{k}": F.expr(f"coalesce(cast(conv(substr(codes_, {49 - 16 * k}, 16), 16, -10) as bigint), 0L)") for k in range(4)})
+    df = df.withColumns({f"plane{i}": _plane(i) for i in range(4)})
+    bit_is = lambda i, on: F.col(f"plane{i}") if on else F.bitwise_not(f"plane{i}")
+    found = {_name(k): reduce(lambda x, y: x.bitwiseAND(y), (bit_is(i, int(_CODES[n + 1], 16) >> i & 1) for i in range(4))) for n, k in enumerate(KINDS)}
+    some = F.col("plane0").bitwiseOR(F.col("plane1")).bitwiseOR(F.col("plane2"))
+    sides = {"s_white": some.bitwiseAND(bit_is(3, False)), "s_black": F.col("plane3"), "free": F.bitwise_not(some)}
+    return df.withColumns(found | sides).drop("codes_", *(f"{n}{k}" for n in ("q", "plane") for k in range(4)))
+
+
+def _name(kind: str) -> str:
+    return f"s_{'w' if kind.isupper() else 'b'}{kind.lower()}"
+
+
+def kind(letter: str) -> Column:
+    return F.col(_name(letter))
+
+
+def sliders(white: bool, line: str) -> Column:
+    """Rooks (bishops) and queens of a side."""
+    case = str.upper if white else str.lower
+    return kind(case(line)).bitwiseOR(kind(case("q")))
+
+
+def pawn_attacks(x: Column, white: bool) -> Column:
+    return moved(x, -1, 1 if white else -1).bitwiseOR(moved(x, 1, 1 if white else -1))
 
 
-def reach(df: DataFrame, blockers: int = 0) -> DataFrame:
-    """A row per piece and square it attacks (``blockers`` = 0), or sees through that many pieces: sq, piece, white, dest, target."""
-    geo = geometry(df.sparkSession).withColumnRenamed("piece", "kind")
-    joined = pieces(df).join(F.broadcast(geo), (F.col("piece") == F.col("kind")) & (F.col("sq") == F.col("frm")))
-    seen = F.expr("size(filter(between, t -> substr(b, t + 1, 1) <> '.'))")
-    return joined.where(seen == blockers).withColumn("target", F.expr(SPARK.at("dest"))).drop("kind", "frm")
+def attacked(white: bool) -> Column:
+    """All squares that a side attacks."""
+    case = str.upper if white else str.lower
+    rays = [ray(sliders(white, line), F.col("free"), dx, dy) for line in "br" for dx, dy in _RAYS[line]]
+    return either([pawn_attacks(kind(case("p")), white), leaps(kind(case("n")), "n"), leaps(kind(case("k")), "k"), *rays])
 
 
-# The same relation in DuckDB, by arithmetic instead of a table.
+def attackers(at: Column, white: bool) -> Column:
+    """Of a side, the pieces that attack the square of the one-bit set ``at``: what is seen from there as the piece sees."""
+    case = str.upper if white else str.lower
+    out = [pawn_attacks(at, not white).bitwiseAND(kind(case("p"))), leaps(at, "n").bitwiseAND(kind(case("n"))), leaps(at, "k").bitwiseAND(kind(case("k")))]
+    return either(out + [either(ray(at, F.col("free"), dx, dy) for dx, dy in _RAYS[line]).bitwiseAND(sliders(white, line)) for line in "br"])
+
+
+def reach_of(at: Column, piece: Column) -> Column:
+    """What the piece on the square of the one-bit set ``at`` attacks."""
+    rays = {line: either(ray(at, F.col("free"), dx, dy) for dx, dy in _RAYS[line]) for line in "br"}
+    low = F.lower(piece)
+    return (
+        F.when(piece == "P", pawn_attacks(at, True)).when(piece == "p", pawn_attacks(at, False)).when(low == "n", leaps(at, "n")).when(low == "k", leaps(at, "k"))
+        .when(low == "b", rays["b"]).when(low == "r", rays["r"]).otherwise(rays["b"].bitwiseOR(rays["r"]))
+    )
+
+
+def squares(mask: Column) -> Column:
+    """The numbers of a set's squares, ascending."""
+    return F.filter(F.sequence(F.lit(0), F.lit(63)), lambda s: F.getbit(mask, s) == 1)
+
+
+def square_name(s: Column) -> Column:
+    return F.concat(F.substring(F.lit("abcdefgh"), s % 8 + 1, F.lit(1)), (F.shiftright(s, 3) + 1).cast("string"))
+
+
+def names(mask: Column) -> Column:
+    return F.transform(squares(mask), square_name)
+
+
+def bit(s: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), s)
+
+
+def spread(df: DataFrame, name: str, mask: str) -> DataFrame:
+    """A row per square of the set in column ``mask``: all numbers are tried in generated code, which is cheaper than a list."""
+    return df.withColumn(name, F.explode(F.array(*map(F.lit, range(64))))).where(F.getbit(mask, F.col(name)) == 1)
+
+
+def each(df: DataFrame, name: str, items: Column) -> DataFrame:
+    """A row per item. The outer form keeps the optimizer from putting a test of ``items`` below, where what they are made of
+    would be made twice; as nothing is pushed below it, a test of the new column finds it made."""
+    return df.withColumn(name, F.explode_outer(items)).where(F.col(name).isNotNull())
+
+
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed here, once a row: expressions over them, lambdas above all, read a value."""
+    made = each(df, "made_", F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
+    return made.select(*df.columns, *(F.col(f"made_.{n}").alias(n) for n in columns))
+
+
+def pieces(df: DataFrame) -> DataFrame:
+    """A row per piece: the columns of ``df`` (with bitboards), sq, piece, white, ``at`` (its square as a set)."""
+    rows = spread(settled(df, taken=F.bitwise_not("free")), "sq", "taken").withColumn("piece", F.expr(SPARK.at("sq")))
+    return rows.withColumn("white", F.col("piece") == F.upper("piece")).withColumn("at", bit(F.col("sq")))
+
+
+# The same in DuckDB, by arithmetic on squares a row each.
 _SQL_STEPS = ", ".join(f"('{k}', {x}, {y}, 1)" for k, steps in _STEPS.items() for x, y in steps)
 _SQL_RAYS = ", ".join(f"('{k}', {x}, {y}, 7)" for k, rays in _RAYS.items() for x, y in rays)
 ATTACKS_SQL = f"""
@@ -84,14 +187,10 @@ def duck_name(s: str) -> str:
     return _NAME.format(s)
 
 
-def name(column: str):
-    return F.expr(SPARK.name(column))
-
-
 def attack_query(key: str, oracle: str):
     def put(fn):
         def run(spark, sf_dir):
-            return fn(decoded(positions(spark, sf_dir)))
+            return fn(bitboards(decoded(positions(spark, sf_dir))))
 
         register(key, f"WITH {ATTACKS_SQL} {oracle}")(run)
         return fn
@@ -99,14 +198,16 @@ def attack_query(key: str, oracle: str):
     return put
 
 
-def listed(column, order="dest"):
-    """Texts of a group, in the order of a number."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), column.alias("t")))), lambda x: x["t"]), ",")
+def listed(mask: Column, empty: str = "none") -> Column:
+    text = F.array_join(names(mask), ",")
+    return F.when(mask == 0, empty).otherwise(text)
 
 
 @attack_query("j08_ray_join", "SELECT pos_id, sq::INTEGER AS sq, piece, dest::INTEGER AS dest, target FROM attacks")
 def ray_join(df):
-    return reach(df).select("pos_id", "sq", "piece", "dest", "target")
+    """A row per piece and square that it attacks."""
+    rows = spread(settled(pieces(df), hit=reach_of(F.col("at"), F.col("piece"))), "dest", "hit")
+    return rows.select("pos_id", "sq", "piece", "dest", F.expr(SPARK.at("dest")).alias("target"))
 
 
 @attack_query("q13_attackers_at", f"""
@@ -114,9 +215,9 @@ SELECT p.pos_id, coalesce(string_agg(a.piece || ' on ' || {duck_name('a.sq')}, '
 FROM pos p LEFT JOIN attacks a ON a.pos_id = p.pos_id AND a.white AND a.dest = ('0x' || substr(md5(p.pos_id || ':sq'), 1, 8))::BIGINT % 64
 GROUP BY p.pos_id""")
 def attackers_at(df):
-    hit = reach(df).where(F.col("white") & (F.col("dest") == F.expr(square("sq")(SPARK))))
-    found = hit.groupBy("pos_id").agg(listed(F.concat("piece", F.lit(" on "), name("sq")), "sq").alias("w"))
-    return df.select("pos_id").join(found, "pos_id", "left").select("pos_id", F.coalesce("w", F.lit("none")).alias("white_attackers"))
+    rows = settled(df, hit=attackers(bit(F.expr(square("sq")(SPARK))), True))
+    each = F.transform(squares(F.col("hit")), lambda s: F.concat(F.substring(F.col("b"), s + 1, F.lit(1)), F.lit(" on "), square_name(s)))
+    return rows.select("pos_id", F.when(F.col("hit") == 0, "none").otherwise(F.array_join(each, ",")).alias("white_attackers"))
 
 
 @attack_query("q14_is_pinned", f"""
@@ -127,31 +228,35 @@ FROM pos p LEFT JOIN (
   ON x.pos_id = p.pos_id AND (upper(substr(x.b, x.mid + 1, 1)) = substr(x.b, x.mid + 1, 1)) <> x.white
 GROUP BY p.pos_id""")
 def pinned(df):
-    through = reach(df, blockers=1).where(F.lower("piece").isin("b", "r", "q") & (F.col("target") == F.when(F.col("white"), "k").otherwise("K")))
-    through = through.withColumn("mid", F.expr("get(filter(between, t -> substr(b, t + 1, 1) <> '.'), 0)")).withColumn("held", F.expr(SPARK.at("mid")))
-    through = through.where((F.upper("held") == F.col("held")) != F.col("white"))
-    found = through.groupBy("pos_id").agg(F.array_join(F.array_sort(F.collect_set(name("mid"))), ",").alias("p"))
-    return df.select("pos_id").join(found, "pos_id", "left").select("pos_id", F.coalesce("p", F.lit("none")).alias("pinned"))
+    """Pieces of either side that alone stand between an enemy slider and their king."""
+    lines = [(white, line, dx, dy) for white in (True, False) for line in "br" for dx, dy in _RAYS[line]]
+    first = {f"first{i}": ray(kind("K" if white else "k"), F.col("free"), dx, dy).bitwiseAND(F.col("s_white" if white else "s_black")) for i, (white, _, dx, dy) in enumerate(lines)}
+    rows, none = settled(df, **first), F.lit(0).cast("long")
+    held = [F.when(ray(F.col(f"first{i}"), F.col("free"), dx, dy).bitwiseAND(sliders(not white, line)) != 0, F.col(f"first{i}")).otherwise(none) for i, (white, line, dx, dy) in enumerate(lines)]
+    rows = settled(rows, held=either(held))
+    return rows.select("pos_id", F.when(F.col("held") == 0, "none").otherwise(F.array_join(F.array_sort(names(F.col("held"))), ",")).alias("pinned"))
 
 
 @attack_query("q15_mobility_at", "SELECT pos_id, sq::INTEGER AS sq, piece, count(*) AS squares FROM attacks GROUP BY ALL")
 def mobility_at(df):
-    return reach(df).groupBy("pos_id", "sq", "piece").agg(F.count(F.lit(1)).alias("squares"))
+    rows = settled(pieces(df), squares=F.bit_count(reach_of(F.col("at"), F.col("piece"))).cast("long"))
+    return rows.where("squares > 0").select("pos_id", "sq", "piece", "squares")
 
 
 @attack_query("q16_is_check", "SELECT p.pos_id, CASE WHEN count(a.sq) > 0 THEN 'yes' ELSE 'no' END AS answer FROM pos p LEFT JOIN attacks a ON a.pos_id = p.pos_id AND a.target = CASE WHEN p.turn = 'w' THEN 'K' ELSE 'k' END AND a.white = (p.turn = 'b') GROUP BY p.pos_id")
 def is_check(df):
-    checks = checkers(df).groupBy("pos_id").agg(F.lit("yes").alias("y"))
-    return df.select("pos_id").join(checks, "pos_id", "left").select("pos_id", F.coalesce("y", F.lit("no")).alias("answer"))
+    return df.select("pos_id", F.when(checkers() != 0, "yes").otherwise("no").alias("answer"))
 
 
-def checkers(df):
-    return reach(df).where((F.col("target") == F.when(F.col("turn") == "w", "K").otherwise("k")) & (F.col("white") == (F.col("turn") == "b")))
+def checkers() -> Column:
+    """Pieces that give check to the side to move."""
+    return F.when(F.col("turn") == "w", attackers(kind("K"), False)).otherwise(attackers(kind("k"), True))
 
 
 @attack_query("q34_in_check", f"SELECT pos_id, string_agg({duck_name('sq')}, ',' ORDER BY {duck_name('sq')}) AS checkers FROM attacks WHERE target = CASE WHEN turn = 'w' THEN 'K' ELSE 'k' END AND white = (turn = 'b') GROUP BY pos_id")
 def in_check(df):
-    return checkers(df).groupBy("pos_id").agg(F.array_join(F.array_sort(F.collect_list(name("sq"))), ",").alias("checkers"))
+    rows = settled(df, checkers=checkers()).where("checkers <> 0")
+    return rows.select("pos_id", F.array_join(F.array_sort(names(F.col("checkers"))), ",").alias("checkers"))
 
 
 @attack_query("q21_hanging_pieces", f"""
@@ -162,22 +267,30 @@ FROM pos p LEFT JOIN (
   AND NOT EXISTS (SELECT 1 FROM attacks a WHERE a.pos_id = sq.pos_id AND a.dest = sq.sq AND a.white = (upper(sq.piece) = sq.piece))) s ON s.pos_id = p.pos_id
 GROUP BY p.pos_id""")
 def hanging(df):
-    on = reach(df).where((F.col("target") != ".") & (F.lower("target") != "k"))
-    own = F.col("white") == (F.upper("target") == F.col("target"))
-    loose = on.groupBy("pos_id", "dest").agg(F.count_if(own).alias("guards")).where("guards = 0")
-    found = loose.groupBy("pos_id").agg(listed(name("dest")).alias("h"))
-    return df.select("pos_id").join(found, "pos_id", "left").select("pos_id", F.coalesce("h", F.lit("none")).alias("hanging"))
+    """Pieces but kings that the enemy attacks and nothing defends."""
+    rows = df.withColumns({"by_white": attacked(True), "by_black": attacked(False)})
+    w, k = F.col("by_white"), F.col("by_black")
+    loose = either([F.col("s_white").bitwiseAND(k).bitwiseAND(F.bitwise_not(w)), F.col("s_black").bitwiseAND(w).bitwiseAND(F.bitwise_not(k))]).bitwiseAND(F.bitwise_not(kind("K").bitwiseOR(kind("k"))))
+    return settled(rows, loose=loose).select("pos_id", listed(F.col("loose")).alias("hanging"))
 
 
 @attack_query("q38_attacked_by", f"SELECT pos_id, {duck_name('dest')} AS square, string_agg({duck_name('sq')}, ',' ORDER BY {duck_name('sq')}) AS attackers FROM attacks WHERE white GROUP BY pos_id, dest")
 def attacked_by(df):
-    return reach(df).where("white").groupBy("pos_id", "dest").agg(F.array_join(F.array_sort(F.collect_list(name("sq"))), ",").alias("attackers")).select("pos_id", name("dest").alias("square"), "attackers")
+    rows = spread(settled(df, hit=attacked(True)), "sq", "hit")
+    rows = settled(rows, who=attackers(bit(F.col("sq")), True))
+    return rows.select("pos_id", square_name(F.col("sq")).alias("square"), F.array_join(F.array_sort(names(F.col("who"))), ",").alias("attackers"))
 
 
 @attack_query("p14_mobility", "SELECT p.pos_id, count(*) FILTER (a.white) AS white, count(*) FILTER (NOT a.white) AS black FROM pos p LEFT JOIN attacks a ON a.pos_id = p.pos_id AND lower(a.piece) IN ('n', 'b', 'r', 'q') GROUP BY p.pos_id")
 def mobility(df):
-    moves = reach(df).where(F.lower("piece").isin("n", "b", "r", "q")).groupBy("pos_id").agg(F.count_if("white").alias("w"), F.count_if(~F.col("white")).alias("k"))
-    return df.select("pos_id").join(moves, "pos_id", "left").select("pos_id", F.coalesce("w", F.lit(0)).alias("white"), F.coalesce("k", F.lit(0)).alias("black"))
+    """Squares that a side's officers attack, counted a piece: rays of a direction are disjoint, leaps of a step too."""
+    return df.select("pos_id", mobile(True).alias("white"), mobile(False).alias("black"))
+
+
+def mobile(white: bool) -> Column:
+    rays = [ray(sliders(white, line), F.col("free"), dx, dy) for line in "br" for dx, dy in _RAYS[line]]
+    jumps = [moved(kind("N" if white else "n"), dx, dy) for dx, dy in _STEPS["n"]]
+    return reduce(lambda a, b: a + b, (F.bit_count(x) for x in rays + jumps)).cast("long")
 
 
 _VALUE = "CASE lower({0}) WHEN 'p' THEN 1 WHEN 'n' THEN 3 WHEN 'b' THEN 3 WHEN 'r' THEN 5 WHEN 'q' THEN 9 WHEN 'k' THEN 100 ELSE 0 END"
@@ -190,25 +303,51 @@ SELECT pos_id, {duck_name('sq')} AS slider, mid_piece, substr(b, dest::INTEGER +
 WHERE substr(b, dest::INTEGER + 1, 1) <> '.' AND (upper(mid_piece) = mid_piece) <> white AND (upper(substr(b, dest::INTEGER + 1, 1)) = substr(b, dest::INTEGER + 1, 1)) <> white
 AND {_VALUE.format('substr(b, dest::INTEGER + 1, 1)')} > {_VALUE.format('mid_piece')}""")
 def xray(df):
-    rows = reach(df, blockers=1).where(F.lower("piece").isin("b", "r", "q") & (F.col("target") != "."))
-    rows = rows.withColumn("mid_piece", F.expr("substr(b, get(filter(between, t -> substr(b, t + 1, 1) <> '.'), 0) + 1, 1)"))
-    enemy = lambda c: (F.upper(c) == F.col(c)) != F.col("white")
-    rows = rows.where(enemy("mid_piece") & enemy("target") & F.expr(f"{_VALUE.format('target')} > {_VALUE.format('mid_piece')}"))
-    return rows.select("pos_id", name("sq").alias("slider"), "mid_piece", F.col("target").alias("behind"))
+    """Sliders that see, behind an enemy piece, another of more worth."""
+    rows = settled(pieces(df).where(F.lower("piece").isin("b", "r", "q")), enemy=F.when(F.col("white"), F.col("s_black")).otherwise(F.col("s_white")))
+    lines, none = [(line, dx, dy) for line in "br" for dx, dy in _RAYS[line]], F.lit(0).cast("long")
+    rows = settled(rows, **{f"first{i}": F.when(F.lower("piece").isin(line, "q"), ray(F.col("at"), F.col("free"), dx, dy).bitwiseAND(F.col("enemy"))).otherwise(none) for i, (line, dx, dy) in enumerate(lines)})
+    through = [F.struct(F.col(f"first{i}").alias("mid"), ray(F.col(f"first{i}"), F.col("free"), dx, dy).bitwiseAND(F.col("enemy")).alias("end")) for i, (_, dx, dy) in enumerate(lines)]
+    rows = each(rows, "x", F.array(*through)).where("x.end <> 0")
+    letter = lambda mask: F.substring(F.col("b"), F.get(squares(mask), F.lit(0)) + 1, F.lit(1))
+    rows = rows.withColumn("mid_piece", letter(F.col("x.mid"))).withColumn("behind", letter(F.col("x.end")))
+    return rows.where(F.expr(f"{_VALUE.format('behind')} > {_VALUE.format('mid_piece')}")).select("pos_id", square_name(F.col("sq")).alias("slider"), "mid_piece", "behind")
 
 
 @attack_query("p27_attacks_json", f"""
 SELECT pos_id, {duck_name('sq')} AS square, piece, '[' || string_agg('"' || ({duck_name('dest')}) || '"', ',' ORDER BY dest) || ']' AS attacks FROM attacks GROUP BY pos_id, sq, piece""")
 def attacks_json(df):
-    rows = reach(df).groupBy("pos_id", "sq", "piece").agg(F.transform(F.array_sort(F.collect_list("dest")), lambda s: F.concat(F.substring(F.lit("abcdefgh"), s % 8 + 1, F.lit(1)), (F.floor(s / 8) + 1).cast("string"))).alias("a"))
-    return rows.select("pos_id", name("sq").alias("square"), "piece", F.to_json("a").alias("attacks"))
+    rows = settled(pieces(df), hit=reach_of(F.col("at"), F.col("piece"))).where("hit <> 0")
+    return rows.select("pos_id", square_name(F.col("sq")).alias("square"), "piece", F.to_json(names(F.col("hit"))).alias("attacks"))
 
 
 @attack_query("p24_describe_square", f"""
 SELECT s.pos_id, {duck_name('s.sq')} AS square, s.piece || ' attacked by ' || count(a.sq) FILTER (a.white <> (upper(s.piece) = s.piece)) || ', defended by ' || count(a.sq) FILTER (a.white = (upper(s.piece) = s.piece)) AS text
 FROM sq s LEFT JOIN attacks a ON a.pos_id = s.pos_id AND a.dest = s.sq GROUP BY s.pos_id, s.sq, s.piece""")
 def describe_square(df):
-    hits = reach(df).where("target <> '.'").groupBy("pos_id", "dest").agg(F.count_if("white").alias("w"), F.count_if(~F.col("white")).alias("k"))
-    rows = pieces(df).join(hits.withColumnRenamed("dest", "sq"), ["pos_id", "sq"], "left")
-    w, k = F.coalesce("w", F.lit(0)), F.coalesce("k", F.lit(0))
-    return rows.select("pos_id", name("sq").alias("square"), F.concat("piece", F.lit(" attacked by "), F.when(F.col("white"), k).otherwise(w), F.lit(", defended by "), F.when(F.col("white"), w).otherwise(k)).alias("text"))
+    rows = pieces(df)
+    count = lambda white: F.bit_count(attackers(F.col("at"), white)).cast("string")
+    rows = rows.withColumns({"w": count(True), "k": count(False)})
+    return rows.select("pos_id", square_name(F.col("sq")).alias("square"), F.concat("piece", F.lit(" attacked by "), F.when(F.col("white"), F.col("k")).otherwise(F.col("w")), F.lit(", defended by "), F.when(F.col("white"), F.col("w")).otherwise(F.col("k"))).alias("text"))
+
+
+@attack_query("l06_cheapest_attacker", f"""
+SELECT p.pos_id, x.square, x.attacker FROM pos p LEFT JOIN (
+ SELECT pos_id, {duck_name('dest')} AS square, {duck_name("arg_min(sq, (CASE lower(piece) WHEN 'p' THEN 1 WHEN 'n' THEN 3 WHEN 'b' THEN 3 WHEN 'r' THEN 5 WHEN 'q' THEN 9 ELSE 0 END) * 64 + sq)")} AS attacker
+ FROM (SELECT *, min(dest) OVER (PARTITION BY pos_id) AS least FROM attacks WHERE white = (turn = 'w') AND target <> '.' AND (upper(target) = target) <> white) WHERE dest = least GROUP BY pos_id, dest) x ON x.pos_id = p.pos_id""")
+def cheapest_attacker(df):
+    """Of the side to move, the least piece that attacks the first enemy piece under attack; a king counts nothing."""
+    rows = settled(df, hit=F.when(F.col("turn") == "w", attacked(True).bitwiseAND(F.col("s_black"))).otherwise(attacked(False).bitwiseAND(F.col("s_white"))))
+    rows = rows.withColumn("sq", F.get(squares(F.col("hit")), F.lit(0))).withColumn("at", bit(F.col("sq")))
+    rows = settled(rows, who=F.when(F.col("turn") == "w", attackers(F.col("at"), True)).otherwise(attackers(F.col("at"), False)))
+    # Worth and square as one number.
+    worth = lambda white: F.array(*(F.when(F.col("who").bitwiseAND(kind(k.upper() if white else k)) != 0, v * 64 + F.get(squares(F.col("who").bitwiseAND(kind(k.upper() if white else k))), F.lit(0))) for k, v in zip("kpnbrq", (0, 1, 3, 3, 5, 9), strict=True)))
+    least = F.array_min(F.when(F.col("turn") == "w", worth(True)).otherwise(worth(False)))
+    return rows.select("pos_id", square_name(F.col("sq")).alias("square"), square_name(least % 64).alias("attacker"))
+
+
+@attack_query("p16_position_context", f"""SELECT p.*, m.white AS mobility_white, m.black AS mobility_black FROM (SELECT pos_id, {', '.join(f'{f(DUCK)} AS {c}' for c, f in CONTEXT.items())} FROM pos) p JOIN (
+ SELECT p.pos_id, count(*) FILTER (a.white) AS white, count(*) FILTER (NOT a.white) AS black FROM pos p LEFT JOIN attacks a ON a.pos_id = p.pos_id AND lower(a.piece) IN ('n', 'b', 'r', 'q') GROUP BY p.pos_id) m ON m.pos_id = p.pos_id""")
+def position_context(df):
+    """Phase, material, pawn structure, open files, mobility and kings of a position: all its fields in one row."""
+    return df.select("pos_id", *(F.expr(f(SPARK)).alias(c) for c, f in CONTEXT.items()), mobile(True).alias("mobility_white"), mobile(False).alias("mobility_black"))

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plyforge.functions.dialect import DUCK, SPARK
-from plyforge.functions.rules import Position, fork_moves, move_facts, uci
+from plyforge.functions.rules import Position, move_facts, uci
 from plyforge.operators.engine import LINES_SQL, TERMS, engine_lines, engine_query, eval_label, label_sql, move_class, class_sql, notable, notable_sql, term_vector, TERMS_SQL
 from plyforge.operators.features import decoded, feature, full_name_at, or_none, rights, square
-from plyforge.operators.moves import chosen, decode_record, encode_record, position_query
+from plyforge.operators.moves import chosen, position_query
 from plyforge.operators.records import bucket, on, sql_bucket, table
 from plyforge.operators.text import TEXTS, scorer, stripped
 from plyforge.plans.registry import register
@@ -150,13 +150,9 @@ def batch_health(df):
 
 # -- prompts --
 
-scorer("x07_sections", None, sections=lambda t, n: F.split(F.concat(F.lit("intro\n## A\n"), t, F.lit("\n### B\nend")), r"\n(?=#{2,3} )"))
 scorer("x10_sentinel_injection", "regexp_replace(text, '(LINE [0-9]+: )', '\\1<|board|>', 'g') AS prompt", prompt=lambda t, n: F.regexp_replace(t, "(LINE [0-9]+: )", "$1<|board|>"))
-scorer("x13_reply_labels", "list_transform(range(0, 24), lambda i: CASE WHEN i >= length(left(text, 12)) THEN i ELSE -100 END) AS labels", labels=lambda t, n: F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.when(i >= F.length(F.left(t, F.lit(12))), i).otherwise(-100)))
-
-
-@register("x13_reply_labels_whole", "SELECT conv_id, turn, list_transform(range(0, length(head) + length(text) + 11), lambda i: CASE WHEN role = 'assistant' AND i >= length(head) AND i < length(head) + length(text) + 10 THEN i ELSE -100 END) AS labels FROM (SELECT conv_id, turn, role, '<|im_start|>' || coalesce(role, '') || chr(10) AS head, coalesce(text, '') AS text FROM conversations)")
-def reply_labels_whole(spark, sf_dir):
+@register("x13_reply_labels", "SELECT conv_id, turn, list_transform(range(0, length(head) + length(text) + 11), lambda i: CASE WHEN role = 'assistant' AND i >= length(head) AND i < length(head) + length(text) + 10 THEN i ELSE -100 END) AS labels FROM (SELECT conv_id, turn, role, '<|im_start|>' || coalesce(role, '') || chr(10) AS head, coalesce(text, '') AS text FROM conversations)")
+def reply_labels(spark, sf_dir):
     """Of every turn as the chat template writes it, a label a position: places of a reply with its end mark, -100 elsewhere."""
     rows = table(spark, sf_dir, "conversations").withColumn("role", F.coalesce("role", F.lit("")))
     begin = F.length(F.concat(F.lit("<|im_start|>"), "role", F.lit("\n")))
@@ -196,22 +192,14 @@ def inline_moves(fen, pick):
     return ("; ".join(f"{k}: {', '.join(v) or 'none'}" for k, v in found.items()),)
 
 
-@register("x05_diagram_contexts", "SELECT conv_id, turn, coalesce(lag(left(text, 60)) OVER w, '') AS text_before, coalesce(lead(left(text, 60)) OVER w, '') AS text_after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
-def diagram_contexts(spark, sf_dir):
-    """Each diagram with the text before and after it."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    short = F.left("text", F.lit(60))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.lag(short).over(w), F.lit("")).alias("text_before"), F.coalesce(F.lead(short).over(w), F.lit("")).alias("text_after"))
-
-
 #: Characters from which a context takes no further line (fixed value).
 CONTEXT = 1500
 _LINES_SQL = "SELECT conv_id, s, i, l, sum(length(l) + 1) OVER (PARTITION BY conv_id ORDER BY s, i) AS line_end FROM (SELECT conv_id, s, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (SELECT conv_id, s, string_split(text, chr(10)) AS ls FROM turns))"
 _CONTEXT_SQL = "coalesce((SELECT regexp_replace(regexp_replace(string_agg(l, chr(10) ORDER BY line_end), '^\\s+', ''), '\\s+$', '') FROM lines WHERE lines.conv_id = turns.conv_id AND {0}), '')"
 
 
-@register("x05_diagram_context_lines", f"WITH turns AS (SELECT *, e - length(text) - 1 AS s FROM (SELECT *, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn, text) AS e FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations))), lines AS ({_LINES_SQL}) SELECT conv_id, turn, {_CONTEXT_SQL.format(f'line_end <= turns.s AND turns.s - line_end < {CONTEXT}')} AS text_before, {_CONTEXT_SQL.format(f'line_end - length(l) - 1 >= turns.e AND line_end - length(l) - 1 - turns.e < {CONTEXT}')} AS text_after FROM turns")
-def diagram_context_lines(spark, sf_dir):
+@register("x05_diagram_contexts", f"WITH turns AS (SELECT *, e - length(text) - 1 AS s FROM (SELECT *, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn, text) AS e FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations))), lines AS ({_LINES_SQL}) SELECT conv_id, turn, {_CONTEXT_SQL.format(f'line_end <= turns.s AND turns.s - line_end < {CONTEXT}')} AS text_before, {_CONTEXT_SQL.format(f'line_end - length(l) - 1 >= turns.e AND line_end - length(l) - 1 - turns.e < {CONTEXT}')} AS text_after FROM turns")
+def diagram_contexts(spark, sf_dir):
     """Each diagram with the whole lines before and after it, nearest first, until they hold CONTEXT characters or more."""
     by, size = Window.partitionBy("conv_id"), lambda c: F.length(c).cast("long") + 1
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
@@ -274,20 +262,3 @@ def imbalance_labels(df):
 @engine_query("l04_dominant", f"SELECT {_KEY}, list_max(list_transform(t, lambda x: abs(x))) AS size FROM (SELECT *, {TERMS_SQL} AS t FROM LINES)")
 def dominant_size(df):
     return df.withColumn("terms", term_vector()).select(*_KEYS, F.array_max(F.transform("terms", lambda x: F.abs(x))).alias("size"))
-
-
-@position_query("l06_cheapest_attacker", "square string, attacker string")
-def cheapest_attacker(fen, pick):
-    """Of the side to move, the least piece that attacks the first enemy piece under attack."""
-    from plyforge.functions.rules import NAMES, VALUES
-
-    p = Position(fen)
-    for s in range(64):
-        if p.own(p.board[s], not p.white) and (found := p.attackers(s, p.white)):
-            return NAMES[s], NAMES[min(found, key=lambda a: (VALUES[p.board[a].lower()], a))]
-    return None, None
-
-
-@position_query("p16_fork_count", "forks long")
-def fork_count(fen, pick):
-    return (len(fork_moves(Position(fen))),)

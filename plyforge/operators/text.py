@@ -309,6 +309,4 @@ scorer("x21_partial_tag", "list_max([0, " + ", ".join(f"CASE WHEN ends_with(text
        held=lambda t, n: partial_tag(F.concat(t, F.left(F.lit("</think>"), (F.col("turn") % 9).cast("int")))))
 scorer("x22_board_place", "CASE WHEN (conv_id + turn) % 2 = 0 THEN '[board]' || chr(10) || text ELSE text || chr(10) || '[board]' END AS prompt", prompt=lambda t, n: F.when((F.col("conv_id") + F.col("turn")) % 2 == 0, F.concat(F.lit("[board]\n"), t)).otherwise(F.concat(t, F.lit("\n[board]"))))
 scorer("x11_sentinel_expand", "list_sum(list_transform(string_split(text, ' '), lambda w: CASE WHEN contains(w, 'Nf3') THEN 65 ELSE 1 END))::BIGINT AS n_ids", n_ids=lambda t, n: F.aggregate(F.split(t, " "), F.lit(0).cast("long"), lambda a, w: a + F.when(w.contains("Nf3"), 65).otherwise(1)))
-scorer("x03_ranks_to_fen", "regexp_replace('..P.....', '\\.{2}', '2', 'g') AS rank", rank=lambda t, n: F.regexp_replace(F.lit("..P....."), r"\.{2}", "2"))
-scorer("x06_sentinels", r"array_to_string(regexp_extract_all('[Position (a): 8/8 w] x [Position: k7/8 b]', '\[Position[^:\]]*:\s*([^\]]+)\]', 1), '|') || text AS fens", fens=lambda t, n: F.concat(F.array_join(F.regexp_extract_all(F.lit("[Position (a): 8/8 w] x [Position: k7/8 b]"), F.lit(r"\[Position[^:\]]*:\s*([^\]]+)\]"), F.lit(1)), "|"), t))
 scorer("m11_clean_comment", r"trim(regexp_replace(regexp_replace('[%clk 0:01:02] ' || text, '\[%[^\]]*\]', '', 'g'), '\s+', ' ', 'g')) AS comment", comment=lambda t, n: F.trim(F.regexp_replace(F.regexp_replace(F.concat(F.lit("[%clk 0:01:02] "), t), r"\[%[^\]]*\]", ""), r"\s+", " ")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plyforge.operators import attacks, datasets, engine, features, moves, records, text  # noqa: F401
+from plyforge.operators import attacks, datasets, engine, features, moves, records, text, textbook  # noqa: F401
 from plyforge.plans import registry
 from plyforge.streaming import logs  # noqa: F401
 
