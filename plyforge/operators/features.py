@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plyforge.functions.dialect import DUCK, SPARK, Dialect
+from plyforge.operators.bitboards import bitboards, pawn_sets, settled
 from plyforge.plans.registry import register
 from plyforge.sources.positions import POSITIONS_SQL, positions
 
@@ -27,8 +28,33 @@ def decoded(df: DataFrame) -> DataFrame:
     return df.sparkSession.sql(f"SELECT * FROM {SPARK.decoded('{df}')}", df=df).drop("f")
 
 
+def context(df: DataFrame) -> DataFrame:
+    """``df`` (decoded and with bitboards) plus the sets that pawn structure and kings are told from."""
+    return settled(df, **pawn_sets())
+
+
 def apply(df: DataFrame, columns) -> DataFrame:
-    return decoded(df).selectExpr("pos_id", *(f"{f(SPARK)} AS {c}" for c, f in columns.items()))
+    texts, rows = {c: f(SPARK) for c, f in columns.items()}, decoded(df)
+    if any("m_" in t or "s_w" in t or "s_b" in t for t in texts.values()):
+        rows = context(bitboards(rows))
+    return rows.selectExpr("pos_id", *(f"{t} AS {c}" for c, t in texts.items()))
+
+
+# Structure is told by sets of bits in Spark and by lists of squares in DuckDB: two ways to one answer.
+
+
+def on_set(mask: str) -> str:
+    """The squares of a set, ascending."""
+    return f"CASE WHEN {mask} = 0 THEN array() ELSE filter(sequence(0, 63), z0 -> getbit({mask}, z0) = 1) END"
+
+
+def on_files(mask: str) -> str:
+    """The letters of a set of files."""
+    return f"CASE WHEN {mask} = 0 THEN array() ELSE transform(filter(sequence(0, 7), z0 -> getbit({mask}, z0) = 1), z0 -> substr('abcdefgh', z0 + 1, 1)) END"
+
+
+def colour_of(white: bool) -> str:
+    return "w" if white else "b"
 
 
 def side(d: Dialect, white: bool, pieces: str) -> str:
@@ -102,21 +128,27 @@ def pawns_on(d, white, f):
 
 
 def doubled(white):
-    return lambda d: d.map(d.filter(d.seq(0, 8), "f", f"{pawns_on(d, white, 'f')} >= 2"), "f", "substr('abcdefgh', f + 1, 1)")
+    return lambda d: on_files(f"m_doubled_{colour_of(white)}") if d.spark else d.map(d.filter(d.seq(0, 8), "f", f"{pawns_on(d, white, 'f')} >= 2"), "f", "substr('abcdefgh', f + 1, 1)")
 
 
 def isolated(d, white):
+    if d.spark:
+        return on_set(f"m_isolated_{colour_of(white)}")
     own = side(d, white, "p")
     return d.filter(d.where(own), "s", f"NOT ({d.any(d.where(own, 't'), 't', 'abs(t % 8 - s % 8) = 1')})")
 
 
 def passed(d, white):
+    if d.spark:
+        return on_set(f"m_passed_{colour_of(white)}")
     own, enemy = side(d, white, "p"), side(d, not white, "p")
     ahead = f"{d.rank('t')} {'>' if white else '<'} {d.rank('s')}"
     return d.filter(d.where(own), "s", f"NOT ({d.any(d.where(enemy, 't'), 't', f'abs(t % 8 - s % 8) <= 1 AND {ahead}')})")
 
 
 def open_files(d, kind):
+    if d.spark:
+        return on_files("m_open" if kind == "open" else f"m_half_{kind[0]}")
     w, b = pawns_on(d, True, "f"), pawns_on(d, False, "f")
     test = {"open": f"{w} = 0 AND {b} = 0", "white": f"{w} = 0 AND {b} > 0", "black": f"{b} = 0 AND {w} > 0"}[kind]
     return d.map(d.filter(d.seq(0, 8), "f", test), "f", "substr('abcdefgh', f + 1, 1)")
@@ -132,6 +164,8 @@ def king(d, white):
 
 def shield(white):
     def sql(d):
+        if d.spark:
+            return f"bit_count(m_shield_{colour_of(white)})"
         k, step = king(d, white), 1 if white else -1
         near = d.filter(d.where(side(d, white, "p")), "s", f"abs(s % 8 - {k} % 8) <= 1 AND {d.rank('s')} = {d.rank(k)} + {step}")
         return f"CASE WHEN {k} < 0 THEN 0 ELSE {d.size(near)} END"
@@ -140,6 +174,8 @@ def shield(white):
 
 def open_near_king(white):
     def sql(d):
+        if d.spark:
+            return d.join(on_files(f"m_near_{colour_of(white)}"), ",")
         k = king(d, white)
         own, other = pawns_on(d, white, "f"), pawns_on(d, not white, "f")
         free = f"abs(f - {k} % 8) <= 1 AND {own} = 0 AND ({other} >= 0)"
