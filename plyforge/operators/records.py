@@ -78,10 +78,16 @@ def resumable(df, resume=300, stride=6, slot=2):
     return df.where((F.col("event_id") >= resume) & (F.pmod("event_id", F.lit(stride)) == slot)).select("event_id", "user_id")
 
 
-@on("orders", "s10_archives_newest_first", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn <= 3")
-def archives(df):
-    order = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    return df.withColumn("rn", F.row_number().over(order)).where("rn <= 3").select("o_custkey", "o_orderkey")
+_PGN = "CASE WHEN o_orderkey % 5 = 0 THEN '' WHEN o_orderkey % 7 = 0 THEN 'no game' ELSE '[Event \"' || o_orderkey || '\"] 1. e4 *' END"
+
+
+@on("orders", "s10_archives_newest_first", f"SELECT o_custkey, month, o_orderkey FROM (SELECT *, dense_rank() OVER (PARTITION BY o_custkey ORDER BY month DESC) AS age FROM (SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y/%m') AS month, {_PGN} AS pgn FROM orders)) WHERE age <= 3 AND pgn LIKE '[Event%'")
+def archives(df, months=3):
+    """Games of each player's last ``months`` monthly archives; games whose PGN is empty or can't be read are passed over."""
+    games = df.select("o_custkey", "o_orderkey", F.date_format("o_orderdate", "yyyy/MM").alias("month"), F.expr(_PGN).alias("pgn"))
+    # The archives are few a player (one a month); the games stay a row each.
+    listed = games.select("o_custkey", "month").distinct().withColumn("age", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("month")))).where(F.col("age") <= months)
+    return games.where(F.col("pgn").startswith("[Event")).join(listed, ["o_custkey", "month"], "left_semi").select("o_custkey", "month", "o_orderkey")
 
 
 @on("events", "s11_cache_last_wins", "SELECT user_id AS key, arg_max(event_type, event_id) AS comment FROM events WHERE event_type <> '' GROUP BY user_id")
@@ -111,9 +117,11 @@ def newest(df):
     return df.select("event_id", "ts").orderBy(F.desc("event_id"))
 
 
-@register("s20_benchmark_configs", "SELECT 'bench' AS config, item_id AS task_id FROM benchmark UNION ALL SELECT 'pages', page_id FROM pages")
+@register("s20_benchmark_configs", "SELECT 'bench' AS config, item_id AS task_id FROM benchmark UNION ALL SELECT 'pages', page_id FROM pages ORDER BY task_id, config")
 def configs(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.lit("bench").alias("config"), F.col("item_id").alias("task_id")).unionByName(table(spark, sf_dir, "pages").select(F.lit("pages").alias("config"), F.col("page_id").alias("task_id")))
+    """The configurations as one table, in the order of task ids."""
+    both = table(spark, sf_dir, "benchmark").select(F.lit("bench").alias("config"), F.col("item_id").alias("task_id")).unionByName(table(spark, sf_dir, "pages").select(F.lit("pages").alias("config"), F.col("page_id").alias("task_id")))
+    return both.orderBy("task_id", "config")
 
 
 @on("part", "s21_theme_sample", f"SELECT p_partkey FROM part WHERE list_contains(string_split(p_type, ' '), 'STEEL') ORDER BY {sql_bucket('p_partkey', 'mate', 1 << 30)}, p_partkey LIMIT 40")
@@ -328,17 +336,31 @@ def weighted_mean(df):
     return df.select("event_id", F.when(a.isNull() & b.isNull(), 0.0).otherwise(total / F.nullif(weight, F.lit(0.0))).alias("score"))
 
 
-@on("lineitem", "a11_group_jaccard", """
-WITH s AS (SELECT l_orderkey, l_linenumber, list_distinct([l_partkey % 7, l_suppkey % 7, l_partkey % 5]) AS t FROM lineitem)
-SELECT a.l_orderkey, sum(round(1e9 * (len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t)))))::BIGINT)::DOUBLE / count(*) / 1e9 AS jaccard FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber GROUP BY 1""")
-def group_jaccard(df):
-    """Mean pairwise Jaccard of the completions of a prompt; a prompt has a handful of them."""
-    sets = df.select("l_orderkey", "l_linenumber", F.array_distinct(F.array(F.col("l_partkey") % 7, F.col("l_suppkey") % 7, F.col("l_partkey") % 5)).alias("t"))
-    other = sets.select("l_orderkey", F.col("l_linenumber").alias("n2"), F.col("t").alias("t2"))
-    pairs = sets.join(other, "l_orderkey").where("l_linenumber < n2")
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda w: w <> ''))"
+
+
+@on("conversations", "a11_group_jaccard", f"""
+WITH s AS (SELECT conv_id, turn // 4 AS part, turn, {_WORDS} AS t FROM conversations)
+SELECT a.conv_id, a.part, sum(CASE WHEN len(a.t) + len(b.t) = 0 THEN 1000000000 ELSE round(1e9 * (len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t)))))::BIGINT END)::DOUBLE / count(*) / 1e9 AS jaccard
+FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.part = b.part AND a.turn < b.turn GROUP BY 1, 2""")
+def group_jaccard(df, size=4):
+    """Mean pairwise Jaccard of the words of the ``size`` completions of a group; groups of one have none."""
+    sets = df.select("conv_id", F.expr(f"turn div {size}").alias("part"), F.struct("turn", words(F.col("text")).alias("t")).alias("x"))
+    groups = sets.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("x")).alias("xs")).where(F.size("xs") > 1)
+    return groups.select("conv_id", "part", mean_jaccard(F.transform("xs", lambda x: x["t"])).alias("jaccard"))
+
+
+def words(text: Column) -> Column:
+    """The distinct words of a text, in lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != ""))
+
+
+def mean_jaccard(sets: Column) -> Column:
+    """Of an array of sets of words, two at least: the mean over all pairs; two empty sets are alike."""
     # Summed in whole billionths, so that the order of the sum does not show.
-    part = F.round(F.lit(1e9) * (F.size(F.array_intersect("t", "t2")) / F.size(F.array_union("t", "t2")))).cast("long")
-    return pairs.groupBy("l_orderkey").agg((F.sum(part).cast("double") / F.count(F.lit(1)) / 1e9).alias("jaccard"))
+    part = lambda a, b: F.when(F.size(a) + F.size(b) == 0, F.lit(1000000000).cast("long")).otherwise(F.round(F.lit(1e9) * (F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1)))).cast("long"))
+    total = F.aggregate(F.transform(sets, lambda a, i: F.aggregate(F.slice(sets, i + 2, F.size(sets)), F.lit(0).cast("long"), lambda acc, b: acc + part(a, b))), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    return total.cast("double") / (F.size(sets) * (F.size(sets) - 1) / 2) / 1e9
 
 
 @on("lineitem", "a12_spread", "SELECT l_orderkey, CASE WHEN count(*) < 2 THEN 0 ELSE max(l_quantity) - min(l_quantity) END AS spread FROM lineitem GROUP BY 1")
@@ -383,9 +405,26 @@ def top1_retrieval(df, batch=64):
     return best.agg(F.avg((F.col("label") == F.col("o_label")).cast("double")).alias("top1"), F.count(F.lit(1)).alias("n"))
 
 
-@on("conversations", "a18_masked_accuracy", "SELECT role, avg(CASE WHEN length(text) % 2 = turn % 2 THEN 1.0 ELSE 0.0 END) AS accuracy FROM conversations WHERE role <> 'system' GROUP BY role")
+_TOKENS = "list_transform(string_split(coalesce(text, ''), ' '), lambda w: length(w)::INTEGER)"
+
+
+@on("conversations", "a18_masked_accuracy", f"""
+SELECT conv_id, turn, len(list_filter(range(2, n + 1), lambda i: i % 3 <> 0 AND (i + turn) % 4 <> 0))::DOUBLE / greatest(len(list_filter(range(2, n + 1), lambda i: i % 3 <> 0)), 1) AS accuracy FROM (SELECT conv_id, turn, len({_TOKENS}) AS n FROM conversations)""")
 def masked_accuracy(df):
-    return df.where("role <> 'system'").groupBy("role").agg(F.avg((F.length("text") % 2 == F.col("turn") % 2).cast("double")).alias("accuracy"))
+    """Of tokens, labels (a third of them masked by -100) and predictions (a quarter of them wrong), the accuracy of each turn."""
+    ids = F.transform(F.split(F.coalesce("text", F.lit("")), " "), lambda w: F.length(w))
+    labels = F.transform(ids, lambda x, i: F.when((i + 1) % 3 == 0, -100).otherwise(x))
+    # What is predicted at a place is the token after it.
+    predicted = F.transform(ids, lambda x, i: F.when((i + 2 + F.col("turn")) % 4 == 0, -1).otherwise(F.coalesce(F.get(ids, i + 1), F.lit(-2))))
+    return df.select("conv_id", "turn", token_accuracy(predicted, labels).alias("accuracy"))
+
+
+def token_accuracy(predicted: Column, labels: Column) -> Column:
+    """The share of places whose prediction is the next label, of those where the next label is not masked; 0 of none."""
+    n = F.size(labels) - 1
+    pairs = F.zip_with(F.slice(predicted, 1, F.greatest(n, F.lit(0))), F.slice(labels, 2, F.greatest(n, F.lit(0))), lambda p, l: F.struct(p.alias("p"), l.alias("l")))
+    seen = F.filter(pairs, lambda x: x["l"] != -100)
+    return F.size(F.filter(seen, lambda x: x["p"] == x["l"])) / F.greatest(F.size(seen), F.lit(1))
 
 
 @on("labels", "a19_lift", "SELECT avg(quality) FILTER (toxic = 1) - avg(quality) FILTER (toxic = 0) AS lift FROM labels")

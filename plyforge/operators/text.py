@@ -1,6 +1,6 @@
 """Scorers and parsers of completions: Column in, Column out, inside code generation.
 
-The queries score a table of completions: every conversation turn picks one of a set of texts that hold the forms which the
+The queries score a table of completions: the text of every conversation turn, put into one of a set of forms which the
 scorers must tell apart.
 """
 
@@ -15,33 +15,34 @@ from plyforge.plans.registry import register
 from plyforge.sources.positions import quoted
 
 TEXTS = (
-    '<think>Nf3 and Bc4 keep the pressure on the open file, so the rook gains activity here.</think>\nLINE 1: Nf3 (develops) → Nc6 → Bc4 | eval: equal\n<comment>The fork wins material because the outpost on d5 is strong.</comment>',
-    '<think>short</think>{"move": "e2e4"}',
-    'no thinking at all, only {"move": "d2d4"} and more words',
-    '<think>I look at {"move": "a2a3"} first.</think> then {"move": "g1f3"}\n',
-    'PLAYED: e4 → e5 → Nf3 | eval: good for white</line> A pin and a skewer decide the centre.',
-    'LINE 1: d4 → d5 | eval: good for black\nLINE 2: c4 → e6 → Nc3 | eval: winning for white\n</line> Since the bishop pair is active.',
-    'This was a terrible blunder, a bad choice.',
-    'A solid and decent reply, nothing wrong.',
-    'FINAL ANSWER: **Nf3**\nthanks',
-    'the final answer is $\\boxed{e4, d4}$',
-    'final answer: b5, a5\nFINAL ANSWER: a5, b5',
-    '{"correctness": 2.5, "think_quality": 4, "completeness": 3}',
-    'Scores: {"correctness": 3, "clarity": 5, "fluency": 1} done',
+    '<think>Nf3 and Bc4 keep the pressure on the open file, so the rook gains activity here. {t}</think>\nLINE 1: Nf3 (develops) → Nc6 → Bc4 | eval: equal\n<comment>The fork wins material because the outpost on d5 is strong. {t}</comment>',
+    '<think>short</think>{t}{"move": "e2e4"}',
+    'no thinking at all, only {"move": "d2d4"} and more words {t}',
+    '<think>I look at {"move": "a2a3"} first. {t}</think> {t} then {"move": "g1f3"}\n',
+    'PLAYED: e4 → e5 → Nf3 | eval: good for white</line> A pin and a skewer decide the centre. {t}',
+    '{t}\nLINE 1: d4 → d5 | eval: good for black\nLINE 2: c4 → e6 → Nc3 | eval: winning for white\n</line> Since the bishop pair is active.',
+    'This was a terrible blunder, a bad choice. {t}',
+    '{t} A solid and decent reply, nothing wrong.',
+    '{t}\nFINAL ANSWER: **Nf3**\nthanks',
+    '{t} the final answer is $\\boxed{e4, d4}$',
+    'final answer: b5, a5\n{t}\nFINAL ANSWER: a5, b5',
+    '{"correctness": 2.5, "think_quality": 4, "completeness": 3} {t}',
+    '{t} Scores: {"correctness": 3, "clarity": 5, "fluency": 1} done',
     'excellent, the best move',
     '',
-    'prompt </think> tail {"move": "e7e8q"}   ',
-    'Nd5 [mobility +0.32; king safety -0.15] then Kh7 (no notable term changes)',
-    'Nd5 improves piece activity\nKh7 king shelter gone <b>&"x"</b>',
+    'prompt {t} </think> tail {"move": "e7e8q"}   ',
+    '{t} Nd5 [mobility +0.32; king safety -0.15] then Kh7 (no notable term changes)',
+    'Nd5 improves piece activity\nKh7 king shelter gone <b>&"x"</b> {t}',
+    '{t}',
 )
-
-COMPLETIONS_SQL = f"SELECT conv_id, turn, [{', '.join(map(quoted, TEXTS))}][((conv_id * 7 + turn) % {len(TEXTS)})::INTEGER + 1] AS text, 40 + (conv_id * 131 + turn * 37) % 2500 AS tokens FROM conversations"
+#: The row's own text in one of these forms, which the scorers must tell apart.
+COMPLETIONS_SQL = f"SELECT conv_id, turn, replace([{', '.join(map(quoted, TEXTS))}][((conv_id * 7 + turn) % {len(TEXTS)})::INTEGER + 1], '{{t}}', coalesce(text, '')) AS text, 40 + (conv_id * 131 + turn * 37) % 2500 AS tokens FROM conversations"
 
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("own"))
     pick = ((F.col("conv_id") * 7 + F.col("turn")) % len(TEXTS)).cast("int")
-    return rows.select("conv_id", "turn", F.get(F.array(*map(F.lit, TEXTS)), pick).alias("text"), (40 + (F.col("conv_id") * 131 + F.col("turn") * 37) % 2500).alias("tokens"))
+    return rows.select("conv_id", "turn", F.replace(F.get(F.array(*map(F.lit, TEXTS)), pick), F.lit("{t}"), F.col("own")).alias("text"), (40 + (F.col("conv_id") * 131 + F.col("turn") * 37) % 2500).alias("tokens"))
 
 
 def scorer(key: str, sql: str | None, **columns):
@@ -286,10 +287,31 @@ def match_exact(pred: Column, gold: str, kind: str = "single") -> Column:
     return bracket_sorted(got) == bracket_sorted(F.lit(gold.lower())) if "[" in gold else got == gold.lower()
 
 
-scorer("r27_bracket_lists", None, sorted=lambda t, n: bracket_sorted(t))
+_LISTED = "CASE WHEN turn % 2 = 0 THEN text || ' [b5, ''a5'', \"e' || turn || '\"] end' ELSE text END"
+_INNER = "regexp_extract(x, '\\[([^\\]]+)\\]', 1)"
+scorer("r27_bracket_lists", f"""(SELECT CASE WHEN {_INNER} = '' THEN x ELSE string_split(x, '[')[1] || '[''' || array_to_string(list_sort(list_transform(string_split({_INNER}, ','), lambda i: trim(trim(i), '''"'))), ''', ''') || ''']' || regexp_extract(x, '(?s)\\](.*)$', 1) END FROM (SELECT {_LISTED} AS x)) AS sorted""",
+       sorted=lambda t, n: bracket_sorted(F.when(F.col("turn") % 2 == 0, F.concat(t, F.lit(" [b5, 'a5', \"e"), F.col("turn").cast("string"), F.lit('"] end'))).otherwise(t)))
 _SQL_SET = "list_sort(list_distinct(list_filter(list_transform(string_split(lower(trim({0})), ','), lambda x: trim(x)), lambda x: x <> '')))"
 scorer("r28_match_exact", f"lower(trim({SQL_ANSWER})) = 'nf3' AS single, {_SQL_SET.format(SQL_ANSWER)} = ['a5', 'b5'] AS multi", single=lambda t, n: match_exact(t, "Nf3"), multi=lambda t, n: match_exact(t, "b5, a5", "multi"))
-scorer("r29_loose_match", "text = 'excellent, the best move' AS strict, contains(text, 'Nf3') AS part, contains(lower(text), lower('SOLID')) AS loose", strict=lambda t, n: t == "excellent, the best move", part=lambda t, n: t.contains("Nf3"), loose=lambda t, n: F.lower(t).contains("solid"))
+
+
+def loose_match(text: Column, gold: Column) -> dict[str, Column]:
+    """Equal but for blanks at the ends; contained; equal to a line of the text but for case and blanks."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.lower(F.trim(x)))
+    return {"strict": F.trim(text) == F.trim(gold), "part": text.contains(gold), "line": F.array_contains(lines, F.lower(F.trim(gold)))}
+
+
+# The gold answer: the text itself, its last line in capitals, its first word, or another's.
+_GOLD = "CASE conv_id % 4 WHEN 0 THEN ' ' || text WHEN 1 THEN upper(string_split(text, chr(10))[-1]) WHEN 2 THEN string_split(text, ' ')[1] ELSE 'Nf3' END"
+
+
+def gold_answer(t: Column) -> Column:
+    way = F.col("conv_id") % 4
+    return F.when(way == 0, F.concat(F.lit(" "), t)).when(way == 1, F.upper(F.element_at(F.split(t, "\n"), -1))).when(way == 2, F.get(F.split(t, " "), F.lit(0))).otherwise("Nf3")
+
+
+scorer("r29_loose_match", f"trim(text) = trim({_GOLD}) AS strict, contains(text, {_GOLD}) AS part, list_contains(list_transform(string_split(text, chr(10)), lambda l: lower(trim(l))), lower(trim({_GOLD}))) AS line",
+       **{k: (lambda t, n, k=k: loose_match(t, gold_answer(t))[k]) for k in ("strict", "part", "line")})
 scorer("r31_cache_key", "left(sha256('v1:' || text), 16) AS cache_key", cache_key=lambda t, n: F.left(F.sha2(F.concat(F.lit("v1:"), t), 256), F.lit(16)))
 scorer("x08_move_tokens", r"array_to_string(list_filter(string_split(trim(regexp_replace(text, '\([^)]*\)', '', 'g')), ' '), lambda x: regexp_full_match(x, '[NBRQK]?[a-h]?[1-8]?x?[a-h][1-8][+#]?')), ' ') AS sans",
        sans=lambda t, n: F.array_join(F.filter(F.split(F.trim(F.regexp_replace(t, r"\([^)]*\)", "")), " "), lambda x: x.rlike("^[NBRQK]?[a-h]?[1-8]?x?[a-h][1-8][+#]?$")), " "))
@@ -308,5 +330,19 @@ def partial_tag(text: Column, tag: str = "</think>") -> Column:
 scorer("x21_partial_tag", "list_max([0, " + ", ".join(f"CASE WHEN ends_with(text || left('</think>', (turn % 9)::INTEGER), '{'</think>'[:k]}') THEN {k} ELSE 0 END" for k in range(1, 8)) + "]) AS held",
        held=lambda t, n: partial_tag(F.concat(t, F.left(F.lit("</think>"), (F.col("turn") % 9).cast("int")))))
 scorer("x22_board_place", "CASE WHEN (conv_id + turn) % 2 = 0 THEN '[board]' || chr(10) || text ELSE text || chr(10) || '[board]' END AS prompt", prompt=lambda t, n: F.when((F.col("conv_id") + F.col("turn")) % 2 == 0, F.concat(F.lit("[board]\n"), t)).otherwise(F.concat(t, F.lit("\n[board]"))))
-scorer("x11_sentinel_expand", "list_sum(list_transform(string_split(text, ' '), lambda w: CASE WHEN contains(w, 'Nf3') THEN 65 ELSE 1 END))::BIGINT AS n_ids", n_ids=lambda t, n: F.aggregate(F.split(t, " "), F.lit(0).cast("long"), lambda a, w: a + F.when(w.contains("Nf3"), 65).otherwise(1)))
+
+
+def expanded(ids: Column, labels: Column, board: int, times: int = 65) -> tuple[Column, Column]:
+    """(ids, labels) with each board id ``times`` times over, none of which is learnt."""
+    runs = lambda c, of: F.flatten(F.zip_with(ids, c, of))
+    return runs(labels, lambda i, _: F.when(i == board, F.array_repeat(i, times)).otherwise(F.array(i))), runs(labels, lambda i, l: F.when(i == board, F.array_repeat(F.lit(-100), times)).otherwise(F.array(l)))
+
+
+def word_ids(t: Column) -> Column:
+    return F.transform(F.split(t, " "), lambda w: F.length(w))
+
+
+_IDS = "list_transform(string_split(text, ' '), lambda w: length(w)::INTEGER)"
+scorer("x11_sentinel_expand", f"array_to_string(flatten(list_transform({_IDS}, lambda i: CASE WHEN i = 5 THEN list_transform(range(0, 65), lambda j: 5) ELSE [i] END)), ' ') AS ids, array_to_string(flatten(list_transform({_IDS}, lambda i: CASE WHEN i = 5 THEN list_transform(range(0, 65), lambda j: -100) ELSE [i + 1] END)), ' ') AS labels",
+       ids=lambda t, n: F.array_join(expanded(word_ids(t), F.transform(word_ids(t), lambda i: i + 1), 5)[0].cast("array<string>"), " "), labels=lambda t, n: F.array_join(expanded(word_ids(t), F.transform(word_ids(t), lambda i: i + 1), 5)[1].cast("array<string>"), " "))
 scorer("m11_clean_comment", r"trim(regexp_replace(regexp_replace('[%clk 0:01:02] ' || text, '\[%[^\]]*\]', '', 'g'), '\s+', ' ', 'g')) AS comment", comment=lambda t, n: F.trim(F.regexp_replace(F.regexp_replace(F.concat(F.lit("[%clk 0:01:02] "), t), r"\[%[^\]]*\]", ""), r"\s+", " ")))
