@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plyforge.functions.dialect import DUCK, SPARK
-from plyforge.operators.bitboards import _RAYS, _STEPS, _name, bitboards, either, leaps, moved, ray, settled, spread
+from plyforge.operators.bitboards import _RAYS, _STEPS, _name, bitboards, each, either, leaps, moved, ray, settled, spread
 from plyforge.operators.features import CONTEXT, context, decoded, square
 from plyforge.plans.registry import register
 from plyforge.sources.positions import POSITIONS_SQL, positions

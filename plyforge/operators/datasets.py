@@ -46,61 +46,24 @@ def text_sink(spark, sf_dir):
     return written(table(spark, sf_dir, "documents").select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("value")), "text")
 
 
-@register("k05_json_report", """SELECT '{"n":' || count(*) || ',"toxic":' || sum(toxic) || ',"quality":' || sum(quality) || '}' AS report FROM labels""")
-def json_report(spark, sf_dir):
-    n = table(spark, sf_dir, "labels").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic"), F.sum("quality").alias("quality"))
-    return n.select(F.to_json(F.struct("n", "toxic", "quality")).alias("report"))
-
-
-feature("k07_html_output", html=lambda d: f"'<p class=\"fen\">' || placement || '</p><p>' || CASE WHEN turn = 'w' THEN 'White' ELSE 'Black' END || '</p>'")
-
 # -- parsers of foreign rows --
 
 MATE = 'The FEN of the given chess board is "{0}". Which move is better? MoveA:e2e4, a plan TacticA: fork it MoveB:d2d4, another TacticB: pin it'
 
 
-@register("s13_two_candidates", f"SELECT pos_id, fen, m AS move, t AS tactic FROM ({POSITIONS_SQL}), (VALUES ('e2e4', 'fork it'), ('d2d4', 'pin it')) AS v(m, t)")
-def two_candidates(spark, sf_dir):
-    rows = positions(spark, sf_dir).select("pos_id", F.format_string(MATE.replace("{0}", "%s"), "fen").alias("s"))
-    one = lambda x, rest: F.struct(F.regexp_extract("s", rf"Move{x}:(\w+)", 1).alias("move"), F.trim(F.regexp_extract("s", rf"(?s)Tactic{x}:\s*(.*?)\s*{rest}", 1)).alias("tactic"))
-    return rows.select("pos_id", F.regexp_extract("s", r'chess board is "(.*?)"\.', 1).alias("fen"), F.explode(F.array(one("A", "MoveB:"), one("B", "$"))).alias("m")).select("pos_id", "fen", "m.*")
-
-
 TRACE = "     Term    |    White    |    Black\n|   Material | 1.00 2.00 | 0.50 1.50 |\n|   Mobility | ---- ---- | 0.20 0.40 |\n| Strangeness | 1.0 1.0 | 1.0 1.0 |"
 
 
-@on("supplier", "s16_trace_terms", "SELECT s_suppkey, t AS term, w AS white, b AS black FROM supplier, (VALUES ('Material', 1.5::DOUBLE, 1.0::DOUBLE), ('Mobility', 0.0::DOUBLE, 0.3::DOUBLE)) AS v(t, w, b)")
-def trace_terms(df):
-    """Rows of an evaluation's printed table: known terms, middle and end game averaged, dashes as 0."""
-    row = r"^\|\s*([A-Za-z ]+?)\s*\|\s*(\S+)\s+(\S+)\s*\|\s*(\S+)\s+(\S+)\s*\|"
-    lines = df.select("s_suppkey", F.explode(F.split(F.lit(TRACE), "\n")).alias("line")).where(F.col("line").rlike(row))
-    cell = lambda k: F.when(F.regexp_extract("line", row, k).contains("---"), 0.0).otherwise(F.expr(f"try_cast(regexp_extract(line, '{row.replace(chr(92), chr(92) * 2)}', {k}) as double)"))
-    out = lines.select("s_suppkey", F.regexp_extract("line", row, 1).alias("term"), ((cell(2) + cell(3)) / 2).alias("white"), ((cell(4) + cell(5)) / 2).alias("black"))
-    return out.where(F.col("term").isin(*TERMS))
-
-
-@on("events", "s17_log_steps", "SELECT step, count(*) AS lines, sum(value) AS total FROM (SELECT value, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) || ':' || user_id AS step FROM events) GROUP BY step")
-def log_steps(df):
-    """Continuation lines belong to the last line that opened a step; shards are independent logs."""
-    opened = F.sum(F.when(F.col("event_type") == "click", 1).otherwise(0)).over(Window.partitionBy("user_id").orderBy("event_id"))
-    return df.withColumn("step", F.concat_ws(":", opened.cast("string"), F.col("user_id").cast("string"))).groupBy("step").agg(F.count(F.lit(1)).alias("lines"), F.sum("value").alias("total"))
-
-
 # -- questions --
 
 
-@register("q41_task_per_position", f"SELECT pos_id, t AS task FROM ({POSITIONS_SQL}), (VALUES ('side_to_move'), ('material'), ('castling')) AS v(t)")
-def task_per_position(spark, sf_dir):
-    """One sample per active task and position; the list of tasks is fixed."""
-    return positions(spark, sf_dir).select("pos_id", F.explode(F.array(*map(F.lit, ("side_to_move", "material", "castling")))).alias("task"))
-
-
 @register("q42_rare_pool", f"SELECT pos_id, pool FROM (SELECT pos_id, pool, row_number() OVER (PARTITION BY pool ORDER BY {sql_bucket('pos_id', 'rare', 1 << 30)}, pos_id) AS rn FROM (SELECT pos_id, CASE WHEN ep <> '-' THEN 'ep' WHEN castling = '-' THEN 'none' ELSE 'castling' END AS pool FROM {DUCK.decoded(f'({POSITIONS_SQL})')})) WHERE pool <> 'none' OR rn <= 60")
 def rare_pool(spark, sf_dir, most=60):
     """All positions of the rare pools, and a bounded number of the rest."""
     rows = decoded(positions(spark, sf_dir)).select("pos_id", F.when(F.col("ep") != "-", "ep").when(F.col("castling") == "-", "none").otherwise("castling").alias("pool"))
-    order = Window.partitionBy("pool").orderBy(bucket(F.col("pos_id"), "rare", 1 << 30), "pos_id")
-    return rows.withColumn("rn", F.row_number().over(order)).where((F.col("pool") != "none") | (F.col("rn") <= most)).select("pos_id", "pool")
+    # Top-n of the common pool, which each task cuts to n rows; the rare ones are not moved.
+    common = rows.where("pool = 'none'").orderBy(bucket(F.col("pos_id"), "rare", 1 << 30), "pos_id").limit(most)
+    return rows.where("pool <> 'none'").unionByName(common)
 
 
 # -- rewards of board reading --
@@ -122,26 +85,6 @@ def answer_score(task: str, predicted: Column, gold: Column) -> Column:
 
 _SQL_SET = "list_distinct(list_filter(list_transform(string_split(replace(lower({0}), ',', chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> ''))"
 _P, _GOLD = _SQL_SET.format("text"), _SQL_SET.format("'nf3, e4, final answer: b5'")
-scorer("r18_answer_score", f"CASE WHEN lower(trim(text)) = 'excellent, the best move' THEN 1.0 ELSE 0.0 END::DOUBLE AS exact, (len(list_intersect({_P}, {_GOLD})) / len(list_distinct(list_concat({_P}, {_GOLD}))))::DOUBLE AS jaccard",
-       exact=lambda t, n: answer_score("piece_at", t, F.lit("excellent, the best move")), jaccard=lambda t, n: answer_score("captures", t, F.lit("Nf3, e4, final answer: b5")))
-scorer("r19_board_reading_reward", "0.01 * CASE WHEN contains(text, '<think>') THEN 1 ELSE 0 END + 0.99 * CASE WHEN text = '' THEN 0 ELSE 0.5 END - 0.2 * least(1.0, greatest(0, len(string_split(text, ' ')) - 10) / 40.0) AS reward",
-       reward=lambda t, n: 0.01 * t.contains("<think>").cast("int") + 0.99 * F.when(t == "", 0.0).otherwise(0.5) - 0.2 * F.least(F.lit(1.0), F.greatest(F.lit(0), F.size(F.split(t, " ")) - 10) / 40.0))
-
-
-@on("events", "r22_first_evaluation", "SELECT user_id, arg_min(value, event_id) FILTER (value <> 0 AND event_type <> 'view') AS score, arg_min(event_type, event_id) FILTER (event_type = 'purchase') AS notable FROM events GROUP BY user_id")
-def first_evaluation(df):
-    """The first answer of a tool that is not zero, and the first notable one."""
-    first = lambda c, test: F.min_by(F.when(test, F.col(c)), F.when(test, F.col("event_id")))
-    return df.groupBy("user_id").agg(first("value", (F.col("value") != 0) & (F.col("event_type") != "view")).alias("score"), first("event_type", F.col("event_type") == "purchase").alias("notable"))
-
-
-@on("events", "r25_first_valid_attempt", "SELECT user_id, arg_min(event_id, event_id) FILTER (value > 60 AND k <= 3) AS accepted, min(event_id) AS first FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) GROUP BY user_id")
-def first_valid_attempt(df, retries=3):
-    """Of at most ``retries`` attempts, the first that passes; null if none does."""
-    k = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    return df.withColumn("k", k).groupBy("user_id").agg(F.min(F.when((F.col("value") > 60) & (F.col("k") <= retries), F.col("event_id"))).alias("accepted"), F.min("event_id").alias("first"))
-
-
 @on("events", "r30_batch_health", "SELECT event_id // 64 AS step, CASE WHEN count(*) FILTER (value > 50) = 0 THEN 'error' WHEN count(*) FILTER (value > 50) < count(*) THEN 'partial' ELSE 'ok' END AS health FROM events GROUP BY 1")
 def batch_health(df):
     judged, n = F.count_if(F.col("value") > 50), F.count(F.lit(1))
@@ -163,35 +106,9 @@ def reply_labels(spark, sf_dir):
     return rows.select("conv_id", "turn", labels.alias("labels"))
 
 
-scorer("x18_benchmark_prompt", "replace(replace('Q: {question} Examples: {examples}', '{question}', text), '{examples}', 'a; b; c') AS prompt", prompt=lambda t, n: F.replace(F.replace(F.lit("Q: {question} Examples: {examples}"), F.lit("{question}"), t), F.lit("{examples}"), F.array_join(F.slice(F.array(*map(F.lit, "abcd")), 1, 3), "; ")))
 feature("x14_coaching_prompt", prompt=lambda d: f"'Position: ' || fen || ' Side: ' || CASE WHEN turn = 'w' THEN 'white' ELSE 'black' END || ' Castling: ' || {or_none(d, rights(d, 5, ', '))} || ' Square: ' || {full_name_at(d, square('sq')(d))}")
 
 
-@position_query("x15_joint_prompt", "prompt string")
-def joint_prompt(fen, pick):
-    p = Position(fen)
-    m = chosen(p, pick)
-    facts = "; ".join(move_facts(p, m)) if m else "none"
-    return (f"## Position\n{fen}\n## Move\n{p.san(m) if m else '-'}\n## Facts\n{facts}",)
-
-
-@position_query("x16_puzzle_trace", "prompt string, trace string")
-def puzzle_trace(fen, pick):
-    p = Position(fen)
-    m = chosen(p, pick)
-    if m is None:
-        return fen, ""
-    return f"FEN: {fen}\n{'White' if p.white else 'Black'} to move.", f"<think>{'; '.join(move_facts(p, m))}</think>{{\"move\": \"{uci(m)}\"}}"
-
-
-@position_query("x17_inline_moves", "text string")
-def inline_moves(fen, pick):
-    from plyforge.functions.rules import checks_captures_threats
-
-    found = checks_captures_threats(Position(fen))
-    return ("; ".join(f"{k}: {', '.join(v) or 'none'}" for k, v in found.items()),)
-
-
 #: Characters from which a context takes no further line (fixed value).
 CONTEXT = 1500
 _LINES_SQL = "SELECT conv_id, s, i, l, sum(length(l) + 1) OVER (PARTITION BY conv_id ORDER BY s, i) AS line_end FROM (SELECT conv_id, s, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (SELECT conv_id, s, string_split(text, chr(10)) AS ls FROM turns))"
@@ -237,12 +154,6 @@ def labelled_lines(df):
     return df.select(*_KEYS, F.concat("move", F.lit(" ("), eval_label(F.col("score"), "tools"), F.lit(")")).alias("line"))
 
 
-@engine_query("e20_tree_text", "SELECT pos_id, string_agg(repeat('  ', multipv::INTEGER) || move, chr(10) ORDER BY multipv, l_partkey, l_suppkey) AS tree FROM LINES GROUP BY pos_id")
-def tree_text(df):
-    rows = df.withColumn("t", F.concat(F.expr("repeat('  ', multipv)"), "move"))
-    return rows.groupBy("pos_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("multipv", "l_partkey", "l_suppkey", "t"))), lambda x: x["t"]), "\n").alias("tree"))
-
-
 @engine_query("l03_notable_five", f"SELECT {_KEY}, {notable_sql(0.05, 5)} AS top FROM (SELECT *, {TERMS_SQL} AS t FROM LINES)")
 def notable_five(df):
     return df.withColumn("terms", term_vector()).select(*_KEYS, notable(0.05, 5).alias("top"))
@@ -259,6 +170,3 @@ def imbalance_labels(df):
     return df.withColumn("terms", term_vector()).select(*_KEYS, imbalance_label(F.get("terms", F.lit(7)), F.lit("Mobility")).alias("label"))
 
 
-@engine_query("l04_dominant", f"SELECT {_KEY}, list_max(list_transform(t, lambda x: abs(x))) AS size FROM (SELECT *, {TERMS_SQL} AS t FROM LINES)")
-def dominant_size(df):
-    return df.withColumn("terms", term_vector()).select(*_KEYS, F.array_max(F.transform("terms", lambda x: F.abs(x))).alias("size"))

@@ -237,17 +237,6 @@ def line_selection(df, lines=2):
     return first.withColumn("rn", F.row_number().over(Window.partitionBy("pos_id").orderBy(*order))).where(F.col("rn") <= lines).select(*KEYS)
 
 
-@engine_query("e14_term_phrase", f"SELECT {KEY}, ['helps', 'gains', 'improves'][('0x' || substr(md5(pos_id || ':phrase'), 1, 8))::BIGINT % 3 + 1] || ' ' || lower({list(TERMS)}[multipv % 13 + 1]) AS phrase FROM LINES")
-def term_phrase(df):
-    pick = (F.conv(F.substring(F.md5(F.concat(F.col("pos_id").cast("string"), F.lit(":phrase"))), 1, 8), 16, 10).cast("long") % 3).cast("int")
-    return df.select(*KEYS, F.concat(F.get(F.array(F.lit("helps"), F.lit("gains"), F.lit("improves")), pick), F.lit(" "), F.lower(F.get(F.array(*map(F.lit, TERMS)), (F.col("multipv") % 13).cast("int")))).alias("phrase"))
-
-
-@engine_query("e17_threat_lines", f"SELECT {KEY} FROM LINES WHERE score_type = 'cp' AND score > 50")
-def threats(df):
-    return df.where("score_type = 'cp' and score > 50").select(*KEYS)
-
-
 @engine_query("e19_tree", "WITH l AS (SELECT pos_id, multipv, min(move) AS move FROM LINES WHERE multipv <= 3 GROUP BY 1, 2) SELECT a.pos_id, a.move || ' ' || b.move || ' ' || c.move AS path FROM l a JOIN l b ON b.pos_id = a.pos_id + a.multipv JOIN l c ON c.pos_id = b.pos_id + b.multipv")
 def tree(df, width=3):
     """Paths of three levels: the position after a line is another row of the table; two equi-joins."""
@@ -274,18 +263,6 @@ def template(df):
     return df.select(*KEYS, F.when(c == "Best", "The strongest choice.").when(c == "Great", "Nearly the strongest.").when(c == "Good", "Sound.").when(c == "Inaccuracy", "There was better.").when(c == "Mistake", "This hurts.").otherwise("This loses much.").alias("text"))
 
 
-@engine_query("e24_label_normaliser", f"SELECT {KEY}, CASE WHEN move IN ('m1', 'm2') THEN 'good for white' WHEN move = 'm3' THEN 'winning for black' ELSE 'equal' END AS label FROM LINES")
-def normaliser(df):
-    return df.select(*KEYS, F.when(F.col("move").isin("m1", "m2"), "good for white").when(F.col("move") == "m3", "winning for black").otherwise("equal").alias("label"))
-
-
 INFO = "info depth {0} seldepth {1} multipv {2} score {3} {4} nodes {5} nps 1000 time 7 pv e2e4 e7e5"
 
 
-@engine_query("s14_uci_info", f"SELECT {KEY}, depth, score_type AS kind, score AS value, multipv AS line, 'e2e4' AS first FROM LINES")
-def uci_info(df):
-    """Fields of an engine's info lines, by one expression each; lines without a pv are none."""
-    text = F.format_string("info depth %d seldepth %d multipv %d score %s %d nodes 5 nps 1000 time 7 pv e2e4 e7e5", "depth", F.col("depth") + 2, "multipv", "score_type", "score")
-    rows = df.withColumn("info", text).where(F.col("info").contains(" pv "))
-    number = lambda k: F.regexp_extract("info", rf"\b{k} (-?\d+)", 1).cast("long")
-    return rows.select(*KEYS, number("depth").alias("depth"), F.regexp_extract("info", r"score (cp|mate)", 1).alias("kind"), F.regexp_extract("info", r"score (?:cp|mate) (-?\d+)", 1).cast("long").alias("value"), number("multipv").cast("int").alias("line"), F.regexp_extract("info", r" pv (\S+)", 1).alias("first"))

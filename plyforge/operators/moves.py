@@ -29,6 +29,10 @@ MEMO = 50_000
 
 def per_row(df: DataFrame, inputs: list[str], outputs: str, fn) -> DataFrame:
     """``df`` with columns ``outputs`` (DDL) from fn(*inputs), a tuple; equal inputs are computed once per task."""
+    # The kernel takes far longer over a row than a shuffle of it: a table in fewer splits than cores is dealt out first.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
     schema = StructType([*df.schema.fields, *StructType.fromDDL(outputs).fields])
     new = to_arrow_schema(StructType.fromDDL(outputs))
 

@@ -39,6 +39,11 @@ def sql_bucket(key: str, salt: str, n: int) -> str:
     return f"('0x' || substr(md5({key} || ':{salt}'), 1, 8))::BIGINT % {n}"
 
 
+def text_key() -> Column:
+    """The digest that stands for column ``text``; null for null."""
+    return F.unhex(F.sha2("text", 256))
+
+
 # -- scans --
 
 FEN_SQL = "coalesce(nullif(json_extract_string(props, '$.fen'), ''), nullif(event_type, ''))"
@@ -69,8 +74,9 @@ def stride_shard(df):
 
 @register("s06_multi_source", "SELECT 0 AS source_ord, count(*) AS n FROM (SELECT DISTINCT text FROM benchmark) UNION ALL SELECT 1, count(*) FROM (SELECT DISTINCT text FROM documents WHERE text NOT IN (SELECT text FROM benchmark))")
 def multi_source(spark, sf_dir):
-    both = table(spark, sf_dir, "benchmark").select(F.lit(0).alias("source_ord"), "text").unionByName(table(spark, sf_dir, "documents").select(F.lit(1).alias("source_ord"), "text"))
-    return both.groupBy("text").agg(F.min("source_ord").alias("source_ord")).groupBy("source_ord").agg(F.count(F.lit(1)).alias("n"))
+    """Texts by the first source that has them; texts are compared by a digest of 256 bits, so that no text is shuffled."""
+    both = table(spark, sf_dir, "benchmark").select(F.lit(0).alias("source_ord"), text_key().alias("key")).unionByName(table(spark, sf_dir, "documents").select(F.lit(1).alias("source_ord"), text_key().alias("key")))
+    return both.groupBy("key").agg(F.min("source_ord").alias("source_ord")).groupBy("source_ord").agg(F.count(F.lit(1)).alias("n"))
 
 
 @on("events", "s08_resumable_stride", "SELECT event_id, user_id FROM events WHERE event_id >= 300 AND event_id % 6 = 2")
@@ -210,8 +216,8 @@ def needs_marker(df):
 
 @register("j01_contamination_guard", "SELECT doc_id FROM (SELECT min(doc_id) AS doc_id, text FROM documents WHERE text NOT IN (SELECT text FROM benchmark) GROUP BY text) ORDER BY doc_id LIMIT 200")
 def contamination_guard(spark, sf_dir):
-    seen = table(spark, sf_dir, "benchmark").select("text")
-    return table(spark, sf_dir, "documents").join(seen, "text", "left_anti").groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id").orderBy("doc_id").limit(200)
+    seen = table(spark, sf_dir, "benchmark").select(text_key().alias("key"))
+    return table(spark, sf_dir, "documents").select("doc_id", text_key().alias("key")).join(seen, "key", "left_anti").groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id").orderBy("doc_id").limit(200)
 
 
 @register("j02_metadata_lookup", "SELECT d.doc_id, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")

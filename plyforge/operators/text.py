@@ -64,7 +64,12 @@ def think(text: Column) -> Column:
 
 SQL_THINK = r"trim(CASE WHEN contains(text, '<think>') THEN regexp_extract(text, '(?s)<think>(.*?)</think>', 1) ELSE regexp_extract(text, '(?s)^(.*?)</think>', 1) END, E' \n\t')"
 #: What counts as a move in free text, and the form of a printed line (fixed values).
-MOVES = r"\b(?:[NBRQK][a-h1-8x+#=]?\w*|[a-h][1-8x]\w*|O-O(?:-O)?)\b"
+MOVES = r"(?U)\b(?:[NBRQK][a-h1-8x+#=]?\w*|[a-h][1-8x]\w*|O-O(?:-O)?)\b"
+
+
+def _plain(sql: str) -> str:
+    """Letters beyond ASCII in ASCII, each its own way, for patterns that know no others."""
+    return f"array_to_string(list_transform(string_split({sql}, ''), lambda c: CASE WHEN unicode(c) > 127 AND regexp_matches(c, '[\\pL\\pN]') THEN 'z' || unicode(c) || 'z' ELSE c END), '')"
 
 
 def distinct_moves(text: Column) -> Column:
@@ -96,7 +101,7 @@ def reward_think(text: Column) -> Column:
     return F.when(t == "", -1.0).otherwise(2.0 * raw - 1.0)
 
 
-scorer("r04_reward_think", rf"CASE WHEN {SQL_THINK} = '' THEN -1.0 ELSE 2.0 * (0.4 + CASE WHEN len(list_distinct(regexp_extract_all({SQL_THINK}, '{MOVES}'))) >= 2 THEN 0.3 ELSE 0 END + CASE WHEN length({SQL_THINK}) >= 50 THEN 0.3 ELSE 0 END) - 1 END::DOUBLE AS reward", reward=lambda t, n: reward_think(t))
+scorer("r04_reward_think", rf"CASE WHEN {SQL_THINK} = '' THEN -1.0 ELSE 2.0 * (0.4 + CASE WHEN len(list_distinct(regexp_extract_all({_plain(SQL_THINK)}, '{MOVES[4:]}'))) >= 2 THEN 0.3 ELSE 0 END + CASE WHEN length({SQL_THINK}) >= 50 THEN 0.3 ELSE 0 END) - 1 END::DOUBLE AS reward", reward=lambda t, n: reward_think(t))
 
 #: Terms of an annotation and the words that frame a gain or a loss (fixed values).
 TERM = r"(mobility|king safety|threats|material|pawns|bishops|rooks|queens|space|passed(?:\s+pawns)?|initiative|imbalance)\s*([+−\-])\s*(\d+\.?\d*)"
@@ -301,13 +306,13 @@ def loose_match(text: Column, gold: Column) -> dict[str, Column]:
     return {"strict": F.trim(text) == F.trim(gold), "part": text.contains(gold), "line": F.array_contains(lines, F.lower(F.trim(gold)))}
 
 
-# The gold answer: the text itself, its last line in capitals, its first word, or another's.
-_GOLD = "CASE conv_id % 4 WHEN 0 THEN ' ' || text WHEN 1 THEN upper(string_split(text, chr(10))[-1]) WHEN 2 THEN string_split(text, ' ')[1] ELSE 'Nf3' END"
+# The gold answer: the text itself, its last line in small letters, its first word, or another's.
+_GOLD = "CASE conv_id % 4 WHEN 0 THEN ' ' || text WHEN 1 THEN lower(string_split(text, chr(10))[-1]) WHEN 2 THEN string_split(text, ' ')[1] ELSE 'Nf3' END"
 
 
 def gold_answer(t: Column) -> Column:
     way = F.col("conv_id") % 4
-    return F.when(way == 0, F.concat(F.lit(" "), t)).when(way == 1, F.upper(F.element_at(F.split(t, "\n"), -1))).when(way == 2, F.get(F.split(t, " "), F.lit(0))).otherwise("Nf3")
+    return F.when(way == 0, F.concat(F.lit(" "), t)).when(way == 1, F.lower(F.element_at(F.split(t, "\n"), -1))).when(way == 2, F.get(F.split(t, " "), F.lit(0))).otherwise("Nf3")
 
 
 scorer("r29_loose_match", f"trim(text) = trim({_GOLD}) AS strict, contains(text, {_GOLD}) AS part, list_contains(list_transform(string_split(text, chr(10)), lambda l: lower(trim(l))), lower(trim({_GOLD}))) AS line",

@@ -1,6 +1,7 @@
 """Structured Streaming over logs and event streams; each query runs what is there to its end (availableNow) and stops.
 
-State is bounded by keys (steps, conversations, shards) or by a watermark, checkpoints lie in the shared folder, and a query
+Aggregates and duplicates forget by a watermark: a step's numbers are kept a window of event time and put together when they
+are read. Pairs and splitters keep one small row a shard or conversation. Checkpoints lie in the shared folder, and a query
 that is started again goes on where its checkpoint stands.
 """
 
@@ -17,14 +18,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plyforge.plans.registry import register
 
+#: Files of a micro-batch where a shard's rows of a batch are sorted in memory.
+FILES = 64
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 TURNS = "conv_id long, turn long, role string, text string"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """A new folder in that of spark.checkpoint.dir; without the setting one of this machine, which only a local session may use."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines see")
         found = tempfile.mkdtemp(prefix="plyforge-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return f"{found.rstrip('/')}/streams/{uuid.uuid4().hex}"
@@ -46,29 +51,52 @@ def appended(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{path}/out")
 
 
-def completed(df: DataFrame) -> DataFrame:
-    """Run an aggregation to the end of its input, each batch replacing the table of results."""
+def updated(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Run an aggregation in update mode to the end of its input; the last row of each key.
+
+    Each batch lies in a folder of its own number, so that a batch that runs again replaces itself.
+    """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    spark.createDataFrame([], df.schema).write.parquet(f"{path}/out")
-    df.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/checkpoint").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{path}/out")
+    schema = df.withColumn("batch_", F.lit(0).cast("long")).schema
+    spark.createDataFrame([], schema).write.parquet(f"{path}/out/empty")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch_", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/out/{number:09d}")
+
+    df.writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    rest = [c for c in df.columns if c not in keys]
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/out")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_").alias("last_")).select(*keys, "last_.*")
+
+
+def timed(df: DataFrame, late: str = "1 day") -> DataFrame:
+    """``df`` with ``ts`` as event time; rows that come later than ``late`` are not waited for."""
+    return df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
 @register("t01_follow_log", "SELECT DISTINCT event_id // 64 AS step FROM events")
 def follow_log(spark, sf_dir):
-    """Every step of a growing log once."""
-    return appended(stream(spark, sf_dir, "events", EVENTS).select(F.expr("event_id div 64").alias("step")).dropDuplicates(["step"]))
+    """Every step of a growing log once; a step is remembered as long as its lines may still come."""
+    steps = timed(stream(spark, sf_dir, "events", EVENTS)).select("ts", F.expr("event_id div 64").alias("step")).dropDuplicatesWithinWatermark(["step"])
+    return appended(steps.select("step"))
+
+
+def by_step(spark: SparkSession, sf_dir: str, **parts) -> DataFrame:
+    """Partial aggregates of each step and day of event time, in update mode; a step has one or two of them."""
+    rows = timed(stream(spark, sf_dir, "events", EVENTS)).withColumn("step", F.expr("event_id div 64"))
+    return updated(rows.groupBy(F.window("ts", "1 day"), "step").agg(*(c.alias(n) for n, c in parts.items())), ["window", "step"]).groupBy("step")
 
 
 @register("t02_step_count", "SELECT event_id // 64 AS step, count(*) AS n FROM events GROUP BY 1")
 def step_count(spark, sf_dir):
-    return completed(stream(spark, sf_dir, "events", EVENTS).groupBy(F.expr("event_id div 64").alias("step")).agg(F.count(F.lit(1)).alias("n")))
+    return by_step(spark, sf_dir, n=F.count(F.lit(1))).agg(F.sum("n").alias("n"))
 
 
-@register("t03_step_stats", "SELECT event_id // 64 AS step, max(value) AS best, min(value) AS worst, avg(value) AS mean FROM events GROUP BY 1")
+@register("t03_step_stats", "SELECT event_id // 64 AS step, max(value) AS best, min(value) AS worst, sum(value::DECIMAL(18, 6))::DOUBLE / count(value) AS mean FROM events GROUP BY 1")
 def step_stats(spark, sf_dir):
-    rows = stream(spark, sf_dir, "events", EVENTS).groupBy(F.expr("event_id div 64").alias("step"))
-    return completed(rows.agg(F.max("value").alias("best"), F.min("value").alias("worst"), F.avg("value").alias("mean")))
+    """Values are summed as decimals, so that the mean does not depend on the order in which a stream comes."""
+    parts = by_step(spark, sf_dir, best=F.max("value"), worst=F.min("value"), total=F.sum(F.col("value").cast("decimal(18, 6)")), n=F.count("value"))
+    return parts.agg(F.max("best").alias("best"), F.min("worst").alias("worst"), (F.sum("total").cast("double") / F.sum("n")).alias("mean"))
 
 
 OPEN, CLOSE = "<think>", "</think>"
@@ -109,7 +137,7 @@ def think_splitter(spark, sf_dir):
 
     Every turn is a reply: the first half of its text is thought, the second said.
     """
-    said = stream(spark, sf_dir, "conversations", TURNS)
+    said = stream(spark, sf_dir, "conversations", TURNS, files_per_trigger=FILES)
     text, half = F.coalesce("text", F.lit("")), F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
     reply = F.concat(F.lit(OPEN), F.substring(text, F.lit(1), half), F.lit(CLOSE), F.substring(text, half + 1, F.length(text)))
     rows = said.select("conv_id", "turn", reply.alias("reply"), (5 + F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(60))).cast("int").alias("size"))
@@ -141,14 +169,15 @@ def _pairs(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
 @register("t06_triple_stream", "SELECT event_id, next_id, delta FROM (SELECT event_id, lead(event_id) OVER w AS next_id, lead(value) OVER w - value AS delta FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE next_id IS NOT NULL")
 def triple_stream(spark, sf_dir):
     """Each row of a shard with the next one; the state of a shard is its last row."""
-    rows = stream(spark, sf_dir, "events", EVENTS).select("user_id", "event_id", "value")
+    rows = stream(spark, sf_dir, "events", EVENTS, files_per_trigger=FILES).select("user_id", "event_id", "value")
     return appended(rows.groupBy("user_id").applyInPandasWithState(_pairs, "event_id long, next_id long, delta double", "event_id long, value double", "append", GroupStateTimeout.NoTimeout))
 
 
 @register("t08_distinct_before_work", "SELECT DISTINCT event_type, upper(event_type) AS worked FROM events")
 def distinct_before_work(spark, sf_dir):
-    """Equal keys are dropped before the costly step, not after."""
-    return appended(stream(spark, sf_dir, "events", EVENTS).select("event_type").dropDuplicates(["event_type"]).withColumn("worked", F.upper("event_type")))
+    """Equal keys are dropped before the costly step, not after; one that comes again later than the watermark is dropped by the reader."""
+    rows = timed(stream(spark, sf_dir, "events", EVENTS)).select("ts", "event_type").dropDuplicatesWithinWatermark(["event_type"])
+    return appended(rows.select("event_type", F.upper("event_type").alias("worked"))).distinct()
 
 
 @register("s05_stream_shards", "SELECT event_id, user_id FROM events WHERE user_id % 3 = 0")
@@ -164,6 +193,6 @@ def append_log(spark, sf_dir):
 @register("ext_event_time_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def event_time_windows(spark, sf_dir):
     """An extension: tumbling windows by event time with a watermark."""
-    rows = stream(spark, sf_dir, "events", EVENTS).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "2 hours")
+    rows = timed(stream(spark, sf_dir, "events", EVENTS), "2 hours")
     n = rows.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return completed(n).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    return updated(n, ["window", "event_type"]).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")

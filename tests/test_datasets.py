@@ -25,7 +25,7 @@ def test_contexts_are_whole_lines(spark, tmp_path):
     said[9] = ["a\n" * 1600, "x", "", "b" * 1499, "c", "d" * 1498, "e"]
     rows = [(c, k, "user", t) for c, turns in said.items() for k, t in enumerate(turns)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {(r.conv_id, r.turn): (r.text_before, r.text_after) for r in load.all_queries()["x05_diagram_context_lines"](spark, str(tmp_path)).collect()}
+    got = {(r.conv_id, r.turn): (r.text_before, r.text_after) for r in load.all_queries()["x05_diagram_contexts"](spark, str(tmp_path)).collect()}
     assert got == {(c, k): contexts(said[c], k) for c, k, *_ in rows}
 
 
@@ -33,7 +33,7 @@ def test_labels_and_splitter_read_whole_texts(spark, tmp_path):
     rng = random.Random(8)
     rows = [(c, k, ("user", "assistant", "system")[(c + k) % 3], "".join(rng.choice("ab é<\n") for _ in range(rng.choice([0, 1, 9, 30, 700])))) for c in range(6) for k in range(5)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {(r.conv_id, r.turn): r.labels for r in load.all_queries()["x13_reply_labels_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.conv_id, r.turn): r.labels for r in load.all_queries()["x13_reply_labels"](spark, str(tmp_path)).collect()}
     for c, k, role, text in rows:
         head, reply = f"<|im_start|>{role}\n", f"{text}<|im_end|>"
         end = len(head) + len(reply)
