@@ -6,11 +6,13 @@
    first; how rare a pair is comes from a count table of fixed size, filled from all signatures.
 3. Under one pair, classes are tied where one-byte sketches of their signatures agree in T places (a list of more than
    BLOCK classes is tied as a whole, through the pair), and tied groups are gathered by connected components.
-4. A group is cut into blocks of bounded size. In a block, each class is compared with all earlier ones by whole signatures,
-   32 coordinates at a time; those that can't reach T any more are left out after each. There is no merge of posting lists
-   here. Classes with T matches are confirmed by the exact intersection of their sets, unless a chain of confirmed links
-   has joined them already. Where a group has more than one block, classes left outside the group's largest component
-   meet every other block in a second pass, so no link is lost.
+4. A group is cut into blocks of bounded size. In a block, collisions are counted by posting lists: of a class, the
+   K - T + 1 shortest lists are merged, which finds all that can reach T, and the T - 1 longest are skipped; only for what
+   the merge found are they looked into. Classes with T matches are confirmed by the exact intersection of their sets,
+   unless a chain of confirmed links has joined them already. Where a group has more than one block, classes left outside
+   the group's largest component meet every other block in a second pass, so no link is lost.
+
+Ties under a pair (3) are counted in the same way, over sketches; lists of up to SMALL classes outright.
 
 T is K * threshold less ``SIGMAS`` standard deviations of a binomial count: a linked pair misses it once in 10 million.
 
@@ -27,6 +29,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +39,9 @@ from plyforge.llm.components import components
 K, SIGMAS = 96, 5.2
 #: A coordinate holds the identity of its least shingle in so many bytes; chance agreements grow as documents / 256**BYTES.
 BYTES = 6
-COUNT_BITS, BLOCK, HUBS, MEET = 23, 2048, 32, 64
+COUNT_BITS, BLOCK, HUBS, MEET, SMALL = 23, 2048, 32, 64, 24
+#: Tasks whose counts are summed in one task.
+ADDENDS = 512
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(1, 1 << 32, K, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -105,25 +110,35 @@ def _cells(batches):
     for batch in batches:
         for part in common.slices(batch, "sig"):
             table += np.bincount((pair_hashes(_stack(part.column("sig"))) >> np.uint64(64 - COUNT_BITS)).ravel().astype(np.int64), minlength=1 << COUNT_BITS)
-    # Rows of 4096 cells: they meet by number, and are summed there.
+    # Rows of 4096 cells: they meet by number, those of ADDENDS tasks first.
+    part = TaskContext.get().partitionId() // ADDENDS
     for row in range(len(table) >> 12):
         cells = table[row << 12 : (row + 1) << 12]
         if cells.any():
-            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([cells.astype(np.int64).tobytes()], pa.binary())], names=["row", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([part], pa.int32()), pa.array([cells.tobytes()], pa.binary())], names=["row", "part", "cells"])
 
 
-def _summed(key, table):
+def _added(table: pa.Table) -> np.ndarray:
     cells = np.zeros(1 << 12, np.int64)
-    for x in table.column("cells").to_pylist():
-        cells += np.frombuffer(x, np.int64)
-    # A rank of four bits and a half or so is all that an order needs; counts above 65534 stay apart by their logarithm.
-    return pa.table({"row": [key[0].as_py()], "cells": [np.minimum(cells, 65_534).astype(np.uint16).tobytes()]}, schema=pa.schema([("row", pa.int32()), ("cells", pa.binary())]))
+    for x in table.column("cells"):
+        cells += np.frombuffer(x.as_buffer(), np.int64)
+    return cells
+
+
+def _summed_part(key, table):
+    return pa.table({"row": [key[0].as_py()], "cells": [_added(table).tobytes()]}, schema=pa.schema([("row", pa.int32()), ("cells", pa.binary())]))
+
+
+def _summed(key, table):
+    # Counts above 65534 are equal in the order, which goes by key then: it only has to be the same for all.
+    return pa.table({"row": [key[0].as_py()], "cells": [np.minimum(_added(table), 65_534).astype(np.uint16).tobytes()]}, schema=pa.schema([("row", pa.int32()), ("cells", pa.binary())]))
 
 
 def pair_counts(sigs: DataFrame) -> np.ndarray:
     """The count table: 2**COUNT_BITS cells of two bytes, at any input size."""
-    tasks = sigs.mapInArrow(_cells, "row int, cells binary")
-    got = tasks.groupBy("row").applyInArrow(_summed, "row int, cells binary").toArrow()
+    tasks = sigs.mapInArrow(_cells, "row int, part int, cells binary")
+    parts = tasks.groupBy("row", "part").applyInArrow(_summed_part, "row int, cells binary")
+    got = parts.groupBy("row").applyInArrow(_summed, "row int, cells binary").toArrow()
     table = np.zeros(1 << COUNT_BITS, np.uint16)
     for row, cells in zip(got.column("row").to_pylist(), got.column("cells").to_pylist(), strict=True):
         table[row << 12 : (row + 1) << 12] = np.frombuffer(cells, np.uint16)
@@ -166,9 +181,15 @@ def _tied(least: int):
         if len(reps) == 1:
             return []
         forest = Forest(len(reps))
-        for x in range(1, len(reps)):
-            for y in np.flatnonzero((sketches[:x] == sketches[x]).sum(1) >= least).tolist():
-                forest.join(x, y)
+        if len(reps) <= SMALL:
+            for x in range(1, len(reps)):
+                for y in np.flatnonzero((sketches[:x] == sketches[x]).sum(1) >= least).tolist():
+                    forest.join(x, y)
+        else:
+            lists = Postings(sketches, least)
+            for x in range(1, len(reps)):
+                for y in lists.matches(x, lists.earlier(x))[0].tolist():
+                    forest.join(x, y)
         return [(int(reps[x]), int(reps[root])) for x in range(len(reps)) if (root := forest.root(x)) != x]
 
     @common.task("minhash")
@@ -217,6 +238,41 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
+class Postings:
+    """Posting lists of a block's (coordinate, value) pairs: merged where they are short, skipped where they are long."""
+
+    def __init__(self, sigs: np.ndarray, least: int):
+        self.sigs, self.least, self.n = sigs, least, len(sigs)
+        # The members of each list are a stretch of a column's order by value; ascending, as the sort is stable.
+        self.order = np.argsort(sigs, axis=0, kind="stable")
+        ranked = np.take_along_axis(sigs, self.order, 0)
+        new = np.ones(sigs.shape, bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        begin = np.maximum.accumulate(np.where(new, np.arange(self.n)[:, None], 0), 0)
+        last = np.ones(sigs.shape, bool)
+        last[:-1] = new[1:]
+        end = np.minimum.accumulate(np.where(last, np.arange(1, self.n + 1)[:, None], self.n)[::-1], 0)[::-1]
+        #: Of each class and coordinate, where its list begins and ends.
+        self.begin, self.end = np.empty_like(begin), np.empty_like(end)
+        np.put_along_axis(self.begin, self.order, begin, 0)
+        np.put_along_axis(self.end, self.order, end, 0)
+
+    def earlier(self, x: int) -> np.ndarray:
+        return np.arange(self.n) < x
+
+    def matches(self, x: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(classes among ``wanted`` that agree with class x in ``least`` places or more, in how many)."""
+        sizes = self.end[x] - self.begin[x]
+        by_size = np.argsort(sizes, kind="stable")
+        prefix, skipped = by_size[: K - self.least + 1], by_size[K - self.least + 1 :]
+        found = np.concatenate([self.order[self.begin[x, c] : self.end[x, c], c] for c in prefix.tolist()])
+        hits = np.bincount(found, minlength=self.n)
+        near = np.flatnonzero((hits > 0) & wanted)
+        hits = hits[near] + (self.sigs[near[:, None], skipped] == self.sigs[x, skipped]).sum(1)
+        able = hits >= self.least
+        return near[able], hits[able]
+
+
 def confirmed(sigs: np.ndarray, sets: list[np.ndarray], share: tuple[int, int], least: int, only: np.ndarray | None = None) -> list[int]:
     """The block's components: of each class, the smallest index it is linked to.
 
@@ -229,19 +285,13 @@ def confirmed(sigs: np.ndarray, sets: list[np.ndarray], share: tuple[int, int],
     starts = np.concatenate([[0], np.cumsum(sizes)])
     member = np.zeros(len(values), bool)
     left, right = share
-    alone = n == 1
+    if n == 1:
+        return [0]
+    lists = Postings(sigs, least)
     for x in range(n) if only is None else only.tolist():
-        if alone:
-            break
-        # Collisions on the first coordinates decide for most classes that T can't be reached any more.
-        near = np.arange(x) if only is None else np.flatnonzero(np.arange(n) != x)
-        hits = np.zeros(len(near), np.int64)
-        for a in range(0, K, 32):
-            hits += (sigs[near, a : a + 32] == sigs[x, a : a + 32]).sum(1)
-            able = hits + (K - a - 32) >= least
-            near, hits = near[able], hits[able]
-            if not len(near):
-                break
+        near, hits = lists.matches(x, lists.earlier(x) if only is None else np.arange(n) != x)
+        if not len(near):
+            continue
         # Most matches first: one confirmed link to a component settles all its members.
         near = near[np.argsort(-hits, kind="stable")]
         mine, marked = flat[starts[x] : starts[x + 1]], False

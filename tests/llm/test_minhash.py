@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from plyforge.llm import common, minhash
 
 
@@ -42,6 +43,38 @@ def test_components_match_brute_force(spark):
         assert got == brute(rows, n, percent)
 
 
+def test_postings_count_all_collisions():
+    rng = np.random.default_rng(7)
+    for n, values, least in ((1, 3, 5), (40, 2, 60), (300, 40, 20), (300, 3, 63), (64, 1, 96)):
+        sigs = rng.integers(0, values, (n, minhash.K)).astype(np.uint64)
+        sigs[n // 2 :] = np.where(rng.random((n - n // 2, minhash.K)) < 0.2, sigs[n // 2 :], sigs[0])
+        lists = minhash.Postings(sigs, least)
+        for x in range(n):
+            counts = (sigs[:x] == sigs[x]).sum(1)
+            near, hits = lists.matches(x, lists.earlier(x))
+            assert near.tolist() == np.flatnonzero(counts >= least).tolist() and hits.tolist() == counts[counts >= least].tolist()
+
+
+def test_pairs_at_the_threshold_are_candidates():
+    rng, least = np.random.default_rng(11), minhash.least_matches(0.85)
+    fewest = minhash.K
+    for _ in range(1500):
+        shared, own = rng.integers(0, 1 << 63, 170).astype(np.uint64), rng.integers(0, 1 << 63, 30).astype(np.uint64)
+        a, b = np.concatenate([shared, own[:15]]), np.concatenate([shared, own[15:]])
+        fewest = min(fewest, int((minhash.signature(np.unique(a)) == minhash.signature(np.unique(b))).sum()))
+    assert fewest >= least
+
+
+def test_counts_are_summed_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    sigs = [minhash.packed(rng.integers(0, 50, minhash.K).astype(np.uint64)) for _ in range(200)]
+    df = spark.createDataFrame([(s,) for s in sigs], "sig binary").repartition(9)
+    monkeypatch.setattr(minhash, "ADDENDS", 2)
+    table = minhash.pair_counts(df)
+    keys = minhash.pair_hashes(minhash._stack(__import__("pyarrow").array(sigs))) >> np.uint64(64 - minhash.COUNT_BITS)
+    assert table.sum() == keys.size and (table == np.bincount(keys.ravel().astype(np.int64), minlength=len(table))).all()
+
+
 def test_groups_of_several_blocks(spark):
     rows = corpus(5)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
