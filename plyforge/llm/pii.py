@@ -5,7 +5,9 @@ patterns (the word before, the two words before, the word after), tokens with di
 runs of digit tokens between single blanks, are further instances, and patterns and instances score each other over the graph of who stands next to whom:
 
 - a pattern's score for a kind is the mean score of its instances, less a prior weight; it needs SUPPORT different seeds;
-- an instance's score is the noisy-or of its patterns; seeds have 1.
+- an instance's score is the noisy-or of its patterns with a score of TRUST or more; seeds have 1.
+
+Words of a context lie whole within CONTEXT_CHARS characters of the instance; what does not is no pattern.
 
 After ROUNDS rounds, or as soon as no pattern is confident, instances at CONFIDENT or above that have the digits or signs of
 the kind become spans of it; of a token and a run around it, the run. Base spans stay as they are, and nothing is added over them.
@@ -39,10 +41,11 @@ RUN = r"(?<!\S)[(+]*+[0-9][0-9().+-]*+(?: [(]*+[0-9][0-9().+-]*+)++[^\s\w]*+"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"
 
-SUPPORT, PRIOR, CONFIDENT, ROUNDS = 3, 1.0, 0.9, 3
+#: Patterns below TRUST say nothing: many of them together must not make an instance sure.
+SUPPORT, PRIOR, TRUST, CONFIDENT, ROUNDS = 3, 1.0, 0.3, 0.9, 3
 CONTEXT_CHARS = 64
-#: So many matches of a kind with what is between them have CONTEXT_CHARS characters at least.
-BACK = CONTEXT_CHARS // 2
+#: So many matches of a kind with what is between them have more than CONTEXT_CHARS characters.
+BACK = CONTEXT_CHARS // 2 + 1
 
 
 def _found(text: Column, kind: int, expression: str, sign: str | None) -> tuple[Column, Column]:
@@ -53,11 +56,15 @@ def _found(text: Column, kind: int, expression: str, sign: str | None) -> tuple[
 
 
 def _context(gap: Column, next_gap: Column) -> tuple[Column, Column, Column]:
-    """(word before, two words before, word after), lower-cased; null where there is none."""
-    before, after = F.lower(F.right(gap, F.lit(CONTEXT_CHARS))), F.lower(F.left(next_gap, F.lit(CONTEXT_CHARS)))
-    one = F.nullif(F.regexp_extract(before, r"(\S+)\s*$", 1), F.lit(""))
-    two = F.nullif(F.regexp_extract(before, r"(\S+\s+\S+)\s*$", 1), F.lit(""))
-    return one, F.regexp_replace(two, r"\s+", " "), F.nullif(F.regexp_extract(after, r"^\s*(\S+)", 1), F.lit(""))
+    """(word before, two words before, word after), lower-cased; null where there is none within CONTEXT_CHARS characters:
+    a word that is cut there is none."""
+    n = F.lit(CONTEXT_CHARS)
+    before, after = F.lower(F.right(gap, n)), F.lower(F.left(next_gap, n))
+    whole = lambda text, cut, open_, closed: F.nullif(F.when(cut, F.regexp_extract(text, open_, 1)).otherwise(F.regexp_extract(text, closed, 1)), F.lit(""))
+    head, tail = F.length(gap) > n, F.length(next_gap) > n
+    one = whole(before, head, r"\s(\S+)\s*$", r"(\S+)\s*$")
+    two = whole(before, head, r"\s(\S+\s+\S+)\s*$", r"(\S+\s+\S+)\s*$")
+    return one, F.regexp_replace(two, r"\s+", " "), whole(after, tail, r"^\s*(\S+)\s", r"^\s*(\S+)")
 
 
 def matched(docs: DataFrame) -> DataFrame:
@@ -73,9 +80,9 @@ def matched(docs: DataFrame) -> DataFrame:
             # Where the gap is short, the context goes on through the matches beside it.
             low = F.greatest(i - BACK, F.lit(0))
             had = F.zip_with(F.slice(f"g{k}", low + 1, i - low), F.slice(f"m{k}", low + 1, i - low), lambda g, x: F.concat(g, x))
-            back = F.when(F.length(gap) >= CONTEXT_CHARS, gap).otherwise(F.concat(F.array_join(had, ""), gap))
+            back = F.when(F.length(gap) > CONTEXT_CHARS, gap).otherwise(F.concat(F.array_join(had, ""), gap))
             on = F.zip_with(F.slice(f"m{k}", i + 2, F.lit(BACK)), F.slice(f"g{k}", i + 3, F.lit(BACK)), lambda x, g: F.concat(F.coalesce(x, F.lit("")), F.coalesce(g, F.lit(""))))
-            before, two, then = _context(back, F.when(F.length(after) >= CONTEXT_CHARS, after).otherwise(F.concat(after, F.array_join(on, ""))))
+            before, two, then = _context(back, F.when(F.length(after) > CONTEXT_CHARS, after).otherwise(F.concat(after, F.array_join(on, ""))))
             return F.struct(F.lit(k).alias("kind"), i.alias("i"), F.length(gap).alias("skip"), m.alias("m"), before.alias("w1"), two.alias("w2"), then.alias("w3"), after.rlike(r"^\S").alias("cut"))
 
         return F.transform(f"m{k}", one)
@@ -116,8 +123,10 @@ def _free_tokens(spans: DataFrame) -> DataFrame:
     """Tokens (kind 5) that no base span touches: in order of start, the furthest end of base spans is not beyond the token's
     start, and the next base span does not start before its end."""
     order = Window.partitionBy("rid").orderBy("start", "kind")
+    # A frame that only grows is summed up once; one that shrinks would be summed anew for every row.
+    back = Window.partitionBy("rid").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
     base_end = F.max(F.when(F.col("kind") < 5, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    base_next = F.min(F.when(F.col("kind") < 5, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    base_next = F.min(F.when(F.col("kind") < 5, F.col("start"))).over(back)
     marked = spans.withColumn("before", base_end).withColumn("next", base_next)
     return marked.where((F.col("kind") == 5) & (F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end"))).drop("before", "next")
 
@@ -146,7 +155,7 @@ def discovered(spans: DataFrame, support: int = SUPPORT, confident: float = CONF
         else:
             weighed = graph.join(scores, ["instance", "of"], "left").withColumn("score", F.coalesce(known, F.col("found"), F.lit(0.0))).drop("found")
         patterns = weighed.groupBy("pattern", "of").agg((F.sum("score") / (F.count(F.lit(1)) + F.lit(PRIOR))).alias("trust"))
-        patterns = common.saved(patterns.where("trust >= 0.3"), "pii-patterns")
+        patterns = common.saved(patterns.where(F.col("trust") >= TRUST), "pii-patterns")
         strong = patterns
         if patterns.where(F.col("trust") >= confident / 2).isEmpty():
             return None

@@ -75,3 +75,22 @@ def test_identifiers_of_several_tokens_and_labels_with_digits(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.spans for r in pii.spans_of(docs).collect()}
     assert [got[k] for k in (12, 13, 26, 27)] == ["phone:12:25", "", "phone:9:19", "phone:11:21"]
+
+
+def test_many_matches_in_one_text_take_linear_time(spark):
+    import time
+
+    took = []
+    for n in (10_000, 40_000):
+        docs = spark.createDataFrame([(1, "1.2.3.4 " * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        assert pii.spans_of(docs).collect()[0].n_ip == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 25 and took[1] < 8 * max(took[0], 1.0)
+
+
+def test_words_too_long_for_a_context_are_no_patterns(spark):
+    long = "w" * 80
+    row = lambda text: [(f.w1, f.w2, f.w3) for r in pii.matched(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect() for f in r.found if f.kind == 1][0]
+    assert row(f"{long} a@b.c next") == (None, None, "next") and row(f"one two a@b.c {long}") == ("two", "one two", None)
+    assert row(f"{long} call a@b.c {'x ' * 90}") == ("call", None, "x") and row("a@b.c") == (None, None, None)
