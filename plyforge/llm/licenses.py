@@ -23,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from plyforge.llm import common
+from plyforge.llm.licence_texts import WHOLE
 
 COVER, MOST_GAP = 0.8, 8
 
 #: Base phrases and their labels (fixed values).
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Notices of public licences, in the words of the licences themselves (fixed values).
-TEMPLATES = (
+#: Notices of public licences, in the words of the licences themselves (fixed values), and short licences whole.
+NOTICES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
     ("mit", "released under the MIT License"),
     ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
@@ -52,6 +53,7 @@ TEMPLATES = (
     ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
     ("all-rights-reserved", "All rights reserved"),
 )
+TEMPLATES = NOTICES + WHOLE
 
 #: A-Z to a-z; every other byte below 128 that is no digit or small letter to a blank.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))

@@ -34,7 +34,7 @@ def test_chain_skips_words():
 
 
 def test_templates_within_longer_ones_and_repeated_ones():
-    scan = licenses.Scanner().scan
+    scan = licenses.Scanner(templates=licenses.NOTICES).scan
     short, full = licenses.TEMPLATES[3][1], licenses.TEMPLATES[2][1]
     *_, score, spans = scan(short + ". The code is here")
     assert score == 1.0 and ("apache", 0, 7, 1.0) in spans
@@ -52,3 +52,30 @@ def test_templates_within_longer_ones_and_repeated_ones():
         for label, t in (("p", "b c"), ("long", "a b c d e f"), ("in", "c d e"), ("end", "e f")):
             p = t.split()
             assert [i for i in range(len(words)) if words[i : i + len(p)] == p] == [a for x, a, b, c in spans if x == label and c == 1.0 and b - a + 1 == len(p)], (words, label, spans)
+
+
+def test_matching_statistics_against_every_suffix():
+    rng = random.Random(6)
+    sequences = [[rng.randrange(1, 5) for _ in range(rng.randrange(1, 25))] for _ in range(6)]
+    sam = licenses.Automaton(sequences)
+    inside = {tuple(s[a:b]) for s in sequences for a in range(len(s)) for b in range(a + 1, len(s) + 1)}
+    for _ in range(60):
+        text, state, length = [rng.randrange(0, 6) for _ in range(40)], 0, 0
+        for i, word in enumerate(text):
+            state, length = sam.step(state, length, word)
+            assert length == max((n for n in range(1, i + 2) if tuple(text[i + 1 - n : i + 1]) in inside), default=0)
+
+
+def test_whole_licences_are_spans():
+    scan = licenses.Scanner().scan
+    for label, text in licenses.WHOLE:
+        words = text.split()
+        n, _, _, labels, score, spans = scan("some code " + " ".join(words) + " more code")
+        assert label in labels.split(",") if isinstance(labels, str) else label in labels
+        longest = max(spans, key=lambda x: x[2] - x[1])
+        assert score == 1.0 and longest[0] == label and longest[3] == 1.0 and longest[2] - longest[1] + 1 == len(licenses.words_of(text))
+        # A few words changed: still a span of the whole licence, covered to more than nine tenths.
+        for at in (10, len(words) // 2, len(words) - 5):
+            words[at] = "changedword"
+        found = [x for x in scan(" ".join(words))[5] if x[0] == label and x[2] - x[1] > 0.9 * n * 0.9 and 0.9 < x[3] < 1]
+        assert found, label
