@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from plyforge.llm import common
 
 FP_BITS = 48
-#: Rows of a block; an owner's share of all documents.
-BLOCK_ROWS, OWNER_ROWS, LEAST_OWNERS = 1 << 17, 1 << 20, 64
+#: Rows of a block; an owner's share of all documents; fingerprints of a list at least, on average, of a full block. The last
+#: bounds the owners by the size of a block, so that lists grow with the rows and not with their square; beyond
+#: BLOCK_ROWS / LIST_ROWS * OWNER_ROWS rows (4 * 10**9) it is the share of an owner that grows, 8 bytes a fingerprint.
+BLOCK_ROWS, OWNER_ROWS, LEAST_OWNERS, LIST_ROWS = 1 << 17, 1 << 20, 64, 32
 
 BLOCKS = "block long, owner int, n int, shift int, unary binary, rests binary, twice binary, ids array<long>, rank array<int>, shas binary"
 
@@ -159,10 +161,14 @@ def _uid(block: int, owner: int, order: np.ndarray) -> np.ndarray:
     return (common.mixed(order.astype(np.uint64) + common.mixed(np.array([seed], np.uint64))) >> np.uint64(1)).astype(np.int64)
 
 
+def owners_for(rows: int, block_rows: int = BLOCK_ROWS) -> int:
+    return max(LEAST_OWNERS, min(rows // OWNER_ROWS + 1, block_rows // LIST_ROWS))
+
+
 def marked(texts: DataFrame, block_rows: int = BLOCK_ROWS, owners: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows with uid, doc_id, fp, sha, suspect; byte-verified classes of suspects with fp, sha, keep, group_size)."""
     spark = texts.sparkSession
-    owners = owners or max(LEAST_OWNERS, texts.count() // OWNER_ROWS + 1)
+    owners = owners or owners_for(texts.count(), block_rows)
     sent = common.saved(texts.mapInArrow(_blocks(owners, block_rows), BLOCKS), "dedup-blocks")
     lists = sent.select("block", "owner", "n", "shift", "unary", "rests", "twice")
     bitmaps = lists.groupBy("owner").applyInArrow(_answers(owners), "block long, owner int, bitmap binary")
@@ -200,13 +206,22 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the row of the largest doc_id of each group of equal texts, all columns kept.
 
-    Rows are named by doc_id: a doc_id goes only if none of its rows stays, so rows repeated under the id that stays
-    (same id, same text) stay together.
+    Rows are named by doc_id and digest of the text. Of rows that agree in both exactly one stays.
     """
     made = decisions(docs, id_col, text_col)
-    own = common.fresh("_gone", docs)
-    gone = made.groupBy("doc_id").agg(F.max("kept").alias("any")).where("not any").select(F.col("doc_id").alias(own))
-    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(own)), "left_anti")
+    id_, sha = common.fresh("_id", docs), common.fresh("_sha", docs)
+    by_name = made.groupBy(F.col("doc_id").alias(id_), F.unhex("text_sha256").alias(sha)).agg(F.max("kept").alias("any"), F.count(F.lit(1)).alias("n"))
+    named = docs.withColumn(sha, F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256)))
+    same = lambda other: F.col(f"`{id_col}`").cast("long").eqNullSafe(other[id_]) & (named[sha] == other[sha])
+    gone = by_name.where("not any")
+    out = named.join(gone, same(gone), "left_anti")
+    many = common.saved(by_name.where("any and n > 1").select(id_, sha), "dedup-repeated")
+    if not many.isEmpty():
+        # Each repeated row once; partial aggregates keep a hot one from meeting in one task.
+        twice = out.join(many, same(many), "left_semi")
+        first = twice.groupBy(F.col(f"`{id_col}`").alias(id_), sha).agg(F.first(F.struct(*(f"`{c}`" for c in docs.columns))).alias("row")).select("row.*", sha)
+        out = out.join(many, same(many), "left_anti").unionByName(first)
+    return out.drop(sha)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,3 +39,11 @@ def test_drop_keeps_columns(spark):
     docs = spark.createDataFrame([(1, "a", "q"), (2, "a", "r"), (3, "b", "s"), (None, "c", "t"), (7, None, "u"), (8, "", "v")], "doc_id long, text string, _gone string")
     kept = e.drop_copies(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 2, 3, 8]
+
+
+def test_repeated_rows_and_owners(spark):
+    docs = spark.createDataFrame([(1, "same", "a"), (1, "same", "b"), (2, "x", "c"), (2, "y", "d"), (3, "x", "e"), (None, "n", "f"), (None, "n", "g"), (5, None, "h"), (5, "", "i")], "doc_id long, text string, _sha string")
+    kept = e.drop_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == [(-1, "n"), (1, "same"), (2, "y"), (3, "x"), (5, "")]
+    assert e.owners_for(10) == e.LEAST_OWNERS and e.owners_for(5 * 10**10) == e.BLOCK_ROWS // e.LIST_ROWS
