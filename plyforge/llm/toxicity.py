@@ -251,7 +251,8 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", most: f
     def run(batches):
         score = model.scorer()
         for batch in batches:
-            yield batch.filter(pa.array([score(t or "") < most for t in batch.column(text_col).to_pylist()], pa.bool_()))
+            for part in common.slices(batch, text_col):
+                yield part.filter(pa.array([score(t or "") < most for t in part.column(text_col).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
