@@ -9,7 +9,7 @@ a backslash is doubled, and a control string gets a backslash after its first ch
 ``\\x`` for ``x`` gives the text back.
 
 Long conversations come in parts of about PART_BYTES; rows stream in order of (conversation, turn), so no conversation is
-held whole, however long. One conversation is one text, and its digest a hash in order, so its rows pass through one task. Handling of odd input: a null role or text counts as empty; rows that repeat a turn stay, ordered by role and
+held whole, however long. A single text takes a few times its bytes; formatted, it must stay below 2 GB, as any value of a row. One conversation is one text, and its digest a hash in order, so its rows pass through one task. Handling of odd input: a null role or text counts as empty; rows that repeat a turn stay, ordered by role and
 text; a null conv_id is a conversation of its own; null turns come first; empty tables give empty results; other columns
 are ignored.
 """
@@ -31,6 +31,8 @@ from plyforge.llm import common
 CONTROL = ("[INST]", "[/INST]", "[ROLE]", "<s>", "</s>")
 OPEN, CLOSE, OPEN_REPLY, CLOSE_REPLY, SEP = b"[INST]", b"[/INST]", b"<s>", b"</s>", b"[ROLE]"
 PART_BYTES = 4 << 20
+#: Bytes that are placed or counted at a time, with two or three numbers each.
+STEP = 1 << 20
 FORMATTED = "conv_id long, part long, n_turns long, text string, loss_from array<int>, loss_to array<int>"
 
 _UNESCAPE = re.compile(r"\\(.)", re.S)
@@ -58,9 +60,27 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scatter(out: np.ndarray, starts: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
-    """Copy segment i of ``data`` to ``out`` at starts[i]: one index per byte, source order kept."""
-    lengths = np.diff(offsets)
-    out[np.arange(len(data)) + np.repeat(starts - offsets[:-1], lengths)] = data
+    """Copy segment i of ``data`` to ``out`` at starts[i]: one index per byte, STEP bytes at a time, source order kept."""
+    shift = starts - offsets[:-1]
+    for a in range(0, len(data), STEP):
+        b = min(a + STEP, len(data))
+        first, last = np.searchsorted(offsets, a, "right") - 1, np.searchsorted(offsets, b, "left")
+        lengths = np.diff(np.clip(offsets[first : last + 1], a, b))
+        out[np.arange(a, b) + np.repeat(shift[first:last], lengths)] = data[a:b]
+
+
+def points_at(out: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Code points before each of the byte places: bytes that don't continue a character, counted STEP bytes at a time."""
+    order = np.argsort(places, kind="stable")
+    ranked, found, before = places[order], np.zeros(len(places), np.int64), 0
+    for a in range(0, max(1, len(out)), STEP):
+        counts = np.concatenate([[0], np.cumsum((out[a : a + STEP] & 0xC0) != 0x80)])
+        low, high = np.searchsorted(ranked, a, "left"), np.searchsorted(ranked, a + STEP, "left")
+        found[order[low:high]] = before + counts[np.minimum(ranked[low:high] - a, len(counts) - 1)]
+        before += int(counts[-1])
+    rest = np.searchsorted(ranked, max(1, -(-len(out) // STEP)) * STEP, "left")
+    found[order[rest:]] = before
+    return found
 
 
 def assembled(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -97,16 +117,14 @@ def _format(part_bytes: int):
                 first = np.flatnonzero(new)
                 stop = np.concatenate([first[1:], [len(ids)]])
                 out, ends, text_from, text_to = assembled(rows.column("role"), rows.column("text"))
-                # Code points before each byte: bytes that don't continue a character.
-                points = np.concatenate([[0], np.cumsum((out & 0xC0) != 0x80)])
                 begin = np.concatenate([[0], ends])[first]
                 offsets = np.concatenate([begin, ends[-1:]]).astype(np.int32)
                 strings = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(out))
                 reply = np.flatnonzero(pc.equal(rows.column("role"), "assistant").to_numpy(zero_copy_only=False))
                 conv = np.searchsorted(first, reply, "right") - 1
-                base = points[begin][conv]
+                base = points_at(out, begin)[conv]
                 cut = np.searchsorted(conv, np.arange(len(first) + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array((points[x[reply]] - base).astype(np.int32))) for x in (text_from, text_to)]
+                lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array((points_at(out, x[reply]) - base).astype(np.int32))) for x in (text_from, text_to)]
                 parts = []
                 for i in first.tolist():
                     now = (ids[i].as_py(),)

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -20,6 +21,17 @@ def test_escape_and_assembly_go_back(turns):
         assert not any(mark in e for mark in chat.CONTROL)
 
 
+def test_long_texts_in_steps(monkeypatch):
+    monkeypatch.setattr(chat, "STEP", 7)
+    turns = [("user", "é" * 50 + "[INST]"), ("assistant", ""), ("", "日本" * 9), ("assistant", "x</s>" * 20), ("user", "")]
+    out, ends, text_from, text_to = chat.assembled(*(pa.array(x, pa.string()) for x in zip(*turns, strict=True)))
+    whole = out.tobytes()
+    assert chat.read_back(whole.decode()) == turns
+    places = np.concatenate([[0], ends, text_from, text_to, [len(whole)]])
+    assert chat.points_at(out, places).tolist() == [len(whole[:p].decode()) for p in places.tolist()]
+    assert chat.points_at(out[:0], np.array([0])).tolist() == [0]
+
+
 def test_conversations(spark):
     rows = [(1, 1, "assistant", "répons\\e </s>"), (1, 0, "user", "[INST] hi"), (1, 2, None, None), (None, 0, "user", "lost"), (2, None, "assistant", ""), (2, 0, "user", "q"), (2, 0, "user", "q"), (-7, 0, "user", "a")]
     rows += [(3, k, "assistant" if k % 2 else "user", f"turn {k} " * 50) for k in range(400)]
