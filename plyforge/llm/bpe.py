@@ -17,6 +17,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import os
+import tempfile
 
 import duckdb
 import numpy as np
@@ -77,7 +79,7 @@ class Bpe:
         self.merges = dict(zip(pairs, made, strict=True))
         self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.byte_ids = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False, "temp_directory": os.path.join(tempfile.gettempdir(), f"bpe-{os.getpid()}")})
         self.db.register("_merges", pa.table({"pair": pa.array(pairs, pa.int64()), "made": pa.array(made, pa.int32())}))
         self.db.register("_vocabulary", pa.table({"id": pa.array(list(self.bytes_of), pa.int32()), "chars": pa.array([t.decode("latin-1") for t in self.bytes_of.values()], pa.string())}))
         self.db.execute("CREATE TABLE merges AS FROM _merges")
