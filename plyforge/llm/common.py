@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+#: Bytes of a row group: a writer holds one in memory, and tables with texts are written by tasks that need it for their workers.
+ROW_GROUP = 32 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; one of this machine only in a local session that names none (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -39,7 +43,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
