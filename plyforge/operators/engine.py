@@ -168,9 +168,10 @@ def term_diff(df):
 
 def notable(least: float, first: int) -> Column:
     """`Term +d` of the largest changes, by (size, name) descending."""
-    named = F.transform(F.sequence(F.lit(0), F.lit(len(TERMS) - 1)), lambda i: F.struct(F.abs(F.get("terms", i)).alias("size"), F.get(F.array(*map(F.lit, TERMS)), i).alias("name"), F.get("terms", i).alias("v")))
-    big = F.filter(named, lambda x: x["size"] >= least)
-    top = F.slice(F.reverse(F.array_sort(big)), 1, first)
+    term = lambda i: F.get("terms", F.lit(i))
+    # Small terms are nulls in generated code, and leave before the sort.
+    named = F.array(*(F.when(F.abs(term(i)) >= least, F.struct(F.abs(term(i)).alias("size"), F.lit(n).alias("name"), term(i).alias("v"))) for i, n in enumerate(TERMS)))
+    top = F.slice(F.sort_array(F.array_compact(named), asc=False), 1, first)
     return F.array_join(F.transform(top, lambda x: F.concat(x["name"], F.lit(" "), F.format_string("%+.2f", x["v"]))), "; ")
 
 

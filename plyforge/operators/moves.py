@@ -55,7 +55,8 @@ def _register(key: str, source, inputs: list[str], outputs: str, explode: str |
     def put(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = source(spark, sf_dir)
-            rows = per_row(df, inputs, outputs, fn).drop(*(c for c in df.columns if c != "pos_id"))
+            # What a function does not ask for is no part of the key under which its answers are remembered.
+            rows = per_row(df, inputs[: fn.__code__.co_argcount], outputs, fn).drop(*(c for c in df.columns if c != "pos_id"))
             return rows.select("pos_id", F.explode(explode).alias("x")).select("pos_id", "x.*") if explode else rows
 
         register(key, oracle)(run)
@@ -65,7 +66,7 @@ def _register(key: str, source, inputs: list[str], outputs: str, explode: str |
 
 
 def position_query(key: str, outputs: str, explode: str | None = None, sql: str | None = None):
-    """Register fn(fen, pick) -> tuple as a query over all positions; ``sql`` says the same over the relations of legal_sql."""
+    """Register fn(fen, pick) or fn(fen) -> tuple as a query over all positions; ``sql`` says the same over the relations of legal_sql."""
     return _register(key, lambda spark, sf_dir: picks(positions(spark, sf_dir)), ["fen", "pick"], outputs, explode, sql and with_moves(sql))
 
 
@@ -118,7 +119,7 @@ _POOR = f"({_REST} IN ([], ['b'], ['n']) OR list_distinct({_REST}) = ['b'] AND l
 
 
 @position_query("f04_game_over", "over boolean", sql=f"SELECT pos_id, n = 0 OR {_POOR} OR halfmove >= 150 AS over FROM rows_ JOIN st_ USING (fen) JOIN pos_ USING (fen)")
-def game_over(fen, pick):
+def game_over(fen):
     return (Position(fen).is_over(),)
 
 
@@ -191,7 +192,7 @@ _CHEAP = f"lpad(({_WORTH('piece')})::VARCHAR, 2, '0') || uci"
 @position_query("q22_capture_on_square", "square string, answer string", sql=f"""
 SELECT r.pos_id, x.square, x.answer FROM rows_ r LEFT JOIN (
  SELECT fen, {name('min(dest)')} AS square, arg_min(san, {_CHEAP}) AS answer FROM (SELECT *, min(dest) OVER (PARTITION BY fen) AS least FROM mv WHERE target <> '.') WHERE dest = least GROUP BY fen) x USING (fen)""")
-def capture_on_square(fen, pick):
+def capture_on_square(fen):
     """The cheapest piece that may capture on the first square where anything may."""
     p = Position(fen)
     takes = [m for m in p.legal() if p.board[m[1]] != "."]
@@ -203,7 +204,7 @@ def capture_on_square(fen, pick):
 
 
 @position_query("q23_give_check", "answer string", sql=_best("san", "chk", "capture::INTEGER || uci"))
-def give_check(fen, pick):
+def give_check(fen):
     p = Position(fen)
     checks = [m for m in p.legal() if p.push(m).in_check()]
     quiet = [m for m in checks if not p.is_capture(m)]
@@ -245,24 +246,24 @@ _FORKS = f"{_OFFICERS.format(', '.join(repr(c) for c in 'nbrqk'))} >= 2"
 
 
 @position_query("q25_fork_move", "answer string", sql=_best("san", _FORKS))
-def fork_move(fen, pick):
+def fork_move(fen):
     return ((rules.fork_moves(Position(fen)) or ["none"])[0],)
 
 
 @position_query("q29_checkmate_in_one", "answer string", sql=_best("san", "mate"))
-def checkmate_in_one(fen, pick):
+def checkmate_in_one(fen):
     return ((mate_in_one(Position(fen)) or ["none"])[0],)
 
 
 @position_query("q32_legal_moves", "answer string, n long", sql="SELECT r.pos_id, coalesce(string_agg(san, chr(10) ORDER BY san), '') AS answer, count(san) AS n FROM rows_ r LEFT JOIN mv USING (fen) GROUP BY r.pos_id")
-def legal_moves(fen, pick):
+def legal_moves(fen):
     p = Position(fen)
     sans = sorted(map(p.san, p.legal()))
     return "\n".join(sans), len(sans)
 
 
 @position_query("q33_captures", "answer string", sql="SELECT r.pos_id, coalesce(string_agg(san, chr(10) ORDER BY san) FILTER (capture), 'none') AS answer FROM rows_ r LEFT JOIN mv USING (fen) GROUP BY r.pos_id")
-def captures(fen, pick):
+def captures(fen):
     p = Position(fen)
     return ("\n".join(sorted(p.san(m) for m in p.legal() if p.is_capture(m))) or "none",)
 
@@ -301,7 +302,7 @@ def valid_moves(fen, pick):
 
 
 @position_query("m05_categories", "captures array<string>, checks array<string>, other array<string>", sql=_lists(captures="coalesce(list(uci ORDER BY uci) FILTER (capture), [])", checks="coalesce(list(uci ORDER BY uci) FILTER (chk AND NOT capture), [])", other="coalesce(list(uci ORDER BY uci) FILTER (NOT chk AND NOT capture), [])"))
-def categories(fen, pick):
+def categories(fen):
     p, out = Position(fen), {"captures": [], "checks": [], "other": []}
     for m in p.legal():
         out["captures" if p.is_capture(m) else "checks" if p.push(m).in_check() else "other"].append(uci(m))
@@ -410,7 +411,7 @@ def threat_kind(fen, pick):
 
 
 @position_query("m17_hanging_by_value", "squares array<string>", sql=f"SELECT r.pos_id, coalesce(x.l[1:3], []) AS squares FROM rows_ r LEFT JOIN (SELECT fen, list({name('dest')} ORDER BY u) AS l FROM (SELECT fen, dest, min(uci) AS u FROM mv WHERE target <> '.' AND {_WORTH('target')} >= {_WORTH('piece')} GROUP BY fen, dest) GROUP BY fen) x USING (fen)")
-def hanging_by_value(fen, pick):
+def hanging_by_value(fen):
     """Squares where a capture wins at least the capturer's worth; three at most, as the report has it."""
     p = Position(fen)
     hit = [NAMES[m[1]] for m in p.legal() if p.board[m[1]] != "." and VALUES[p.board[m[1]].lower()] >= VALUES[p.board[m[0]].lower()]]
@@ -497,7 +498,7 @@ def with_threats(sql: str) -> str:
 
 
 @position_query("p18_checks_captures_threats", "checks array<string>, captures array<string>, threats array<string>", sql=with_threats("SELECT r.pos_id, coalesce(checks, []) AS checks, coalesce(captures, []) AS captures, coalesce(threats, []) AS threats FROM rows_ r LEFT JOIN cct5 USING (fen)"))
-def cct(fen, pick):
+def cct(fen):
     found = rules.checks_captures_threats(Position(fen))
     return found["checks"], found["captures"], found["threats"]
 
@@ -507,7 +508,7 @@ _ALL = "rows_ r JOIN st_ USING (fen) JOIN pos_ USING (fen)"
 
 
 @position_query("p25_global_state", "text string", sql=f"SELECT r.pos_id, concat_ws(' ', CASE WHEN white THEN 'White' ELSE 'Black' END || ' to move.', CASE WHEN in_check AND n = 0 THEN 'Checkmate!' WHEN in_check THEN 'King is in check!' WHEN n = 0 THEN 'Stalemate!' END, 'castling: ' || CASE WHEN {_HELD} = '' THEN 'none' ELSE {_HELD} END || '.') AS text FROM {_ALL}")
-def global_state(fen, pick):
+def global_state(fen):
     p = Position(fen)
     state = "Checkmate!" if p.is_checkmate() else "King is in check!" if p.in_check() else "Stalemate!" if p.is_stalemate() else ""
     return (" ".join(x for x in (f"{'White' if p.white else 'Black'} to move.", state, f"castling: {p.rights or 'none'}.") if x),)
@@ -515,7 +516,7 @@ def global_state(fen, pick):
 
 @position_query("p30_terminal_report", "is_check boolean, is_mate boolean, is_stalemate boolean, insufficient boolean, seventy_five boolean, can_claim boolean, outcome string",
                 sql=f"SELECT r.pos_id, in_check AS is_check, in_check AND n = 0 AS is_mate, NOT in_check AND n = 0 AS is_stalemate, {_POOR} AS insufficient, halfmove >= 150 AS seventy_five, halfmove >= 100 AS can_claim, CASE WHEN n = 0 AND in_check THEN CASE WHEN white THEN '0-1' ELSE '1-0' END WHEN n = 0 OR {_POOR} THEN '1/2-1/2' END AS outcome FROM {_ALL}")
-def terminal_report(fen, pick):
+def terminal_report(fen):
     p = Position(fen)
     mate, stale = p.is_checkmate(), p.is_stalemate()
     outcome = ("0-1" if p.white else "1-0") if mate else "1/2-1/2" if stale or p.insufficient() else None
@@ -527,14 +528,14 @@ _INVENTORY = "array_to_string(list_filter(list_transform(string_split('K,Q,R,B,N
 
 
 @position_query("p31_context_string", "text string", sql=f"SELECT r.pos_id, {_INVENTORY} || chr(10) || 'Legal moves: ' || coalesce((SELECT string_agg(uci, ' ' ORDER BY uci) FROM mv WHERE mv.fen = r.fen), '') AS text FROM rows_ r JOIN pos_ USING (fen)")
-def context_string(fen, pick):
+def context_string(fen):
     p = Position(fen)
     pieces = "; ".join(f"{c}: {', '.join(NAMES[s] for s in range(64) if p.board[s] == c)}" for c in "KQRBNPkqrbnp" if c in p.board)
     return (f"{pieces}\nLegal moves: {' '.join(map(uci, p.legal()))}",)
 
 
 @position_query("p32_session_info", "rights array<string>, status string, n_legal long", sql=f"SELECT r.pos_id, list_filter(string_split({_HELD}, ''), lambda c: c <> '') AS rights, CASE WHEN in_check AND n = 0 THEN 'checkmate' WHEN n = 0 THEN 'stalemate' WHEN in_check THEN 'check' ELSE 'ongoing' END AS status, n AS n_legal FROM {_ALL}")
-def session_info(fen, pick):
+def session_info(fen):
     p = Position(fen)
     n = len(p.legal())
     return list(p.rights), "checkmate" if p.is_checkmate() else "stalemate" if not n else "check" if p.in_check() else "ongoing", n

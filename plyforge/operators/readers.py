@@ -413,6 +413,6 @@ _NAMED = lambda c: f"'{c}: ' || coalesce(nullif(array_to_string({c}, ', '), ''),
 
 
 @position_query("x17_inline_moves", "text string", sql=with_threats(f"SELECT r.pos_id, {_NAMED('checks')} || '; ' || {_NAMED('captures')} || '; ' || {_NAMED('threats')} AS text FROM rows_ r LEFT JOIN cct5 USING (fen)"))
-def inline_moves(fen, pick):
+def inline_moves(fen):
     found = checks_captures_threats(Position(fen))
     return ("; ".join(f"{k}: {', '.join(v) or 'none'}" for k, v in found.items()),)
