@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import struct
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,27 +68,32 @@ class Stretches:
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _new(self, stretches: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    def _new(self, fresh: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """An order of the stretches, their ids one after another in it, and the number of ids of each."""
-        texts = [s.decode() for s in stretches]
-        regular = np.fromiter((t[0] == " " and t.rfind(" ") == 0 and not t[-1].isspace() for t in texts), bool, len(texts))
-        own, others = np.flatnonzero(regular).tolist(), np.flatnonzero(~regular).tolist()
-        groups = [own[i : i + JOINED] for i in range(0, len(own), JOINED)]
-        order, parts, sizes = [], [], []
-        for group, ids in zip(groups, self._encoded(["".join([texts[i] for i in g]) for g in groups]), strict=True):
-            ids = np.array(ids, self.type)
-            begins = np.flatnonzero(self.begins[ids])
-            if len(begins) != len(group):
-                others += group
-                continue
-            order += group
-            parts.append(ids)
-            sizes.append(np.diff(begins, append=len(ids)))
-        for i, ids in zip(others, self._encoded([texts[i] for i in others]), strict=True):
-            order.append(i)
-            parts.append(np.array(ids, self.type))
-            sizes.append([len(ids)])
-        return order, np.concatenate(parts), np.concatenate(sizes)
+        bounds, data = _bounds(fresh)
+        last = data[bounds[1:] - 1]
+        regular = (data[bounds[:-1]] == 32) & (pc.count_substring(fresh, " ").to_numpy() == 1) & ~_BLANK[last]
+        for i in np.flatnonzero(regular & (last >= 128)).tolist():
+            regular[i] = not fresh[i].as_py().decode()[-1].isspace()
+        own = np.flatnonzero(regular)
+        bounds, data = _bounds(fresh.filter(pa.array(regular)))
+        groups = np.append(np.arange(0, len(own), JOINED), len(own))
+        cut = bounds[groups].tolist()
+        ids, n = self._flat([data[i:j].tobytes().decode() for i, j in zip(cut, cut[1:])])
+        # A group is cut by its tokens that begin with a space if it has as many of them as stretches.
+        members = np.diff(groups)
+        begins = self.begins[ids]
+        sure = (np.add.reduceat(begins, np.cumsum(n) - n, dtype=np.int64) if len(n) else n) == members
+        known, begins, ids = np.repeat(sure, members), begins[np.repeat(sure, n)], ids[np.repeat(sure, n)]
+        others = np.concatenate([np.flatnonzero(~regular), own[~known]])
+        more, sizes = self._flat([s.decode() for s in fresh.take(pa.array(others)).to_pylist()])
+        return np.concatenate([own[known], others]), np.concatenate([ids, more]), np.concatenate([np.diff(np.flatnonzero(begins), append=len(ids)), sizes])
+
+    def _flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after another, and the number of ids of each."""
+        coded = self._encoded(texts)
+        n = np.fromiter(map(len, coded), np.int64, len(coded))
+        return np.fromiter(chain.from_iterable(coded), self.type, int(n.sum())), n
 
     def _shrink(self) -> None:
         """Keep the stretches that were met most often, half of the table."""
@@ -106,12 +113,12 @@ class Stretches:
         data, bounds = data[bounds[0] : bounds[-1]], bounds - bounds[0]
         cut = np.sort(np.concatenate([bounds, _spaces(data)]), kind="stable")
         cut = cut[np.diff(cut, prepend=-1) > 0]
-        # Of each stretch, the text it is in; texts with added tokens have none.
-        of = np.searchsorted(bounds, cut[:-1], "right") - 1
+        # Each text's first stretch; of texts with added tokens no stretch is looked up.
+        first = np.searchsorted(cut, bounds)
+        wanted = ~np.repeat(special, np.diff(first))
         stretches = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(data)])
         if special.any():
-            stretches = stretches.filter(pa.array(~special[of]))
-            of = of[~special[of]]
+            stretches = stretches.filter(pa.array(wanted))
         coded = stretches.dictionary_encode()
         distinct, place = coded.dictionary, coded.indices.to_numpy()
         found = pc.index_in(distinct, self.known)
@@ -119,7 +126,7 @@ class Stretches:
         row = found.fill_null(0).to_numpy().astype(np.int64)
         if missed.any():
             fresh = distinct.filter(pa.array(missed))
-            order, ids, sizes = self._new(fresh.to_pylist())
+            order, ids, sizes = self._new(fresh)
             row[np.flatnonzero(missed)[order]] = len(self.known) + np.arange(len(fresh))
             self.known, self.uses = pa.concat_arrays([self.known, fresh.take(pa.array(order))]), np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
             self.ids, self.at = np.concatenate([self.ids, ids]), np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
@@ -127,7 +134,9 @@ class Stretches:
         rows = row[place]
         sizes = (self.at[1:] - self.at[:-1])[rows]
         ids = self.ids[_runs(self.at[rows], sizes)]
-        counts = np.bincount(of, sizes, len(texts)).astype(np.int64)
+        total = np.zeros(len(cut), np.int64)
+        total[1:][wanted] = sizes
+        counts = np.diff(np.cumsum(total)[first])
         if special.any():
             whole = np.flatnonzero(special).tolist()
             made = {i: np.array(x, self.type) for i, x in zip(whole, self._encoded([texts[i].as_py() for i in whole]), strict=True)}
@@ -235,16 +244,17 @@ def _cut_up(path: str, end_id: int):
                 ids, ends = encode(part.column("text"))
                 ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
                 coded, chunks, docs = ids.tobytes(), [], []
-                for doc_id, start, end, cut in zip(part.column("doc_id").to_pylist(), [0, *ends.tolist()], ends.tolist(), cuts(ids, ends), strict=False):
+                uids = common.mixed(np.uint64(task << 40) | np.arange(row, row + len(ends), dtype=np.uint64)) & np.uint64(2**63 - 1)
+                row += len(ends)
+                for doc_id, uid, start, end, cut in zip(part.column("doc_id").to_pylist(), uids.tolist(), [0, *ends.tolist()], ends.tolist(), cuts(ids, ends), strict=False):
                     payloads = [coded[(start + a) * width : (start + b) * width] for a, b in zip([0, *cut], cut)]
                     addresses = list(map(address, payloads))
                     for a, p in zip(addresses, payloads, strict=True):
                         if a not in seen:
                             seen.add(a)
                             chunks.append((a, p))
-                    uid = int(common.mixed(np.array([task << 40 | row], np.uint64))[0]) & (2**63 - 1)
-                    row += 1
-                    docs.append((doc_id, uid, end - start, b"".join(addresses), np.diff(cut, prepend=0).astype("<i4").tobytes(), merkle(addresses)))
+                    sizes = struct.pack(f"<{len(cut)}i", *[len(p) // width for p in payloads])
+                    docs.append((doc_id, uid, end - start, b"".join(addresses), sizes, merkle(addresses)))
                 if len(seen) > KNOWN_CHUNKS:
                     seen.clear()
                 c, d = len(chunks), len(docs)
