@@ -156,6 +156,36 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mixed(out + np.uint64(n))
 
 
+def scrambled(rows: np.ndarray) -> np.ndarray:
+    """Numbers of rows for a key filter, which numbers of few different bits would crowd."""
+    return mixed(rows.astype(np.uint64)).view(np.int64)
+
+
+def with_found(docs: DataFrame, row: str, found: DataFrame) -> DataFrame:
+    """``docs`` left joined by its number ``row`` to the column ``row`` of ``found``, a written table of a row per number.
+
+    Rows that have nothing in ``found`` are told by a filter and are not shuffled.
+    """
+    (column,) = [f for f in found.schema.fields if f.name != "row"]
+
+    def keys(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(scrambled(batch.column("row").to_numpy()))], names=["key"])
+
+    bits = min(30, max(16, (8 * found.count()).bit_length()))
+    wanted = docs.sparkSession.sparkContext.broadcast(KeyFilter.of(found.select("row").mapInArrow(keys, "key long"), "key", bits))
+
+    def chosen(want: bool):
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(wanted.value.hits(scrambled(batch.column(row).to_numpy())) == want))
+
+        return run
+
+    maybe = docs.mapInArrow(chosen(True), docs.schema).join(found.select(F.col("row").alias(row), column.name), row, "left")
+    return docs.mapInArrow(chosen(False), docs.schema).withColumn(column.name, F.lit(None).cast(column.dataType)).unionByName(maybe)
+
+
 class KeyFilter:
     """A bit per hashed key in a table of fixed size (2**bits bits), so that it may be broadcast at any input size.
 

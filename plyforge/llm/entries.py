@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plyforge.llm import bpe, chat, decontaminate, exact_dedup, filter_audit, idstore, licenses, line_dedup, minhash, pii, toxicity, whitening
+from plyforge.llm import bpe, chat, decontaminate, exact_dedup, filter_audit, idstore, licenses, line_dedup, minhash, pii, substring_dedup, toxicity, whitening
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_substring_dedup": substring_dedup.op11_substring_dedup,
     "op12_filter_audit": filter_audit.op12_filter_audit,
     "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "op3_chat_format": chat.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op11_substring_dedup": substring_dedup.ORACLE,
     "op12_filter_audit": filter_audit.ORACLE,
 }
