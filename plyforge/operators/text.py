@@ -55,14 +55,6 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"^\s+", ""), r"\s+$", "")
 
 
-def think(text: Column) -> Column:
-    """What stands between the tags, or before a closing tag alone; empty if neither is there."""
-    inside = F.regexp_extract(text, r"(?s)<think>(.*?)</think>", 1)
-    before = F.regexp_extract(text, r"(?s)^(.*?)</think>", 1)
-    return stripped(F.when(text.contains("<think>"), inside).otherwise(before))
-
-
-SQL_THINK = r"trim(CASE WHEN contains(text, '<think>') THEN regexp_extract(text, '(?s)<think>(.*?)</think>', 1) ELSE regexp_extract(text, '(?s)^(.*?)</think>', 1) END, E' \n\t')"
 #: What counts as a move in free text, and the form of a printed line (fixed values).
 MOVES = r"(?U)\b(?:[NBRQK][a-h1-8x+#=]?\w*|[a-h][1-8x]\w*|O-O(?:-O)?)\b"
 
@@ -72,119 +64,6 @@ def _plain(sql: str) -> str:
     return f"array_to_string(list_transform(string_split({sql}, ''), lambda c: CASE WHEN unicode(c) > 127 AND regexp_matches(c, '[\\pL\\pN]') THEN 'z' || unicode(c) || 'z' ELSE c END), '')"
 
 
-def distinct_moves(text: Column) -> Column:
-    return F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(MOVES), F.lit(0))))
-
-
-LINE = r"(?:PLAYED(?: LINE)?|LINE \d+):\s*([^|\n]+?)\s*\|\s*eval:\s*([^<\n]+)"
-
-
-def lines(text: Column) -> tuple[Column, Column]:
-    """(moves, label) of the lines: parallel arrays of texts."""
-    return F.regexp_extract_all(text, F.lit(LINE), F.lit(1)), F.transform(F.regexp_extract_all(text, F.lit(LINE), F.lit(2)), stripped)
-
-
-def sans(moves: Column) -> Column:
-    bare = F.regexp_replace(moves, r"\([^)]*\)", "")
-    return F.filter(F.transform(F.split(bare, "→"), stripped), lambda m: m.rlike(r"^(?:[NBRQK]?[a-h]?[1-8]?x?[a-h][1-8](?:=[QRBN])?|O-O(?:-O)?)[+#]?$"))
-
-
-SQL_LINES = LINE.replace("'", "''")
-scorer("r01_parse_lines", rf"array_to_string(list_transform(regexp_extract_all(text, '{SQL_LINES}', 1), lambda l: array_to_string(list_filter(list_transform(string_split(regexp_replace(l, '\([^)]*\)', '', 'g'), '→'), lambda m: trim(m)), lambda m: regexp_full_match(m, '(?:[NBRQK]?[a-h]?[1-8]?x?[a-h][1-8](?:=[QRBN])?|O-O(?:-O)?)[+#]?')), ' ')), '|') AS moves, array_to_string(list_transform(regexp_extract_all(text, '{SQL_LINES}', 2), lambda x: trim(x)), '|') AS labels",
-       moves=lambda t, n: F.array_join(F.transform(lines(t)[0], lambda m: F.array_join(sans(m), " ")), "|"), labels=lambda t, n: F.array_join(lines(t)[1], "|"))
-scorer("r03_reward_format", rf"CASE WHEN regexp_matches(text, '{SQL_LINES}') THEN 1.0 ELSE -1.0 END::DOUBLE AS reward", reward=lambda t, n: F.when(t.rlike(LINE), 1.0).otherwise(-1.0))
-
-
-def reward_think(text: Column) -> Column:
-    t = think(text)
-    raw = 0.4 + F.when(distinct_moves(t) >= 2, 0.3).otherwise(0.0) + F.when(F.length(t) >= 50, 0.3).otherwise(0.0)
-    return F.when(t == "", -1.0).otherwise(2.0 * raw - 1.0)
-
-
-scorer("r04_reward_think", rf"CASE WHEN {SQL_THINK} = '' THEN -1.0 ELSE 2.0 * (0.4 + CASE WHEN len(list_distinct(regexp_extract_all({_plain(SQL_THINK)}, '{MOVES[4:]}'))) >= 2 THEN 0.3 ELSE 0 END + CASE WHEN length({SQL_THINK}) >= 50 THEN 0.3 ELSE 0 END) - 1 END::DOUBLE AS reward", reward=lambda t, n: reward_think(t))
-
-#: Terms of an annotation and the words that frame a gain or a loss (fixed values).
-TERM = r"(mobility|king safety|threats|material|pawns|bishops|rooks|queens|space|passed(?:\s+pawns)?|initiative|imbalance)\s*([+−\-])\s*(\d+\.?\d*)"
-FRAMING = {"mobility": (("active", "activity", "freedom", "improves piece"), ("restrict", "passive", "cramped", "limited")), "king safety": (("shelter", "safe", "castle"), ("exposed king", "king danger", "open king"))}
-
-
-def terms(text: Column) -> Column:
-    """Signed changes of the terms, those of 0.1 or more, as `term:delta`."""
-    names, signs, values = (F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(k)) for k in (1, 2, 3))
-    signed = F.transform(F.arrays_zip(names.alias("n"), signs.alias("s"), values.alias("v")), lambda x: F.struct(F.when(x["n"] == "imbalance", "material").when(x["n"].startswith("passed"), "passed").otherwise(x["n"]).alias("term"), (F.when(x["s"] == "+", 1.0).otherwise(-1.0) * x["v"].cast("double")).alias("delta")))
-    return F.filter(signed, lambda x: F.abs(x["delta"]) >= 0.1)
-
-
-scorer("r06_prompt_terms", rf"array_to_string(list_filter(list_transform(range(1, len(regexp_extract_all(lower(text), '{TERM}', 1)) + 1), lambda i: CASE WHEN regexp_extract_all(lower(text), '{TERM}', 3)[i]::DOUBLE >= 0.1 THEN regexp_extract_all(lower(text), '{TERM}', 1)[i] || ':' || CASE WHEN regexp_extract_all(lower(text), '{TERM}', 2)[i] = '+' THEN '+' ELSE '-' END || regexp_extract_all(lower(text), '{TERM}', 3)[i] ELSE '' END), lambda x: x <> ''), ',') AS terms",
-       terms=lambda t, n: F.array_join(F.transform(terms(t), lambda x: F.concat(x["term"], F.lit(":"), F.when(x["delta"] > 0, "+").otherwise("-"), F.format_string("%.2f", F.abs(x["delta"])))), ","))
-
-
-def any_word(text: Column, words) -> Column:
-    return reduce(lambda a, b: a | b, (text.contains(w) for w in words))
-
-
-def interpretation(text: Column, term: str, gain: bool) -> Column:
-    """1, -1, 0 or -0.5 as the text frames the term rightly, wrongly, both ways or not at all."""
-    good, bad = (any_word(F.lower(text), words) for words in FRAMING[term])
-    right, wrong = (good, bad) if gain else (bad, good)
-    return F.when(~good & ~bad, -0.5).when(right & ~wrong, 1.0).when(wrong & ~right, -1.0).otherwise(0.0)
-
-
-def _sql_any(words):
-    return "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
-
-
-_G, _B = map(_sql_any, FRAMING["mobility"])
-scorer("r07_interpretation", f"CASE WHEN NOT {_G} AND NOT {_B} THEN -0.5 WHEN {_G} AND NOT {_B} THEN 1.0 WHEN {_B} AND NOT {_G} THEN -1.0 ELSE 0.0 END::DOUBLE AS mobility_up, CASE WHEN NOT {_G} AND NOT {_B} THEN -0.5 WHEN {_B} AND NOT {_G} THEN 1.0 WHEN {_G} AND NOT {_B} THEN -1.0 ELSE 0.0 END::DOUBLE AS mobility_down",
-       mobility_up=lambda t, n: interpretation(t, "mobility", True), mobility_down=lambda t, n: interpretation(t, "mobility", False))
-_G2, _B2 = map(_sql_any, FRAMING["king safety"])
-scorer("r08_reward_terms", f"CASE WHEN {SQL_THINK} = '' THEN -1.0 ELSE (CASE WHEN NOT {_G} AND NOT {_B} THEN -0.5 WHEN {_G} AND NOT {_B} THEN 1.0 WHEN {_B} AND NOT {_G} THEN -1.0 ELSE 0 END + CASE WHEN NOT {_G2} AND NOT {_B2} THEN -0.5 WHEN {_B2} AND NOT {_G2} THEN 1.0 WHEN {_G2} AND NOT {_B2} THEN -1.0 ELSE 0 END) / 2 END::DOUBLE AS reward",
-       reward=lambda t, n: F.when(think(t) == "", -1.0).otherwise((interpretation(t, "mobility", True) + interpretation(t, "king safety", False)) / 2))
-
-
-def comment(text: Column) -> Column:
-    tagged = F.regexp_extract(text, r"(?s)<comment>(.*?)</comment>", 1)
-    after = F.regexp_replace(F.substring_index(text, "</line>", -1), "</?think>", "")
-    return stripped(F.when(text.contains("<comment>"), tagged).when(text.contains("</line>"), after).otherwise(""))
-
-
-SQL_COMMENT = r"trim(CASE WHEN contains(text, '<comment>') THEN regexp_extract(text, '(?s)<comment>(.*?)</comment>', 1) WHEN contains(text, '</line>') THEN regexp_replace(string_split(text, '</line>')[-1], '</?think>', '', 'g') ELSE '' END, E' \n\t')"
-#: Concepts that a coaching comment may name (fixed values).
-CONCEPTS = ("fork", "pin", "skewer", "sacrifice", "outpost", "centre", "center", "space", "development", "king safety", "pawn structure", "passed pawn", "open file", "diagonal", "bishop pair", "initiative", "tempo", "weakness", "pressure", "attack", "material", "exchange", "endgame", "opening", "castling", "check")
-#: Words that give a reason (fixed values).
-CAUSAL = r"\b(because|since|so that|which means|allowing|preventing|in order to|enabling|leads to)\b"
-scorer("r09_comment", f"{SQL_COMMENT} AS comment", comment=lambda t, n: comment(t))
-
-
-def concepts(c: Column) -> Column:
-    return F.size(F.filter(F.array(*map(F.lit, CONCEPTS)), lambda w: F.lower(c).contains(w)))
-
-
-SQL_CONCEPTS = f"len(list_filter([{', '.join(map(quoted, CONCEPTS))}], lambda w: contains(lower({SQL_COMMENT}), w)))"
-
-
-def tone(t: Column) -> Column:
-    n = concepts(comment(t))
-    return F.when(comment(t) == "", 0.0).when(n == 0, -1.0).when(n == 1, 0.0).when(n == 2, 0.5).otherwise(1.0)
-
-
-SQL_TONE = f"CASE WHEN {SQL_COMMENT} = '' THEN 0.0 WHEN {SQL_CONCEPTS} = 0 THEN -1.0 WHEN {SQL_CONCEPTS} = 1 THEN 0.0 WHEN {SQL_CONCEPTS} = 2 THEN 0.5 ELSE 1.0 END::DOUBLE"
-scorer("r10_reward_tone", f"{SQL_TONE} AS reward", reward=lambda t, n: tone(t))
-scorer("r12_reward_educational", f"CASE WHEN {SQL_COMMENT} = '' THEN 0.0 ELSE 2 * (0.4 * CASE WHEN {SQL_CONCEPTS} > 0 THEN 1 ELSE 0 END + 0.2 * CASE WHEN regexp_matches(lower({SQL_COMMENT}), '{CAUSAL}') THEN 1 ELSE 0 END) - 1 END::DOUBLE AS reward",
-       reward=lambda t, n: F.when(comment(t) == "", 0.0).otherwise(2 * (0.4 * (concepts(comment(t)) > 0).cast("double") + 0.2 * F.lower(comment(t)).rlike(CAUSAL).cast("double")) - 1))
-
-
-def combined(parts: dict[str, Column], weights: dict[str, float], legality: Column | None = None) -> Column:
-    """Weighted sum; a negative legality takes a whole point off."""
-    total = reduce(lambda a, b: a + b, (parts[k] * w for k, w in weights.items()))
-    return total if legality is None else total + F.when(legality < 0, -1.0).otherwise(0.0)
-
-
-SQL_FORMAT = rf"CASE WHEN regexp_matches(text, '{SQL_LINES}') THEN 1.0 ELSE -1.0 END"
-scorer("r13_combined_reward", f"0.10 * {SQL_FORMAT} + 0.15 * {SQL_TONE} + CASE WHEN turn % 2 = 1 THEN -1.0 ELSE 0.0 END AS reward",
-       reward=lambda t, n: combined({"format": F.when(t.rlike(LINE), 1.0).otherwise(-1.0), "tone": tone(t)}, {"format": 0.10, "tone": 0.15}, F.when(F.col("turn") % 2 == 1, -1.0).otherwise(1.0)))
-scorer("r14_training_reward", f"0.10 * {SQL_FORMAT} + 0.20 * {SQL_TONE} AS reward", reward=lambda t, n: combined({"format": F.when(t.rlike(LINE), 1.0).otherwise(-1.0), "tone": tone(t)}, {"format": 0.10, "tone": 0.20}))
-
 #: The form of an answer (fixed value).
 MOVE_JSON = r'\{[^}]*"move"\s*:\s*"([^"]{1,10})"[^}]*\}'
 
@@ -320,7 +199,6 @@ scorer("r29_loose_match", f"trim(text) = trim({_GOLD}) AS strict, contains(text,
 scorer("r31_cache_key", "left(sha256('v1:' || text), 16) AS cache_key", cache_key=lambda t, n: F.left(F.sha2(F.concat(F.lit("v1:"), t), 256), F.lit(16)))
 scorer("x08_move_tokens", r"array_to_string(list_filter(string_split(trim(regexp_replace(text, '\([^)]*\)', '', 'g')), ' '), lambda x: regexp_full_match(x, '[NBRQK]?[a-h]?[1-8]?x?[a-h][1-8][+#]?')), ' ') AS sans",
        sans=lambda t, n: F.array_join(F.filter(F.split(F.trim(F.regexp_replace(t, r"\([^)]*\)", "")), " "), lambda x: x.rlike("^[NBRQK]?[a-h]?[1-8]?x?[a-h][1-8][+#]?$")), " "))
-scorer("x09_key_lines", rf"len(regexp_extract_all(text, '{SQL_LINES}', 1)) AS n", n=lambda t, n: F.size(lines(t)[0]))
 scorer("x12_pad_mask", "list_concat(list_transform(range(0, least(len(string_split(text, ' ')), 12)), lambda i: 1), list_transform(range(least(len(string_split(text, ' ')), 12), 12), lambda i: 0)) AS mask",
        mask=lambda t, n: F.concat(F.array_repeat(F.lit(1), F.least(F.size(F.split(t, " ")), F.lit(12))), F.array_repeat(F.lit(0), 12 - F.least(F.size(F.split(t, " ")), F.lit(12)))))
 scorer("x19_chat_template", "'<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS prompt", prompt=lambda t, n: F.concat(F.lit("<|im_start|>user\n"), t, F.lit("<|im_end|>\n<|im_start|>assistant\n")))
