@@ -46,14 +46,6 @@ def text_sink(spark, sf_dir):
     return written(table(spark, sf_dir, "documents").select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("value")), "text")
 
 
-# -- parsers of foreign rows --
-
-MATE = 'The FEN of the given chess board is "{0}". Which move is better? MoveA:e2e4, a plan TacticA: fork it MoveB:d2d4, another TacticB: pin it'
-
-
-TRACE = "     Term    |    White    |    Black\n|   Material | 1.00 2.00 | 0.50 1.50 |\n|   Mobility | ---- ---- | 0.20 0.40 |\n| Strangeness | 1.0 1.0 | 1.0 1.0 |"
-
-
 # -- questions --
 
 
@@ -66,25 +58,9 @@ def rare_pool(spark, sf_dir, most=60):
     return rows.where("pool <> 'none'").unionByName(common)
 
 
-# -- rewards of board reading --
-
+# -- rewards --
 
-def answer_set(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.split(c, r"[\n,]+"), stripped), lambda x: x != ""))
 
-
-def answer_score(task: str, predicted: Column, gold: Column) -> Column:
-    """Jaccard of lists, equality of texts, or the share of right lines, as the task has it."""
-    if task in ("piece_at", "count_pieces"):
-        return (stripped(F.lower(predicted)) == stripped(F.lower(gold))).cast("double")
-    p, g = answer_set(F.lower(predicted)), answer_set(F.lower(gold))
-    if task == "material_count":
-        return F.when(F.size(g) == 0, 0.0).otherwise(F.size(F.array_intersect(p, g)) / F.size(g))
-    return F.when(F.size(g) == 0, 0.0).otherwise(F.size(F.array_intersect(p, g)) / F.greatest(F.size(F.array_union(p, g)), F.lit(1)))
-
-
-_SQL_SET = "list_distinct(list_filter(list_transform(string_split(replace(lower({0}), ',', chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> ''))"
-_P, _GOLD = _SQL_SET.format("text"), _SQL_SET.format("'nf3, e4, final answer: b5'")
 @on("events", "r30_batch_health", "SELECT event_id // 64 AS step, CASE WHEN count(*) FILTER (value > 50) = 0 THEN 'error' WHEN count(*) FILTER (value > 50) < count(*) THEN 'partial' ELSE 'ok' END AS health FROM events GROUP BY 1")
 def batch_health(df):
     judged, n = F.count_if(F.col("value") > 50), F.count(F.lit(1))
@@ -94,18 +70,6 @@ def batch_health(df):
 # -- prompts --
 
 scorer("x10_sentinel_injection", "regexp_replace(text, '(LINE [0-9]+: )', '\\1<|board|>', 'g') AS prompt", prompt=lambda t, n: F.regexp_replace(t, "(LINE [0-9]+: )", "$1<|board|>"))
-@register("x13_reply_labels", "SELECT conv_id, turn, list_transform(range(0, length(head) + length(text) + 11), lambda i: CASE WHEN role = 'assistant' AND i >= length(head) AND i < length(head) + length(text) + 10 THEN i ELSE -100 END) AS labels FROM (SELECT conv_id, turn, role, '<|im_start|>' || coalesce(role, '') || chr(10) AS head, coalesce(text, '') AS text FROM conversations)")
-def reply_labels(spark, sf_dir):
-    """Of every turn as the chat template writes it, a label a position: places of a reply with its end mark, -100 elsewhere."""
-    rows = table(spark, sf_dir, "conversations").withColumn("role", F.coalesce("role", F.lit("")))
-    begin = F.length(F.concat(F.lit("<|im_start|>"), "role", F.lit("\n")))
-    end = begin + F.length(F.concat(F.coalesce("text", F.lit("")), F.lit("<|im_end|>")))
-    # A line break follows the end mark.
-    none = lambda n: F.array_repeat(F.lit(-100), n)
-    labels = F.when(F.col("role") == "assistant", F.concat(none(begin), F.sequence(begin, end - 1), none(1))).otherwise(none(end + 1))
-    return rows.select("conv_id", "turn", labels.alias("labels"))
-
-
 feature("x14_coaching_prompt", prompt=lambda d: f"'Position: ' || fen || ' Side: ' || CASE WHEN turn = 'w' THEN 'white' ELSE 'black' END || ' Castling: ' || {or_none(d, rights(d, 5, ', '))} || ' Square: ' || {full_name_at(d, square('sq')(d))}")
 
 

@@ -533,14 +533,6 @@ def char_budget(df, budget=600):
     return df.withColumn("used", F.coalesce(used, F.lit(0))).where(F.col("used") < budget).select("conv_id", "turn")
 
 
-@on("documents", "w11_token_windows", "SELECT doc_id, i AS start, len(w[i + 1 : i + 50]) AS n FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text <> ''), range(0, len(w), 40) AS r(i)")
-def token_windows(df, size=50, overlap=10):
-    """Windows of ``size`` tokens, each starting ``size - overlap`` after the last; the tail windows are short."""
-    rows = df.where("text <> ''").select("doc_id", F.split("text", " ").alias("w"))
-    rows = rows.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(size - overlap))).alias("start"))
-    return rows.select("doc_id", "start", F.size(F.slice("w", F.col("start") + 1, F.lit(size))).alias("n"))
-
-
 @on("lineitem", "w12_adaptive_breadth", """
 WITH s AS (SELECT l_orderkey, 10 * (max(l_quantity) - min(l_quantity)) AS spread FROM lineitem GROUP BY 1)
 SELECT l_orderkey, CASE WHEN spread >= 200 THEN 6 WHEN spread >= 100 THEN 6 WHEN spread >= 50 THEN 5 ELSE 4 END AS depth, CASE WHEN spread >= 200 THEN 5 WHEN spread >= 100 THEN 4 WHEN spread >= 50 THEN 3 ELSE 2 END AS breadth FROM s""")

@@ -199,8 +199,6 @@ scorer("r29_loose_match", f"trim(text) = trim({_GOLD}) AS strict, contains(text,
 scorer("r31_cache_key", "left(sha256('v1:' || text), 16) AS cache_key", cache_key=lambda t, n: F.left(F.sha2(F.concat(F.lit("v1:"), t), 256), F.lit(16)))
 scorer("x08_move_tokens", r"array_to_string(list_filter(string_split(trim(regexp_replace(text, '\([^)]*\)', '', 'g')), ' '), lambda x: regexp_full_match(x, '[NBRQK]?[a-h]?[1-8]?x?[a-h][1-8][+#]?')), ' ') AS sans",
        sans=lambda t, n: F.array_join(F.filter(F.split(F.trim(F.regexp_replace(t, r"\([^)]*\)", "")), " "), lambda x: x.rlike("^[NBRQK]?[a-h]?[1-8]?x?[a-h][1-8][+#]?$")), " "))
-scorer("x12_pad_mask", "list_concat(list_transform(range(0, least(len(string_split(text, ' ')), 12)), lambda i: 1), list_transform(range(least(len(string_split(text, ' ')), 12), 12), lambda i: 0)) AS mask",
-       mask=lambda t, n: F.concat(F.array_repeat(F.lit(1), F.least(F.size(F.split(t, " ")), F.lit(12))), F.array_repeat(F.lit(0), 12 - F.least(F.size(F.split(t, " ")), F.lit(12)))))
 scorer("x19_chat_template", "'<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS prompt", prompt=lambda t, n: F.concat(F.lit("<|im_start|>user\n"), t, F.lit("<|im_end|>\n<|im_start|>assistant\n")))
 scorer("x20_html_escape", "replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html", html=lambda t, n: reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")), t))
 
