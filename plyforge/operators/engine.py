@@ -95,15 +95,40 @@ def class_sql(loss: str, variant: str) -> str:
     return "CASE " + " ".join(f"WHEN {loss} <= {m} THEN '{n}'" for m, n in CLASSES[variant][:-1]) + f" ELSE '{CLASSES[variant][-1][1]}' END"
 
 
-BEST = "max(CASE WHEN score_type = 'cp' THEN score END) OVER (PARTITION BY pos_id)"
-
-
-@engine_query("e04_compare_moves", f"SELECT {KEY}, loss, CASE WHEN loss = 0 THEN 'Best' ELSE {class_sql('loss', 'compare')} END AS class FROM (SELECT *, CASE WHEN score_type = 'cp' THEN coalesce({BEST}, 0) - score ELSE 0 END AS loss FROM LINES)")
-def compare_moves(df):
-    """Loss against the best line of the position; lines that end in mate lose nothing (as the rule has it)."""
-    best = F.max(F.when(F.col("score_type") == "cp", F.col("score"))).over(Window.partitionBy("pos_id"))
-    rows = df.withColumn("loss", F.when(F.col("score_type") == "cp", F.coalesce(best, F.lit(0)) - F.col("score")).otherwise(0))
-    return rows.select(*KEYS, "loss", F.when(F.col("loss") == 0, "Best").otherwise(move_class(F.col("loss"), "compare")).alias("class"))
+_ORDER = "(multipv, l_partkey, l_suppkey, move, score)"
+# The draws of a line are half of what is not won, so its losses are the other half.
+_SIDES = f"SELECT pos_id, arg_min({{'t': score_type, 's': score, 'w': win, 'm': move}}, {_ORDER}) AS best, arg_max(move, {_ORDER}) AS played FROM LINES GROUP BY pos_id"
+_WP = "coalesce({w}, CASE WHEN {t} = 'mate' THEN CASE WHEN {s} > 0 THEN 1.0 ELSE 0.0 END ELSE 0.5 + 0.5 * (2 / (1 + exp(-0.00368208 * {s})) - 1) END)::DOUBLE"
+
+
+@engine_query("e04_compare_moves", f"""
+WITH sides AS ({_SIDES}),
+met AS (SELECT a.pos_id, a.played, a.best AS b, {{'t': r.best.t, 's': -r.best.s, 'w': (1000 - r.best.w - (1000 - r.best.w) // 2) / 1000.0}} AS u FROM sides a JOIN sides r ON r.pos_id = a.pos_id + 1),
+lost AS (SELECT *, CASE WHEN b.t = 'cp' AND u.t = 'cp' THEN b.s - u.s ELSE 0 END AS cp_loss, round({_WP.format(w='b.w / 1000.0', t='b.t', s='b.s')} - {_WP.format(w='u.w', t='u.t', s='u.s')}, 4) + 0.0 AS wp_loss FROM met)
+SELECT pos_id, played AS user_move, b.m AS best_move, cp_loss::BIGINT AS cp_loss, wp_loss, CASE WHEN played = b.m THEN 'Best' ELSE {class_sql('cp_loss', 'compare')} END AS class FROM lost""")
+def compared(df):
+    """A move played against the best one; the position after it is the next one of the table."""
+    return compare_moves(df, df.groupBy("pos_id").agg(F.max_by("move", F.struct("multipv", "l_partkey", "l_suppkey", "move", "score")).alias("user_move")).withColumn("after_id", F.col("pos_id") + 1))
+
+
+def compare_moves(lines: DataFrame, played: DataFrame) -> DataFrame:
+    """``played`` (pos_id, user_move, after_id) with the best move, the loss in centipawns (not clamped; 0 where one side is a
+    mate) and in the probability to win, and the class of the move.
+
+    The first line of the position after the move is seen by the other side: its score is turned round, and its losses are
+    what the mover wins.
+    """
+    first = F.min_by(F.struct("score_type", "score", "win", "move"), F.struct("multipv", "l_partkey", "l_suppkey", "move", "score"))
+    best = lines.groupBy("pos_id").agg(first.alias("b"))
+    answer = best.select(F.col("pos_id").alias("after_id"), F.col("b").alias("a"))
+    rows = played.join(best, "pos_id").join(answer, "after_id")
+    lost = 1000 - F.col("a.win") - F.floor((1000 - F.col("a.win")) / 2)
+    chance = lambda kind, score, win: F.coalesce(win / 1000.0, F.when(kind == "mate", (score > 0).cast("double")).otherwise(0.5 + 0.5 * (2 / (1 + F.exp(-0.00368208 * score)) - 1)))
+    both = (F.col("b.score_type") == "cp") & (F.col("a.score_type") == "cp")
+    cp_loss = F.when(both, F.col("b.score") + F.col("a.score")).otherwise(0).cast("long")
+    wp_loss = F.round(chance(F.col("b.score_type"), F.col("b.score"), F.col("b.win")) - chance(F.col("a.score_type"), -F.col("a.score"), lost), 4) + 0.0
+    kind = F.when(F.col("user_move") == F.col("b.move"), "Best").otherwise(move_class(F.col("cp_loss"), "compare"))
+    return rows.withColumn("cp_loss", cp_loss).select("pos_id", "user_move", F.col("b.move").alias("best_move"), "cp_loss", wp_loss.alias("wp_loss"), kind.alias("class"))
 
 
 @engine_query("e05_move_classes", f"SELECT {KEY}, {class_sql('(500 - score)', 'verifier')} AS verifier, {class_sql('(500 - score)', 'data')} AS data, {class_sql('(500 - score)', 'server')} AS server FROM LINES")
@@ -262,8 +287,3 @@ def correction(df):
 def template(df):
     c = move_class(500 - F.col("score"), "verifier")
     return df.select(*KEYS, F.when(c == "Best", "The strongest choice.").when(c == "Great", "Nearly the strongest.").when(c == "Good", "Sound.").when(c == "Inaccuracy", "There was better.").when(c == "Mistake", "This hurts.").otherwise("This loses much.").alias("text"))
-
-
-INFO = "info depth {0} seldepth {1} multipv {2} score {3} {4} nodes {5} nps 1000 time 7 pv e2e4 e7e5"
-
-

@@ -238,14 +238,38 @@ def concat_key_join(spark, sf_dir):
     return table(spark, sf_dir, "supplier").withColumn("k", key("s_nationkey")).join(table(spark, sf_dir, "nation").withColumn("k", key("n_nationkey")), "k").select("s_suppkey", "n_name")
 
 
-@on("events", "j05_chained_pools", """
-WITH pools AS (SELECT user_id, min(CASE WHEN value < 5 THEN 1 WHEN value < 20 THEN 2 WHEN value < 60 THEN 3 END) AS pool FROM events GROUP BY user_id)
-SELECT user_id, pool FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY user_id) AS rn FROM pools WHERE pool IS NOT NULL) WHERE rn <= 50""")
-def chained_pools(df, cap=50):
-    """A key goes to the first pool that takes it; each pool has a cap."""
-    pool = F.when(F.col("value") < 5, 1).when(F.col("value") < 20, 2).when(F.col("value") < 60, 3)
-    pools = df.groupBy("user_id").agg(F.min(pool).alias("pool")).where("pool is not null")
-    return pools.withColumn("rn", F.row_number().over(Window.partitionBy("pool").orderBy("user_id"))).where(F.col("rn") <= cap).select("user_id", "pool")
+#: Pools in their order: a key that has an event with a value below the bound may go there.
+POOLS = {"rare": 0.5, "low": 5.0, "middle": 20.0, "wide": 60.0}
+#: Keys with an event of this value or more are in the base set, which no pool takes from; keys of a pool at most.
+BASE, CAP = 250.0, 15
+
+
+def chained(keys: DataFrame, key: str, pools: list[str], cap: int) -> DataFrame:
+    """(key, pool): each pool takes, in the order of its column (null: not fit), the first ``cap`` keys that no pool before it took.
+
+    A round a pool: a key that a full pool turns away stands in line for the next. What is taken is at most ``cap`` rows a pool,
+    which makes it fit to be broadcast.
+    """
+    taken = None
+    for name in pools:
+        fit = keys.where(F.col(name).isNotNull())
+        left = fit if taken is None else fit.join(F.broadcast(taken.select(key)), key, "left_anti")
+        # The first rows of an order: every task keeps as many, and no more, before they meet.
+        mine = left.orderBy(name, key).limit(cap).select(key, F.lit(name).alias("pool"))
+        taken = mine if taken is None else taken.unionByName(mine)
+    return taken
+
+
+_FIT = ", ".join(f"min(event_id) FILTER (value < {bound}) AS {name}" for name, bound in POOLS.items())
+_BEFORE = lambda name: "".join(f" AND user_id NOT IN (SELECT user_id FROM pool_{b})" for b in list(POOLS)[: list(POOLS).index(name)])
+
+
+@on("events", "j05_chained_pools", f"WITH keys AS (SELECT user_id, {_FIT} FROM events WHERE user_id IS NOT NULL GROUP BY user_id HAVING coalesce(max(value), 0) < {BASE}), " + ", ".join(f"pool_{n} AS (SELECT user_id, '{n}' AS pool FROM keys WHERE {n} IS NOT NULL{_BEFORE(n)} ORDER BY {n}, user_id LIMIT {CAP})" for n in POOLS) + " " + " UNION ALL ".join(f"FROM pool_{n}" for n in POOLS))
+def chained_pools(df):
+    """Users in pools by the first event that fits each, those of the base set left out."""
+    fits = [F.min(F.when(F.col("value") < bound, F.col("event_id"))).alias(name) for name, bound in POOLS.items()]
+    keys = df.where("user_id is not null").groupBy("user_id").agg(*fits, F.coalesce(F.max("value"), F.lit(0.0)).alias("most")).where(F.col("most") < BASE)
+    return chained(keys, "user_id", list(POOLS), CAP)
 
 
 @on("events", "j06_row_pairs", "SELECT event_id, lead(event_id) OVER w AS next_id, lead(value) OVER w - value AS delta FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
@@ -396,21 +420,57 @@ def side_sums(df):
     return df.groupBy("l_orderkey").agg(F.sum(F.expr("CASE l_returnflag WHEN 'R' THEN 5 WHEN 'A' THEN 3 ELSE 1 END")).alias("material"))
 
 
-@on("embeddings", "a17_top1_retrieval", """
-WITH e AS (SELECT vec_id, vec_id // 64 AS batch, label, embedding FROM embeddings),
+#: Vectors of a batch.
+BATCH = 2048
+
+
+@on("embeddings", "a17_top1_retrieval", f"""
+WITH e AS (SELECT vec_id, vec_id // {BATCH} AS batch, label, embedding FROM embeddings),
 s AS (SELECT a.vec_id, b.label = a.label AS same, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id) AS rn FROM e a JOIN e b ON a.batch = b.batch AND a.vec_id <> b.vec_id)
 SELECT avg(CASE WHEN same THEN 1.0 ELSE 0.0 END) AS top1, count(*) AS n FROM s WHERE rn = 1""")
-def top1_retrieval(df, batch=64):
-    """Share of vectors whose nearest neighbour in their batch has the same label; a batch has ``batch`` vectors."""
-    rows = df.select("vec_id", F.expr(f"vec_id div {batch}").alias("batch"), "label", F.expr("transform(embedding, x -> cast(x as double))").alias("e"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    rows = rows.withColumn("norm", F.sqrt(dot("e", "e")))
-    other = rows.select("batch", *(F.col(c).alias(f"o_{c}") for c in ("vec_id", "label", "e", "norm")))
-    pairs = rows.join(other, "batch").where("vec_id <> o_vec_id").withColumn("cos", F.round(dot("e", "o_e") / (F.col("norm") * F.col("o_norm")), 9))
-    best = pairs.groupBy("vec_id", "label").agg(F.max_by("o_label", F.struct("cos", -F.col("o_vec_id"))).alias("o_label"))
+def top1_retrieval(df):
+    """Share of vectors whose nearest neighbour in their batch has the same label."""
+    best = nearest(df.withColumn("batch", F.expr(f"vec_id div {BATCH}")), "batch")
     return best.agg(F.avg((F.col("label") == F.col("o_label")).cast("double")).alias("top1"), F.count(F.lit(1)).alias("n"))
 
 
+#: Columns of a block of the matrix of similarities, of which a batch holds one at a time.
+BLOCK = 512
+
+
+def nearest(df: DataFrame, batch: str) -> DataFrame:
+    """vec_id, label, o_id, o_label: of each vector the other one of its batch with the largest cosine (to 9 places; then the least id).
+
+    A batch is as large as a model's batch, a few thousand rows at most. It is multiplied block by block, and each row keeps
+    the best that it has met, so that no pair becomes a row. A vector without another one has no row.
+    """
+
+    def of_batch(table):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, labels = (table.column(c).to_numpy() for c in ("vec_id", "label"))
+        order = np.argsort(ids, kind="stable")
+        x = np.array(table.column("e").to_pylist(), dtype=np.float64)[order]
+        ids, labels = ids[order], labels[order]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            x = x / np.sqrt((x * x).sum(1, keepdims=True))
+        best, at = np.full(len(x), -np.inf), np.zeros(len(x), np.int64)
+        for start in range(0, len(x), BLOCK):
+            block = np.nan_to_num(np.round(x @ x[start : start + BLOCK].T, 9), nan=-2.0)
+            own = np.arange(start, min(start + BLOCK, len(x)))
+            block[own, own - start] = -np.inf
+            here = block.argmax(1)
+            value = block[np.arange(len(x)), here]
+            better = value > best
+            best[better], at[better] = value[better], start + here[better]
+        found = best > -np.inf
+        return pa.table({"vec_id": ids[found], "label": labels[found], "o_id": ids[at[found]], "o_label": labels[at[found]]})
+
+    rows = df.where("embedding is not null and vec_id is not null and label is not null").select("vec_id", batch, F.col("label").cast("int").alias("label"), F.expr("transform(embedding, x -> cast(x as double))").alias("e"))
+    return rows.groupBy(batch).applyInArrow(of_batch, "vec_id long, label int, o_id long, o_label int")
+
+
 _TOKENS = "list_transform(string_split(coalesce(text, ''), ' '), lambda w: length(w)::INTEGER)"
 
 

@@ -33,6 +33,9 @@ TEXTS = (
     'prompt {t} </think> tail {"move": "e7e8q"}   ',
     '{t} Nd5 [mobility +0.32; king safety -0.15] then Kh7 (no notable term changes)',
     'Nd5 improves piece activity\nKh7 king shelter gone <b>&"x"</b> {t}',
+    '{"correctness": 1, "clarity": 2} then {"correctness": 2, "clarity": "4", "fluency": null, "relevance": "x"} and {"correctness": 3 4} {t}',
+    '{"clarity": 3, "correctness": "2"} {t} {"other": 1} {not json}',
+    "lists ['b5', \"a5\"] {t}\nFINAL ANSWER: ['c1', 'a2'] or [b,A] []\n",
     '{t}',
 )
 #: The row's own text in one of these forms, which the scorers must tell apart.
@@ -85,19 +88,38 @@ def length_penalty(tokens: Column, free: int = 100, most: int = 2048) -> Column:
 
 SQL_PENALTY = "(-0.2 * least(greatest((tokens - 100) / 1948.0, 0.0), 1.0))"
 scorer("r16_length_penalty", f"{SQL_PENALTY} AS penalty", penalty=lambda t, n: length_penalty(n))
-scorer("r17_puzzle_reward", f"CASE WHEN {SQL_MOVE} IS NULL THEN -1.0 ELSE CASE WHEN lower({SQL_MOVE}) = 'g1f3' THEN 1.0 ELSE 0.0 END + {SQL_PENALTY} END AS reward",
-       reward=lambda t, n: F.when(move_json(t).isNull(), -1.0).otherwise(F.when(F.lower(move_json(t)) == "g1f3", 1.0).otherwise(0.0) + length_penalty(n)))
+def puzzle_reward(move: Column, gold: Column, tokens: Column) -> Column:
+    """-1 without a move, else 1 for the gold move in any case or 0, less the penalty of the length."""
+    return F.when(move.isNull(), -1.0).otherwise((F.lower(move) == F.lower(stripped(gold))).cast("double") + length_penalty(tokens))
+
+
+# The solution of a row's puzzle.
+_SOLUTIONS = ("e2e4", "G1F3 ", "d2d4", "e7e8q", "a2a3")
+scorer("r17_puzzle_reward", f"CASE WHEN {SQL_MOVE} IS NULL THEN -1.0 ELSE CASE WHEN lower({SQL_MOVE}) = lower(trim([{', '.join(map(quoted, _SOLUTIONS))}][conv_id % {len(_SOLUTIONS)} + 1])) THEN 1.0 ELSE 0.0 END + {SQL_PENALTY} END AS reward",
+       reward=lambda t, n: puzzle_reward(move_json(t), F.get(F.array(*map(F.lit, _SOLUTIONS)), (F.col("conv_id") % len(_SOLUTIONS)).cast("int")), n))
+
+
+#: The form of a block of scores, and of any block (fixed values).
+SCORE_BLOCK, ANY_BLOCK = r'\{[^{}]*"correctness"\s*:\s*[\d.]+[^{}]*\}', r"\{[^{}]+\}"
 
 
 def judge_scores(text: Column) -> dict[str, Column]:
-    block = F.regexp_extract(text, r'(\{[^{}]*"correctness"\s*:\s*[\d.]+[^{}]*\})', 1)
-    return {k: F.get_json_object(block, f"$.{k}").cast("double") for k in JUDGE}
+    """The metrics of the last block that is JSON and has a correctness; blocks of another form only if there is none of the usual one.
+
+    What is no number is null.
+    """
+    found = lambda form: F.regexp_extract_all(text, F.lit(form), F.lit(0))
+    read = lambda blocks: F.transform(blocks, lambda b: F.from_json(b, "map<string,string>", {"allowSingleQuotes": "false"}))
+    blocks = F.when(text.rlike(SCORE_BLOCK), found(SCORE_BLOCK)).otherwise(found(ANY_BLOCK))
+    last = F.try_element_at(F.filter(read(blocks), lambda m: F.map_contains_key(m, "correctness")), F.lit(-1))
+    return {k: F.try_element_at(last, F.lit(k)).try_cast("double") for k in JUDGE}
 
 
 #: Metrics of a judge: weight and top of the scale (fixed values).
 JUDGE = {"correctness": (0.30, 3), "think_quality": (0.25, 5), "completeness": (0.15, 5), "relevance": (0.10, 5), "clarity": (0.10, 5), "fluency": (0.10, 5)}
-_SQL_BLOCK = r"""nullif(regexp_extract(text, '(\{[^{}]*"correctness"\s*:\s*[\d.]+[^{}]*\})', 1), '')"""
-SQL_JUDGE = {k: f"json_extract_string({_SQL_BLOCK}, '$.{k}')::DOUBLE" for k in JUDGE}
+_SQL_BLOCKS = f"CASE WHEN regexp_matches(text, '{SCORE_BLOCK}') THEN regexp_extract_all(text, '{SCORE_BLOCK}') ELSE regexp_extract_all(text, '{ANY_BLOCK}') END"
+_SQL_BLOCK = f"list_filter({_SQL_BLOCKS}, lambda b: json_valid(b) AND CASE WHEN json_valid(b) THEN json_exists(b, '$.correctness') ELSE false END)[-1]"
+SQL_JUDGE = {k: f"TRY_CAST(json_extract_string({_SQL_BLOCK}, '$.{k}') AS DOUBLE)" for k in JUDGE}
 scorer("r20_judge_scores", ", ".join(f"{v} AS {k}" for k, v in SQL_JUDGE.items()), **{k: (lambda t, n, k=k: judge_scores(t)[k]) for k in JUDGE})
 
 
@@ -157,26 +179,41 @@ scorer("r26_final_answer", f"{SQL_ANSWER} AS answer", answer=lambda t, n: final_
 
 
 def bracket_sorted(text: Column) -> Column:
-    """The first bracketed list with its items in order, quotes normalised."""
-    inner = F.regexp_extract(text, r"\[([^\]]+)\]", 1)
-    items = F.array_sort(F.transform(F.split(inner, ","), lambda x: F.regexp_replace(stripped(x), "^['\"]+|['\"]+$", "")))
-    return F.when(inner == "", text).otherwise(F.concat(F.substring_index(text, "[", 1), F.lit("['"), F.array_join(items, "', '"), F.lit("']"), F.regexp_extract(text, r"(?s)\](.*)$", 1)))
+    """The text with the items of every bracketed list in order, quotes normalised."""
+    form = r"\[([^\]]+)\]"
+    items = lambda inner: F.array_sort(F.transform(F.split(inner, ","), lambda x: F.regexp_replace(stripped(x), "^['\"]+|['\"]+$", "")))
+    lists = F.transform(F.regexp_extract_all(text, F.lit(form), F.lit(1)), lambda inner: F.concat(F.lit("['"), F.array_join(items(inner), "', '"), F.lit("']")))
+    # What stands between the lists is one more than they are.
+    return F.array_join(F.zip_with(F.split(text, form, -1), lists, lambda between, one: F.concat(between, F.coalesce(one, F.lit("")))), "")
 
 
-def match_exact(pred: Column, gold: str, kind: str = "single") -> Column:
-    got = F.lower(stripped(final_answer(pred)))
-    if kind == "multi":
-        parts = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform(F.split(c, ","), stripped), lambda x: x != "")))
-        return parts(got) == parts(F.lit(gold.lower()))
-    return bracket_sorted(got) == bracket_sorted(F.lit(gold.lower())) if "[" in gold else got == gold.lower()
+def match_exact(pred: Column, gold: Column, kind: Column) -> Column:
+    """Of a final answer: the same set of items (kind multi), the same text with lists in any order, or the same text."""
+    got, want = F.lower(stripped(final_answer(pred))), F.lower(stripped(gold))
+    parts = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform(F.split(c, ","), stripped), lambda x: x != "")))
+    return F.when(kind == "multi", parts(got) == parts(want)).when(want.contains("["), bracket_sorted(got) == bracket_sorted(want)).otherwise(got == want)
 
 
 _LISTED = "CASE WHEN turn % 2 = 0 THEN text || ' [b5, ''a5'', \"e' || turn || '\"] end' ELSE text END"
-_INNER = "regexp_extract(x, '\\[([^\\]]+)\\]', 1)"
-scorer("r27_bracket_lists", f"""(SELECT CASE WHEN {_INNER} = '' THEN x ELSE string_split(x, '[')[1] || '[''' || array_to_string(list_sort(list_transform(string_split({_INNER}, ','), lambda i: trim(trim(i), '''"'))), ''', ''') || ''']' || regexp_extract(x, '(?s)\\](.*)$', 1) END FROM (SELECT {_LISTED} AS x)) AS sorted""",
+def _sql_sorted(x: str) -> str:
+    """Of a text, lists in order: items of all lists as rows of a list of lists."""
+    inner = f"regexp_extract_all({x}, '\\[([^\\]]+)\\]', 1)"
+    items = "list_sort(list_transform(string_split(l, ','), lambda i: trim(regexp_replace(regexp_replace(i, '^\\s+', ''), '\\s+$', ''), '\x27\x27\"')))"
+    shown = f"list_transform({inner}, lambda l: '[' || chr(39) || array_to_string({items}, chr(39) || ', ' || chr(39)) || chr(39) || ']')"
+    return f"array_to_string(list_transform(list_zip(regexp_split_to_array({x}, '\\[[^\\]]+\\]'), {shown}), lambda z: z[1] || coalesce(z[2], '')), '')"
+
+
+scorer("r27_bracket_lists", f"(SELECT {_sql_sorted('x')} FROM (SELECT {_LISTED} AS x)) AS sorted",
        sorted=lambda t, n: bracket_sorted(F.when(F.col("turn") % 2 == 0, F.concat(t, F.lit(" [b5, 'a5', \"e"), F.col("turn").cast("string"), F.lit('"] end'))).otherwise(t)))
 _SQL_SET = "list_sort(list_distinct(list_filter(list_transform(string_split(lower(trim({0})), ','), lambda x: trim(x)), lambda x: x <> '')))"
-scorer("r28_match_exact", f"lower(trim({SQL_ANSWER})) = 'nf3' AS single, {_SQL_SET.format(SQL_ANSWER)} = ['a5', 'b5'] AS multi", single=lambda t, n: match_exact(t, "Nf3"), multi=lambda t, n: match_exact(t, "b5, a5", "multi"))
+# Gold answers of a row, by their kind: a move, a set, texts with lists, the row's own answer.
+_ANSWERS = ("nF3 ", "b5, a5,", "['A2', 'c1'] or ['a', 'b'] []", "E4 ,d4")
+_KINDS = ("single", "multi", "single", "multi", "single")
+_sql_of = lambda values, more: f"[{', '.join(map(quoted, values))}{more}][conv_id % 5 + 1]"
+_GOLD_SQL = _sql_of(_ANSWERS, f", ' ' || {SQL_ANSWER} || ' '")
+_NORMAL = "lower(regexp_replace(regexp_replace({0}, '^\\s+', ''), '\\s+$', ''))"
+scorer("r28_match_exact", f"(SELECT CASE WHEN kind = 'multi' THEN {_SQL_SET.format('p')} = {_SQL_SET.format('g')} WHEN contains(g, '[') THEN {_sql_sorted('p')} = {_sql_sorted('g')} ELSE p = g END FROM (SELECT {_NORMAL.format(SQL_ANSWER)} AS p, {_NORMAL.format(_GOLD_SQL)} AS g, {_sql_of(_KINDS, '')} AS kind)) AS ok",
+       ok=lambda t, n: match_exact(t, F.get(F.array(*map(F.lit, _ANSWERS), F.concat(F.lit(" "), final_answer(t), F.lit(" "))), (F.col("conv_id") % 5).cast("int")), F.get(F.array(*map(F.lit, _KINDS)), (F.col("conv_id") % 5).cast("int"))))
 
 
 def loose_match(text: Column, gold: Column) -> dict[str, Column]:

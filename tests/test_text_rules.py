@@ -32,8 +32,8 @@ def test_classes_and_probabilities(spark):
 
 def test_answers(spark):
     assert said(spark, "FINAL ANSWER: **Nf3**\nbye", t.final_answer) == "Nf3"
-    assert said(spark, "FINAL ANSWER: b5, a5", lambda c: t.match_exact(c, "a5, b5", "multi")) is True
-    assert said(spark, "FINAL ANSWER: ['e3', 'a5']", lambda c: t.match_exact(c, "['a5', 'e3']")) is True
+    assert said(spark, "FINAL ANSWER: b5, a5", lambda c: t.match_exact(c, F.lit("a5, b5"), F.lit("multi"))) is True
+    assert said(spark, "FINAL ANSWER: ['e3', 'a5']", lambda c: t.match_exact(c, F.lit("['a5', 'e3']"), F.lit("single"))) is True
 
 
 def test_missing_judge_scores_do_not_count(spark):
