@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plyforge.functions.dialect import DUCK, SPARK
-from plyforge.functions.rules import Position, move_facts, uci
-from plyforge.operators.engine import LINES_SQL, TERMS, engine_lines, engine_query, eval_label, label_sql, move_class, class_sql, notable, notable_sql, term_vector, TERMS_SQL
+from plyforge.functions.dialect import DUCK
+from plyforge.functions.rules import Position
+from plyforge.operators.engine import engine_query, eval_label, label_sql, notable, notable_sql, term_vector, TERMS_SQL
 from plyforge.operators.features import decoded, feature, full_name_at, or_none, rights, square
-from plyforge.operators.moves import chosen, position_query
 from plyforge.operators.records import bucket, on, sql_bucket, table
-from plyforge.operators.text import TEXTS, scorer, stripped
+from plyforge.operators.text import scorer, stripped
 from plyforge.plans.registry import register
 from plyforge.sources.positions import POSITIONS_SQL, positions
 from plyforge.streaming.logs import shared_dir
@@ -101,18 +100,6 @@ _KEYS = ["pos_id", "multipv", "l_partkey", "l_suppkey"]
 _KEY = ", ".join(_KEYS)
 
 
-@engine_query("e15_thinking_block", f"SELECT {_KEY}, 'POSITION: ' || pos_id || chr(10) || 'CLASSIFICATION: ' || {class_sql('(500 - score)', 'data')} || chr(10) || 'VERDICT: ' || {label_sql('score', 'data')} AS block FROM LINES")
-def thinking_block(df):
-    return df.select(*_KEYS, F.concat_ws("\n", F.concat(F.lit("POSITION: "), F.col("pos_id").cast("string")), F.concat(F.lit("CLASSIFICATION: "), move_class(500 - F.col("score"), "data")), F.concat(F.lit("VERDICT: "), eval_label(F.col("score"), "data"))).alias("block"))
-
-
-@engine_query("e16_joint_record", f"SELECT pos_id, count(*) AS n_lines, string_agg(move || ' [' || s || ']', ' | ' ORDER BY multipv, l_partkey, l_suppkey) AS lines FROM (SELECT *, {notable_sql(0.10, 1)} AS s FROM (SELECT *, {TERMS_SQL} AS t FROM LINES)) GROUP BY pos_id")
-def joint_record(df):
-    rows = df.withColumn("terms", term_vector()).withColumn("s", F.concat("move", F.lit(" ["), notable(0.10, 1), F.lit("]")))
-    items = F.array_sort(F.collect_list(F.struct("multipv", "l_partkey", "l_suppkey", "s")))
-    return rows.groupBy("pos_id").agg(F.count(F.lit(1)).alias("n_lines"), F.array_join(F.transform(items, lambda x: x["s"]), " | ").alias("lines"))
-
-
 @engine_query("e18_labelled_lines", f"SELECT {_KEY}, move || ' (' || {label_sql('score', 'tools')} || ')' AS line FROM LINES")
 def labelled_lines(df):
     return df.select(*_KEYS, F.concat("move", F.lit(" ("), eval_label(F.col("score"), "tools"), F.lit(")")).alias("line"))

@@ -250,12 +250,6 @@ def eval_tier(df):
     return df.select(*KEYS, out.otherwise("black is winning").alias("tier"), F.greatest(F.lit(-500), F.least(F.lit(500), F.bround(pawns, 0) * 100)).cast("long").alias("cp"))
 
 
-@engine_query("e12_line_analysis", f"SELECT pos_id, count(*) AS candidates, max({CP_SQL}) - min({CP_SQL}) AS spread, arg_max(move, (depth, -multipv, -l_partkey, -l_suppkey)) AS deepest FROM LINES GROUP BY pos_id")
-def line_analysis(df):
-    order = F.struct("depth", -F.col("multipv"), -F.col("l_partkey"), -F.col("l_suppkey"))
-    return df.groupBy("pos_id").agg(F.count(F.lit(1)).alias("candidates"), (F.max(effective_cp()) - F.min(effective_cp())).alias("spread"), F.max_by("move", order).alias("deepest"))
-
-
 @engine_query("e13_line_selection", f"SELECT {KEY} FROM (SELECT *, row_number() OVER (PARTITION BY pos_id ORDER BY multipv, l_partkey, l_suppkey) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY pos_id, move ORDER BY multipv, l_partkey, l_suppkey) AS again FROM LINES) WHERE again = 1) WHERE rn <= 2")
 def line_selection(df, lines=2):
     order = ("multipv", "l_partkey", "l_suppkey")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plyforge.operators import attacks, datasets, engine, features, moves, readers, records, rewards, text, textbook, tokens  # noqa: F401
+from plyforge.operators import attacks, datasets, engine, features, lines, moves, readers, records, rewards, text, textbook, tokens  # noqa: F401
 from plyforge.plans import registry
 from plyforge.streaming import logs  # noqa: F401
 
