@@ -1,7 +1,8 @@
 """Structured Streaming over logs and event streams; each query runs what is there to its end (availableNow) and stops.
 
-Aggregates and duplicates forget by a watermark: a step's numbers are kept a window of event time and put together when they
-are read. Pairs and splitters keep one small row a shard or conversation. Checkpoints lie in the shared folder, and a query
+Statistics of steps are partial aggregates of each batch in a table, which is compacted as it grows and put together when it is
+read, so a row counts however late it comes. Duplicates and event-time windows forget by a watermark: a row that comes later than that is
+dropped, or taken for new. Pairs and splitters keep one small row a shard or conversation. Checkpoints lie in the shared folder, and a query
 that is started again goes on where its checkpoint stands.
 """
 
@@ -76,27 +77,101 @@ def timed(df: DataFrame, late: str = "1 day") -> DataFrame:
 
 @register("t01_follow_log", "SELECT DISTINCT event_id // 64 AS step FROM events")
 def follow_log(spark, sf_dir):
-    """Every step of a growing log once; a step is remembered as long as its lines may still come."""
+    """Every step of a growing log once; a step is remembered as long as its lines may still come, a day of event time."""
     steps = timed(stream(spark, sf_dir, "events", EVENTS)).select("ts", F.expr("event_id div 64").alias("step")).dropDuplicatesWithinWatermark(["step"])
     return appended(steps.select("step"))
 
 
-def by_step(spark: SparkSession, sf_dir: str, **parts) -> DataFrame:
-    """Partial aggregates of each step and day of event time, in update mode; a step has one or two of them."""
-    rows = timed(stream(spark, sf_dir, "events", EVENTS)).withColumn("step", F.expr("event_id div 64"))
-    return updated(rows.groupBy(F.window("ts", "1 day"), "step").agg(*(c.alias(n) for n, c in parts.items())), ["window", "step"]).groupBy("step")
+#: Batches whose partial aggregates lie apart before they become one table.
+COMPACT = 8
+
+
+class Partials:
+    """Aggregates of a stream without state in Spark: a table of partial ones a batch, compacted every COMPACT batches.
+
+    ``parts`` make a batch's partial columns, ``merges`` put partial columns of the same name together. A batch that runs again
+    replaces its own folder, and a compaction reads only folders that stay until it is whole, so an interrupted stream goes on right.
+    """
+
+    def __init__(self, spark: SparkSession, keys: list[str], parts: dict, merges: dict, path: str | None = None, compact: int = COMPACT):
+        self.spark, self.keys, self.parts, self.merges, self.compact = spark, keys, parts, merges, compact
+        self.path, self.schema = path or shared_dir(spark), None
+
+    def _folders(self) -> list[tuple[int, bool, str]]:
+        """(batch, compacted, path) of the whole tables that count: the last compaction and what came after it, earlier ones last."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/parts")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            return []
+        whole = lambda f: fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))
+        names = [(f.getPath().getName(), f.getPath()) for f in fs.listStatus(at)]
+        return sorted((int(n.split("-")[1]), n.startswith("all"), f.toString()) for n, f in names if n[:4] in ("all-", "one-") and whole(f))
+
+    def _living(self, upto: int | None = None, but: int | None = None) -> tuple[list[str], list[str]]:
+        """Paths to read, and paths that a compaction (not that of batch ``but``) has taken the place of."""
+        found = [f for f in self._folders() if (upto is None or f[0] <= upto) and f[:2] != (but, True)]
+        last = max((n for n, all_, _ in found if all_), default=-1)
+        live = [p for n, all_, p in found if (n == last and all_) or (n > last and not all_)]
+        return live, [p for _, _, p in found if p not in live]
+
+    def _merged(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*paths).groupBy(*self.keys).agg(*(c.alias(n) for n, c in self.merges.items()))
+
+    def take(self, batch: DataFrame, number: int) -> None:
+        made = batch.groupBy(*self.keys).agg(*(c.alias(n) for n, c in self.parts.items()))
+        self.schema = made.schema
+        made.write.mode("overwrite").parquet(f"{self.path}/parts/one-{number:09d}")
+        if number % self.compact == self.compact - 1:
+            self._merged(self._living(number, but=number)[0]).write.mode("overwrite").parquet(f"{self.path}/parts/all-{number:09d}")
+            # What the compaction before this one had taken in is of no more use.
+            for old in self._living(number - self.compact)[1]:
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(old)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def run(self, rows: DataFrame) -> DataFrame:
+        """Take in all that is there, and the merged aggregates of all batches."""
+        self.schema = rows.groupBy(*self.keys).agg(*(c.alias(n) for n, c in self.parts.items())).schema
+        rows.writeStream.option("checkpointLocation", f"{self.path}/checkpoint").foreachBatch(self.take).trigger(availableNow=True).start().awaitTermination()
+        live, _ = self._living()
+        return self._merged(live) if live else self.spark.createDataFrame([], self.schema)
+
+
+def steps(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
+    return stream(spark, sf_dir, "events", EVENTS, files).withColumn("step", F.expr("event_id div 64"))
 
 
 @register("t02_step_count", "SELECT event_id // 64 AS step, count(*) AS n FROM events GROUP BY 1")
 def step_count(spark, sf_dir):
-    return by_step(spark, sf_dir, n=F.count(F.lit(1))).agg(F.sum("n").alias("n"))
+    return Partials(spark, ["step"], {"n": F.count(F.lit(1))}, {"n": F.sum("n")}).run(steps(spark, sf_dir)).select("step", "n")
+
 
+def step_rows(spark: SparkSession, sf_dir: str, files: int | None = None, compact: int = COMPACT) -> DataFrame:
+    """step, n, judged, mean, best and worst (rows: event_id, event_type, value; the worst is null where it is the best).
 
-@register("t03_step_stats", "SELECT event_id // 64 AS step, max(value) AS best, min(value) AS worst, sum(value::DECIMAL(18, 6))::DOUBLE / count(value) AS mean FROM events GROUP BY 1")
+    Of rows that tie, the one of the least event_id is the best, and the worst. Values are summed as decimals, so that the mean does not
+    depend on the order in which a stream comes.
+    """
+    row = F.struct("event_id", "event_type", "value")
+    # A value and, turned round, an id: null values make no row.
+    up, down = F.when(F.col("value").isNotNull(), F.struct("value", -F.col("event_id"))), F.when(F.col("value").isNotNull(), F.struct("value", "event_id"))
+    parts = {"n": F.count(F.lit(1)), "judged": F.count("value"), "total": F.sum(F.col("value").cast("decimal(18, 6)")), "best": F.max_by(row, up), "worst": F.min_by(row, down)}
+    best = F.max_by("best", F.when(F.col("best").isNotNull(), F.struct("best.value", -F.col("best.event_id"))))
+    worst = F.min_by("worst", F.when(F.col("worst").isNotNull(), F.struct("worst.value", "worst.event_id")))
+    merges = {"n": F.sum("n"), "judged": F.sum("judged"), "total": F.sum("total").cast("decimal(28, 6)"), "best": best, "worst": worst}
+    out = Partials(spark, ["step"], parts, merges, compact=compact).run(steps(spark, sf_dir, files))
+    differs = F.col("worst.event_id") != F.col("best.event_id")
+    return out.select("step", "n", "judged", (F.col("total").cast("double") / F.nullif("judged", F.lit(0))).alias("mean"), "best", F.when(differs, F.col("worst")).alias("worst"))
+
+
+@register("t03_step_stats", """
+SELECT step, count(*) AS n, count(value) AS judged, sum(value::DECIMAL(18, 6))::DOUBLE / nullif(count(value), 0) AS mean,
+  any_value(event_id) FILTER (up = 1) AS best_id, any_value(event_type) FILTER (up = 1) AS best_type, max(value) AS best, CASE WHEN any_value(event_id) FILTER (down = 1) <> any_value(event_id) FILTER (up = 1) THEN any_value(event_id) FILTER (down = 1) END AS worst_id,
+  CASE WHEN any_value(event_id) FILTER (down = 1) <> any_value(event_id) FILTER (up = 1) THEN min(value) END AS worst
+FROM (SELECT *, event_id // 64 AS step, row_number() OVER (PARTITION BY event_id // 64 ORDER BY value DESC NULLS LAST, event_id) AS up, row_number() OVER (PARTITION BY event_id // 64 ORDER BY value NULLS LAST, event_id) AS down FROM events)
+GROUP BY step""")
 def step_stats(spark, sf_dir):
-    """Values are summed as decimals, so that the mean does not depend on the order in which a stream comes."""
-    parts = by_step(spark, sf_dir, best=F.max("value"), worst=F.min("value"), total=F.sum(F.col("value").cast("decimal(18, 6)")), n=F.count("value"))
-    return parts.agg(F.max("best").alias("best"), F.min("worst").alias("worst"), (F.sum("total").cast("double") / F.sum("n")).alias("mean"))
+    """Best and worst rows of each step of a log."""
+    return step_rows(spark, sf_dir).select("step", "n", "judged", "mean", F.col("best.event_id").alias("best_id"), F.col("best.event_type").alias("best_type"), F.col("best.value").alias("best"), F.col("worst.event_id").alias("worst_id"), F.col("worst.value").alias("worst"))
 
 
 OPEN, CLOSE = "<think>", "</think>"
