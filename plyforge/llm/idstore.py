@@ -5,12 +5,13 @@ equal passages cut alike wherever they stand), not below LEAST and not above MOS
 
 - ``store/kind=chunk``: address (16 bytes of BLAKE2b over the payload) and payload, each address once: ids as little-endian
   integers of ``width`` bytes.
-- ``store/kind=recipe`` and, in ascending order of doc_id, ``recipes``: doc_id, n_tokens, the addresses and sizes of its
-  chunks, the root of the Merkle tree over its addresses, and ``start``, the number of ids before it.
-- ``manifest``: per recipe file part, its range of doc_ids, its ids and ids before it, the width of an id in bytes, and the
-  Merkle root over its documents' roots in the order of its rows.
+- ``store/kind=recipe`` and, dealt to parts in ascending order of doc_id, ``recipes``: doc_id, n_tokens, the addresses and
+  sizes of its chunks, the root of the Merkle tree over its addresses, its part, and ``start``, the number of ids before it.
+- ``manifest``: per part its range of doc_ids, its documents, its ids and the ids before it, the width of an id in bytes, and
+  the root of the Merkle tree over its documents' roots, sizes and starts in ascending order.
 
-Reading back checks every payload against its address, every document against its root, and sizes against recipes.
+Reading back checks the documents of every part against its root, every document's recipe against the document's root, every
+payload against its address, and sizes against recipes; what does not match is an error.
 
 Handling of odd input: a null text counts as empty and gives the end id alone; rows with equal or null doc_id stay, each
 with a recipe, nulls first; an empty table makes an empty store; other columns are ignored.
@@ -19,6 +20,7 @@ with a recipe, nulls first; an empty table makes an empty store; other columns a
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import struct
 from itertools import chain
@@ -48,7 +50,8 @@ class Stretches:
     stretch that is not remembered once, some of them joined to one text; as the letter for a space begins the first token
     of a stretch and no other one, tokens with that letter show where the next stretch begins. Stretches with more spaces,
     those at the begin of a text and those that end in a blank are encoded one by one. Texts that contain an added token
-    of the tokenizer go to the library whole, which finds it before anything is cut.
+    of the tokenizer go to the library whole, which finds it before anything is cut. So do all texts where the tokenizer's file
+    names another pre-tokenizer, a normalizer or a prefix space, of which none of this is known.
     """
 
     def __init__(self, path: str):
@@ -57,6 +60,7 @@ class Stretches:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cuttable = _cuttable(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         self.type = np.dtype("<u2" if size <= 1 << 16 else "<u4")
@@ -106,7 +110,7 @@ class Stretches:
         """Ids of all texts (strings, none null) one after another, and where each text's ids end."""
         if len(self.known) > KNOWN:
             self._shrink()
-        special = np.zeros(len(texts), bool)
+        special = np.full(len(texts), not self.cuttable)
         for token in self.added:
             special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         bounds, data = _bounds(texts)
@@ -146,6 +150,14 @@ class Stretches:
         return ids, np.cumsum(counts)
 
 
+def _cuttable(path: str) -> bool:
+    """Whether the tokenizer cuts texts by the byte-level expression alone, before it merges anything."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    before = told.get("pre_tokenizer") or {}
+    return told.get("normalizer") is None and told["model"].get("type") == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+
+
 def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... for sizes[0] numbers, then the same of the next one."""
     ends = np.cumsum(sizes)
@@ -244,7 +256,7 @@ def _cut_up(path: str, end_id: int):
                 ids, ends = encode(part.column("text"))
                 ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
                 coded, chunks, docs = ids.tobytes(), [], []
-                uids = common.mixed(np.uint64(task << 40) | np.arange(row, row + len(ends), dtype=np.uint64)) & np.uint64(2**63 - 1)
+                uids = common.mixed(np.uint64(task << 40) | np.arange(row, row + len(ends), dtype=np.uint64)).view(np.int64)
                 row += len(ends)
                 for doc_id, uid, start, end, cut in zip(part.column("doc_id").to_pylist(), uids.tolist(), [0, *ends.tolist()], ends.tolist(), cuts(ids, ends), strict=False):
                     payloads = [coded[(start + a) * width : (start + b) * width] for a, b in zip([0, *cut], cut)]
@@ -269,15 +281,62 @@ def _cut_up(path: str, end_id: int):
 
 
 def _once(batches):
-    """Each chunk once: rows of one address meet in one partition."""
-    seen: set[bytes] = set()
+    """Each chunk once: rows of one address follow each other."""
+    last = None
+    for batch in batches:
+        at = batch.column("address")
+        same = pc.equal(at, pa.concat_arrays([pa.array([last], pa.binary()), at.slice(0, len(at) - 1)])) if len(at) else pa.array([], pa.bool_())
+        last = at[-1].as_py() if len(at) else last
+        yield batch.filter(pc.invert(pc.fill_null(same, False)))
+
+
+class Tree:
+    """The root of the tree that ``merkle`` makes, from leaves that come one by one, in the memory of its height."""
+
+    def __init__(self):
+        self.open: list[bytes | None] = []
+
+    def add(self, node: bytes) -> None:
+        for level, left in enumerate(self.open):
+            if left is None:
+                self.open[level] = node
+                return
+            node, self.open[level] = address(b"\1" + left + node), None
+        self.open.append(node)
+
+    def root(self) -> bytes:
+        node = None
+        for left in self.open:
+            if left is not None:
+                node = left if node is None else address(b"\1" + left + node)
+        return address(b"") if node is None else node
+
+
+def _leaf(root: bytes, n_tokens: int, within: int) -> bytes:
+    return address(b"\0" + root + struct.pack("<qq", n_tokens, within))
+
+
+_PARTED = "kind string, part int, doc_id long, uid long, within long, n_tokens long, recipe binary, sizes binary, root binary, first_doc long, last_doc long, docs long"
+
+
+def _parted(batches):
+    """The recipes of a part with the ids of the part before each, and at the end a row about the part."""
+    part, tree, within, docs, ends = TaskContext.get().partitionId(), Tree(), 0, 0, []
     for batch in batches:
-        keep = []
-        for a in batch.column("address").to_pylist():
-            keep.append(a is None or a not in seen)
-            if a is not None:
-                seen.add(a)
-        yield batch.filter(pa.array(keep, pa.bool_()))
+        n = batch.column("n_tokens").to_numpy()
+        after = within + np.cumsum(n)
+        for root, size, end in zip(batch.column("root").to_pylist(), n.tolist(), after.tolist(), strict=True):
+            tree.add(_leaf(root, size, end - size))
+        rows = batch.num_rows
+        if rows:
+            within, docs = int(after[-1]), docs + rows
+            ends = [*ends[:1], batch.column("doc_id")[0].as_py(), batch.column("doc_id")[-1].as_py()]
+            none = pa.nulls(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(["recipe"] * rows), pa.array(np.full(rows, part, np.int32)), batch.column("doc_id"), batch.column("uid"), pa.array(after - n), *(batch.column(c) for c in ("n_tokens", "recipe", "sizes", "root")), none, none, none], names=[f.split()[0] for f in _PARTED.split(", ")])
+    if docs:
+        row = ["part", part, None, None, None, within, None, None, tree.root(), ends[0], ends[-1], docs]
+        types = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[f.split()[1]] for f in _PARTED.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=[f.split()[0] for f in _PARTED.split(", ")])
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -285,19 +344,61 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
     spark = docs.sparkSession
     texts = common.id_text(docs, id_col, text_col)
     made = texts.mapInArrow(_cut_up(tokenizer, end_id), _STORE)
-    made.repartition("key").mapInArrow(_once, _STORE).drop("key").write.partitionBy("kind").option("parquet.enable.dictionary", "false").parquet(f"{path}/store")
+    # Rows of one key meet in one partition and, sorted, follow each other.
+    met = made.repartition("key").sortWithinPartitions("key", "address")
+    met.mapInArrow(_once, _STORE).drop("key").write.partitionBy("kind").option("parquet.enable.dictionary", "false").parquet(f"{path}/store")
 
-    recipes = _store(spark, path).where("kind = 'recipe'").select("doc_id", "uid", "n_tokens", "recipe", "sizes", "root")
-    ordered = recipes.repartitionByRange("doc_id", "uid").sortWithinPartitions("doc_id", "uid").withColumn("part", F.spark_partition_id())
-    ordered.write.parquet(f"{path}/ordered")
-    ordered = spark.read.schema(ordered.schema).parquet(f"{path}/ordered")
-    # Ids before each part: as many rows as parts.
-    totals = ordered.groupBy("part").agg(F.sum("n_tokens").alias("ids"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    offsets = totals.withColumn("before", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    offsets.write.parquet(f"{path}/manifest")
-    running = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("doc_id", "uid").rowsBetween(Window.unboundedPreceding, -1))
-    with_start = ordered.withColumn("within", F.coalesce(running, F.lit(0))).join(spark.read.schema(offsets.schema).parquet(f"{path}/manifest").select("part", "before"), "part")
-    with_start.select("doc_id", "uid", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "recipe", "sizes", "root").write.parquet(f"{path}/recipes")
+    found = _store(spark, path).where("kind = 'recipe'").select("doc_id", "uid", "n_tokens", "recipe", "sizes", "root")
+    found.repartitionByRange("doc_id", "uid").sortWithinPartitions("doc_id", "uid").mapInArrow(_parted, _PARTED).write.partitionBy("kind").parquet(f"{path}/parted")
+    parted = spark.read.schema(_PARTED.removeprefix("kind string, ") + ", kind string").parquet(f"{path}/parted")
+    # As many rows as parts.
+    parts = parted.where("kind = 'part'").select("part", "first_doc", "last_doc", "docs", F.col("n_tokens").alias("ids"), "root")
+    before = F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts.withColumn("before", before).withColumn("width", F.lit(_width(tokenizer))).write.parquet(f"{path}/manifest")
+    with_start = parted.where("kind = 'recipe'").join(manifest(spark, path).select("part", "before"), "part")
+    with_start.select("part", "doc_id", "uid", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "recipe", "sizes", "root").write.parquet(f"{path}/recipes")
+
+
+def _width(tokenizer: str) -> int:
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else 4
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("part int, first_doc long, last_doc long, docs long, ids long, root binary, before long, width int").parquet(f"{path}/manifest")
+
+
+def width_of(spark: SparkSession, path: str) -> int:
+    """Bytes of an id, as the manifest has it; 2 of a store without documents."""
+    return (manifest(spark, path).agg(F.max("width")).first()[0]) or 2
+
+
+def _roots(batches):
+    """(part, docs, ids, root) of parts whose documents follow each other."""
+    part, tree, docs, ids = None, Tree(), 0, 0
+    made = lambda: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([docs], pa.int64()), pa.array([ids], pa.int64()), pa.array([tree.root()], pa.binary())], names=["part", "found_docs", "found_ids", "found_root"])
+    for batch in batches:
+        for p, root, n, start, before in zip(*(batch.column(c).to_pylist() for c in ("part", "root", "n_tokens", "start", "before")), strict=True):
+            if p != part:
+                if docs:
+                    yield made()
+                part, tree, docs, ids = p, Tree(), 0, 0
+            tree.add(_leaf(root, n, start - (before or 0)))
+            docs, ids = docs + 1, ids + n
+    if docs:
+        yield made()
+
+
+def check_parts(spark: SparkSession, path: str) -> None:
+    """Every part of the manifest has the documents of its root, in their order and at their places, and no part stands outside it."""
+    told = manifest(spark, path)
+    rows = recipes(spark, path).select("part", "doc_id", "uid", "root", "n_tokens", "start").join(told.select("part", "before"), "part", "left")
+    found = rows.repartition("part").sortWithinPartitions("part", "doc_id", "uid").mapInArrow(_roots, "part int, found_docs long, found_ids long, found_root binary")
+    same = F.col("root").eqNullSafe(F.col("found_root")) & F.col("ids").eqNullSafe(F.col("found_ids")) & F.col("docs").eqNullSafe(F.col("found_docs"))
+    bad = told.join(found, "part", "full").where(~same).select("part").first()
+    if bad is not None:
+        raise ValueError(f"part {bad.part} does not match its Merkle root")
 
 
 def _store(spark: SparkSession, path: str) -> DataFrame:
@@ -309,7 +410,7 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def recipes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("doc_id long, uid long, start long, n_tokens long, recipe binary, sizes binary, root binary").parquet(f"{path}/recipes")
+    return spark.read.schema("part int, doc_id long, uid long, start long, n_tokens long, recipe binary, sizes binary, root binary").parquet(f"{path}/recipes")
 
 
 def _references(batches):
@@ -343,6 +444,13 @@ def _facts(width: int):
     return run
 
 
+def _sound(batches):
+    for batch in batches:
+        if any(address(p) != a for p, a in zip(batch.column("payload").to_pylist(), batch.column("address").to_pylist(), strict=True)):
+            raise ValueError("a chunk does not match its address")
+        yield batch
+
+
 _POLY = np.uint32(0xEDB88320)
 
 
@@ -374,24 +482,26 @@ def _shares(batches):
         yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(share.astype(np.int64)), n], names=["uid", "share", "n"])
 
 
-def verified(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def verified(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, read from the store.
 
     Payloads are read once, where they lie: the CRC of a document is put together from its chunks' CRCs, so that only
     addresses travel, and a chunk that a third of all documents share is hashed once.
     """
+    check_parts(spark, path)
     found = recipes(spark, path)
     refs = found.select("uid", "recipe", "sizes", "root").mapInArrow(_references, "uid long, address binary, size long, after long")
-    facts = chunks(spark, path).mapInArrow(_facts(width), "address binary, crc long, n long")
+    facts = chunks(spark, path).mapInArrow(_facts(width_of(spark, path)), "address binary, crc long, n long")
     shares = refs.join(facts, "address", "left").mapInArrow(_shares, "uid long, share long, n long")
     docs = shares.groupBy("uid").agg(F.bit_xor("share").alias("ids_crc32"), F.sum("n").alias("n"))
     return found.select("doc_id", "uid", "start", "n_tokens").join(docs, "uid").select("doc_id", "start", F.col("n").alias("n_tokens"), "ids_crc32")
 
 
-def reconstructed(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """doc_id, start, ids: documents put together again, for readers that want the ids themselves."""
+def reconstructed(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_le (little-endian, ``width_of`` bytes each): documents put together again, checked like ``verified``."""
+    check_parts(spark, path)
     refs = recipes(spark, path).select("uid", "recipe", "sizes", "root").mapInArrow(_references, "uid long, address binary, size long, after long")
-    parts = refs.join(chunks(spark, path), "address").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct((-F.col("after")).alias("at"), F.hex("payload").alias("payload")))).alias("parts"))
+    parts = refs.join(chunks(spark, path).mapInArrow(_sound, "address binary, payload binary"), "address", "left").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct((-F.col("after")).alias("at"), F.hex(F.coalesce("payload", F.raise_error(F.lit("a chunk is missing")).cast("binary"))).alias("payload")))).alias("parts"))
     whole = parts.select("uid", F.unhex(F.array_join(F.col("parts.payload"), "")).alias("ids_le"))
     return recipes(spark, path).join(whole, "uid").select("doc_id", "start", "n_tokens", "ids_le")
 

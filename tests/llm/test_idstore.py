@@ -102,3 +102,90 @@ def test_damage_is_seen():
     batch = pa.RecordBatch.from_arrays([pa.array([idstore.address(b"ab")]), pa.array([b"ax"])], names=["address", "payload"])
     with pytest.raises(ValueError):
         list(idstore._facts(2)([batch]))
+
+
+def test_tree_of_leaves_that_come_one_by_one():
+    for n in range(70):
+        leaves = [idstore.address(bytes([i])) for i in range(n)]
+        tree = idstore.Tree()
+        for leaf in leaves:
+            tree.add(leaf)
+        assert tree.root() == idstore.merkle(leaves)
+
+
+@pytest.fixture(scope="module")
+def whole(spark):
+    path = common.new_path(spark, "t")
+    rows = [(k, f"document {k} " + "shared passage of words " * 300 + f"end {k * 7919} " * (k % 7 * 60)) for k in range(60)]
+    idstore.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, PATH)
+    return path
+
+
+def test_manifest(spark, whole):
+    parts = idstore.manifest(spark, whole).orderBy("part").collect()
+    rows = idstore.recipes(spark, whole).orderBy("doc_id").collect()
+    assert {p.width for p in parts} == {2} == {idstore.width_of(spark, whole)} and sum(p.docs for p in parts) == 60
+    at = 0
+    for p in parts:
+        mine = [r for r in rows if r.part == p.part]
+        assert (p.before, p.ids, p.first_doc, p.last_doc) == (at, sum(r.n_tokens for r in mine), mine[0].doc_id, mine[-1].doc_id)
+        assert p.root == idstore.merkle([idstore._leaf(r.root, r.n_tokens, r.start - at) for r in mine])
+        at += p.ids
+
+
+def damaged(spark, whole, table, change):
+    """A copy of the store in which ``change`` is made to a table's rows."""
+    path = common.new_path(spark, "t")
+    for name in ("manifest", "recipes", "store"):
+        df = spark.read.parquet(f"{whole}/{name}")
+        df = change(df) if name == table else df
+        (df.write.partitionBy("kind") if name == "store" else df.write).parquet(f"{path}/{name}")
+    return path
+
+
+def test_damage_anywhere_is_seen(spark, whole):
+    from pyspark.sql import functions as F
+
+    assert idstore.verified(spark, damaged(spark, whole, "", None)).count() == 60
+    one = F.col("doc_id") == 42
+    swapped = F.when(one, F.concat(F.expr("substring(recipe, 17, 16)"), F.expr("substring(recipe, 1, 16)"), F.expr("substring(recipe, 33)"))).otherwise(F.col("recipe"))
+    changes = {
+        "chunk order of a recipe": ("recipes", lambda d: d.withColumn("recipe", swapped)),
+        "root of a recipe": ("recipes", lambda d: d.withColumn("root", F.when(one, F.expr("unhex(md5('x'))")).otherwise(F.col("root")))),
+        "place of a document": ("recipes", lambda d: d.withColumn("start", F.col("start") + one.cast("long"))),
+        "a document less": ("recipes", lambda d: d.where(~one)),
+        "a document twice": ("recipes", lambda d: d.unionByName(d.where(one))),
+        "root of a part": ("manifest", lambda d: d.withColumn("root", F.expr("unhex(md5('x'))"))),
+        "a part less": ("manifest", lambda d: d.where(F.col("part") != d.agg(F.max("part")).first()[0])),
+        "payload of a chunk": ("store", lambda d: d.withColumn("payload", F.when(F.col("payload").isNotNull(), F.expr("overlay(payload PLACING X'00FF' FROM 1)")))),
+        "chunks missing": ("store", lambda d: d.where("kind = 'recipe' OR address > X'80'")),
+    }
+    for name, (table, change) in changes.items():
+        path = damaged(spark, whole, table, change)
+        for read in (idstore.verified, idstore.reconstructed):
+            with pytest.raises(Exception, match="Merkle|does not match|missing|not as long"):
+                read(spark, path).collect()
+                pytest.fail(name)
+
+
+def test_wide_vocabulary_and_other_pre_tokenizers(spark, tmp_path):
+    from tokenizers import models, normalizers, pre_tokenizers
+
+    model = Tokenizer(models.WordLevel({f"w{i}": i for i in range(70_000)}, unk_token="w0"))
+    model.pre_tokenizer, model.normalizer = pre_tokenizers.Whitespace(), normalizers.Lowercase()
+    file = str(tmp_path / "wide.json")
+    model.save(file)
+    texts = [f"W{69_000 + k}  w{k} nothing" for k in range(200)] + ["", None, "w65536 " * 3000]
+    path = common.new_path(spark, "t")
+    idstore.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, file)
+    assert idstore.width_of(spark, path) == 4
+    expected = {i: np.array([*model.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t in enumerate(texts)}
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in idstore.verified(spark, path).collect()} == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in expected.items()}
+    assert all(np.array_equal(np.frombuffer(r.ids_le, "<u4"), expected[r.doc_id]) for r in idstore.reconstructed(spark, path).collect())
+    assert not idstore.Stretches(public_tokenizers.path("word_bpe_49k.json")).cuttable and OWN.cuttable
+
+
+def test_empty_store(spark):
+    path = common.new_path(spark, "t")
+    idstore.write(spark.createDataFrame([], "doc_id long, text string"), path, PATH)
+    assert idstore.verified(spark, path).count() == 0 == idstore.reconstructed(spark, path).count()
