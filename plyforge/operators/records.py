@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plyforge.plans.registry import register
+from plyforge.sources import jsonl
 from plyforge.streaming.logs import shared_dir
 
 
@@ -46,19 +47,23 @@ def text_key() -> Column:
 
 # -- scans --
 
-FEN_SQL = "coalesce(nullif(json_extract_string(props, '$.fen'), ''), nullif(event_type, ''))"
+#: Positions of a scan at most.
+MOST_FENS, TAIL_FENS = 120, 40
 
 
-@on("events", "s01_first_seen_scan", f"SELECT fen, min(event_id) AS ord FROM (SELECT event_id, {FEN_SQL} AS fen FROM events) WHERE fen IS NOT NULL GROUP BY fen")
-def first_seen(df):
-    fen = F.coalesce(F.nullif(F.get_json_object("props", "$.fen"), F.lit("")), F.nullif("event_type", F.lit("")))
-    return df.select("event_id", fen.alias("fen")).where("fen is not null").groupBy("fen").agg(F.min("event_id").alias("ord"))
+@register("s01_first_seen_scan", jsonl.oracle("FROM lines", MOST_FENS))
+def first_seen(spark, sf_dir):
+    """The first positions of files of JSON lines, in their order, with the score of the record that has each first."""
+    return jsonl.numbered(jsonl.first_seen(spark, jsonl.written(spark, sf_dir, shared_dir(spark)), MOST_FENS))
 
 
-@on("events", "s02_tail_scan", "SELECT user_id, min(event_id) AS ord FROM events WHERE event_id > (SELECT max(event_id) FROM events) - 500 GROUP BY user_id")
-def tail_scan(df):
-    top = df.agg(F.max("event_id").alias("top"))
-    return df.join(F.broadcast(top), F.col("event_id") > F.col("top") - 500).groupBy("user_id").agg(F.min("event_id").alias("ord"))  # one row broadcast
+_REST = "sum(strlen(value) + 1) OVER (ORDER BY event_id DESC ROWS UNBOUNDED PRECEDING)"
+
+
+@register("s02_tail_scan", jsonl.oracle(f"SELECT * FROM (SELECT *, {_REST} AS rest FROM lines) WHERE rest < {TAIL_FENS * jsonl.LINE_BYTES * jsonl.TAIL}", TAIL_FENS))
+def tail_scan(spark, sf_dir):
+    """The same of the files' tail."""
+    return jsonl.numbered(jsonl.last_seen(spark, jsonl.written(spark, sf_dir, shared_dir(spark)), TAIL_FENS))
 
 
 @on("events", "s03_predicate_scan", "SELECT event_id FROM events WHERE value > 90 AND user_id NOT IN (SELECT user_id FROM events WHERE value < 0.5) ORDER BY event_id LIMIT 100")
