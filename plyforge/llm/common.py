@@ -39,11 +39,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -168,6 +168,7 @@ def with_found(docs: DataFrame, row: str, found: DataFrame) -> DataFrame:
     """
     (column,) = [f for f in found.schema.fields if f.name != "row"]
 
+    @task("with_found")
     def keys(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(scrambled(batch.column("row").to_numpy()))], names=["key"])
@@ -176,6 +177,7 @@ def with_found(docs: DataFrame, row: str, found: DataFrame) -> DataFrame:
     wanted = docs.sparkSession.sparkContext.broadcast(KeyFilter.of(found.select("row").mapInArrow(keys, "key long"), "key", bits))
 
     def chosen(want: bool):
+        @task("with_found")
         def run(batches):
             for batch in batches:
                 yield batch.filter(pa.array(wanted.value.hits(scrambled(batch.column(row).to_numpy())) == want))

@@ -12,16 +12,17 @@ every word that a later one covers goes. All windows are judged on the input.
    more than one row a slice. An anchor with more than a stated number of occurrences (words that go before or behind many different
    ones) would bring too many segments to one place: its windows travel one by one, dealt out by all their words.
 3. Automata. Segments meet by anchor. They come in order of their keys, and shards of about SHARD_BYTES of them confirm which
-   windows recur there, compile those into an Aho-Corasick automaton over numbers of words, and stream all segments of the
-   shard through it. Numbers stand for whole words, so a match is one of all bytes. The answer to a segment is which of its windows
-   recur, and which of those stand first in the whole corpus.
+   passages recur there (whole segments where all of an anchor's are alike, single windows where they differ), compile those into an
+   Aho-Corasick automaton over numbers of words, and stream all segments of the shard through it. Numbers stand for whole
+   words, so a match is one of all bytes. The answer to a segment is which of its windows recur, and which of those stand first in the
+   whole corpus.
 4. Answers go back to the lists of occurrences, those to their rows, and rows without any never move.
 
 The memory of a task is bounded by a slice of texts (or one text), or by a shard and the segments of one key. The filter of
 anchors has up to 2**30 bits, sized by their number; where it is crowded, more segments travel and the result stays the same.
 
 Handling of odd input: a null text has no words; texts of fewer words than a window stay; rows that share a doc_id, or have
-none, are documents of their own in the order of their numbers, null before all others; an empty table gives an empty result;
+none, are documents of their own in the order of their numbers, which are then given and written first, null before all others; an empty table gives an empty result;
 other columns are ignored, or kept by ``without_repeats``.
 """
 
@@ -32,6 +33,8 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,12 +46,10 @@ SIZE, ANCHOR = 20, 10
 NO_ID = -(2**63)
 ROW = "_row"
 #: Bytes of segments that share an automaton; bytes of texts in a slice of a task.
-SHARD_BYTES, SLICE_BYTES = 2 << 20, 8 << 20
+SHARD_BYTES, SLICE_BYTES = 1 << 20, 4 << 20
 #: Occurrences from which an anchor's windows travel one by one, at least, and how many anchors may be such.
 HOT, MOST_HOT = 1000, 1 << 16
 
-_hashes = common.WordHashes()
-
 
 def runs_of(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of ``n`` word hashes, from runs of powers of two."""
@@ -80,20 +81,33 @@ def least_of(values: np.ndarray, n: int) -> np.ndarray:
     return at
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts (strings, null for none) one after another, and how many each text has."""
+    split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))  # splits at \x20 and \x09-\x0D
+    words, real = pc.list_flatten(split), None
+    counts = pc.list_value_length(split).to_numpy().astype(np.int64)
+    empty = np.flatnonzero(pc.binary_length(words).to_numpy() == 0)  # before a first blank and after a last one
+    if len(empty):
+        counts -= np.bincount(np.searchsorted(np.cumsum(counts), empty, "right"), minlength=len(counts))
+        real = np.ones(len(words), bool)
+        real[empty] = False
+        words = words.filter(pa.array(real))
+    return words, counts
+
+
 class Slice:
     """Words of a few texts in one row, their anchors, and the runs of windows that share one."""
 
-    def __init__(self, texts: list[str | None], size: int, anchor: int):
-        split = [(t or "").encode().split() for t in texts]  # bytes split at \x20 and \x09-\x0D only
-        self.counts = np.fromiter(map(len, split), np.int64, len(split))
+    def __init__(self, texts: pa.Array, size: int, anchor: int):
+        self.words, self.counts = split_words(texts)
         self.ends = np.cumsum(self.counts)
-        self.words = [w for ws in split for w in ws]
-        none = np.zeros(0, np.int64)
         self.grams, self.hashed = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.at = self.low = self.high = none
+        self.at = self.low = self.high = np.zeros(0, np.int64)
         if len(self.words) < size:
             return
-        self.hashed = _hashes(self.words)
+        coded = self.words.dictionary_encode()
+        distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        self.hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))[coded.indices.to_numpy()]
         self.grams = runs_of(self.hashed, anchor)
         chosen = least_of(self.grams, size - anchor + 1)
         room = np.repeat(self.ends, self.counts)[: len(chosen)]
@@ -105,16 +119,25 @@ class Slice:
         first = np.flatnonzero(new)
         self.at, self.low, self.high = chosen[first], starts[first], starts[np.append(first[1:], len(starts)) - 1]
 
+    def joined(self) -> tuple[bytes, np.ndarray]:
+        """All words with single spaces between them, and the place of each in that (one more at the end)."""
+        offsets, data = self.words.buffers()[1:]
+        bounds = np.frombuffer(offsets, np.int64)[self.words.offset : self.words.offset + len(self.words) + 1]
+        size = np.diff(bounds)
+        whole = np.full(int(bounds[-1] - bounds[0]) + len(size), 32, np.uint8)
+        whole[np.arange(int(bounds[-1] - bounds[0])) + np.repeat(np.arange(len(size)), size)] = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
+        return whole.tobytes(), np.concatenate([[0], np.cumsum(size + 1)])
+
     def anchors(self) -> np.ndarray:
         return self.grams[self.at]
 
 
 def _counted(size: int, anchor: int):
-    @common.task("substring_dedup", _hashes.known.clear)
+    @common.task("substring_dedup")
     def run(batches):
         for batch in batches:
             for part in common.slices(batch, "text", SLICE_BYTES):
-                keys, n = np.unique(Slice(part.column("text").to_pylist(), size, anchor).anchors(), return_counts=True)
+                keys, n = np.unique(Slice(part.column("text"), size, anchor).anchors(), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
     return run
@@ -126,13 +149,13 @@ SEGMENTS = "seg long, key long, text binary, n long, first_doc long, first_row l
 def _segments(wanted, size: int, anchor: int):
     """Distinct segments of a slice. ``wanted``: a filter of repeated anchors, and the sorted hot ones."""
 
-    @common.task("substring_dedup", _hashes.known.clear)
+    @common.task("substring_dedup")
     def run(batches):
         repeated, hot = wanted.value
         task, made = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in common.slices(batch, "text", SLICE_BYTES):
-                s = Slice(part.column("text").to_pylist(), size, anchor)
+                s = Slice(part.column("text"), size, anchor)
                 keys = s.anchors()
                 on = np.flatnonzero(repeated.hits(keys)) if len(keys) else np.zeros(0, np.int64)
                 keys, low, high = keys[on], s.low[on], s.high[on]
@@ -151,16 +174,18 @@ def _segments(wanted, size: int, anchor: int):
                 # In the order of the corpus, so that the first of a list is the first in the slice.
                 order = np.lexsort((start, rows, ids))
                 found: dict[bytes, int] = {}
-                words, texts, text_keys, of = s.words, [], [], np.zeros(len(order), np.int64)
-                for k, i in enumerate(order.tolist()):
-                    text = b" ".join(words[low[i] : high[i] + size])
+                if not len(order):
+                    continue
+                words, place = s.joined()
+                texts, firsts, of = [], [], np.zeros(len(order), np.int64)
+                for k, (a, b) in enumerate(zip(place[low[order]].tolist(), (place[high[order] + size] - 1).tolist(), strict=True)):
+                    text = words[a:b]
                     number = found.setdefault(text, len(texts))
                     if number == len(texts):
                         texts.append(text)
-                        text_keys.append(keys[i])
+                        firsts.append(k)
                     of[k] = number
-                if not texts:
-                    continue
+                text_keys = keys[order[firsts]]
                 by = np.argsort(of, kind="stable")
                 n = np.bincount(of, minlength=len(texts))
                 cuts = np.concatenate([[0], np.cumsum(n)])
@@ -169,7 +194,7 @@ def _segments(wanted, size: int, anchor: int):
                 offsets = pa.array(cuts.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array((task << 33) + made + np.arange(len(texts))), pa.array(np.array(text_keys, np.uint64).view(np.int64)), pa.array(texts, pa.binary()), pa.array(n.astype(np.int64)),
+                        pa.array((task << 33) + made + np.arange(len(texts))), pa.array(text_keys.view(np.int64)), pa.array(texts, pa.binary()), pa.array(n.astype(np.int64)),
                         pa.array(ids[first]), pa.array(rows[first]), pa.array(start[first].astype(np.int32)),
                         pa.ListArray.from_arrays(offsets, pa.array(rows[listed])), pa.ListArray.from_arrays(offsets, pa.array(start[listed].astype(np.int32))),
                     ],
@@ -194,39 +219,67 @@ def recurring(ids: np.ndarray, starts: np.ndarray, weights: np.ndarray, size: in
     return starts[first[np.bincount(back, weights=weights) >= 2]]
 
 
+def letters(ids: np.ndarray) -> tuple[str, int]:
+    """Numbers as letters, and how many letters each has: digits of base 64, each place with letters of its own, so that a
+    match begins with a number. The library looks through a node's branches one by one: a letter a word would give it
+    as many branches as there are words.
+    """
+    digits = max(1, -(-int(ids.max(initial=0)).bit_length() // 6))
+    out = np.empty((len(ids), digits), np.uint8 if digits <= 4 else np.uint32)
+    for place in range(digits):
+        out[:, place] = ((ids >> (6 * (digits - 1 - place))) & 63) + 64 * place
+    return (out.tobytes().decode("latin-1") if digits <= 4 else out.tobytes().decode("utf-32-le")), digits
+
+
 def answers(shard: pa.Table, size: int) -> pa.RecordBatch | None:
     """(seg, recurs, firsts): bits of the windows of a segment that recur, and of those that are the first in the corpus."""
-    numbers: dict[bytes, int] = {}
-    split = [t.split(b" ") for t in shard.column("text").to_pylist()]
-    # A number that no word has stands between segments.
-    ids = np.fromiter((numbers.setdefault(w, len(numbers) + 1) if w is not None else 0 for ws in split for w in (*ws, None)), np.int64)
-    length = np.fromiter(map(len, split), np.int64, len(split))
+    coded = shard.column("text").combine_chunks().dictionary_encode()
+    of = coded.indices.to_numpy().astype(np.int64)  # the text of each segment; equal ones of several slices are one
+    n = shard.column("n").to_numpy()
+    weight = np.bincount(of, weights=n, minlength=len(coded.dictionary)).astype(np.int64)
+    doc, row, start = (shard.column(c).to_numpy() for c in ("first_doc", "first_row", "first_start"))
+    order = np.lexsort((start, row, doc))
+    _, leader = np.unique(of[order], return_index=True)
+    leader = order[leader]  # the first segment of each text
+    words, length = split_words(coded.dictionary.cast(pa.string()))
     begin = np.cumsum(length + 1) - (length + 1)
+    # Words by number, and a number that no word has between texts.
+    numbers = np.zeros(int(length.sum()) + len(length), np.int64)
+    numbers[np.arange(len(words)) + np.repeat(np.arange(len(length)), length)] = words.dictionary_encode().indices.to_numpy() + 1
     width = length - size + 1
-    seg = np.repeat(np.arange(len(split)), width)
-    starts = np.arange(len(seg)) - np.repeat(np.cumsum(width) - width, width) + begin[seg]
-    n = shard.column("n").to_numpy()
-    patterns = recurring(ids, starts, n[seg], size)
-    if not len(patterns):
+    key = shard.column("key").to_numpy()[leader]
+    _, place, alike = np.unique(key, return_inverse=True, return_counts=True)
+    alone = alike[place] == 1  # no other text has the key, and so none of its windows
+    mixed = np.flatnonzero(~alone)
+    text = np.repeat(mixed, width[mixed])
+    starts = np.arange(len(text)) - np.repeat(np.cumsum(width[mixed]) - width[mixed], width[mixed]) + begin[text]
+    passages = np.flatnonzero(alone & (weight >= 2))
+    patterns = recurring(numbers, starts, weight[text], size) if len(starts) else starts
+    starts, sizes = np.concatenate([begin[passages], patterns]), np.concatenate([length[passages], np.full(len(patterns), size)])
+    if not len(starts):
         return None
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    whole = tuple(ids.tolist())
-    for i, at in enumerate(patterns.tolist()):
-        automaton.add_word(whole[at : at + size], i)
+    automaton, (whole, digits) = ahocorasick.Automaton(ahocorasick.STORE_INTS), letters(numbers)
+    for i, (a, b) in enumerate(zip((starts * digits).tolist(), ((starts + sizes) * digits).tolist(), strict=True)):
+        automaton.add_word(whole[a:b], i)
     automaton.make_automaton()
     hits = np.fromiter((x for hit in automaton.iter(whole) for x in hit), np.int64).reshape(-1, 2)
-    at, pattern = hits[:, 0] - size + 1, hits[:, 1]
-    of = np.searchsorted(begin, at, "right") - 1
-    offset = at - begin[of]
-    doc, row, start = (shard.column(c).to_numpy()[of] for c in ("first_doc", "first_row", "first_start"))
-    order = np.lexsort((start + offset, row, doc))
-    _, leader = np.unique(pattern[order], return_index=True)
-    is_first = np.zeros(len(of), bool)
-    is_first[order[leader]] = True
+    sizes = sizes[hits[:, 1]]
+    at = (hits[:, 0] + 1) // digits - sizes
+    # The windows of a passage, each a pattern of its own.
+    each = np.repeat(np.arange(len(at)), sizes - size + 1)
+    within = np.arange(len(each)) - np.repeat(np.cumsum(sizes - size + 1) - (sizes - size + 1), sizes - size + 1)
+    at, pattern = at[each] + within, hits[each, 1] * (int(length.max()) + 1) + within
+    text = np.searchsorted(begin, at, "right") - 1
+    offset = at - begin[text]
+    who = leader[text]
+    order = np.lexsort((start[who] + offset, row[who], doc[who]))
+    _, first = np.unique(pattern[order], return_index=True)
+    first = order[first]
     bits = np.int64(1) << offset
-    recurs, firsts = np.zeros(len(split), np.int64), np.zeros(len(split), np.int64)
-    np.bitwise_or.at(recurs, of, bits)
-    np.bitwise_or.at(firsts, of[is_first], bits[is_first])
+    recurs, firsts = np.zeros(len(length), np.int64), np.zeros(len(of), np.int64)
+    np.bitwise_or.at(recurs, text, bits)
+    np.bitwise_or.at(firsts, who[first], bits[first])
+    recurs = recurs[of]
     say = np.flatnonzero((recurs != 0) & ((n > 1) | (recurs != firsts)))
     return pa.RecordBatch.from_arrays([pa.array(shard.column("seg").to_numpy()[say]), pa.array(recurs[say]), pa.array(firsts[say])], names=["seg", "recurs", "firsts"])
 
@@ -234,12 +287,12 @@ def answers(shard: pa.Table, size: int) -> pa.RecordBatch | None:
 def _answered(size: int, shard_bytes: int):
     """Segments in the order of their keys to shards of whole keys, and to answers."""
 
-    @common.task("substring_dedup", _hashes.known.clear)
+    @common.task("substring_dedup")
     def run(batches):
         held, held_bytes = [], 0
         for batch in batches:
             keys = batch.column("key").to_numpy()
-            sizes = np.cumsum(pa.compute.binary_length(batch.column("text")).to_numpy())
+            sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy())
             ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))
             at = 0
             if held and held[-1].num_rows and held[-1].column("key")[-1].as_py() != keys[0] and held_bytes >= shard_bytes:
@@ -273,7 +326,7 @@ def removals(rows: DataFrame, size: int = SIZE, anchor: int = ANCHOR, hot: int =
     most = max(hot, found.n // MOST_HOT + 1)
     hots = np.sort(repeated.where(F.col("n") > most).select("key").toArrow().column("key").to_numpy().view(np.uint64))
     wanted = spark.sparkContext.broadcast((common.KeyFilter.of(repeated, "key", min(30, max(16, (8 * found.keys).bit_length()))), hots))
-    segments = common.saved(rows.mapInArrow(_segments(wanted, size, anchor), SEGMENTS), "segments")
+    segments = common.saved(rows.mapInArrow(_segments(wanted, size, anchor), SEGMENTS), "segments", "zstd")
     met = segments.drop("rows", "starts").repartition("key").sortWithinPartitions("key")
     answered = met.mapInArrow(_answered(size, shard_bytes), "seg long, recurs long, firsts long")
     listed = segments.select("seg", "rows", "starts").join(answered, "seg")
@@ -298,9 +351,11 @@ def kept(text: str | None, gone: list[int] | None, size: int = SIZE) -> tuple[li
 
 def _with_gone(docs: DataFrame, id_col: str, text_col: str, gone: str, **how) -> DataFrame:
     """``docs`` with a column of windows to be removed; only rows that have some are shuffled."""
-    row = common.fresh(ROW, docs)
-    docs = common.saved(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{row}`").alias(ROW))
+    row, id_ = common.fresh(ROW, docs), F.col(f"`{id_col}`").cast("long")
+    told = docs.select(id_.alias("id")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")).first()
+    # Ids that tell rows apart are numbers of rows; others get some, which a written table keeps.
+    docs = docs.withColumn(row, id_) if told.n == told.ids else common.saved(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    rows = docs.select(id_.alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{row}`").alias(ROW))
     found = common.saved(removals(rows, **how), "removals")
     return common.with_found(docs, row, found.select("row", F.col("gone").alias(gone))).drop(row)
 
@@ -309,6 +364,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` with the words that stay, joined by single spaces; texts that lose none, and null ones, stay as they are."""
     gone, size = common.fresh("_gone", docs), how.get("size", SIZE)
 
+    @common.task("substring_dedup")
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
@@ -323,6 +379,7 @@ def digests(docs: DataFrame, **how) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by single spaces)."""
     size = how.get("size", SIZE)
 
+    @common.task("substring_dedup")
     def run(batches):
         for batch in batches:
             for part in common.slices(batch, "text", SLICE_BYTES):

@@ -105,15 +105,31 @@ def test_untouched_texts_keep_their_blanks(spark):
 def test_equal_windows_have_equal_anchors():
     rng = random.Random(2)
     texts = [" ".join(rng.choices("abc", k=rng.randint(0, 60))) for _ in range(30)]
-    s = sd.Slice(texts, 8, 3)
-    place, windows = {}, 0
+    s = sd.Slice(pa.array(texts), 8, 3)
+    words, place, windows = s.words.to_pylist(), {}, 0
     for at, low, high in zip(s.at.tolist(), s.low.tolist(), s.high.tolist(), strict=True):
         for w in range(low, high + 1):
-            assert place.setdefault(tuple(s.words[w : w + 8]), at - w) == at - w and 0 <= at - w <= 5
+            assert place.setdefault(tuple(words[w : w + 8]), at - w) == at - w and 0 <= at - w <= 5
             windows += 1
     assert windows == sum(max(0, c - 7) for c in s.counts.tolist())
 
 
+def test_words_split_at_the_six_blanks_only():
+    texts = ["", None, " ", "a", " a b\x0b\x0cc\td\r\ne ", "\x1c\x85\u2003x y", "é\u00a0ü  z", "\n\n"]
+    words, counts = sd.split_words(pa.array(texts))
+    assert (words.to_pylist(), counts.tolist()) == ([w.decode() for t in texts for w in (t or "").encode().split()], [len((t or "").encode().split()) for t in texts])
+
+
+@pytest.mark.parametrize("most", [0, 1, 63, 64, 5000, 300_000, 20_000_000, 2_000_000_000])
+def test_letters_tell_numbers_apart(most):
+    ids = np.unique(np.concatenate([np.arange(min(most + 1, 3000)), np.linspace(0, most, 500).astype(np.int64)]))
+    text, digits = sd.letters(ids)
+    parts = [text[i : i + digits] for i in range(0, len(text), digits)]
+    assert len(set(parts)) == len(ids) == len(parts)
+    # No letter of a first place stands elsewhere, so nothing matches in the middle of a number.
+    assert digits == 1 or not {p[0] for p in parts} & {c for p in parts for c in p[1:]}
+
+
 def test_recurring_counts_sequences_and_not_hashes(monkeypatch):
     ids = np.array([1, 2, 3, 4, 1, 2, 3, 9, 9])
     starts = np.arange(7)
