@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import re
-import struct
 from functools import lru_cache, reduce
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -20,6 +17,7 @@ from plyforge.functions.rules import NAMES, VALUES, WORDS, Position, uci
 from plyforge.operators.features import picked
 from plyforge.operators.legal_sql import ROWS_SQL, attacked, name, with_moves
 from plyforge.plans.registry import register
+from plyforge.sources import fixed
 from plyforge.sources.pgn import header, pgn_texts, scan
 from plyforge.sources.positions import LINES_SQL, picked_line, positions
 from plyforge.streaming.logs import shared_dir
@@ -590,72 +588,29 @@ def san_reward(fen, pick):
         return (0.0,)
 
 
-# -- records of fixed width: 90 bytes of FEN, 13 terms and a score as floats, 64 piece classes --
+# -- records of fixed width: see sources/fixed --
 
-RECORD = "<90s13ff64B"
-SIZE = struct.calcsize(RECORD)
 _CLASS = {c: i for i, c in enumerate(".PNBRQKpnbrqk")}
 
 
-def encode_record(fen: str, terms: list[float], score: float) -> bytes | None:
-    """None for a FEN that can't be read."""
+def labelled(fen: str) -> tuple[list[int] | None]:
+    """Piece classes of the 64 squares; None for a FEN that can't be read."""
     try:
-        board = Position(fen).board
+        return ([_CLASS[c] for c in Position(fen).board],)
     except (ValueError, IndexError):
-        return None
-    return struct.pack(RECORD, fen.encode()[:90], *terms, score, *(_CLASS[c] for c in board))
+        return (None,)
 
 
-def decode_record(data: bytes) -> tuple[str, list[float], float, list[int]]:
-    if len(data) != SIZE:
-        raise ValueError(f"a record has {SIZE} bytes, not {len(data)}")
-    fen, *rest = struct.unpack(RECORD, data)
-    return fen.rstrip(b"\0").decode(), list(rest[:13]), rest[13], list(rest[14:])
+def write_records(rows: DataFrame, path: str) -> None:
+    """Fixed-width records of rows (fen, terms, score), of what can be encoded."""
+    fixed.registered(rows.sparkSession)
+    made = per_row(rows.select("fen", "terms", "score"), ["fen"], "labels array<int>", labelled).where("labels is not null")
+    made.select("fen", F.transform("terms", lambda x: x.cast("float")).alias("terms"), F.col("score").cast("float").alias("score"), "labels").write.format("position_records").mode("append").save(path)
 
-def record_path(path: str) -> str:
-    """The local name of a folder of the shared file system, as Spark writes it."""
-    return path.removeprefix("file://").removeprefix("file:")
 
-
-def write_records(rows: DataFrame, path: str) -> DataFrame:
-    """(file, n): fixed-width records of rows (fen, terms, score), a file a task, of what can be encoded.
-
-    A task writes under a name of its own attempt and renames it when it is whole, so that a task that ran twice leaves one
-    file of each number.
-    """
-    def run(batches):
-        task = TaskContext.get()
-        folder = Path(record_path(path))
-        folder.mkdir(parents=True, exist_ok=True)
-        draft, n = folder / f"_part-{task.partitionId():06d}-{task.taskAttemptId()}", 0
-        with draft.open("wb") as out:
-            for batch in batches:
-                for row in zip(*(batch.column(c).to_pylist() for c in ("fen", "terms", "score")), strict=True):
-                    if (data := encode_record(*row)) is not None:
-                        n += out.write(data) // SIZE
-        whole = folder / f"part-{task.partitionId():06d}.bin"
-        draft.replace(whole)
-        yield pa.RecordBatch.from_arrays([pa.array([whole.name]), pa.array([n], pa.int64())], names=["file", "n"])
-
-    return rows.select("fen", "terms", "score").mapInArrow(run, "file string, n long")
-
-
-def read_records(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """fen, terms, score, labels of the records under ``path``; a file whose size is no multiple of a record's is an error.
-    ``limit`` is a number of records of each file (the reader's own option)."""
-    def run(batches):
-        for batch in batches:
-            for data in batch.column("content"):
-                data = data.as_py()
-                if len(data) % SIZE:
-                    raise ValueError(f"a file of {len(data)} bytes has no whole number of records of {SIZE} bytes")
-                at = range(0, len(data), SIZE)[:limit]
-                for few in (at[i : i + 10_000] for i in range(0, len(at), 10_000)):
-                    found = [decode_record(data[i : i + SIZE]) for i in few]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.string(), pa.list_(pa.float32()), pa.float32(), pa.list_(pa.int32())))], names=["fen", "terms", "score", "labels"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.bin").load(path).select("content")
-    return files.mapInArrow(run, "fen string, terms array<float>, score float, labels array<int>")
+def read_records(spark: SparkSession, path: str, **options) -> DataFrame:
+    """fen, terms, score, labels of the records under ``path``; options as the source has them (limit, range)."""
+    return fixed.registered(spark).read.format("position_records").options(**options).load(path)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -672,15 +627,15 @@ _RECORDS = f"(SELECT r.pos_id, r.fen, pick, b FROM rows_ r JOIN pos_ USING (fen)
 def fixed_width(spark, sf_dir):
     """Records and bytes of what is written; rows that can't be encoded are left out."""
     path = f"{shared_dir(spark)}/records"
-    written = write_records(records(spark, sf_dir), path).agg(F.sum("n").alias("n")).first().n
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*.bin").load(path).agg(F.lit(written or 0).cast("long").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+    write_records(records(spark, sf_dir), path)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*.bin").load(path).agg(F.coalesce(F.sum(F.expr(f"length div {fixed.SIZE}")), F.lit(0)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
 @register("s07_fixed_width_read", f"""WITH {ROWS_SQL} SELECT fen, (pick / 2.0)::DOUBLE AS score, (list_sum(list_transform(range(0, 13), lambda i: ((pick + i) % 41 - 20) / 4.0)))::DOUBLE AS terms,
  array_to_string(list_transform(range(0, 64), lambda s: instr('PNBRQKpnbrqk', substr(b, s::INTEGER + 1, 1))), ' ') AS labels FROM {_RECORDS}""")
 def fixed_width_read(spark, sf_dir):
     path = f"{shared_dir(spark)}/records"
-    write_records(records(spark, sf_dir), path).write.format("noop").mode("overwrite").save()
+    write_records(records(spark, sf_dir), path)
     rows = read_records(spark, path)
     return rows.select("fen", F.col("score").cast("double").alias("score"), F.aggregate("terms", F.lit(0.0), lambda a, x: a + x).alias("terms"), F.array_join(F.col("labels").cast("array<string>"), " ").alias("labels"))
 

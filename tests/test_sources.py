@@ -6,7 +6,7 @@ import struct
 import pytest
 from plyforge.functions.rules import Position
 from plyforge.operators import moves, textbook
-from plyforge.sources import pgn
+from plyforge.sources import fixed, pgn
 from plyforge.sources.positions import catalogue, games
 
 
@@ -24,15 +24,42 @@ def test_catalogue_repeats_and_differs():
 def test_records_of_fixed_width(spark, tmp_path):
     rows = [(f, [0.5 * k] * 13, float(k)) for k, f in enumerate(catalogue()[:50])] + [("no fen", [0.0] * 13, 1.0)]
     df = spark.createDataFrame(rows, "fen string, terms array<float>, score float").repartition(3)
-    assert sum(r.n for r in moves.write_records(df, str(tmp_path)).collect()) == 50
-    got = {r.fen: (r.terms[0], r.score, r.labels) for r in moves.read_records(spark, str(tmp_path)).collect()}
-    assert len(got) == 50
+    path = (tmp_path / "records").as_uri()
+    moves.write_records(df, path)
+    files = sorted((tmp_path / "records").iterdir())
+    # Nothing but whole files: no draft, and no more bytes than records.
+    assert all(f.name.startswith("part-") for f in files) and sum(f.stat().st_size for f in files) == 50 * fixed.SIZE == 50 * 210
+    for where in (path, str(tmp_path / "records"), path.replace("file:///", "file:/")):
+        read = moves.read_records(spark, where, range=5 * fixed.SIZE + 3)
+        got = {r.fen: (r.terms[0], r.score, r.labels) for r in read.collect()}
+        assert len(got) == 50 and read.rdd.getNumPartitions() >= 10
     for fen, terms, score in rows[:50]:
         assert got[fen] == (terms[0], score, [".PNBRQKpnbrqk".index(c) for c in Position(fen).board])
-    assert moves.read_records(spark, str(tmp_path), limit=2).count() <= 6
-    next(tmp_path.glob("part-*.bin")).write_bytes(b"x" * (struct.calcsize(moves.RECORD) + 1))
+    assert moves.read_records(spark, path, limit=2).count() == 2 * len(files)
+    data = files[0].read_bytes()
+    assert struct.unpack("<90s13ff64B", data[:210])[0].rstrip(b"\0").decode() in got
+    # Appended beside, or in place of what is there.
+    moves.write_records(df.limit(4), path)
+    assert moves.read_records(spark, path).count() == 54
+    few = moves.read_records(spark, path, limit=1).where("score >= 0")
+    few.persist().count()
+    few.write.format("position_records").mode("overwrite").save(path)
+    assert 0 < moves.read_records(spark, path).count() < 10
+    files = sorted((tmp_path / "records").iterdir())
+    files[0].write_bytes(b"x" * (fixed.SIZE + 1))
     with pytest.raises(Exception, match="whole number of records"):
-        moves.read_records(spark, str(tmp_path)).collect()
+        moves.read_records(spark, path).collect()
+    assert moves.read_records(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_a_job_that_fails_leaves_no_records(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(f, [0.0] * 13, float(k)) for k, f in enumerate(catalogue()[:40])], "fen string, terms array<float>, score float").repartition(4)
+    bad = df.withColumn("score", F.when(F.col("score") == 33, F.raise_error(F.lit("stop")).cast("float")).otherwise(F.col("score")))
+    with pytest.raises(Exception, match="stop"):
+        moves.write_records(bad, str(tmp_path / "r"))
+    assert not (tmp_path / "r").exists() or list((tmp_path / "r").iterdir()) == []
 
 
 def test_pgn_files(spark, tmp_path):
