@@ -4,10 +4,13 @@ Texts stream through the automaton word by word; the matching statistic of a pos
 words ending there that occurs in a template. Where a longest run cannot grow in a template, it is a match of that one, and
 so is every template that stands whole within a run; those of one template are chained in the order of both sides, with at most MOST_GAP words skipped
 between them, and the words a chain covers are a span of the template. Every disjoint chain from COVER of its words on is a
-span, or the best one where none has as much. A template counts from COVER of its words on; ``score`` is the best cover of any template. Words are lower-cased in A-Z.
+span, or the best one where none has as much. A template counts from COVER of its words on. Words are lower-cased in A-Z.
+
+``score`` says how much of a licence stands in the text: the largest product of a template's cover and its weight, which is its
+words over FULL, and 1 from there on. So a whole notice scores 1, the name of a licence or a few words of one little.
 
 Base phrases are templates too, counted at every place: a phrase stands at a position when its state is on the suffix path
-of the state reached there.
+of the state reached there. A phrase is a name and says nothing about a text being there, so phrases have no part in the score.
 
 Handling of odd input: a null text counts as empty; without words all counts are 0, places null, labels empty, score 0;
 repeated rows are scanned each; a null doc_id stays; an empty table gives an empty result; other columns are ignored.
@@ -26,6 +29,8 @@ from plyforge.llm import common
 from plyforge.llm.licence_texts import WHOLE
 
 COVER, MOST_GAP = 0.8, 8
+#: Words of a template that weighs 1.
+FULL = 20
 
 #: Base phrases and their labels (fixed values).
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -133,6 +138,7 @@ class Scanner:
         self.ids: dict[bytes, int] = {}
         sequences = [[self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)] for _, text in named]
         self.sizes = list(map(len, sequences))
+        self.weights = [0.0] * len(phrases) + [min(1.0, n / FULL) for n in self.sizes[len(phrases) :]]
         self.sam = Automaton(sequences)
         #: Of each state: the phrases on its suffix path, with their lengths.
         self.phrase_at: list[list[tuple[int, int]]] = [[] for _ in self.sam.next]
@@ -186,9 +192,10 @@ class Scanner:
                         if word != following:
                             size = size or length
                             matches[s].append((i - size + 1, at - size + 1, size))
-        spans = [span for s, found in matches.items() for span in self._spans(s, found)]
+        by_template = {s: self._spans(s, found) for s, found in matches.items()}
+        spans = [span for found in by_template.values() for span in found]
         labels = base | {label for label, *_, cover in spans if cover >= self.cover}
-        score = max([cover for *_, cover in spans], default=0.0)
+        score = max([cover * self.weights[s] for s, found in by_template.items() for *_, cover in found], default=0.0)
         return n, sorted(starts), sorted(base), sorted(labels), min(1.0, score), spans
 
     def _spans(self, s: int, found: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:

@@ -30,14 +30,70 @@ def test_chain_skips_words():
     words = licenses.TEMPLATES[3][1].split()
     text = " ".join([*words[:3], "well", *words[3:]])
     n, starts, base, labels, score, spans = licenses.Scanner().scan(text)
-    assert "apache" in labels and score == 1.0
+    assert "apache" in labels and score == len(words_of(words)) / licenses.FULL
+
+
+def words_of(words):
+    return licenses.words_of(" ".join(words))
+
+
+def test_score_weighs_what_stands_there():
+    scan = licenses.Scanner().scan
+    score = lambda text: scan(text)[4]
+    notice = licenses.NOTICES[0][1]
+    half = " ".join(notice.split()[: len(notice.split()) // 2])
+    assert score(notice) == 1.0 and 0.4 < score(half) < 0.6
+    named = [score(x) for x in ("this file is under the MIT License", "all rights reserved", "we discuss the apache license war at length")]
+    assert all(0 < x <= 0.25 for x in named)
+    # A phrase that no notice has around it is a base label and scores nothing.
+    n, starts, base, labels, value, _ = licenses.Scanner(templates=(("x", "one two three"),)).scan("the mit license and the mit license")
+    assert (len(starts), base, labels, value) == (2, ["mit"], ["mit"], 0.0)
+
+
+def best_cover(found, most_gap):
+    """The most words that a chain of matches covers, by all pairs."""
+    found = sorted(found)
+    best = []
+    for i, (at, of, size) in enumerate(found):
+        before = [best[j] for j, (a, o, n) in enumerate(found[:i]) if a + n <= at and o + n <= of and at - (a + n) <= most_gap]
+        best.append(size + max(before, default=0))
+    return max(best)
+
+
+def test_chains_against_all_pairs():
+    rng = random.Random(12)
+    scanner = licenses.Scanner(phrases=(), templates=(("t", " ".join(f"w{i}" for i in range(40))),), most_gap=4)
+    for _ in range(400):
+        found = []
+        for _ in range(rng.randrange(1, 14)):
+            of = rng.randrange(40)
+            found.append((rng.randrange(70), of, rng.randrange(1, min(9, 41 - of))))
+        covered, first, last = scanner._chain(found, 0)
+        assert covered == best_cover(found, 4) <= last - first + 1
+
+
+def test_spans_are_disjoint_and_enough():
+    """Of texts with pieces of one template in any order, spans do not overlap, and the best chain is found where no whole one is."""
+    rng = random.Random(15)
+    words = [f"w{i}" for i in range(12)]
+    scanner = licenses.Scanner(phrases=(), templates=(("t", " ".join(words)),), most_gap=3)
+    for _ in range(300):
+        text = []
+        for _ in range(rng.randrange(1, 6)):
+            a = rng.randrange(11)
+            text += words[a : rng.randrange(a + 2, 14)] + ["x"] * rng.randrange(3)
+        spans = scanner.scan(" ".join(text))[5]
+        assert all(b < c for (_, _, b, _), (_, c, _, _) in zip(spans, spans[1:]))
+        assert len(spans) == 1 or all(cover >= scanner.cover for *_, cover in spans)
+        whole = [i for i in range(len(text)) if text[i : i + 12] == words]
+        assert {a for _, a, b, c in spans if c == 1 and b - a == 11} == set(whole)
 
 
 def test_templates_within_longer_ones_and_repeated_ones():
     scan = licenses.Scanner(templates=licenses.NOTICES).scan
     short, full = licenses.TEMPLATES[3][1], licenses.TEMPLATES[2][1]
     *_, score, spans = scan(short + ". The code is here")
-    assert score == 1.0 and ("apache", 0, 7, 1.0) in spans
+    assert score == 8 / licenses.FULL and ("apache", 0, 7, 1.0) in spans
     n, *_, spans = scan(f"{full} x y {full} z {' '.join(full.split()[4:])}")
     whole, m = len(licenses.words_of(full)), len(licenses.words_of(" ".join(full.split()[4:])))
     got = sorted(x for x in spans if x[2] - x[1] > 20)
