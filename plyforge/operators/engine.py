@@ -266,11 +266,6 @@ def tree(df, width=3):
     return two.join(level(3), F.col("after2") == F.col("pos_id3")).select(F.col("pos_id1").alias("pos_id"), F.concat_ws(" ", "move1", "move2", "move3").alias("path"))
 
 
-@engine_query("e21_context_hints", f"SELECT {KEY}, list_filter([CASE WHEN score_type = 'mate' THEN 'forced mate' END, CASE WHEN abs(score) > 300 THEN 'decisive' END, CASE WHEN depth < 12 THEN 'shallow' END], lambda x: x IS NOT NULL) AS hints FROM LINES")
-def hints(df):
-    return df.select(*KEYS, F.array_compact(F.array(F.when(F.col("score_type") == "mate", "forced mate"), F.when(F.abs("score") > 300, "decisive"), F.when(F.col("depth") < 12, "shallow"))).alias("hints"))
-
-
 @engine_query("e22_correction", f"SELECT {KEY}, 'The move is a ' || lower({class_sql('(500 - score)', 'verifier')}) || '; it loses ' || (500 - score) || ' centipawns.' AS text FROM LINES")
 def correction(df):
     loss = 500 - F.col("score")

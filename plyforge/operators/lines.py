@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyforge.functions.dialect import DUCK, SPARK
-from plyforge.operators.engine import LINES_SQL, TERMS, TERMS_SQL, WORDS, engine_lines, eval_label, label_sql, move_class, class_sql, term_vector
+from plyforge.operators.engine import LINES_SQL, TERMS, TERMS_SQL, WORDS, compared, engine_lines, eval_label, label_sql, move_class, class_sql, term_vector
 from plyforge.operators.features import ascii_board, decoded, phase
 from plyforge.operators.readers import PHRASES
 from plyforge.operators.records import bucket, sql_bucket, table
-from plyforge.plans.registry import register
+from plyforge.plans.registry import ORACLES, register
 from plyforge.sources.positions import POSITIONS_SQL, positions, quoted
 
 #: Terms of a ply that are told, and their least size (fixed values).
@@ -225,6 +225,37 @@ def line_analysis(spark, sf_dir):
     return a.select("pos_id", "root_cp", "spread", F.array_join(F.transform("lines", candidate), " ").alias("candidates"), F.array_join(F.transform("lines", line), "; ").alias("lines"))
 
 
+#: What a prompt is told about a move of a class, without its score; {0} is the best move (fixed values).
+HINTS = {
+    "Great": ("This is a very strong move.",), "Good": ("This is a reasonable move.",), "Inaccuracy": ("This move is slightly imprecise.", "Consider {0} as an alternative."),
+    "Mistake": ("This move has some problems.", "The engine prefers {0}."), "Blunder": ("This move is a significant error.", "The correct move is {0}."),
+}
+TOP, REFUTATION = "This is the engine's top choice.", 5
+
+
+def context_hints(compared: DataFrame, analysis: DataFrame) -> DataFrame:
+    """Of compared moves, what prompts may say: class, whether it is the best, hints, and the first plies of the best line."""
+    kind = move_class(F.col("cp_loss"), "verifier")
+    told = F.when(F.col("user_move") == F.col("best_move"), F.array(F.lit(TOP)))
+    for name, texts in HINTS.items():
+        told = told.when(kind == name, F.array(*(F.concat(F.lit(x.split("{0}")[0]), "best_move", F.lit(x.split("{0}")[1])) if "{0}" in x else F.lit(x) for x in texts)))
+    line = F.slice(F.transform(F.get("lines", F.lit(0))["plies"], lambda p: p["move"]), 1, REFUTATION)
+    rows = compared.join(analysis.select("pos_id", line.alias("refutation")), "pos_id")
+    return rows.select("pos_id", kind.alias("classification"), (F.col("user_move") == F.col("best_move")).alias("is_best"), "best_move", F.coalesce(told, F.array().cast("array<string>")).alias("hints"), "refutation")
+
+
+_SQL_HINT = lambda x: " || best_move || ".join(quoted(part) for part in x.split("{0}"))
+_SQL_HINTS = f"CASE WHEN user_move = best_move THEN {quoted(TOP)} " + " ".join(f"WHEN {class_sql('cp_loss', 'verifier')} = '{k}' THEN {' || chr(10) || '.join(map(_SQL_HINT, texts))}" for k, texts in HINTS.items()) + " ELSE '' END"
+
+
+@register("e21_context_hints", f"""{STEPS_SQL}, compared AS ({ORACLES['e04_compare_moves']}),
+best AS (SELECT pos_id, string_agg(move, ' ' ORDER BY k) AS refutation FROM ply_rows JOIN (SELECT pos_id, multipv FROM heads WHERE rn = 1) USING (pos_id, multipv) WHERE k <= {REFUTATION} GROUP BY pos_id)
+SELECT pos_id, {class_sql('cp_loss', 'verifier')} AS classification, user_move = best_move AS is_best, best_move, {_SQL_HINTS} AS hints, refutation FROM compared JOIN best USING (pos_id)""")
+def hints(spark, sf_dir):
+    rows = engine_lines(spark, sf_dir)
+    return context_hints(compared(rows), analysed(rows)).withColumns({"hints": F.array_join("hints", "\n"), "refutation": F.array_join("refutation", " ")})
+
+
 @register("e15_thinking_block", f"{REVIEW_SQL} SELECT pos_id, block FROM blocks")
 def thinking_block(spark, sf_dir):
     return reviewed(analysed(engine_lines(spark, sf_dir)), studied(spark, sf_dir)).select("pos_id", thinking().alias("block"))

@@ -559,24 +559,6 @@ def legality(fen, pick, ucis, sans):
     return (reward_legality(None if pick % 4 == 3 else Position(fen), lines),)
 
 
-def grounded_pairs(said: list[str], line: list[str]) -> float:
-    """Share of neighbouring moves of a comment that stand next to each other in a line, on [-1, 1]; -1 of nothing said, 1 of one move."""
-    pairs = list(zip(said, said[1:]))
-    if not pairs:
-        return 1.0 if said else -1.0
-    known = set(zip(line, line[1:]))
-    return 2.0 * sum(x in known for x in pairs) / len(pairs) - 1
-
-
-@line_query("r11_grounded_pairs", "score double", sql="""
-SELECT pos_id, CASE WHEN len(said) = 0 THEN -1.0::DOUBLE WHEN len(said) = 1 THEN 1.0::DOUBLE ELSE 2 * len(list_filter(range(1, len(said)), lambda i: len(list_filter(range(1, len(l)), lambda j: l[j] = said[i] AND l[j + 1] = said[i + 1])) > 0))::DOUBLE / (len(said) - 1) - 1 END AS score
-FROM (SELECT pos_id, l, list_concat(l[1:pick % 4], l[pick % 3 + 3:6]) AS said FROM (SELECT pos_id, pick, list(san ORDER BY k) AS l FROM line_ GROUP BY pos_id, pick))""")
-def grounded(fen, pick, ucis, sans):
-    """The comment says the line's first moves and its last ones."""
-    line = sans.split()
-    return (grounded_pairs(line[: pick % 4] + line[pick % 3 + 2 :], line),)
-
-
 @position_query("r17_san_reward", "reward double", sql=f"SELECT pos_id, CASE WHEN valid THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS reward FROM {_ROWS}")
 def san_reward(fen, pick):
     """1 where the answer, in any notation, is the solution."""

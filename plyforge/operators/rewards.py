@@ -368,6 +368,7 @@ score_query("r07_interpretation", "terms_shown AS scores", "term_scores", shown=
 score_query("r08_reward_terms", "terms AS reward", "terms", shown=lambda df: df.withColumnRenamed("terms", "reward"))
 score_query("r09_comment", "comment", "comment")
 score_query("r10_reward_tone", "tone AS reward", "tone", shown=lambda df: df.withColumnRenamed("tone", "reward"))
+score_query("r11_grounded_pairs", "grounding AS score", "grounding", shown=lambda df: df.withColumnRenamed("grounding", "score"))
 score_query("r12_reward_educational", "grounding, educational AS reward", "grounding", "educational", shown=lambda df: df.withColumnRenamed("educational", "reward"))
 _sum_sql = lambda weights: " + ".join(f"{w} * {k}" for k, w in weights.items())
 score_query("r13_combined_reward", f"{_sum_sql(COMBINED)} + CASE WHEN legality < 0 THEN -1.0 ELSE 0.0 END AS reward", "combined", shown=lambda df: df.withColumnRenamed("combined", "reward"))

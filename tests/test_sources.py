@@ -106,4 +106,3 @@ def test_session_and_threats():
     assert moves.verified_mate(Position().fen(), "e2e4", "e7e4")[1] is False and moves.verified_mate("x", "e2e4", "e7e5") == (None, False)
     found = moves.threaten(Position("4k3/8/8/3q4/8/8/8/R3K3 w - - 0 1"), 5)
     assert found in {("a1", "d5", "Ra5"), ("a1", "d5", "Rd1")}
-    assert moves.grounded_pairs([], ["e4"]) == -1.0 and moves.grounded_pairs(["e4"], []) == 1.0 and moves.grounded_pairs(["e4", "e5", "Nf3"], ["e4", "e5"]) == 0.0
