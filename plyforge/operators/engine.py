@@ -167,8 +167,9 @@ TERMS = ("Material", "Imbalance", "Pawns", "Knights", "Bishops", "Rooks", "Queen
 
 
 def term_vector() -> Column:
-    """White less black per term, rounded to 4 places, in TERMS order."""
-    one = lambda i: F.round(((F.col("l_partkey") * (i + 3)) % 401) / 100.0 - ((F.col("l_suppkey") * (i + 5)) % 397) / 100.0, 4)
+    """White less black per term, in TERMS order. Both are hundredths, so one division gives the difference to its last place,
+    and nothing is left to round to the 4 places that a vector has."""
+    one = lambda i: (((F.col("l_partkey") * (i + 3)) % 401) - ((F.col("l_suppkey") * (i + 5)) % 397)) / 100.0
     return F.array(*map(one, range(len(TERMS))))
 
 

@@ -72,13 +72,14 @@ def analysed(lines: DataFrame) -> DataFrame:
     A line's score is its first ply's, in white's view; cp is null for a mate. The spread is that of the lines with a cp.
     """
     one = F.struct(*PLY, "move", "score_type", "score", "shown", "told", "net")
-    # Dealt by position, both groupings are made in one place.
-    by_line = plies(lines).repartition("pos_id").groupBy("pos_id", "multipv").agg(F.array_sort(F.collect_list(one)).alias("plies"))
+    # Dealt by position, narrow as they come, plies are told and grouped twice in one place.
+    dealt = lines.select("pos_id", "multipv", *PLY, "move", "score_type", "score").repartition("pos_id")
+    by_line = plies(dealt).groupBy("pos_id", "multipv").agg(F.sort_array(F.collect_list(one)).alias("plies"))
     first = F.get("plies", F.lit(0))
     cp = F.when(first["score_type"] == "cp", first["score"])
     mate = F.when(first["score"] > 0, WORDS[0]).otherwise(WORDS[4])
     line = F.struct("multipv", cp.alias("cp"), F.coalesce(F.when(cp.isNotNull(), eval_label(cp, "data")), mate).alias("label"), F.transform("plies", lambda p: F.struct(*(p[c].alias(c) for c in ("move", "shown", "told", "net")))).alias("plies"))
-    whole = by_line.select("pos_id", line.alias("line")).groupBy("pos_id").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    whole = by_line.select("pos_id", line.alias("line")).groupBy("pos_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     cps = F.filter(F.transform("lines", lambda x: x["cp"]), lambda c: c.isNotNull())
     spread = F.when(F.size(cps) >= 2, F.array_max(cps) - F.array_min(cps)).otherwise(0)
     return whole.select("pos_id", F.get("lines", F.lit(0))["cp"].alias("root_cp"), spread.cast("long").alias("spread"), "lines")
