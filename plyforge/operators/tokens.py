@@ -90,7 +90,11 @@ SELECT doc_id, start::INTEGER AS start, n_tokens::INTEGER AS n_tokens, md5(text)
 FROM made JOIN tokens USING (doc_id) WHERE n <= {WINDOW} OR trim(text, E' \t\n\r\f' || chr(11)) <> ''""")
 def token_windows(spark, sf_dir):
     """Windows of a text with boards, those of blanks alone left out."""
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.split("text", r"\. ", -1).alias("s"))
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    # Cutting takes far longer over a text than a shuffle of it: a table in fewer splits than cores is dealt out first.
+    cores = spark.sparkContext.defaultParallelism
+    docs = docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    docs = docs.select("doc_id", F.split("text", r"\. ", -1).alias("s"))
     n = F.size("s")
     said = F.transform("s", lambda s, i: F.concat(s, F.when(i + 1 == n, "").when((i + 1) % 3 == 0, f". {_BOARD}").otherwise(". ")))
     fens = F.transform(F.slice(F.sequence(F.lit(0), n), 2, F.floor((n - 1) / 3).cast("int")), lambda k: F.concat(F.lit("position "), k.cast("string")))
