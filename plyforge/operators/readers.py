@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plyforge.functions.dialect import DUCK, SPARK
-from plyforge.functions.rules import Position, checks_captures_threats, move_facts, uci
+from plyforge.functions.rules import checks_captures_threats, move_facts, position, uci
 from plyforge.operators.engine import KEYS, TERMS, TERMS_SQL, engine_lines, engine_query, term_vector
 from plyforge.operators.features import decoded, feature, html, picked
 from plyforge.operators.legal_sql import with_moves
@@ -392,17 +392,17 @@ _TEMPLATE = "'You are player ' || turn || '.' || {0} || 'Question: {{question}}'
 scorer("x18_benchmark_prompt", "'Question: ' || text || chr(10) || 'Examples: ' || array_to_string(string_split(text, ' ')[1:3], '; ') AS prompt", prompt=lambda t, n: benchmark_prompt(F.expr(_TEMPLATE.format("'\\n'")), t, F.split(t, " ")))
 
 
-@position_query("x15_joint_prompt", "prompt string", sql=f"SELECT r.pos_id, '## Position' || chr(10) || r.fen || chr(10) || '## Move' || chr(10) || coalesce(san, '-') || chr(10) || '## Facts' || chr(10) || CASE WHEN uci IS NULL THEN 'none' ELSE array_to_string({_FACTS}, '; ') END AS prompt FROM rows_ r LEFT JOIN ch USING (pos_id)")
+@position_query("x15_joint_prompt", "prompt string", sql=f"SELECT r.pos_id, '## Position' || chr(10) || r.fen || chr(10) || '## Move' || chr(10) || coalesce(san, '-') || chr(10) || '## Facts' || chr(10) || CASE WHEN uci IS NULL THEN 'none' ELSE array_to_string({_FACTS}, '; ') END AS prompt FROM rows_ r LEFT JOIN ch USING (pos_id)", choice=1)
 def joint_prompt(fen, pick):
-    p = Position(fen)
+    p = position(fen)
     m = chosen(p, pick)
     facts = "; ".join(move_facts(p, m)) if m else "none"
     return (f"## Position\n{fen}\n## Move\n{p.san(m) if m else '-'}\n## Facts\n{facts}",)
 
 
-@position_query("x16_puzzle_trace", "prompt string, trace string", sql=f"SELECT r.pos_id, CASE WHEN uci IS NULL THEN r.fen ELSE 'FEN: ' || r.fen || chr(10) || CASE WHEN white THEN 'White' ELSE 'Black' END || ' to move.' END AS prompt, CASE WHEN uci IS NULL THEN '' ELSE '<think>' || array_to_string({_FACTS}, '; ') || '</think>{{\"move\": \"' || uci || '\"}}' END AS trace FROM rows_ r LEFT JOIN ch USING (pos_id)")
+@position_query("x16_puzzle_trace", "prompt string, trace string", sql=f"SELECT r.pos_id, CASE WHEN uci IS NULL THEN r.fen ELSE 'FEN: ' || r.fen || chr(10) || CASE WHEN white THEN 'White' ELSE 'Black' END || ' to move.' END AS prompt, CASE WHEN uci IS NULL THEN '' ELSE '<think>' || array_to_string({_FACTS}, '; ') || '</think>{{\"move\": \"' || uci || '\"}}' END AS trace FROM rows_ r LEFT JOIN ch USING (pos_id)", choice=1)
 def puzzle_trace(fen, pick):
-    p = Position(fen)
+    p = position(fen)
     m = chosen(p, pick)
     if m is None:
         return fen, ""
@@ -414,5 +414,5 @@ _NAMED = lambda c: f"'{c}: ' || coalesce(nullif(array_to_string({c}, ', '), ''),
 
 @position_query("x17_inline_moves", "text string", sql=with_threats(f"SELECT r.pos_id, {_NAMED('checks')} || '; ' || {_NAMED('captures')} || '; ' || {_NAMED('threats')} AS text FROM rows_ r LEFT JOIN cct5 USING (fen)"))
 def inline_moves(fen):
-    found = checks_captures_threats(Position(fen))
+    found = checks_captures_threats(position(fen))
     return ("; ".join(f"{k}: {', '.join(v) or 'none'}" for k, v in found.items()),)
