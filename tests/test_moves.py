@@ -9,6 +9,7 @@ from plyforge.sources import positions
 #: Queries whose answers depend on a part of pick only.
 NARROWED = [
     "m06_play_moves",
+    "m08_puzzle_questions",
 ]
 
 
