@@ -10,6 +10,7 @@ from plyforge.sources import positions
 NARROWED = [
     "m06_play_moves",
     "m08_puzzle_questions",
+    "m12_line_legality",
 ]
 
 
