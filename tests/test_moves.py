@@ -11,6 +11,7 @@ NARROWED = [
     "m06_play_moves",
     "m08_puzzle_questions",
     "m12_line_legality",
+    "m13_line_boards",
 ]
 
 
