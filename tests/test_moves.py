@@ -12,6 +12,7 @@ NARROWED = [
     "m08_puzzle_questions",
     "m12_line_legality",
     "m13_line_boards",
+    "m14_opening_prefix",
 ]
 
 
