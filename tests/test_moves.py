@@ -13,6 +13,7 @@ NARROWED = [
     "m12_line_legality",
     "m13_line_boards",
     "m14_opening_prefix",
+    "m22_session_moves",
 ]
 
 
