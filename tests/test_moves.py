@@ -14,6 +14,7 @@ NARROWED = [
     "m13_line_boards",
     "m14_opening_prefix",
     "m22_session_moves",
+    "r05_reward_legality",
 ]
 
 
