@@ -15,6 +15,7 @@ NARROWED = [
     "m14_opening_prefix",
     "m22_session_moves",
     "r05_reward_legality",
+    "m21_legal_tool",
 ]
 
 
