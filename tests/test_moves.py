@@ -16,6 +16,7 @@ NARROWED = [
     "m22_session_moves",
     "r05_reward_legality",
     "m21_legal_tool",
+    "m20_tactics_text",
 ]
 
 
