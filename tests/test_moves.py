@@ -17,6 +17,7 @@ NARROWED = [
     "r05_reward_legality",
     "m21_legal_tool",
     "m20_tactics_text",
+    "f06_mate_in_one_verified",
 ]
 
 
