@@ -18,6 +18,7 @@ NARROWED = [
     "m21_legal_tool",
     "m20_tactics_text",
     "f06_mate_in_one_verified",
+    "x15_joint_prompt",
 ]
 
 
