@@ -19,6 +19,7 @@ NARROWED = [
     "m20_tactics_text",
     "f06_mate_in_one_verified",
     "x15_joint_prompt",
+    "q24_threaten_piece_with",
 ]
 
 
