@@ -20,6 +20,7 @@ NARROWED = [
     "f06_mate_in_one_verified",
     "x15_joint_prompt",
     "q24_threaten_piece_with",
+    "f09_solution_legal",
 ]
 
 
