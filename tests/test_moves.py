@@ -21,6 +21,7 @@ NARROWED = [
     "x15_joint_prompt",
     "q24_threaten_piece_with",
     "f09_solution_legal",
+    "m15_first_legal_move",
 ]
 
 
