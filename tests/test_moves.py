@@ -22,6 +22,7 @@ NARROWED = [
     "q24_threaten_piece_with",
     "f09_solution_legal",
     "m15_first_legal_move",
+    "m16_threat_kind",
 ]
 
 
