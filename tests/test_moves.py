@@ -23,6 +23,7 @@ NARROWED = [
     "f09_solution_legal",
     "m15_first_legal_move",
     "m16_threat_kind",
+    "m01_validate_move",
 ]
 
 
