@@ -24,6 +24,7 @@ NARROWED = [
     "m15_first_legal_move",
     "m16_threat_kind",
     "m01_validate_move",
+    "m04_valid_moves",
 ]
 
 
