@@ -25,6 +25,7 @@ NARROWED = [
     "m16_threat_kind",
     "m01_validate_move",
     "m04_valid_moves",
+    "m02_parse_flexible",
 ]
 
 
