@@ -26,6 +26,7 @@ NARROWED = [
     "m01_validate_move",
     "m04_valid_moves",
     "m02_parse_flexible",
+    "p08_training_context",
 ]
 
 
