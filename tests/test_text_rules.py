@@ -54,3 +54,8 @@ def test_words_end_at_letters_beyond_ascii(spark):
     """As in the SQL's patterns, which know ASCII words only."""
     for text, name in (("zusch schöbest heitung", "Best"), ("bestä", "Best"), ("ein best", "Best"), ("xbest, best1 _best", "Unknown"), ("a fİne reply", "Good"), ("éstrong", "Great")):
         assert said(spark, text, t.text_class) == name, text
+
+
+def test_agreement_where_words_end_at_letters_beyond_ascii(spark):
+    engine = lambda name: lambda c: t.compatible(t.text_class(c), F.lit(name))
+    assert said(spark, "schöbest heitung", engine("Great")) and not said(spark, "schöbest heitung", engine("Mistake"))
