@@ -64,8 +64,8 @@ def test_agreement_where_words_end_at_letters_beyond_ascii(spark):
 def test_an_attempt_is_valid_by_words_that_end_at_letters_beyond_ascii(spark, tmp_path):
     from plyforge.operators.readers import first_valid_attempt
 
-    # Of this conversation, turns 0 and 22 are the text alone, and the engine's class is Mistake.
-    c = next(c for c in range(2000) if c * 7 % 22 == 21 and c % 6 == 4)
-    spark.createDataFrame([(c, 0, "assistant", "schömistake"), (c, 22, "assistant", "mistake")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    # Of this conversation, turns 0 and 22 are the text alone, and the engine's class is Inaccuracy.
+    c = next(c for c in range(2000) if c * 7 % 22 == 21 and c % 6 == 3)
+    spark.createDataFrame([(c, 0, "assistant", "schöbest"), (c, 22, "assistant", "inaccuracy")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = first_valid_attempt(spark, str(tmp_path)).first()
-    assert (got.conv_id, got.accepted, got.attempts) == (c, 0, 1)
+    assert (got.conv_id, got.accepted, got.attempts) == (c, 22, 2)
