@@ -8,6 +8,7 @@ from plyforge.plans import load
 SF = "/root/testdata/sf0.001"
 QUERIES = [
     "p04_prompt_board",
+    "p06_representations",
 ]
 
 
