@@ -9,6 +9,7 @@ SF = "/root/testdata/sf0.001"
 QUERIES = [
     "p04_prompt_board",
     "p06_representations",
+    "p02_piece_labels",
 ]
 
 
