@@ -10,6 +10,7 @@ QUERIES = [
     "p04_prompt_board",
     "p06_representations",
     "p02_piece_labels",
+    "k07_html_output",
 ]
 
 
