@@ -51,34 +51,45 @@ def _signed(term: Column) -> Column:
     return F.concat(F.lower(term["name"]), F.when(term["v"] >= 0, " +").otherwise(" −"), F.format_string("%.2f", F.abs(term["v"])))
 
 
-def plies(lines: DataFrame) -> DataFrame:
-    """``lines`` with what is said of each ply: ``shown`` in prompts, ``told`` in thinking, ``net`` of a line that it begins."""
+#: What is said of a ply: shown in prompts, told in thinking, net of a line that it begins.
+SAID = ("shown", "told", "net")
+
+
+def plies(lines: DataFrame, only: tuple[str, ...] = SAID) -> DataFrame:
+    """``lines`` with what is said of each ply: of SAID those in ``only``."""
+    if not only:
+        return lines
     rows = lines.withColumn("terms", term_vector()).withColumn("top", told_terms(F.col("terms")))
     key = F.concat(F.col("pos_id").cast("string"), F.lit(":"), "move")
     signed = F.transform("top", _signed)
-    return rows.withColumns({
+    said = {
         "shown": F.when(F.size("top") > 0, F.concat("move", F.lit(" ["), F.array_join(signed, "; "), F.lit("]"))).otherwise(F.col("move")),
         "told": F.concat(F.lit("    "), "move", F.lit(": "), F.when(F.size("top") > 0, F.concat(F.array_join(signed, ", "), F.lit(" → "), interpreted(key, F.col("top"), "ply"))).otherwise(NONE)),
         "net": F.when(F.size("top") > 0, F.concat(F.lit("    net: "), interpreted(key, F.col("top"), "net"))),
-    })
+    }
+    return rows.withColumns({c: said[c] for c in only})
 
 
 PLY = ("l_partkey", "l_suppkey", "l_extendedprice")
+#: Parts that a split of the input is dealt to: plies are sorted with what is said of them, far wider than in the file.
+PARTS = 32
 
 
-def analysed(lines: DataFrame) -> DataFrame:
-    """pos_id, root_cp, spread, lines: array by multipv of (multipv, cp, label, plies: array of (move, shown, told, net)).
+def analysed(lines: DataFrame, only: tuple[str, ...] = SAID) -> DataFrame:
+    """pos_id, root_cp, spread, lines: array by multipv of (multipv, cp, label, plies: array of (move, and of SAID those in ``only``)).
 
     A line's score is its first ply's, in white's view; cp is null for a mate. The spread is that of the lines with a cp.
     """
-    one = F.struct(*PLY, "move", "score_type", "score", "shown", "told", "net")
-    # Dealt by position, narrow as they come, plies are told and grouped twice in one place.
-    dealt = lines.select("pos_id", "multipv", *PLY, "move", "score_type", "score").repartition("pos_id")
-    by_line = plies(dealt).groupBy("pos_id", "multipv").agg(F.sort_array(F.collect_list(one)).alias("plies"))
+    one = F.struct(*PLY, "move", "score_type", "score", *only)
+    # Dealt by position, narrow as they come, plies are told and grouped twice in one place. A fixed number of parts is not
+    # put together again by their size before the telling.
+    parts = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), PARTS * lines.rdd.getNumPartitions())
+    dealt = lines.select("pos_id", "multipv", *PLY, "move", "score_type", "score").repartition(parts, "pos_id")
+    by_line = plies(dealt, only).groupBy("pos_id", "multipv").agg(F.sort_array(F.collect_list(one)).alias("plies"))
     first = F.get("plies", F.lit(0))
     cp = F.when(first["score_type"] == "cp", first["score"])
     mate = F.when(first["score"] > 0, WORDS[0]).otherwise(WORDS[4])
-    line = F.struct("multipv", cp.alias("cp"), F.coalesce(F.when(cp.isNotNull(), eval_label(cp, "data")), mate).alias("label"), F.transform("plies", lambda p: F.struct(*(p[c].alias(c) for c in ("move", "shown", "told", "net")))).alias("plies"))
+    line = F.struct("multipv", cp.alias("cp"), F.coalesce(F.when(cp.isNotNull(), eval_label(cp, "data")), mate).alias("label"), F.transform("plies", lambda p: F.struct(*(p[c].alias(c) for c in ("move", *only)))).alias("plies"))
     whole = by_line.select("pos_id", line.alias("line")).groupBy("pos_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     cps = F.filter(F.transform("lines", lambda x: x["cp"]), lambda c: c.isNotNull())
     spread = F.when(F.size(cps) >= 2, F.array_max(cps) - F.array_min(cps)).otherwise(0)
@@ -98,10 +109,12 @@ def reviewed(analysis: DataFrame, played: DataFrame) -> DataFrame:
 
     A move that no line begins with is a line of its own, of which nothing is known.
     """
+    only = [c for c in analysis.schema["lines"].dataType.elementType["plies"].dataType.elementType.names if c != "move"]
     rows = played.join(analysis, "pos_id")
     own = F.get(F.filter("lines", lambda x: F.get(x["plies"], F.lit(0))["move"] == F.col("move")), F.lit(0))
     none = F.lit(None).cast("string")
-    alone = F.array(F.struct(F.col("move").alias("move"), F.col("move").alias("shown"), F.concat(F.lit("    "), "move", F.lit(f": {NONE}")).alias("told"), none.alias("net")))
+    unknown = {"move": F.col("move"), "shown": F.col("move"), "told": F.concat(F.lit("    "), "move", F.lit(f": {NONE}")), "net": none}
+    alone = F.array(F.struct(*(unknown[c].alias(c) for c in ("move", *only))))
     others = F.filter("lines", lambda x: F.get(x["plies"], F.lit(0))["move"] != F.col("move"))
     rows = rows.withColumns({"depth": step(1), "own": own}).withColumns({
         "played": F.slice(F.coalesce(F.col("own")["plies"], alone), F.lit(1), F.col("depth")), "student_cp": F.col("own")["cp"],
@@ -220,7 +233,7 @@ blocks AS (
 SELECT pos_id, root_cp, spread, string_agg(head || ':' || coalesce(cp::VARCHAR, 'mate'), ' ' ORDER BY multipv) AS candidates, string_agg(moves || ' | ' || label, '; ' ORDER BY multipv) AS lines
 FROM sums JOIN heads USING (pos_id) JOIN (SELECT pos_id, multipv, string_agg(move, ' ' ORDER BY k) AS moves FROM ply_rows GROUP BY pos_id, multipv) USING (pos_id, multipv) GROUP BY pos_id, root_cp, spread""")
 def line_analysis(spark, sf_dir):
-    a = analysed(engine_lines(spark, sf_dir))
+    a = analysed(engine_lines(spark, sf_dir), ())
     candidate = lambda x: F.concat(F.get(x["plies"], F.lit(0))["move"], F.lit(":"), F.coalesce(x["cp"].cast("string"), F.lit("mate")))
     line = lambda x: F.concat(F.array_join(F.transform(x["plies"], lambda p: p["move"]), " "), F.lit(" | "), x["label"])
     return a.select("pos_id", "root_cp", "spread", F.array_join(F.transform("lines", candidate), " ").alias("candidates"), F.array_join(F.transform("lines", line), "; ").alias("lines"))
@@ -254,12 +267,12 @@ best AS (SELECT pos_id, string_agg(move, ' ' ORDER BY k) AS refutation FROM ply_
 SELECT pos_id, {class_sql('cp_loss', 'verifier')} AS classification, user_move = best_move AS is_best, best_move, {_SQL_HINTS} AS hints, refutation FROM compared JOIN best USING (pos_id)""")
 def hints(spark, sf_dir):
     rows = engine_lines(spark, sf_dir)
-    return context_hints(compared(rows), analysed(rows)).withColumns({"hints": F.array_join("hints", "\n"), "refutation": F.array_join("refutation", " ")})
+    return context_hints(compared(rows), analysed(rows, ())).withColumns({"hints": F.array_join("hints", "\n"), "refutation": F.array_join("refutation", " ")})
 
 
 @register("e15_thinking_block", f"{REVIEW_SQL} SELECT pos_id, block FROM blocks")
 def thinking_block(spark, sf_dir):
-    return reviewed(analysed(engine_lines(spark, sf_dir)), studied(spark, sf_dir)).select("pos_id", thinking().alias("block"))
+    return reviewed(analysed(engine_lines(spark, sf_dir), ("told", "net")), studied(spark, sf_dir)).select("pos_id", thinking().alias("block"))
 
 
 @register("e16_joint_record", rf"""{REVIEW_SQL}

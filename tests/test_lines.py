@@ -1,8 +1,13 @@
 """Analyses and reviews of a position by hand."""
 
+import os
+
+import pytest
 from plyforge.operators import lines
+from plyforge.plans import load
 from pyspark.sql import functions as F
 
+SF = "/root/testdata/sf0.001"
 PLIES = "pos_id long, multipv int, l_partkey long, l_suppkey long, l_extendedprice double, move string, score_type string, score long"
 
 
@@ -48,3 +53,17 @@ def test_only_commented_moves_are_samples(spark):
     assert (r.metadata.source, r.metadata.n_lines, r.metadata.spread_cp) == ("textbook_joint_sft", 1, 0)
     terms = spark.range(1).select(lines.told_terms(F.array(*map(F.lit, [0.05, -0.3, 0.2, 0.2, 0.1, *[0.0] * 8]))).alias("t")).first().t
     assert [(t.name, t.v) for t in terms] == [("Imbalance", -0.3), ("Pawns", 0.2), ("Knights", 0.2)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+@pytest.mark.parametrize(("name", "phrases"), [("e12_line_analysis", 0), ("e21_context_hints", 0), ("e15_thinking_block", 2)])
+def test_plies_are_grouped_with_what_is_asked_for_only(spark, name, phrases):
+    plan = load.all_queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    grouped = [line for line in plan.splitlines() if "Aggregate" in line and "collect_list" in line]
+    assert grouped and not any("shown" in line for line in grouped) and all(any(c in line for line in grouped) == bool(phrases) for c in ("told", "net,"))
+
+
+def test_plies_are_dealt_to_parts_by_the_size_of_the_input(spark):
+    rows = board(spark, [(k, 1, 0, 0, 0.0, "a4", "cp", k) for k in range(9)]).repartition(3)
+    for only in ((), lines.SAID):
+        assert lines.analysed(rows, only).rdd.getNumPartitions() == 3 * lines.PARTS
