@@ -20,3 +20,9 @@ def test_no_lambda_makes_the_board(spark, name):
     plan = load.all_queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     over_squares = [line for line in plan.splitlines() if "lambdafunction" in line]
     assert over_squares and not any("replace(replace(" in line for line in over_squares)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_an_inventory_looks_at_ranks_and_is_dealt(spark):
+    plan = load.all_queries()["q30_board_inventory"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "locate(" not in plan
