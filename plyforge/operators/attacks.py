@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plyforge.functions.dialect import DUCK, SPARK
-from plyforge.operators.bitboards import _RAYS, _STEPS, _name, bitboards, each, either, leaps, moved, ray, settled, spread
+from plyforge.operators.bitboards import _RAYS, _STEPS, _long, _name, bitboards, each, either, leaps, moved, ray, settled, spread
 from plyforge.operators.features import CONTEXT, context, decoded, square
 from plyforge.plans.registry import register
 from plyforge.sources.positions import POSITIONS_SQL, positions
@@ -79,6 +79,25 @@ def pieces(df: DataFrame) -> DataFrame:
     return rows.withColumn("white", F.col("piece") == F.upper("piece")).withColumn("at", bit(F.col("sq")))
 
 
+#: Directions of bishops, then of rooks, by number.
+_WAYS = [way for line in "br" for way in _RAYS[line]]
+
+
+def _line_table() -> Column:
+    """Of each direction and square (64 * direction + square), the squares of an empty board that are seen that way, as a set."""
+    inside = lambda x, y: 0 <= x < 8 and 0 <= y < 8
+    seen = lambda s, dx, dy: [(s // 8 + k * dy) * 8 + s % 8 + k * dx for k in range(1, 8) if inside(s % 8 + k * dx, s // 8 + k * dy)]
+    return F.array(*(_long(sum(1 << t for t in seen(s, dx, dy))) for dx, dy in _WAYS for s in range(64)))
+
+
+def nearest(line: Column, way: Column) -> Column:
+    """Of a set on a line that begins before it, the first square that way: its lowest where numbers rise, else its highest."""
+    rising = [i for i, (dx, dy) in enumerate(_WAYS) if 8 * dy + dx > 0]
+    # Without h8, as its bit alone has no number below it.
+    low = line.bitwiseAND(_long((1 << 63) - 1))
+    return F.when(way.isin(*rising), F.least(F.bit_count(low.bitwiseAND(-low) - 1), F.lit(63))).otherwise(F.length(F.bin(line)) - 1).cast("int")
+
+
 # The same in DuckDB, by arithmetic on squares a row each.
 _SQL_STEPS = ", ".join(f"('{k}', {x}, {y}, 1)" for k, steps in _STEPS.items() for x, y in steps)
 _SQL_RAYS = ", ".join(f"('{k}', {x}, {y}, 7)" for k, rays in _RAYS.items() for x, y in rays)
@@ -100,10 +119,10 @@ def duck_name(s: str) -> str:
     return _NAME.format(s)
 
 
-def attack_query(key: str, oracle: str):
+def attack_query(key: str, oracle: str, dealt: bool = False):
     def put(fn):
         def run(spark, sf_dir):
-            return fn(bitboards(decoded(positions(spark, sf_dir))))
+            return fn(bitboards(decoded(positions(spark, sf_dir, dealt))))
 
         register(key, f"WITH {ATTACKS_SQL} {oracle}")(run)
         return fn
@@ -214,16 +233,18 @@ SELECT pos_id, {duck_name('sq')} AS slider, mid_piece, substr(b, dest::INTEGER +
   SELECT *, substr(b, list_filter(list_transform(range(1, k), lambda j: ((sq // 8 + j * dy) * 8 + sq % 8 + j * dx)::INTEGER), lambda t: substr(b, t + 1, 1) <> '.')[1] + 1, 1) AS mid_piece
   FROM seen WHERE blockers = 1 AND lower(piece) IN ('b', 'r', 'q'))
 WHERE substr(b, dest::INTEGER + 1, 1) <> '.' AND (upper(mid_piece) = mid_piece) <> white AND (upper(substr(b, dest::INTEGER + 1, 1)) = substr(b, dest::INTEGER + 1, 1)) <> white
-AND {_VALUE.format('substr(b, dest::INTEGER + 1, 1)')} > {_VALUE.format('mid_piece')}""")
+AND {_VALUE.format('substr(b, dest::INTEGER + 1, 1)')} > {_VALUE.format('mid_piece')}""", dealt=True)
 def xray(df):
-    """Sliders that see, behind an enemy piece, another of more worth."""
-    rows = settled(pieces(df).where(F.lower("piece").isin("b", "r", "q")), enemy=F.when(F.col("white"), F.col("s_black")).otherwise(F.col("s_white")))
-    lines, none = [(line, dx, dy) for line in "br" for dx, dy in _RAYS[line]], F.lit(0).cast("long")
-    rows = settled(rows, **{f"first{i}": F.when(F.lower("piece").isin(line, "q"), ray(F.col("at"), F.col("free"), dx, dy).bitwiseAND(F.col("enemy"))).otherwise(none) for i, (line, dx, dy) in enumerate(lines)})
-    through = [F.struct(F.col(f"first{i}").alias("mid"), ray(F.col(f"first{i}"), F.col("free"), dx, dy).bitwiseAND(F.col("enemy")).alias("end")) for i, (_, dx, dy) in enumerate(lines)]
-    rows = each(rows, "x", F.array(*through)).where("x.end <> 0")
-    letter = lambda mask: F.substring(F.col("b"), F.get(squares(mask), F.lit(0)) + 1, F.lit(1))
-    rows = rows.withColumn("mid_piece", letter(F.col("x.mid"))).withColumn("behind", letter(F.col("x.end")))
+    """Sliders that see, behind an enemy piece, another of more worth: the first two pieces on each of their lines, a line a row."""
+    rows = spread(settled(df, taken=F.bitwise_not("free"), sliders=either(map(kind, "BRQbrq"))), "sq", "sliders").withColumn("piece", F.expr(SPARK.at("sq")))
+    rows = rows.withColumn("enemy", F.when(F.col("piece") == F.upper("piece"), F.col("s_black")).otherwise(F.col("s_white")))
+    rows = rows.withColumn("way", F.explode(F.array(*map(F.lit, range(8))))).where(F.when(F.col("way") < 4, F.lower("piece") != "r").otherwise(F.lower("piece") != "b"))
+    # Tests are of columns that are settled, so that each finds its numbers made.
+    rows = settled(rows, held=F.get(_line_table(), F.col("way") * 64 + F.col("sq")).bitwiseAND(F.col("taken"))).where("held <> 0")
+    rows = settled(rows, mid=nearest(F.col("held"), F.col("way"))).where(F.getbit("enemy", F.col("mid")) == 1)
+    rows = settled(rows, held2=F.col("held").bitwiseXOR(bit(F.col("mid")))).where("held2 <> 0")
+    rows = settled(rows, end=nearest(F.col("held2"), F.col("way"))).where(F.getbit("enemy", F.col("end")) == 1)
+    rows = settled(rows, mid_piece=F.expr(SPARK.at("mid")), behind=F.expr(SPARK.at("end")))
     return rows.where(F.expr(f"{_VALUE.format('behind')} > {_VALUE.format('mid_piece')}")).select("pos_id", square_name(F.col("sq")).alias("slider"), "mid_piece", "behind")
 
 
