@@ -22,6 +22,13 @@ def test_no_lambda_makes_the_board(spark, name):
     assert over_squares and not any("replace(replace(" in line for line in over_squares)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+@pytest.mark.parametrize("name", ["p04_prompt_board", "p06_representations"])
+def test_boards_are_dealt_and_told_by_one_lambda(spark, name):
+    plan = load.all_queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and plan.count("lambdafunction(") == 1
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 def test_an_inventory_looks_at_ranks_and_is_dealt(spark):
     plan = load.all_queries()["q30_board_inventory"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
