@@ -165,7 +165,7 @@ _BOARD = "(SELECT '<table>' || string_agg(x.r, '' ORDER BY x.k) || '</table>' FR
 @register("k07_html_output", f"SELECT pos_id, '<html><body>' || {_BOARD} || '<p class=\"fen\">' || fen || '</p><p>' || CASE WHEN turn = 'w' THEN 'White' ELSE 'Black' END || ' to move</p></body></html>' AS html FROM {DUCK.decoded(f'({POSITIONS_SQL})')}")
 def html_page(spark, sf_dir):
     """A page with the board as a table, its FEN and the side to move."""
-    rows = decoded(positions(spark, sf_dir)).selectExpr("pos_id", "fen", "turn", f"{html(SPARK)} AS board")
+    rows = decoded(positions(spark, sf_dir, dealt=True)).selectExpr("pos_id", "fen", "turn", f"{html(SPARK)} AS board")
     return rows.select("pos_id", F.concat(F.lit("<html><body>"), "board", F.lit('<p class="fen">'), "fen", F.lit("</p><p>"), F.when(F.col("turn") == "w", "White").otherwise("Black"), F.lit(" to move</p></body></html>")).alias("html"))
 
 

@@ -23,7 +23,7 @@ def test_no_lambda_makes_the_board(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-@pytest.mark.parametrize("name", ["p02_piece_labels", "p04_prompt_board", "p06_representations"])
+@pytest.mark.parametrize("name", [*QUERIES, "p29_board_html"])
 def test_boards_are_dealt_and_told_by_one_lambda(spark, name):
     plan = load.all_queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan and plan.count("lambdafunction(") == 1
