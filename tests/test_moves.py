@@ -1,5 +1,6 @@
 """What is remembered of replayed moves, and which picks stand for all with the same answer."""
 
+import pyarrow as pa
 import pytest
 from plyforge.functions import rules
 from plyforge.functions.rules import Position, play
@@ -68,3 +69,27 @@ def test_a_worker_holds_the_answers_of_one_function():
     moves.remembered(other, 10)
     moves.remembered(one, 10)(3)
     assert calls == [3, 3]
+
+
+def test_equal_inputs_of_a_task_are_asked_for_once():
+    """Rows are told apart by columns, before any of them is looked at by itself; only what is kept goes back."""
+    new = pa.schema([("x", pa.string()), ("y", pa.list_(pa.int64()))])
+    n, asked = 3 * moves.BACK + 7, []
+    rows = [pa.record_batch({"pos_id": range(s, s + n), "fen": [(None, "a", "b")[i % 3] for i in range(n)], "pick": [i % 4 for i in range(n)]}) for s in (0, n)]
+    known = lambda fen, pick: asked.append((fen, pick)) or (f"{fen}{pick}", [pick] * pick)
+    back = list(moves.answered(iter([*rows, rows[0].slice(0, 0)]), ["fen", "pick"], ["pos_id"], new, known))
+    assert len(asked) == len(set(asked)) == 12 and max(b.num_rows for b in back) <= moves.BACK
+    told = pa.Table.from_batches(back).to_pylist()
+    assert [r["pos_id"] for r in told] == list(range(2 * n)) and set(told[0]) == {"pos_id", "x", "y"}
+    for i, r in enumerate(told):
+        fen, pick = (None, "a", "b")[i % n % 3], i % n % 4
+        assert (r["x"], r["y"]) == (f"{fen}{pick}", [pick] * pick)
+    assert not list(moves.answered(iter([rows[0].slice(0, 0)]), ["fen"], ["pos_id"], new, known))
+
+
+def test_columns_are_narrowed_as_rows_are():
+    fens, picks = positions.catalogue()[::500] * 40, range(0, 1000, 5)
+    fens = (fens * 10)[: len(picks)]
+    for choice in (1, 2, 5):
+        told = moves.all_by_choice(choice, pa.array(fens), pa.array(picks, pa.int32()))
+        assert list(zip(*(c.to_pylist() for c in told), strict=True)) == [moves.by_choice(choice, f, p) for f, p in zip(fens, picks, strict=True)]
