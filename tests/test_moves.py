@@ -93,3 +93,39 @@ def test_columns_are_narrowed_as_rows_are():
     for choice in (1, 2, 5):
         told = moves.all_by_choice(choice, pa.array(fens), pa.array(picks, pa.int32()))
         assert list(zip(*(c.to_pylist() for c in told), strict=True)) == [moves.by_choice(choice, f, p) for f, p in zip(fens, picks, strict=True)]
+
+
+def test_checks_and_mates_are_found_once_a_state(monkeypatch):
+    """A move's check and mate stand in its SAN: what asks for them again searches nothing."""
+    for fen in ("6k1/5ppp/8/8/8/8/8/K3R3 w - - 0 1", "4k3/8/8/8/8/8/8/K3R3 w - - 0 1", "4k3/8/8/8/8/8/4Q3/K7 w - - 0 1", rules.START):
+        p = Position(fen)
+        for m in p.legal():
+            after = p.push(m)
+            assert (p.gives_check(m), p.mates(m)) == (after.in_check(), after.is_checkmate())
+    p = Position("6k1/5ppp/8/8/8/8/8/K3R3 w - - 0 1")
+    m = p.parse_uci("e1e8")
+    assert p.san(m) == "Re8#"
+    monkeypatch.setattr(Position, "_pseudo", lambda p: pytest.fail("searched again"))
+    monkeypatch.setattr(Position, "in_check", lambda p, white=None: pytest.fail("searched again"))
+    assert rules.validate(p, "e1e8")["mate"] and "delivers checkmate" in rules.move_facts(p, m) and rules.threat_kind(p, m) == "checkmate"
+
+
+@pytest.mark.parametrize(
+    "fen, square",
+    [
+        ("4k3/8/8/3pP3/8/8/8/4K3 w - d6 0 2", "d6"),
+        ("8/8/8/K2pP2q/8/8/8/7k w - d6 0 1", "-"),  # both pawns leave the rank, and the king is in check
+        ("8/8/8/8/R2pP2k/8/8/4K3 b - e3 0 2", "-"),
+        ("4k3/8/8/8/3pP3/8/8/4K3 b - e3 0 2", "e3"),
+        ("4k3/8/8/3p4/8/8/8/4K3 w - d6 0 2", "-"),
+        ("4k3/8/8/8/8/8/4P3/4K3 w - e3 0 1", "e3"),  # no pawn has passed: told by all moves
+    ],
+)
+def test_en_passant_squares_by_hand(fen, square, monkeypatch):
+    p = Position(fen)
+    assert any(m[1] == p.ep and p.board[m[0]].lower() == "p" for m in p.legal()) == (square != "-")
+    if square != "e3" or "p" in fen.split()[0]:
+        rules._state.cache_clear()
+        p = Position(fen)
+        monkeypatch.setattr(Position, "_pseudo", lambda p: pytest.fail("all moves were searched"))
+    assert p.fen().split()[3] == square
