@@ -129,3 +129,11 @@ def test_en_passant_squares_by_hand(fen, square, monkeypatch):
         p = Position(fen)
         monkeypatch.setattr(Position, "_pseudo", lambda p: pytest.fail("all moves were searched"))
     assert p.fen().split()[3] == square
+
+
+def test_lines_of_one_position_share_what_is_legal_of_them(monkeypatch):
+    played = []
+    inner = rules.line_legality
+    monkeypatch.setattr(rules, "line_legality", lambda p, line: played.append(line) or inner(p, line))
+    line = "a4 a5 h4 h5 Ra3 Rh6"
+    assert [moves.legality(rules.START, pick, "", line)[0] for pick in (1, 29, 57, 85)] == [2 / 7 - 1] * 4 and len(played) == 1
