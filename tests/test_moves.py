@@ -137,3 +137,8 @@ def test_lines_of_one_position_share_what_is_legal_of_them(monkeypatch):
     monkeypatch.setattr(rules, "line_legality", lambda p, line: played.append(line) or inner(p, line))
     line = "a4 a5 h4 h5 Ra3 Rh6"
     assert [moves.legality(rules.START, pick, "", line)[0] for pick in (1, 29, 57, 85)] == [2 / 7 - 1] * 4 and len(played) == 1
+
+
+def test_answers_whose_arrays_are_those_of_states_are_remembered_as_flat_ones():
+    """Of 2,048 positions with 25 moves each, 220,000 answers of m21_legal_tool differ: more than WIDE_MEMO."""
+    assert moves.MEMOS["m21_legal_tool"] == moves.MEMO and moves.legal_tool(rules.START, 0)[1] is moves.legal_tool(rules.START, 1)[1]
